@@ -77,4 +77,20 @@ def _urls() -> str:
     FROM m"""
 
 
-ORACLES = {"op1_chat_format": _chat(), "op6_url_filter": _urls()}
+def _decontaminate() -> str:
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+    return f"""
+    WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+    b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words} AS w FROM benchmark),
+    p AS (SELECT item, least(len(w), 13) AS k, unnest([array_to_string(w[i : i + least(len(w), 13) - 1], ' ') for i in range(1, greatest(len(w) - 11, 2))]) AS win FROM b WHERE len(w) > 0),
+    c AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS pos, unnest([array_to_string(w[i : i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS win
+          FROM d, (SELECT DISTINCT k FROM p) WHERE len(w) >= k),
+    m AS (SELECT DISTINCT c.doc_id, c.pos, p.k, p.item FROM c JOIN p ON c.win = p.win AND c.k = p.k),
+    h AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS word FROM m) GROUP BY doc_id),
+    i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+
+ORACLES = {"op1_chat_format": _chat(), "op6_url_filter": _urls(), "op7_decontaminate": _decontaminate()}

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaster.llm import chat_format, url_filter
+from cadaster.llm import chat_format, decontaminate, packing, url_filter
 from cadaster.llm.oracles import ORACLES
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    # Python workers import this package too, from wherever the driver runs
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -27,7 +31,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), weights).drop("p_block")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op6_url_filter)}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.scan(docs, _read(spark, sf_dir, "benchmark"), ["doc_id"]))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and the bins that hold them."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op6_url_filter, op7_decontaminate, op8_best_fit_packing)}
 
 
 def queries() -> dict:

@@ -63,3 +63,31 @@ def tests_bit(bits: "np.ndarray", positions: "np.ndarray") -> "np.ndarray":
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of doc_id as text, modulo folds, is fold; a null doc_id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def map_texts(docs: DataFrame, keep: list[str], fields: str, per_text, text: str = "text") -> DataFrame:
+    """The kept columns of docs with the fields that per_text returns for each whole text (UTF-8 bytes or None).
+
+    fields: DDL of the added columns. per_text: a function made by a maker that workers call once, so
+    that what it builds (automata, tables) is built once a task: per_text() -> (bytes | None) -> tuple.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    added = _parse_datatype_string(fields)
+    rows = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
+    types = [to_arrow_type(f.dataType) for f in added]
+    names = [*keep, *added.names]
+
+    def run(batches):
+        function = per_text()
+        for batch in batches:
+            # a few hundred texts at a time bound what is held beside the batch
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [function(x) for x in part.column(len(keep)).to_pylist()]
+                columns = [pa.array(list(c), type=t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names=names)
+
+    return rows.mapInArrow(run, StructType([*(docs.schema[c] for c in keep), *added.fields]))
