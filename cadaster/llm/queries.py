@@ -7,8 +7,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaster.llm import chat_format, decontaminate, packing, url_filter
+from cadaster.llm import chat_format, decontaminate, packing, quality_bt, toxicity_ftrl, url_filter
 from cadaster.llm.oracles import ORACLES
+from cadaster.llm.shared import held_out
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +26,24 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(given.unionByName(hard)))
 
 
+def _scored(docs: DataFrame, out: DataFrame, threshold: float, folds: int, fold: int) -> DataFrame:
+    return out.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_quality_bt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_bt.fit(docs, _read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
+    return _scored(docs, quality_bt.score(docs, model), quality_bt.CUT, 5, 0)
+
+
+def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = toxicity_ftrl.fit(docs, _read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
+    return _scored(docs, toxicity_ftrl.score(docs, weights), toxicity_ftrl.THRESHOLD, 3, 1)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL, by rule or else by the model."""
     weights = url_filter.fit(url_filter.labelled(spark))
@@ -42,7 +61,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op6_url_filter, op7_decontaminate, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_bt, op5_toxicity_ftrl, op6_url_filter, op7_decontaminate, op8_best_fit_packing)}
 
 
 def queries() -> dict:
