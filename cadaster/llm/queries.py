@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaster.llm import chat_format, decontaminate, packing, quality_bt, toxicity_ftrl, url_filter
+from cadaster.llm import chat_format, decontaminate, line_crf, packing, quality_bt, toxicity_ftrl, url_filter
 from cadaster.llm.oracles import ORACLES
 from cadaster.llm.shared import held_out
 
@@ -37,6 +37,12 @@ def op2_quality_bt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality_bt.score(docs, model), quality_bt.CUT, 5, 0)
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_crf.digest(line_crf.judge(docs, line_crf.fit(docs), ["doc_id"]))
+
+
 def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,7 +67,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_bt, op5_toxicity_ftrl, op6_url_filter, op7_decontaminate, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_bt, op3_line_crf, op5_toxicity_ftrl, op6_url_filter, op7_decontaminate, op8_best_fit_packing)}
 
 
 def queries() -> dict:
