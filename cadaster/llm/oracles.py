@@ -93,4 +93,19 @@ def _decontaminate() -> str:
     FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
 
-ORACLES = {"op1_chat_format": _chat(), "op6_url_filter": _urls(), "op7_decontaminate": _decontaminate()}
+def _substrings() -> str:
+    return """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    c AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS pos, unnest([hash(array_to_string(w[i : i + 49], ' ')) for i in range(1, len(w) - 48)]) AS win
+          FROM d WHERE len(w) >= 50),
+    f AS (SELECT win, min(doc_id) AS first FROM c GROUP BY win HAVING min(doc_id) < max(doc_id)),
+    h AS (SELECT doc_id, list(DISTINCT word) AS gone FROM (SELECT doc_id, unnest(range(pos, pos + 50)) AS word FROM c JOIN f USING (win) WHERE doc_id > first) GROUP BY doc_id),
+    k AS (SELECT d.doc_id, w, CASE WHEN gone IS NULL THEN [] ELSE gone END AS gone FROM d LEFT JOIN h USING (doc_id)),
+    u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+    g AS (SELECT doc_id, unnest(gone) AS pos FROM h),
+    kept AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.pos) AS text FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.pos = g.pos GROUP BY u.doc_id)
+    SELECT k.doc_id, len(w) AS n_words, len(gone) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM k LEFT JOIN kept USING (doc_id)"""
+
+
+ORACLES = {"op1_chat_format": _chat(), "op6_url_filter": _urls(), "op7_decontaminate": _decontaminate(), "op10_substring_dedup": _substrings()}

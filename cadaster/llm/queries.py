@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaster.llm import chat_format, decontaminate, line_crf, packing, quality_bt, toxicity_ftrl, url_filter
+from cadaster.llm import chat_format, decontaminate, line_crf, packing, quality_bt, substring_dedup, toxicity_ftrl, url_filter
 from cadaster.llm.oracles import ORACLES
 from cadaster.llm.shared import held_out
 
@@ -67,7 +67,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_bt, op3_line_crf, op5_toxicity_ftrl, op6_url_filter, op7_decontaminate, op8_best_fit_packing)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document."""
+    return substring_dedup.digest(substring_dedup.dedup(_read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_bt, op3_line_crf, op5_toxicity_ftrl, op6_url_filter, op7_decontaminate, op8_best_fit_packing, op10_substring_dedup)}
 
 
 def queries() -> dict:
