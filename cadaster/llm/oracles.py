@@ -93,6 +93,18 @@ def _decontaminate() -> str:
     FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
 
+def _jaccard() -> str:
+    return """
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i : i + 3], ' ') for i in range(1, greatest(len(w) - 2, 2))]) END AS s FROM d),
+    t AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id"""
+
+
 def _substrings() -> str:
     return """
     WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -108,4 +120,4 @@ def _substrings() -> str:
     FROM k LEFT JOIN kept USING (doc_id)"""
 
 
-ORACLES = {"op1_chat_format": _chat(), "op6_url_filter": _urls(), "op7_decontaminate": _decontaminate(), "op10_substring_dedup": _substrings()}
+ORACLES = {"op4_jaccard_join": _jaccard(), "op1_chat_format": _chat(), "op6_url_filter": _urls(), "op7_decontaminate": _decontaminate(), "op10_substring_dedup": _substrings()}

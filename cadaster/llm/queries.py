@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaster.llm import chat_format, decontaminate, line_crf, packing, quality_bt, substring_dedup, toxicity_ftrl, url_filter
+from cadaster.llm import chat_format, decontaminate, jaccard_join, line_crf, packing, quality_bt, substring_dedup, toxicity_ftrl, url_filter
 from cadaster.llm.oracles import ORACLES
 from cadaster.llm.shared import held_out
 
@@ -43,6 +44,11 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.digest(line_crf.judge(docs, line_crf.fit(docs), ["doc_id"]))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies."""
+    return jaccard_join.link(_read(spark, sf_dir, "documents"), 4, Fraction(85, 100))
+
+
 def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,7 +78,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_bt, op3_line_crf, op5_toxicity_ftrl, op6_url_filter, op7_decontaminate, op8_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_bt, op3_line_crf, op4_jaccard_join, op5_toxicity_ftrl, op6_url_filter, op7_decontaminate, op8_best_fit_packing, op10_substring_dedup)}
 
 
 def queries() -> dict:
