@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from cadaster.llm import chat_format, url_filter
+from cadaster.llm import chat_format, line_dedup, url_filter
 
 
 def _quoted(text: str) -> str:
@@ -105,6 +105,24 @@ def _jaccard() -> str:
     SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id"""
 
 
+def _lines() -> str:
+    least = line_dedup.MIN_WORDS
+    return f"""
+    WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
+    l AS (SELECT doc_id, line, raw, regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM s),
+    d AS (SELECT array_to_string(w, ' ') AS t, any_value(w) AS w, min({{'doc': doc_id, 'line': line}}) AS first FROM l WHERE len(w) > 0 GROUP BY t),
+    v AS (SELECT t, first, unnest(range(1, len(w) + 1)) AS pos, unnest([array_to_string(w[1 : i - 1] || w[i + 1 :], ' ') for i in range(1, len(w) + 1)]) AS v FROM d WHERE len(w) >= {least}),
+    near AS (
+      SELECT a.t FROM v a JOIN (SELECT v, pos, min(first) AS low FROM v GROUP BY v, pos) b ON a.v = b.v AND a.pos = b.pos WHERE b.low < a.first
+      UNION SELECT a.t FROM v a JOIN d b ON a.v = b.t AND len(b.w) >= {least} WHERE b.first < a.first
+      UNION SELECT b.t FROM v a JOIN d b ON a.v = b.t AND len(b.w) >= {least} WHERE a.first < b.first),
+    m AS (SELECT l.doc_id, l.line, l.raw, len(l.w) > 0 AS word, len(l.w) > 0 AND (near.t IS NOT NULL OR d.first <> {{'doc': l.doc_id, 'line': l.line}}) AS gone
+          FROM l LEFT JOIN d ON array_to_string(l.w, ' ') = d.t AND len(l.w) > 0 LEFT JOIN near ON near.t = d.t)
+    SELECT doc_id, count(*) FILTER (word) AS n_lines, count(*) FILTER (gone) AS n_removed,
+      sha256(coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (NOT gone), '')) AS kept_sha256
+    FROM m GROUP BY doc_id"""
+
+
 def _substrings() -> str:
     return """
     WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -120,4 +138,4 @@ def _substrings() -> str:
     FROM k LEFT JOIN kept USING (doc_id)"""
 
 
-ORACLES = {"op4_jaccard_join": _jaccard(), "op1_chat_format": _chat(), "op6_url_filter": _urls(), "op7_decontaminate": _decontaminate(), "op10_substring_dedup": _substrings()}
+ORACLES = {"op4_jaccard_join": _jaccard(), "op1_chat_format": _chat(), "op6_url_filter": _urls(), "op7_decontaminate": _decontaminate(), "op9_line_dedup": _lines(), "op10_substring_dedup": _substrings()}

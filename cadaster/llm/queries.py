@@ -8,12 +8,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaster.llm import chat_format, decontaminate, jaccard_join, line_crf, packing, quality_bt, substring_dedup, toxicity_ftrl, url_filter
+from cadaster.llm import chat_format, decontaminate, jaccard_join, line_crf, line_dedup, packing, quality_bt, substring_dedup, toxicity_ftrl, url_filter
 from cadaster.llm.oracles import ORACLES
 from cadaster.llm.shared import held_out
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     # Python workers import this package too, from wherever the driver runs
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -21,7 +21,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings."""
-    given = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     hard = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], given.schema)
     return chat_format.digest(chat_format.format_conversations(given.unionByName(hard)))
@@ -33,52 +33,57 @@ def _scored(docs: DataFrame, out: DataFrame, threshold: float, folds: int, fold:
 
 def op2_quality_bt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality_bt.fit(docs, _read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_bt.fit(docs, read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
     return _scored(docs, quality_bt.score(docs, model), quality_bt.CUT, 5, 0)
 
 
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of every document."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_crf.digest(line_crf.judge(docs, line_crf.fit(docs), ["doc_id"]))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near copies."""
-    return jaccard_join.link(_read(spark, sf_dir, "documents"), 4, Fraction(85, 100))
+    return jaccard_join.link(read(spark, sf_dir, "documents"), 4, Fraction(85, 100))
 
 
 def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = toxicity_ftrl.fit(docs, _read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = toxicity_ftrl.fit(docs, read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
     return _scored(docs, toxicity_ftrl.score(docs, weights), toxicity_ftrl.THRESHOLD, 3, 1)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL, by rule or else by the model."""
     weights = url_filter.fit(url_filter.labelled(spark))
-    return url_filter.judge(_read(spark, sf_dir, "pages"), weights).drop("p_block")
+    return url_filter.judge(read(spark, sf_dir, "pages"), weights).drop("p_block")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.digest(decontaminate.scan(docs, _read(spark, sf_dir, "benchmark"), ["doc_id"]))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.scan(docs, read(spark, sf_dir, "benchmark"), ["doc_id"]))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and the bins that hold them."""
-    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document's lines."""
+    return line_dedup.digest(line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document."""
-    return substring_dedup.digest(substring_dedup.dedup(_read(spark, sf_dir, "documents")))
+    return substring_dedup.digest(substring_dedup.dedup(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_bt, op3_line_crf, op4_jaccard_join, op5_toxicity_ftrl, op6_url_filter, op7_decontaminate, op8_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_bt, op3_line_crf, op4_jaccard_join, op5_toxicity_ftrl, op6_url_filter, op7_decontaminate, op8_best_fit_packing, op9_line_dedup, op10_substring_dedup)}
 
 
 def queries() -> dict:

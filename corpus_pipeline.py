@@ -1,8 +1,66 @@
-"""A training corpus from `documents`, in stages that each call one operator."""
+"""A training corpus from `documents`: rank and filter, drop repeated lines, near copies and
+benchmark passages, and pack what is left into sequences.
 
-STAGES = []
+Each stage calls one operator and works on all that its predecessor kept. The stages but the last
+return the columns of documents; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadaster.llm import decontaminate, jaccard_join, line_dedup, packing, quality_bt
+from cadaster.llm.queries import read
+from cadaster.llm.shared import held_out, saved
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose Bradley-Terry score reaches the cut; fitted on labelled ones among them."""
+    model = quality_bt.fit(docs, read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
+    scored = quality_bt.score(docs.withColumnRenamed("score", "__score"), model)
+    return scored.where(F.col("score") >= quality_bt.CUT).drop("score").toDF(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated lines; those of which no line is left go."""
+    cut = line_dedup.dedup(docs)
+    left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    others = jaccard_join.link(docs).where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(saved(others, "copies"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages do not contaminate."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark),
+    ("best-fit packing", pack),
+]
+
+#: A fitted classifier decides the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
