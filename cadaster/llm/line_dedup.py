@@ -190,38 +190,46 @@ def dedup(docs: DataFrame) -> DataFrame:
     cut = spark.sparkContext.broadcast(bytes(bitmap(gone, slot(F.col("doc_id"), DOC_BITS), DOC_BITS)))
 
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__slot", "__gone")]
-    at = keep.index("text")
     placed = docs.select(*keep, F.coalesce(slot(F.col("doc_id").cast("long"), DOC_BITS), F.lit(-1)).alias("__slot"))
+    same = docs.select(*keep).schema
     out = docs.select(*keep).withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
+    at = keep.index("text")
 
-    def only(hit: bool):
-        def pick(batches):
-            table = np.frombuffer(cut.value, dtype=np.uint8)
-            for b in batches:
-                where = b.column(len(keep)).to_numpy()
-                b = b.filter(pa.array((tests_bit(table, np.maximum(where, 0)) & (where >= 0)) == hit))
-                for i in range(0, b.num_rows, 512):
-                    yield b.slice(i, 512)
+    def parts(batch, hit: bool):
+        place = batch.column(len(keep)).to_numpy()
+        inside = tests_bit(np.frombuffer(cut.value, dtype=np.uint8), np.maximum(place, 0)) & (place >= 0)
+        batch = batch.filter(pa.array(inside == hit))
+        return (batch.slice(i, 256) for i in range(0, batch.num_rows, 256))
+
+    def rewritten(part, gone):
+        found = []
+        for text, drop in zip(part.column(at).to_pylist(), gone, strict=True):
+            lines, drop = (text or "").split("\n"), set(drop or ())
+            words = sum(1 for x in lines if x.strip(" \t\n\x0b\x0c\r"))
+            found.append(("\n".join([x for j, x in enumerate(lines) if j not in drop]) if drop else text, words, len(drop)))
+        text, n, removed = zip(*found, strict=True)
+        columns = list(part.columns[: len(keep)])
+        columns[at] = pa.array(text, type=part.column(at).type)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "n_lines", "n_removed"])
+
+    def untouched(batches):
+        for b in batches:
+            for part in parts(b, False):
+                yield rewritten(part, [None] * part.num_rows)
 
-        return placed.mapInArrow(pick, placed.schema)
+    def touched(batches):
+        for b in batches:
+            for part in parts(b, True):
+                yield part.select(range(len(keep)))
 
     def rewrite(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part, found = b.slice(i, 512), []
-                gone = part.column(len(keep)).to_pylist() if part.num_columns > len(keep) else [None] * part.num_rows
-                for text, drop in zip(part.column(at).to_pylist(), gone, strict=True):
-                    lines, drop = (text or "").split("\n"), set(drop or ())
-                    words = sum(1 for x in lines if x.strip(" \t\n\x0b\x0c\r"))
-                    found.append((text if text is None or not drop else "\n".join([x for j, x in enumerate(lines) if j not in drop]), words, len(drop)))
-                text, n, removed = zip(*found, strict=True)
-                columns = list(part.columns[: len(keep)])
-                columns[at] = pa.array(text, type=part.column(at).type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "n_lines", "n_removed"])
-
-    whole = only(False).select(*keep).mapInArrow(rewrite, out)
-    joined = only(True).join(gone.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left")
-    return whole.unionByName(joined.select(*keep, "__gone").mapInArrow(rewrite, out))
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield rewritten(part, part.column(len(keep)).to_pylist())
+
+    joined = placed.mapInArrow(touched, same).join(gone.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left")
+    return placed.mapInArrow(untouched, out).unionByName(joined.select(*keep, "__gone").mapInArrow(rewrite, out))
 
 
 def digest(deduped: DataFrame) -> DataFrame:
