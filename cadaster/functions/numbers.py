@@ -15,17 +15,84 @@ def french(value: Column) -> Column:
     return F.when(whole, plain).otherwise(F.regexp_replace(text, "0$", ""))
 
 
+SPACES = "[\\s\u00a0\u202f]"
+
+
 def amount(text: Column) -> Column:
-    """A number as people type it: spaces, euro and percent signs, comma or point decimals, (1) for -1."""
-    t = F.regexp_replace(F.trim(text), "[\\s\\u00a0\\u202f€%]", "")
-    negative = F.rlike(t, F.lit(r"^\\(.*\\)$"))
-    t = F.regexp_replace(t, r"[()]", "")
-    # the last of comma and point is the decimal mark if both occur; a lone comma is one too
+    """A report's number: spaces, euro and percent signs, a comma for the point."""
+    return F.translate(F.regexp_replace(text, "[\\s\u00a0\u202f€%]", ""), ",", ".").try_cast("double")
+
+
+def plain_amount(text: Column) -> Column:
+    """A number with spaces but no comma decimals."""
+    return F.regexp_replace(text, SPACES, "").try_cast("double")
+
+
+def signed_amount(text: Column) -> Column:
+    """A statement's number, in brackets if negative; null for what is no number."""
+    t = F.regexp_replace(F.regexp_replace(text, SPACES, ""), "[€$£%]", "")
+    n = F.translate(F.regexp_replace(t, "[()]", ""), ",", ".").try_cast("double")
+    return F.when(F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")")), -n).otherwise(n)
+
+
+def priced(text: Column) -> Column:
+    """A price in a text: the later of comma and point is the decimal mark; one alone is, if two digits at most follow."""
+    t = F.regexp_replace(F.regexp_extract(text, r"\d[\d\s.,]*", 0), r"[^\d.,]", "")
     both = F.contains(t, F.lit(",")) & F.contains(t, F.lit("."))
-    comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))
-    t = F.when(both & comma_last, F.translate(F.translate(t, ".", ""), ",", ".")).when(both, F.translate(t, ",", "")).otherwise(F.translate(t, ",", "."))
-    n = t.try_cast("double")
-    return F.when(negative, -n).otherwise(n)
+    comma_last = F.rlike(t, F.lit(r",[^.]*$"))
+    one = lambda mark: F.rlike(t, F.lit(rf"^[^{mark}]*[{mark}]\d{{0,2}}$"))
+    clean = (
+        F.when(both & comma_last, F.translate(F.regexp_replace(t, r"\.", ""), ",", "."))
+        .when(both, F.regexp_replace(t, ",", ""))
+        .when(F.contains(t, F.lit(",")), F.when(one(","), F.translate(t, ",", ".")).otherwise(F.regexp_replace(t, ",", "")))
+        .when(F.contains(t, F.lit(".")), F.when(one("."), t).otherwise(F.regexp_replace(t, r"\.", "")))
+        .otherwise(t)
+    )
+    return clean.try_cast("double")
+
+
+def spaced(value: Column) -> Column:
+    """Spaces between thousands, two digits at most, trailing noughts trimmed."""
+    text = F.regexp_replace(F.format_number(value, 2), r"\.?0+$", "")
+    return F.translate(text, ",", " ")
+
+
+def day(text: Column) -> Column:
+    """An ISO or d/m/y date at the start of a text."""
+    head = F.substring(text, 1, 10)
+    return F.to_date(F.coalesce(F.try_to_timestamp(F.when(F.rlike(head, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}$")), head), F.lit("yyyy-M-d")), F.try_to_timestamp(F.when(F.rlike(head, F.lit(r"^\d{1,2}/\d{1,2}/\d{4}$")), head), F.lit("d/M/yyyy"))))
+
+
+def days_in(text: Column) -> Column:
+    """All dd/mm/yy or dd-mm-yyyy dates of a text, two-digit years from 70 on being of the last century."""
+    found = F.regexp_extract_all(text, F.lit(r"\b(\d{2}[/-]\d{2}[/-]\d{2,4})\b"), 1)
+
+    def one(d):
+        parts = F.split(d, "[/-]")
+        y = F.get(parts, 2).cast("int")
+        year = F.when(y < 70, y + 2000).when(y < 100, y + 1900).otherwise(y)
+        return F.to_date(F.try_to_timestamp(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.get(parts, 1), F.get(parts, 0)), F.lit("yyyy-MM-dd")))
+
+    return F.array_compact(F.transform(found, one))
+
+
+def birth(text: Column) -> Column:
+    """(day, month) of a birth date given as a day or only a month, ISO or French."""
+    t = F.trim(text)
+    iso = F.regexp_replace(F.regexp_replace(t, r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$2-$1"), r"^(\d{2})/(\d{4})$", "$2-$1")
+    full = F.rlike(iso, F.lit(r"^\d{4}-\d{2}-\d{2}$"))
+    return F.struct(F.when(full, iso).alias("day"), F.when(full | F.rlike(iso, F.lit(r"^\d{4}-\d{2}$")), F.substring(iso, 1, 7)).alias("month"))
+
+
+def latest_year(name: Column, path: Column) -> Column:
+    """The largest year in a file's name, else in its path."""
+    years = lambda t: F.array_max(F.transform(F.regexp_extract_all(t, F.lit(r"\b(19\d{2}|20\d{2}|21\d{2})\b"), 1), lambda y: y.cast("int")))
+    return F.coalesce(years(name), years(path))
+
+
+def suspicious(value: Column) -> Column:
+    """Ten digits or more before the point."""
+    return F.coalesce(F.abs(value) >= 1_000_000_000, F.lit(False))
 
 
 def half_up(value: Column, digits: int = 2) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("comparables",)
+AREAS = ("comparables", "scalars")
 
 
 def all_queries() -> dict:
