@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("comparables", "scalars")
+AREAS = ("comparables", "scalars", "quotes", "corpus")
 
 
 def all_queries() -> dict:
