@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from cadaster.llm import chat_format, decontaminate, jaccard_join, line_crf, line_dedup, packing, quality_bt, substring_dedup, toxicity_ftrl, url_filter
 from cadaster.llm.oracles import ORACLES
-from cadaster.llm.shared import held_out
+from cadaster.llm.shared import held_out, small_batches
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     # Python workers import this package too, from wherever the driver runs
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -20,6 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of bounded size: a few MB, whatever the texts' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadaster.llm.shared import bitmap, map_texts, saved, slot, tests_bit
+from cadaster.llm.shared import bitmap, saved, slot, tests_bit
 from cadaster.llm.text import SPACED, spans, window_hashes, word_hashes
 
 WINDOW, ANCHOR = 50, 12
@@ -134,7 +134,7 @@ def estimated_repeated(docs: DataFrame, repeated: list[bytes], bits: int, window
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the words left, joined by one space) of every document."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col(text).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size * 16 // (6 * (window - anchor))).bit_length()))
     windows = saved(estimated_repeated(docs, sketch(docs, bits, window, anchor), bits, window, anchor), "windows")
@@ -142,41 +142,59 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str
     found = windows.join(first, ["key", "check"]).where(F.col("doc_id") > F.col("first"))
     hits = saved(found.groupBy("doc_id").agg(F.collect_list("at").alias("hits")), "hits")
     known = spark.sparkContext.broadcast(bytes(bitmap(hits, slot(F.col("doc_id"), DOC_BITS), DOC_BITS)))
-    placed = docs.withColumn("slot", slot(F.col("doc_id"), DOC_BITS))
+    placed = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(slot(F.col("doc_id"), DOC_BITS), F.lit(-1)).alias("slot"))
+    hit = placed.mapInArrow(_with_hits(known), "doc_id long, text binary").join(hits, "doc_id", "left")
+    out = "doc_id long, n_words bigint, n_removed bigint, kept_text string"
+    return placed.mapInArrow(_whole(known), out).unionByName(hit.mapInArrow(_cut(window), out))
 
-    def only(hit: bool):
-        def pick(batches):
-            import pyarrow as pa
 
-            table = np.frombuffer(known.value, dtype=np.uint8)
-            for b in batches:
-                b = b.filter(pa.array(tests_bit(table, b.column(2).to_numpy()) == hit))
-                for at in range(0, b.num_rows, 512):
-                    yield b.slice(at, 512)
+def _parts(batch, known, hit: bool, rows: int = 256):
+    """Slices of a batch's rows whose document is in the bitmap, or is not."""
+    import pyarrow as pa
 
-        return placed.mapInArrow(pick, placed.schema).drop("slot")
+    place = batch.column(2).to_numpy()
+    inside = tests_bit(np.frombuffer(known.value, dtype=np.uint8), np.maximum(place, 0)) & (place >= 0)
+    batch = batch.filter(pa.array(inside == hit))
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
-    def whole():
-        def one(raw):
-            words = (raw or b"").split()
-            return len(words), 0, b" ".join(words).decode("utf-8", "replace")
 
-        return one
+def _with_hits(known):
+    def run(batches):
+        for b in batches:
+            for part in _parts(b, known, True):
+                yield part.select([0, 1])
 
-    fields = "n_words bigint, n_removed bigint, kept_text string"
-    untouched = map_texts(only(False), ["doc_id"], fields, whole)
-    joined = only(True).join(hits, "doc_id", "left")
-    return untouched.unionByName(_cut(joined, window))
+    return run
 
 
-def _cut(joined: DataFrame, window: int) -> DataFrame:
-    """doc_id, text, hits (starts of windows to remove) to the words left."""
+def _joined(words: list[bytes]) -> str:
+    return b" ".join(words).decode("utf-8", "replace")
+
+
+def _result(part, found):
     import pyarrow as pa
 
+    n, removed, text = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+
+
+def _whole(known):
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part, out = b.slice(at, 512), []
+            for part in _parts(b, known, False):
+                words = [(raw or b"").split() for raw in part.column(1).to_pylist()]
+                yield _result(part, [(len(w), 0, _joined(w)) for w in words])
+
+    return run
+
+
+def _cut(window: int):
+    """doc_id, text, hits (starts of windows to remove) to the words left."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part, out = b.slice(at, 256), []
                 for raw, hits in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     words = (raw or b"").split()
                     starts = np.unique(np.array(hits or [], dtype=np.int64))
@@ -185,12 +203,10 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
                     cover[starts] += 1
                     cover[starts + window] -= 1
                     kept = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
-                    out.append((len(words), len(words) - len(kept), b" ".join([words[i] for i in kept]).decode("utf-8", "replace")))
-                n, removed, text = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+                    out.append((len(words), len(words) - len(kept), _joined([words[i] for i in kept])))
+                yield _result(part, out)
 
-    rows = joined.select("doc_id", F.col("text").cast("binary").alias("text"), "hits")
-    return rows.mapInArrow(run, "doc_id long, n_words bigint, n_removed bigint, kept_text string")
+    return run
 
 
 def digest(deduped: DataFrame) -> DataFrame:
