@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("comparables", "scalars", "quotes", "corpus")
+AREAS = ("comparables", "scalars", "quotes", "corpus", "accounts")
 
 
 def all_queries() -> dict:
