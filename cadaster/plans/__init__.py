@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("comparables", "scalars", "quotes", "corpus", "accounts")
+AREAS = ("comparables", "scalars", "quotes", "corpus", "accounts", "companies")
 
 
 def all_queries() -> dict:
