@@ -5,9 +5,11 @@ A line is its words, A-Z lower-cased; the edit unit is the word. A line goes if
 word inserted, deleted or replaced). The earliest stays.
 
 1. Equal lines become one distinct line, the earliest, by a grouped minimum over 96 bits of hash.
-2. Lines one edit apart agree in their first or in their last half, so only distinct lines that share
-   a half with another line can have a neighbour. All others are ruled out by counting halves.
-3. The lines left emit themselves and all their one-word deletions as hashed keys. Replaced words
+2. Lines one edit apart agree in their first or in their last words, up to half of them, so only lines
+   that share such an end with another line can have a neighbour. Ends are counted, and those that
+   two lines share are sent around as a bitmap of bounded size, which can let more lines through but
+   holds none back.
+3. Those of the lines left that are the earliest of their kind emit themselves and all their one-word deletions as hashed keys. Replaced words
    meet in a key with equal place, inserted and deleted ones in a key of the shorter line itself. A
    group needs its earliest line only: in it all lines are one edit apart, so no pairs are listed.
 4. Each line and its earliest neighbour are compared word by word, and texts are cut.
@@ -20,6 +22,8 @@ other columns pass through untouched; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,21 +32,59 @@ from cadaster.llm.shared import bitmap, saved, slot, tests_bit
 from cadaster.llm.text import LOWER, SPACED, _power, mix, spans, word_hashes
 
 MIN_WORDS = 8
-LINE_BITS = DOC_BITS = 26
+DOC_BITS = 26
 KINDS = ("word", "check")
 
 
-def lines_of(raw: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """(numbers of the lines that have a word, their first words, words after their last, prefix sums of word hashes)."""
-    a, starts, ends = spans((raw or b"").translate(LOWER), SPACED)
+#: How many words of an end are compared, by the half of a line's length: the largest of these up to it.
+ENDS = np.array([3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 40, 48, 64, 80, 96, 128, 160, 192, 256])
+#: Texts are hashed together up to so many bytes; a longer one by itself.
+TOGETHER = 1 << 18
+LEAST_BITS, MOST_BITS = 16, 30
+
+
+def together(docs: list, raws: list) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
+    """(doc_ids, their texts a line apart, the first line of each) of texts in groups of TOGETHER bytes."""
+    held, size = [], 0
+    for doc, raw in zip(docs, raws, strict=True):
+        raw = raw or b""
+        if held and size + len(raw) > TOGETHER:
+            yield _joined(held)
+            held, size = [], 0
+        held.append((doc, raw))
+        size += len(raw) + 1
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list) -> tuple[np.ndarray, bytes, np.ndarray]:
+    lines = np.array([raw.count(b"\n") + 1 for _, raw in held])
+    return np.array([doc for doc, _ in held]), b"\n".join([raw for _, raw in held]).translate(LOWER), np.cumsum(lines) - lines
+
+
+def lines_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(numbers of the lines that have a word, their first words, words after their last, prefix sums of word hashes) of a text in lower case."""
+    a, starts, ends = spans(raw, SPACED)
     words = word_hashes(a, starts, ends)
     of = np.searchsorted(np.flatnonzero(a == 10), starts)  # the line of each word
-    numbers, first = np.unique(of, return_index=True)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
     sums = {}
     for kind in KINDS:
         sums[kind] = np.zeros(len(words) + 1, dtype=np.uint64)
         np.cumsum(words * _power(kind, len(words) + 1)[0][:-1], out=sums[kind][1:])
-    return numbers, first, np.append(first[1:], len(words)).astype(np.int64), sums
+    return of[first], first, np.append(first[1:], len(words)).astype(np.int64), sums
+
+
+def ends_of(sums: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the ends that a line shares with any line one edit away; lines have MIN_WORDS words at least."""
+    n = end - start
+    long, short = (ENDS[np.searchsorted(ENDS, half, side="right") - 1] for half in (n // 2, (n - 1) // 2))
+    out = []
+    for p, which in ((long, np.arange(len(n))), (short[short != long], np.flatnonzero(short != long))):
+        length = mix(p.astype(np.uint64))
+        out.append((which, run_hash(sums, "word", start[which], start[which] + p) + length))
+        out.append((which, (run_hash(sums, "word", end[which] - p, end[which]) + length) ^ np.uint64(1 << 40)))
+    return np.concatenate([w for w, _ in out]), np.concatenate([k for _, k in out])
 
 
 def run_hash(sums: dict[str, np.ndarray], kind: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -65,66 +107,73 @@ def check_bits(x: np.ndarray) -> np.ndarray:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, h, h2 of every line that has a word, and the keys of its halves."""
+    """doc_id, line, h, h2 of every line that has a word, and the keys of its ends."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part, out, keys, many = b.slice(at, 512), [], [], [np.zeros(1, dtype=np.int64)]
-                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    numbers, start, end, sums = lines_of(raw)
-                    if not len(numbers):
-                        continue
-                    n = end - start
-                    halves = []
-                    for p in (n // 2, (n - 1) // 2):
-                        length = mix(p.astype(np.uint64))
-                        halves += [run_hash(sums, "word", start, start + p) + length, (run_hash(sums, "word", end - p, end) + length) ^ np.uint64(1 << 40)]
-                    wanted = np.stack([n >= MIN_WORDS, n >= MIN_WORDS, (n >= MIN_WORDS) & (n % 2 == 0), (n >= MIN_WORDS) & (n % 2 == 0)], axis=1)
-                    keys.append(np.stack(halves, axis=1)[wanted])
-                    many.append(wanted.sum(axis=1))
-                    out.append((np.full(len(n), doc), numbers.astype(np.int32), run_hash(sums, "word", start, end).view(np.int64), check_bits(run_hash(sums, "check", start, end))))
-                if out:
-                    halves = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(many)), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), halves], names=["doc_id", "line", "h", "h2", "halves"])
-
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, line int, h long, h2 int, halves array<bigint>")
-
-
-def _place(h, doc, bits: int = LINE_BITS):
-    return h.bitwiseXOR(doc).bitwiseAND(F.lit((1 << bits) - 1))
-
-
-def _neighbourhoods(docs: DataFrame, wanted: bytes) -> DataFrame:
-    """v, v2, at, doc_id, line, words: of each wanted line itself (at = -1, with its words) and of its one-word deletions."""
+            for docs_, raw, first in together(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                numbers, start, end, sums = lines_of(raw)
+                if not len(numbers):
+                    continue
+                of = np.searchsorted(first, numbers, side="right") - 1
+                able = np.flatnonzero(end - start >= MIN_WORDS)
+                which, keys = ends_of(sums, start[able], end[able])
+                which = able[which]
+                order = np.argsort(which, kind="stable")
+                at = np.zeros(len(numbers) + 1, dtype=np.int32)
+                np.cumsum(np.bincount(which, minlength=len(numbers)), out=at[1:])
+                ends = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[order].view(np.int64)))
+                h, h2 = run_hash(sums, "word", start, end).view(np.int64), check_bits(run_hash(sums, "check", start, end))
+                yield pa.RecordBatch.from_arrays([pa.array(docs_[of]), pa.array((numbers - first[of]).astype(np.int32)), pa.array(h), pa.array(h2), ends], names=["doc_id", "line", "h", "h2", "ends"])
+
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, line int, h long, h2 int, ends array<bigint>")
+
+
+def _bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+
+
+def _low(value, bits: int):
+    return value.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _neighbourhoods(docs: DataFrame, firsts: tuple[bytes, int], shared: tuple[bytes, int]) -> DataFrame:
+    """v, v2, at, doc_id, line, words: of each earliest line with a shared end, itself (at = -1, with its words) and its one-word deletions.
+
+    firsts, shared: bitmaps and their bits, of the earliest lines (hash and doc_id) and of shared ends.
+    """
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    sent, bits = docs.sparkSession.sparkContext.broadcast((firsts[0], shared[0])), (firsts[1], shared[1])
 
     def run(batches):
-        table = np.frombuffer(sent.value, dtype=np.uint8)
+        first_table, end_table = (np.frombuffer(x, dtype=np.uint8) for x in sent.value)
+        first_mask, end_mask = (np.int64((1 << x) - 1) for x in bits)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, out = b.slice(at, 256), []
-                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    numbers, start, end, sums = lines_of(raw)
-                    h = run_hash(sums, "word", start, end).view(np.int64)
-                    known = np.flatnonzero((end - start >= MIN_WORDS) & tests_bit(table, (h ^ np.int64(doc)) & np.int64((1 << LINE_BITS) - 1)))
-                    if not len(known):
-                        continue
-                    lines = raw.translate(LOWER).split(b"\n")
-                    h2 = check_bits(run_hash(sums, "check", start, end))
-                    for i in known.tolist():
-                        n = int(end[i] - start[i])
-                        v = np.append(deletions(sums, "word", start[i], end[i]).view(np.int64), h[i])
-                        v2 = np.append(check_bits(deletions(sums, "check", start[i], end[i])), h2[i])
-                        place = np.append(np.arange(n, dtype=np.int32), np.int32(-1))
-                        words = [None] * n + [b" ".join(lines[numbers[i]].split()).decode("utf-8", "replace")]
-                        out.append((v, v2, place, np.full(n + 1, doc), np.full(n + 1, numbers[i], dtype=np.int32), words))
-                if out:
-                    *columns, words = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns), pa.array([w for ws in words for w in ws], pa.string())], names=["v", "v2", "at", "doc_id", "line", "words"])
+            out = []
+            for docs_, raw, first in together(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                numbers, start, end, sums = lines_of(raw)
+                if not len(numbers):
+                    continue
+                of = np.searchsorted(first, numbers, side="right") - 1
+                h = run_hash(sums, "word", start, end).view(np.int64)
+                able = np.flatnonzero((end - start >= MIN_WORDS) & tests_bit(first_table, (h ^ docs_[of]) & first_mask))
+                which, keys = ends_of(sums, start[able], end[able])
+                known = np.unique(able[which[tests_bit(end_table, keys.view(np.int64) & end_mask)]])
+                if not len(known):
+                    continue
+                lines, h2 = raw.split(b"\n"), check_bits(run_hash(sums, "check", start, end))
+                for i in known.tolist():
+                    n = int(end[i] - start[i])
+                    v = np.append(deletions(sums, "word", start[i], end[i]).view(np.int64), h[i])
+                    v2 = np.append(check_bits(deletions(sums, "check", start[i], end[i])), h2[i])
+                    place = np.append(np.arange(n, dtype=np.int32), np.int32(-1))
+                    words = [None] * n + [b" ".join(lines[numbers[i]].split()).decode("utf-8", "replace")]
+                    out.append((v, v2, place, np.full(n + 1, docs_[of[i]]), np.full(n + 1, numbers[i] - first[of[i]], dtype=np.int32), words))
+            if out:
+                *columns, words = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns), pa.array([w for ws in words for w in ws], pa.string())], names=["v", "v2", "at", "doc_id", "line", "words"])
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "v long, v2 int, at int, doc_id long, line int, words string")
 
@@ -141,13 +190,14 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """doc_id, line of distinct lines that an earlier one is one edit away from."""
-    halves = distinct.select("h", "h2", "first", F.explode("halves").alias("half"))
-    shared = saved(halves.groupBy("half").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 < h1").select("half"), "halves")
-    left = halves.join(shared, "half", "left_semi").select("h", F.col("first.doc_id").alias("doc_id"))
-    wanted = bytes(bitmap(left, _place(F.col("h"), F.col("doc_id")), LINE_BITS))
-    keys = saved(_neighbourhoods(docs, wanted), "deletions")
+    ends = lines.select("h", F.explode("ends").alias("end"))
+    shared = saved(ends.groupBy("end").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 < h1").select("end"), "ends")
+    first_bits, end_bits = _bits(distinct.count()), _bits(shared.count())
+    firsts = bitmap(distinct, _low(F.col("h").bitwiseXOR(F.col("first.doc_id")), first_bits), first_bits)
+    shared = bitmap(shared, _low(F.col("end"), end_bits), end_bits)
+    keys = saved(_neighbourhoods(docs, (bytes(firsts), first_bits), (bytes(shared), end_bits)), "deletions")
     me = F.struct("doc_id", "line")
     places = saved(keys.groupBy("v", "v2", "at").agg(F.min(me).alias("low"), F.max(me).alias("high")), "places")
     replaced = saved(places.where("at >= 0 and low < high").select("v", "v2", "at", "low"), "replaced")
@@ -182,10 +232,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = saved(_lines(known), "lines")
     me = F.struct("doc_id", "line")
-    distinct = saved(lines.groupBy("h", "h2").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.first("halves").alias("halves")), "distinct")
+    distinct = saved(lines.groupBy("h", "h2").agg(F.min(me).alias("first"), F.max(me).alias("last")), "distinct")
     copied = saved(distinct.where("first < last").select("h", "h2", "first"), "copied")
     copies = lines.join(copied, ["h", "h2"]).where(me != F.col("first")).select("doc_id", "line")
-    gone = copies.unionByName(_near(known, distinct)).groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
+    gone = copies.unionByName(_near(known, lines, distinct)).groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
     gone = saved(gone, "gone")
     cut = spark.sparkContext.broadcast(bytes(bitmap(gone, slot(F.col("doc_id"), DOC_BITS), DOC_BITS)))
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("comparables", "scalars", "quotes", "corpus", "accounts", "companies", "answers")
+AREAS = ("comparables", "scalars", "quotes", "corpus", "accounts", "companies", "answers", "grids", "streaming")
 
 
 def all_queries() -> dict:

@@ -28,7 +28,7 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("file_type", F.lower(F.regexp_extract("source_path", r"\.([^./]+)$", 1)))
 
 
-RULE = "fields: array<struct<field_id: string, label: string, type: string, excel_sheet: string, source_dirs: array<string>, hint_keywords: array<string>>>"
+RULE = "fields array<struct<field_id: string, label: string, type: string, excel_sheet: string, source_dirs: array<string>, hint_keywords: array<string>>>"
 
 
 def rules(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +49,7 @@ def read_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-MANIFEST = "project_id: string, files: array<struct<source_path: string, file_size_bytes: string, document_id: string, token_estimate: long>>"
+MANIFEST = "project_id string, files array<struct<source_path: string, file_size_bytes: string, document_id: string, token_estimate: long>>"
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
