@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from cadaster.functions import numbers, text
@@ -106,11 +108,37 @@ def w18_newest_history(spark, sf_dir):
     return a.newest(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"]).select("event_id", "user_id", "place")
 
 
+def _folder(spark, name):
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp'}/cadaster-{name}-{uuid4().hex}"
+
+
+def src1_rule_files(spark, sf_dir):
+    """Rules of parts, a file for each size, read back; those without an id are left out."""
+    path = _folder(spark, "rules")
+    field = F.struct(F.when(F.col("p_partkey") % 9 > 0, F.concat(F.lit("f"), F.col("p_partkey"))).alias("field_id"), F.col("p_name").alias("label"), F.array("p_type").alias("hint_keywords"))
+    table(spark, sf_dir, "part").groupBy("p_size").agg(F.collect_list(field).alias("fields")).select("fields").write.option("maxRecordsPerFile", 1).json(path)
+    return inventory.rules(spark, path).select("field_id", "label", F.get("hint_keywords", 0).alias("hint"))
+
+
+def src3_whole_texts(spark, sf_dir):
+    """Texts of each source, in seven files each, read back whole."""
+    path = _folder(spark, "texts")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
+    table(spark, sf_dir, "documents").groupBy("source", F.col("doc_id") % 7).agg(joined.alias("text")).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return inventory.whole_texts(spark, path).groupBy("file_type").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
+
+
+def src5_manifests(spark, sf_dir):
+    """A manifest for each project, written and read back by cache key."""
+    path = _folder(spark, "manifests")
+    entry = F.struct(F.when(F.col("doc_id") % 13 > 0, F.col("source_path")).alias("source_path"), F.when(F.col("doc_id") % 17 > 0, F.col("file_size_bytes").cast("string")).otherwise("?").alias("file_size_bytes"))
+    files(spark, sf_dir).groupBy("project_id").agg(F.collect_list(entry).alias("files")).write.option("maxRecordsPerFile", 1).json(path)
+    return inventory.manifest(spark, path).select("project_id", "cache_key")
+
+
 def src4_src9_chunk_files(spark, sf_dir):
     """Chunk rows written as JSON lines by project and read back."""
-    from uuid import uuid4
-
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp'}/cadaster-chunks-{uuid4().hex}"
+    path = _folder(spark, "chunks")
     chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("project_id"), F.col("doc_id").alias("document_id"), "text")
     inventory.write_chunks(chunks, path)
     return inventory.read_chunks(spark, path, "document_id long, text string, project_id string").groupBy("project_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
@@ -126,7 +154,7 @@ def src7_transaction_features(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     p1_scope, j1_matched_rules, p2_prefilter, p3_excluded, p4_resolved_dirs, p11_p12_tabs_and_scope, p13_field_statuses, w4_first_answers, w5_entity_index, a12_extraction_summary, j13_filled_answers, j14_project_location,
-    p14_operation_view, a28_export_status, j21_selected_files, w18_newest_history, src4_src9_chunk_files, src7_transaction_features,
+    p14_operation_view, a28_export_status, j21_selected_files, w18_newest_history, src1_rule_files, src3_whole_texts, src5_manifests, src4_src9_chunk_files, src7_transaction_features,
 )}
 
 _ANSWERS = """
@@ -172,6 +200,9 @@ SQL = {
       c AS (SELECT company, min(source_path) AS chosen FROM f WHERE doc_id % 37 = 0 AND doc_id % 2 = 0 GROUP BY 1), d AS (SELECT company, source_path AS dflt FROM f QUALIFY row_number() OVER (PARTITION BY company ORDER BY year DESC, source_path) = 1)
       SELECT company, coalesce(chosen, dflt) AS source_path, chosen IS NOT NULL AS is_chosen FROM d LEFT JOIN c USING (company)""",
     "w18_newest_history": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS place FROM events QUALIFY place <= 25",
+    "src1_rule_files": "SELECT 'f' || p_partkey AS field_id, p_name AS label, p_type AS hint FROM part WHERE p_partkey % 9 > 0",
+    "src3_whole_texts": "SELECT 'txt' AS file_type, count(DISTINCT source || (doc_id % 7)) AS files, sum(length(text) + 1)::BIGINT AS chars FROM documents",
+    "src5_manifests": f"WITH {FILES} SELECT project_id, source_path || '::' || file_size_bytes AS cache_key FROM fi WHERE doc_id % 13 > 0 AND doc_id % 17 > 0",
     "src4_src9_chunk_files": "SELECT source AS project_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1",
     "src7_transaction_features": "SELECT o_orderstatus AS mutation, sum(CASE WHEN o_orderkey % 3 = 1 THEN 2 ELSE 1 END)::BIGINT AS n, sum(floor(o_totalprice)::BIGINT * CASE WHEN o_orderkey % 3 = 1 THEN 2 ELSE 1 END)::BIGINT AS value FROM orders GROUP BY 1",
 }
