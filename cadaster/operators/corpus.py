@@ -11,6 +11,8 @@ from cadaster.functions import text
 HEADER, BOLD = r"^(#{1,6})\s+(.*)", r"^\*\*(.+?)\*\*\s*(.*)"
 TITLE_WORDS = r"ARTICLE|SECTION|CHAPITRE|PARTIE|ANNEXE|TITRE"
 MIN_CHARS = 50
+DROPPED_TAGS = ["script", "style", "header", "footer", "nav", "noscript", "iframe"]
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def title_of(line: Column) -> Column:
@@ -111,8 +113,9 @@ def page_text(html: Column) -> Column:
     """The text of a web page: no scripts, styles and frames; TeX and image captions kept; lines trimmed, blank ones dropped."""
     t = F.regexp_replace(html, r"(?is)<script[^>]*math/tex[^>]*>(.*?)</script>", r" \$ $1 \$ ")
     t = F.regexp_replace(t, r"(?is)<img[^>]*\balt=[\"']([^\"']+)[\"'][^>]*>", " [IMAGE: $1] ")
-    t = F.regexp_replace(t, r"(?is)<(script|style|header|footer|nav|noscript|iframe)\b.*?</\1\s*>", "")
+    for tag in DROPPED_TAGS:
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
     t = F.regexp_replace(t, r"(?is)<!--.*?-->|<[^>]*>", "\n")
-    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for code, char in ENTITIES:
         t = F.replace(t, F.lit(code), F.lit(char))
     return F.array_join(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")

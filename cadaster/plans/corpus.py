@@ -154,10 +154,22 @@ def _prints(t: str) -> str:
     return f"SELECT project_id, {mark(_PEOPLE)} AS people, {mark(_MONEY)} AS financial, count(*) FILTER ({_PEOPLE}) AS people_inputs, count(*) FILTER ({_MONEY}) AS financial_inputs FROM {t} GROUP BY 1"
 
 
+def _page_text() -> str:
+    t = "regexp_replace(html, '(?is)<script[^>]*math/tex[^>]*>(.*?)</script>', ' $ \\1 $ ', 'g')"
+    t = f"regexp_replace({t}, '(?is)<img[^>]*\\balt=[\"'']([^\"'']+)[\"''][^>]*>', ' [IMAGE: \\1] ', 'g')"
+    for tag in c.DROPPED_TAGS:
+        t = f"regexp_replace({t}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
+    t = f"regexp_replace({t}, '(?is)<!--.*?-->|<[^>]*>', chr(10), 'g')"
+    for code, char in c.ENTITIES:
+        t = f"replace({t}, '{code}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"array_to_string([x for x in [trim(x) for x in string_split({t}, chr(10))] if x <> ''], chr(10))"
+
+
 _PEOPLE, _MONEY = "source_path LIKE '%3. RH/%'", "lower(source_path) LIKE '%bilan%'"
 
 SQL = {
     "src2_file_inventory": f"WITH {FILES} SELECT project_id, file_type, count(*) AS n, sum(file_size_bytes)::BIGINT AS bytes FROM fi WHERE file_type <> 'zip' AND doc_id % 6 <> 3 GROUP BY ALL",
+    "src10_html_text": f"WITH t AS (SELECT page_id, {_page_text()} AS text FROM pages) SELECT page_id, length(text)::INT AS chars, sha256(text) AS sha FROM t",
     "w6_sections": f"WITH {_SECTIONS} SELECT document_id, section, title, sha256(text) AS sha FROM sc",
     "w7_oversize_sections": f"WITH {_PARTS} SELECT document_id, count(*) AS parts, count(*) FILTER (cut) AS cut, sum(length(text))::BIGINT AS chars, max(title) AS last FROM pt GROUP BY 1",
     "w8_chunks": f"WITH {_CHUNKS} SELECT document_id || '_' || lpad(idx::VARCHAR, 4, '0') AS parent_id, document_id, CASE WHEN cut THEN 'section_split' ELSE 'section' END AS section_type, title, char_count, token_estimate FROM ch",
