@@ -5,10 +5,10 @@ A line is its words, A-Z lower-cased; the edit unit is the word. A line goes if
 word inserted, deleted or replaced). The earliest stays.
 
 1. Equal lines become one distinct line, the earliest, by a grouped minimum over 96 bits of hash.
-2. Lines one edit apart agree in their first or in their last words, up to half of them, so only lines
-   that share such an end with another line can have a neighbour. Ends are counted, and those that
-   two lines share are sent around as a bitmap of bounded size, which can let more lines through but
-   holds none back.
+2. Of the thirds of a line an edit leaves two as they are, so only lines that share two thirds with
+   another line can have a neighbour. The pairs of thirds are counted, and those that two lines share
+   are sent around as a Bloom filter of bounded size, which can let more lines through but holds none
+   back.
 3. Those of the lines left that are the earliest of their kind emit themselves and all their one-word deletions as hashed keys. Replaced words
    meet in a key with equal place, inserted and deleted ones in a key of the shorter line itself. A
    group needs its earliest line only: in it all lines are one edit apart, so no pairs are listed.
@@ -36,8 +36,8 @@ DOC_BITS = 26
 KINDS = ("word", "check")
 
 
-#: How many words of an end are compared, by the half of a line's length: the largest of these up to it.
-ENDS = np.array([3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 40, 48, 64, 80, 96, 128, 160, 192, 256])
+#: Lengths that lines are taken for when their thirds are compared: the largest of these up to their own.
+LENGTHS = np.array([7, 8, 9, 10, 11, 12, 14, 16, 18, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 128, 160, 192, 256, 384, 512])
 #: Texts are hashed together up to so many bytes; a longer one by itself.
 TOGETHER = 1 << 18
 LEAST_BITS, MOST_BITS = 16, 30
@@ -75,15 +75,21 @@ def lines_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str,
     return of[first], first, np.append(first[1:], len(words)).astype(np.int64), sums
 
 
-def ends_of(sums: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the ends that a line shares with any line one edit away; lines have MIN_WORDS words at least."""
-    n = end - start
-    long, short = (ENDS[np.searchsorted(ENDS, half, side="right") - 1] for half in (n // 2, (n - 1) // 2))
-    out = []
-    for p, which in ((long, np.arange(len(n))), (short[short != long], np.flatnonzero(short != long))):
-        length = mix(p.astype(np.uint64))
-        out.append((which, run_hash(sums, "word", start[which], start[which] + p) + length))
-        out.append((which, (run_hash(sums, "word", end[which] - p, end[which]) + length) ^ np.uint64(1 << 40)))
+def thirds_of(sums: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the pairs of thirds of lines of MIN_WORDS words at least.
+
+    Two lines one edit apart share a key. Let the shorter have n words, n be taken for l <= n, and b
+    be a third of l, rounded up. An edit at word l - b or later leaves the first l - b words alike, one
+    before word b the last l - b, and one between them the first b and the last b.
+    """
+    n, out = end - start, []
+    long, short = (LENGTHS[np.searchsorted(LENGTHS, x, side="right") - 1] for x in (n, n - 1))  # the other line may be shorter by a word
+    for l, which in ((long, np.arange(len(n))), (short[short != long], np.flatnonzero(short != long))):
+        a, e, b = start[which], end[which], (l + 2) // 3
+        size = mix(l.astype(np.uint64))
+        first, last = run_hash(sums, "word", a, a + b), run_hash(sums, "word", e - b, e)
+        for kind, key in enumerate((run_hash(sums, "word", a, a + l - b), run_hash(sums, "word", e - l + b, e), mix(first) + last)):
+            out.append((which, mix(key + size + np.uint64(kind))))
     return np.concatenate([w for w, _ in out]), np.concatenate([k for _, k in out])
 
 
@@ -107,7 +113,7 @@ def check_bits(x: np.ndarray) -> np.ndarray:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, h, h2 of every line that has a word, and the keys of its ends."""
+    """doc_id, line, h, h2 of every line that has a word, and the keys of its thirds."""
     import pyarrow as pa
 
     def run(batches):
@@ -118,38 +124,47 @@ def _lines(docs: DataFrame) -> DataFrame:
                     continue
                 of = np.searchsorted(first, numbers, side="right") - 1
                 able = np.flatnonzero(end - start >= MIN_WORDS)
-                which, keys = ends_of(sums, start[able], end[able])
+                which, keys = thirds_of(sums, start[able], end[able])
                 which = able[which]
                 order = np.argsort(which, kind="stable")
                 at = np.zeros(len(numbers) + 1, dtype=np.int32)
                 np.cumsum(np.bincount(which, minlength=len(numbers)), out=at[1:])
-                ends = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[order].view(np.int64)))
+                thirds = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[order].view(np.int64)))
                 h, h2 = run_hash(sums, "word", start, end).view(np.int64), check_bits(run_hash(sums, "check", start, end))
-                yield pa.RecordBatch.from_arrays([pa.array(docs_[of]), pa.array((numbers - first[of]).astype(np.int32)), pa.array(h), pa.array(h2), ends], names=["doc_id", "line", "h", "h2", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs_[of]), pa.array((numbers - first[of]).astype(np.int32)), pa.array(h), pa.array(h2), thirds], names=["doc_id", "line", "h", "h2", "thirds"])
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, line int, h long, h2 int, ends array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, line int, h long, h2 int, thirds array<bigint>")
 
 
 def _bits(n: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
 
 
-def _low(value, bits: int):
-    return value.bitwiseAND(F.lit((1 << bits) - 1))
+#: A value's places in a Bloom filter are its low bits after these shifts.
+SHIFTS = (0, 17, 34)
+
+
+def _bloom(df: DataFrame, value, bits: int) -> bytes:
+    places = F.explode(F.array(*(F.shiftrightunsigned(value, s).bitwiseAND(F.lit((1 << bits) - 1)) for s in SHIFTS)))
+    return bytes(bitmap(df.select(places.alias("place")), F.col("place"), bits))
+
+
+def _in_bloom(table: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    mask, values = np.uint64((1 << bits) - 1), values.view(np.uint64)
+    return np.logical_and.reduce([tests_bit(table, ((values >> np.uint64(s)) & mask).astype(np.int64)) for s in SHIFTS])
 
 
 def _neighbourhoods(docs: DataFrame, firsts: tuple[bytes, int], shared: tuple[bytes, int]) -> DataFrame:
-    """v, v2, at, doc_id, line, words: of each earliest line with a shared end, itself (at = -1, with its words) and its one-word deletions.
+    """v, v2, at, doc_id, line, words: of each earliest line with shared thirds, itself (at = -1, with its words) and its one-word deletions.
 
-    firsts, shared: bitmaps and their bits, of the earliest lines (hash and doc_id) and of shared ends.
+    firsts, shared: Bloom filters and their bits, of the earliest lines (hash and doc_id) and of shared thirds.
     """
     import pyarrow as pa
 
     sent, bits = docs.sparkSession.sparkContext.broadcast((firsts[0], shared[0])), (firsts[1], shared[1])
 
     def run(batches):
-        first_table, end_table = (np.frombuffer(x, dtype=np.uint8) for x in sent.value)
-        first_mask, end_mask = (np.int64((1 << x) - 1) for x in bits)
+        first_table, shared_table = (np.frombuffer(x, dtype=np.uint8) for x in sent.value)
         for b in batches:
             out = []
             for docs_, raw, first in together(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -158,9 +173,9 @@ def _neighbourhoods(docs: DataFrame, firsts: tuple[bytes, int], shared: tuple[by
                     continue
                 of = np.searchsorted(first, numbers, side="right") - 1
                 h = run_hash(sums, "word", start, end).view(np.int64)
-                able = np.flatnonzero((end - start >= MIN_WORDS) & tests_bit(first_table, (h ^ docs_[of]) & first_mask))
-                which, keys = ends_of(sums, start[able], end[able])
-                known = np.unique(able[which[tests_bit(end_table, keys.view(np.int64) & end_mask)]])
+                able = np.flatnonzero((end - start >= MIN_WORDS) & _in_bloom(first_table, h ^ docs_[of], bits[0]))
+                which, keys = thirds_of(sums, start[able], end[able])
+                known = np.unique(able[which[_in_bloom(shared_table, keys, bits[1])]])
                 if not len(known):
                     continue
                 lines, h2 = raw.split(b"\n"), check_bits(run_hash(sums, "check", start, end))
@@ -192,12 +207,12 @@ def within_one(a: list[str], b: list[str]) -> bool:
 
 def _near(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """doc_id, line of distinct lines that an earlier one is one edit away from."""
-    ends = lines.select("h", F.explode("ends").alias("end"))
-    shared = saved(ends.groupBy("end").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 < h1").select("end"), "ends")
-    first_bits, end_bits = _bits(distinct.count()), _bits(shared.count())
-    firsts = bitmap(distinct, _low(F.col("h").bitwiseXOR(F.col("first.doc_id")), first_bits), first_bits)
-    shared = bitmap(shared, _low(F.col("end"), end_bits), end_bits)
-    keys = saved(_neighbourhoods(docs, (bytes(firsts), first_bits), (bytes(shared), end_bits)), "deletions")
+    thirds = lines.select("h", F.explode("thirds").alias("third"))
+    shared = saved(thirds.groupBy("third").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 < h1").select("third"), "thirds")
+    first_bits, shared_bits = _bits(distinct.count()), _bits(shared.count())
+    firsts = _bloom(distinct, F.col("h").bitwiseXOR(F.col("first.doc_id")), first_bits)
+    shared = _bloom(shared, F.col("third"), shared_bits)
+    keys = saved(_neighbourhoods(docs, (firsts, first_bits), (shared, shared_bits)), "deletions")
     me = F.struct("doc_id", "line")
     places = saved(keys.groupBy("v", "v2", "at").agg(F.min(me).alias("low"), F.max(me).alias("high")), "places")
     replaced = saved(places.where("at >= 0 and low < high").select("v", "v2", "at", "low"), "replaced")
