@@ -205,6 +205,20 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
+def _among(rows: DataFrame, met: bytes, bits: int) -> DataFrame:
+    """Rows whose first column is in a Bloom filter."""
+    import pyarrow as pa
+
+    sent = rows.sparkSession.sparkContext.broadcast(met)
+
+    def run(batches):
+        table = np.frombuffer(sent.value, dtype=np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(_in_bloom(table, b.column(0).to_numpy(), bits)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _near(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """doc_id, line of distinct lines that an earlier one is one edit away from."""
     thirds = lines.select("h", F.explode("thirds").alias("third"))
@@ -214,11 +228,14 @@ def _near(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = _bloom(shared, F.col("third"), shared_bits)
     keys = saved(_neighbourhoods(docs, (firsts, first_bits), (shared, shared_bits)), "deletions")
     me = F.struct("doc_id", "line")
-    places = saved(keys.groupBy("v", "v2", "at").agg(F.min(me).alias("low"), F.max(me).alias("high")), "places")
-    replaced = saved(places.where("at >= 0 and low < high").select("v", "v2", "at", "low"), "replaced")
+    places = saved(keys.groupBy("v", "v2", "at").agg(F.min(me).alias("low"), F.count("*").alias("n")), "places")
+    replaced = saved(places.where("at >= 0 and n > 1").select("v", "v2", "at", "low"), "replaced")
     shorter = places.groupBy("v", "v2").agg(F.min(F.when(F.col("at") < 0, F.col("low"))).alias("own"), F.min(F.when(F.col("at") >= 0, F.col("low"))).alias("longer"))
     shorter = saved(shorter.where("own is not null and longer is not null"), "shorter")
-    rows = keys.select("v", "v2", "at", me.alias("me"))
+    # most keys are met by no other line: a filter keeps them out of the joins
+    met = replaced.select("v").unionByName(shorter.select("v"))
+    bits = _bits(met.count())
+    rows = saved(_among(keys.select("v", "v2", "at", me.alias("me")), _bloom(met, F.col("v"), bits), bits), "met")
     by_place = rows.join(replaced, ["v", "v2", "at"]).select("me", F.col("low").alias("other"))
     by_length = rows.join(shorter, ["v", "v2"]).select("me", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("own")).alias("other"))
     pairs = by_place.unionByName(by_length).where("other < me").groupBy("me").agg(F.min("other").alias("other"))
@@ -247,8 +264,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = saved(_lines(known), "lines")
     me = F.struct("doc_id", "line")
-    distinct = saved(lines.groupBy("h", "h2").agg(F.min(me).alias("first"), F.max(me).alias("last")), "distinct")
-    copied = saved(distinct.where("first < last").select("h", "h2", "first"), "copied")
+    distinct = saved(lines.groupBy("h", "h2").agg(F.min(me).alias("first"), F.count("*").alias("n")), "distinct")
+    copied = saved(distinct.where("n > 1").select("h", "h2", "first"), "copied")
     copies = lines.join(copied, ["h", "h2"]).where(me != F.col("first")).select("doc_id", "line")
     gone = copies.unionByName(_near(known, lines, distinct)).groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
     gone = saved(gone, "gone")
