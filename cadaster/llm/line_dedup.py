@@ -310,7 +310,8 @@ def dedup(docs: DataFrame) -> DataFrame:
                 part = b.slice(i, 256)
                 yield rewritten(part, part.column(len(keep)).to_pylist())
 
-    joined = placed.mapInArrow(touched, same).join(gone.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left")
+    # what is gone grows with the corpus: the same join at every size, never a broadcast
+    joined = placed.mapInArrow(touched, same).join(gone.withColumnRenamed("doc_id", "__doc").hint("merge"), F.col("doc_id") == F.col("__doc"), "left")
     return placed.mapInArrow(untouched, out).unionByName(joined.select(*keep, "__gone").mapInArrow(rewrite, out))
 
 
