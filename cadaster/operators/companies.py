@@ -59,19 +59,28 @@ def merge_companies(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", key).groupBy("key").agg(*(first(c) for c in ("nom", "statut", "capital", "role")), F.min("ordinal").alias("ordinal"))
 
 
-def _blocks(name: Column) -> Column:
-    """What two names that score must share: a word, or how their compact forms begin."""
-    return F.array_union(labels.name_words(name), F.array(F.concat(F.lit("^"), F.substring(labels.compact(name), 1, 3))))
+def _blocks(name: Column, starts: str, holds: str) -> Column:
+    """Keys of which two names that score share one: a word, or how the compact form begins that the other's holds.
+
+    starts, holds: marks of the keys of a form's beginning and of the runs of letters in it; the other
+    side has them the other way round. Of forms under three letters the whole form is the key, also
+    the empty one, which every name holds.
+    """
+    forms, bare = F.array(labels.compact(name), labels.compact(labels.bare(name))), labels.bare(name)
+    runs = lambda x: F.concat(F.array(F.lit("")), *(F.regexp_extract_all(x, F.lit(f"(?=(.{{{k}}}))"), 1) for k in (1, 2, 3)))
+    marked = lambda mark, keys: F.transform(keys, lambda x: F.concat(F.lit(mark), x))
+    words = F.array_union(labels.name_words(name), labels.name_words(bare))
+    return F.array_distinct(F.concat(marked("=", words), marked(starts, F.transform(forms, lambda x: F.substring(x, 1, 3))), marked(holds, F.flatten(F.transform(forms, runs)))))
 
 
 def best_matches(folders: DataFrame, pool: DataFrame) -> DataFrame:
     """project_id, folder, siren, nom, score, confident: the most similar company of the project, the first of equals.
 
     folders: project_id, folder. pool: project_id, siren, nom, ordinal. Pairs are formed within a
-    project and on a shared word or beginning, not all with all.
+    project and on keys that all names share that score, not all with all.
     """
-    f = folders.distinct().withColumn("block", F.explode(_blocks(F.col("folder"))))
-    c = pool.withColumn("block", F.explode(_blocks(F.col("nom"))))
+    f = folders.distinct().withColumn("block", F.explode(_blocks(F.col("folder"), "<", ">")))
+    c = pool.withColumn("block", F.explode(_blocks(F.col("nom"), ">", "<")))
     pairs = f.join(c, ["project_id", "block"]).select("project_id", "folder", "siren", "nom", "ordinal").distinct()
     score = F.greatest(labels.similarity(F.col("folder"), F.col("nom")), labels.similarity(F.col("nom"), F.col("folder")))
     pairs = pairs.withColumn("score", score).where(F.col("score") > MATCH_ABOVE)
