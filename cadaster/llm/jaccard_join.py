@@ -35,13 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadaster.llm.components import between, unite
-from cadaster.llm.shared import bitmap, map_texts, saved, slot, tests_bit
-from cadaster.llm.text import mix, shingles
+from cadaster.llm.shared import by_merge, forget, map_texts, saved
+from cadaster.llm.text import digest, mix, shingles
 
 WORDS, THRESHOLD = 5, Fraction(80, 100)
 #: One in so many shingles is counted in the first pass over all documents.
 SAMPLED = 4
-DOC_BITS = 26
 SKETCH_WORDS = 8
 #: What a chance meeting costs, in keys.
 MEETING = 20.0
@@ -109,8 +108,8 @@ def _digests(docs: DataFrame, words: int) -> DataFrame:
     def per_text():
         def one(raw):
             s = shingles(raw, words)
-            a, b = (int(mix(s + np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for salt in (1, 2)) if len(s) else (0, 0)
-            return len(s), a, b
+            own = digest(s.tobytes())
+            return len(s), *(int.from_bytes(x, "little", signed=True) for x in (own[:8], own[8:]))
 
         return one
 
@@ -137,18 +136,15 @@ def _some_tokens(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, token long")
 
 
-def _sets(docs: DataFrame, words: int, wanted: bytes) -> DataFrame:
-    """id, n, tokens, sketch of the documents whose slot is in the bitmap."""
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """id, n, tokens, sketch of the documents."""
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
     schema = "id long, n int, tokens array<bigint>, sketch array<bigint>"
     types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches):
-        table = np.frombuffer(sent.value, dtype=np.uint8)
         for b in batches:
-            b = b.filter(pa.array(tests_bit(table, b.column(2).to_numpy())))
             for at in range(0, b.num_rows, 256):
                 part, out = b.slice(at, 256), []
                 for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -158,8 +154,7 @@ def _sets(docs: DataFrame, words: int, wanted: bytes) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["id", "n", "tokens", "sketch"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary"), slot(F.col("doc_id"), DOC_BITS).alias("slot"))
-    return rows.mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def _index(sets: DataFrame, t: Fraction) -> DataFrame:
@@ -222,9 +217,9 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, t
     known = docs.where("doc_id is not null")
     lonely = saved(_lonely(_some_tokens(known, words)), "lonely")
     may = (F.col("n") - F.coalesce("u", F.lit(0))) * t.denominator >= F.col("n") * t.numerator
-    left = classes.join(lonely, classes.rep == lonely.doc_id, "left").where(may).select("rep")
-    wanted = bytes(bitmap(left, slot(F.col("rep"), DOC_BITS), DOC_BITS))
-    sets = saved(_sets(known, words, wanted), "sets")
+    left = by_merge(classes, lonely.withColumnRenamed("doc_id", "rep"), "rep", "left").where(may).select(F.col("rep").alias("doc_id"))
+    sets = saved(_sets(by_merge(known, left, "doc_id", "left_semi"), words), "sets")
+    forget(lonely)
     lonely = _lonely(sets.select(F.col("id").alias("doc_id"), F.explode("tokens").alias("token")))
     wanted = saved(sets.select("id", "n").join(lonely.withColumnRenamed("doc_id", "id"), "id", "left").where(may).select("id"), "wanted")
     sets = saved(sets.join(wanted, "id", "left_semi"), "sets")

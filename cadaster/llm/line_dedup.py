@@ -1,19 +1,21 @@
 """Operator 9: line dedup by a deletion-neighbourhood join.
 
 A line is its words, A-Z lower-cased; the edit unit is the word. A line goes if an earlier line, by
-(doc_id, line number), is equal, or, for lines of MIN_WORDS words at least, is one word edit away (a
-word inserted, deleted or replaced). The earliest stays.
+(doc_id, line number), is equal, or is one word edit away (a word inserted, deleted or replaced) and
+both have MIN_WORDS words at least: one edit in five words is the similarity of 0.8 that near copies
+take. The earliest stays.
 
-1. Equal lines become one distinct line, the earliest, by a grouped minimum over 96 bits of hash.
+1. Equal lines become one distinct line, the earliest, by a digest of 128 bits of their words.
 2. Of the thirds of a line an edit leaves two as they are, so only lines that share two thirds with
-   another line can have a neighbour. The pairs of thirds are counted, and those that two lines share
-   are sent around as a Bloom filter of bounded size, which can let more lines through but holds none
-   back.
-3. Those of the lines left that are the earliest of their kind emit themselves and all their one-word deletions as hashed keys. Replaced words
-   meet in a key with equal place, inserted and deleted ones in a key of the shorter line itself. A
-   group needs its earliest line only: in it all lines are one edit apart, so no pairs are listed.
+   another distinct line can have a neighbour. Pairs of thirds are counted by a grouping and joined back.
+3. Those lines emit themselves and all their one-word deletions as hashed keys. Replaced words meet in
+   a key with equal place, inserted and deleted ones in a key of the shorter line itself. A group needs
+   its earliest line only: in it all lines are one edit apart, so no pairs are listed.
 4. Each line and its earliest neighbour are compared word by word, and texts are cut.
 
+What grows with the corpus is grouped and joined, never broadcast or gathered. Where many lines have
+the same neighbour, that one is dealt to SALTS parts of the comparison.
+
 Edge cases: null and empty texts have no lines; lines without a word are left as they are; a null
 doc_id is never cut and cuts nothing; repeated rows are cut alike and never by each other (doc_id is
 a key: where rows of one doc_id differ in text, each loses the lines found at those places in any);
@@ -28,19 +30,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadaster.llm.shared import bitmap, saved, slot, tests_bit
-from cadaster.llm.text import LOWER, SPACED, _power, mix, spans, word_hashes
-
-MIN_WORDS = 8
-DOC_BITS = 26
-KINDS = ("word", "check")
+from cadaster.llm.shared import by_merge, forget, saved
+from cadaster.llm.text import LOWER, SPACED, Runs, digest as digest_of, mix, spans, word_hashes
 
+MIN_WORDS = 5
+SALTS = 16
 
 #: Lengths that lines are taken for when their thirds are compared: the largest of these up to their own.
-LENGTHS = np.array([7, 8, 9, 10, 11, 12, 14, 16, 18, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 128, 160, 192, 256, 384, 512])
+LENGTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 18, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 128, 160, 192, 256, 384, 512])
 #: Texts are hashed together up to so many bytes; a longer one by itself.
 TOGETHER = 1 << 18
-LEAST_BITS, MOST_BITS = 16, 30
+#: Keys of pairs of thirds: three of the line's own length and three of that of a line shorter by a word.
+THIRDS = [f"third_{i}" for i in range(6)]
 
 
 def together(docs: list, raws: list) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
@@ -62,135 +63,98 @@ def _joined(held: list) -> tuple[np.ndarray, bytes, np.ndarray]:
     return np.array([doc for doc, _ in held]), b"\n".join([raw for _, raw in held]).translate(LOWER), np.cumsum(lines) - lines
 
 
-def lines_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """(numbers of the lines that have a word, their first words, words after their last, prefix sums of word hashes) of a text in lower case."""
+def lines_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the lines that have a word, their first words, words after their last, word hashes) of a text in lower case."""
     a, starts, ends = spans(raw, SPACED)
-    words = word_hashes(a, starts, ends)
     of = np.searchsorted(np.flatnonzero(a == 10), starts)  # the line of each word
     first = np.flatnonzero(np.diff(of, prepend=-1))
-    sums = {}
-    for kind in KINDS:
-        sums[kind] = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(words * _power(kind, len(words) + 1)[0][:-1], out=sums[kind][1:])
-    return of[first], first, np.append(first[1:], len(words)).astype(np.int64), sums
+    return of[first], first, np.append(first[1:], len(starts)).astype(np.int64), word_hashes(a, starts, ends)
 
 
-def thirds_of(sums: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the pairs of thirds of lines of MIN_WORDS words at least.
+def thirds_of(runs: Runs, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(key, whether there is one) of each of the pairs of thirds of lines of two words at least.
 
     Two lines one edit apart share a key. Let the shorter have n words, n be taken for l <= n, and b
     be a third of l, rounded up. An edit at word l - b or later leaves the first l - b words alike, one
     before word b the last l - b, and one between them the first b and the last b.
     """
     n, out = end - start, []
-    long, short = (LENGTHS[np.searchsorted(LENGTHS, x, side="right") - 1] for x in (n, n - 1))  # the other line may be shorter by a word
-    for l, which in ((long, np.arange(len(n))), (short[short != long], np.flatnonzero(short != long))):
-        a, e, b = start[which], end[which], (l + 2) // 3
-        size = mix(l.astype(np.uint64))
-        first, last = run_hash(sums, "word", a, a + b), run_hash(sums, "word", e - b, e)
-        for kind, key in enumerate((run_hash(sums, "word", a, a + l - b), run_hash(sums, "word", e - l + b, e), mix(first) + last)):
-            out.append((which, mix(key + size + np.uint64(kind))))
-    return np.concatenate([w for w, _ in out]), np.concatenate([k for _, k in out])
-
-
-def run_hash(sums: dict[str, np.ndarray], kind: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the words from start to before end."""
-    total = sums[kind]
-    return mix((total[end] - total[start]) * _power(kind, len(total))[1][start] + (end - start).astype(np.uint64))
-
+    own, shorter = (LENGTHS[np.searchsorted(LENGTHS, x, side="right") - 1] for x in (n, n - 1))
+    for l, there in ((own, np.ones(len(n), dtype=bool)), (shorter, shorter != own)):
+        b, size = (l + 2) // 3, mix(l.astype(np.uint64))
+        ends = runs.between(start, start + l - b), runs.between(end - l + b, end), mix(runs.between(start, start + b)) + runs.between(end - b, end)
+        out += [(mix(key + size + np.uint64(kind)), there) for kind, key in enumerate(ends)]
+    return out
 
-def deletions(sums: dict[str, np.ndarray], kind: str, start: int, end: int) -> np.ndarray:
-    """Hash of the words from start to before end without each one of them, as run_hash has it of the shorter line."""
-    total, down = sums[kind], _power(kind, len(sums[kind]))[1]
-    at = np.arange(start, end)
-    left = (total[at] - total[start]) * down[start]
-    right = (total[end] - total[at + 1]) * down[start + 1]  # one place nearer
-    return mix(left + right + np.uint64(end - start - 1))
 
+def _plain(line: bytes) -> bytes:
+    return b" ".join(line.split())
 
-def check_bits(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, h, h2 of every line that has a word, and the keys of its thirds."""
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, line, d1, d2 of every line that has a word, whether an equal one is above it in the text, and else the keys of its thirds."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             for docs_, raw, first in together(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                numbers, start, end, sums = lines_of(raw)
+                numbers, start, end, words = lines_of(raw)
                 if not len(numbers):
                     continue
                 of = np.searchsorted(first, numbers, side="right") - 1
-                able = np.flatnonzero(end - start >= MIN_WORDS)
-                which, keys = thirds_of(sums, start[able], end[able])
-                which = able[which]
-                order = np.argsort(which, kind="stable")
-                at = np.zeros(len(numbers) + 1, dtype=np.int32)
-                np.cumsum(np.bincount(which, minlength=len(numbers)), out=at[1:])
-                thirds = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[order].view(np.int64)))
-                h, h2 = run_hash(sums, "word", start, end).view(np.int64), check_bits(run_hash(sums, "check", start, end))
-                yield pa.RecordBatch.from_arrays([pa.array(docs_[of]), pa.array((numbers - first[of]).astype(np.int32)), pa.array(h), pa.array(h2), thirds], names=["doc_id", "line", "h", "h2", "thirds"])
-
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, line int, h long, h2 int, thirds array<bigint>")
-
-
-def _bits(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
-
-
-#: A value's places in a Bloom filter are its low bits after these shifts.
-SHIFTS = (0, 17, 34)
-
-
-def _bloom(df: DataFrame, value, bits: int) -> bytes:
-    places = F.explode(F.array(*(F.shiftrightunsigned(value, s).bitwiseAND(F.lit((1 << bits) - 1)) for s in SHIFTS)))
-    return bytes(bitmap(df.select(places.alias("place")), F.col("place"), bits))
-
-
-def _in_bloom(table: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    mask, values = np.uint64((1 << bits) - 1), values.view(np.uint64)
-    return np.logical_and.reduce([tests_bit(table, ((values >> np.uint64(s)) & mask).astype(np.int64)) for s in SHIFTS])
-
-
-def _neighbourhoods(docs: DataFrame, firsts: tuple[bytes, int], shared: tuple[bytes, int]) -> DataFrame:
-    """v, v2, at, doc_id, line, words: of each earliest line with shared thirds, itself (at = -1, with its words) and its one-word deletions.
-
-    firsts, shared: Bloom filters and their bits, of the earliest lines (hash and doc_id) and of shared thirds.
-    """
+                lines = raw.split(b"\n")
+                digests = [digest_of(_plain(lines[i])) for i in numbers.tolist()]
+                seen, again = set(), np.zeros(len(numbers), dtype=bool)
+                for i, at in enumerate(zip(of.tolist(), digests, strict=True)):
+                    again[i] = at in seen
+                    seen.add(at)
+                d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                able = np.flatnonzero((end - start >= least) & ~again)
+                thirds = []
+                for key, there in thirds_of(Runs(words), start[able], end[able]):
+                    value, none = np.zeros(len(numbers), dtype=np.int64), np.ones(len(numbers), dtype=bool)
+                    value[able], none[able] = key.view(np.int64), ~there
+                    thirds.append(pa.array(value, mask=none))
+                columns = [pa.array(docs_[of]), pa.array((numbers - first[of]).astype(np.int32)), *(pa.array(np.ascontiguousarray(d[:, i])) for i in (0, 1)), pa.array(again), *thirds]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "d1", "d2", "again", *THIRDS])
+
+    fields = ", ".join(f"{t} long" for t in THIRDS)
+    return docs.mapInArrow(run, f"doc_id long, line int, d1 long, d2 long, again boolean, {fields}")
+
+
+def _neighbourhoods(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """v, v2, at, doc_id, line, words: of each candidate line (doc_id, lines), itself (at = -1, with its words) and its one-word deletions."""
     import pyarrow as pa
 
-    sent, bits = docs.sparkSession.sparkContext.broadcast((firsts[0], shared[0])), (firsts[1], shared[1])
+    def keys(runs, start, end):
+        return np.append(runs.without_one(start, end), runs.between(np.array([start]), np.array([end])))
 
     def run(batches):
-        first_table, shared_table = (np.frombuffer(x, dtype=np.uint8) for x in sent.value)
         for b in batches:
-            out = []
-            for docs_, raw, first in together(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                numbers, start, end, sums = lines_of(raw)
-                if not len(numbers):
-                    continue
-                of = np.searchsorted(first, numbers, side="right") - 1
-                h = run_hash(sums, "word", start, end).view(np.int64)
-                able = np.flatnonzero((end - start >= MIN_WORDS) & _in_bloom(first_table, h ^ docs_[of], bits[0]))
-                which, keys = thirds_of(sums, start[able], end[able])
-                known = np.unique(able[which[_in_bloom(shared_table, keys, bits[1])]])
-                if not len(known):
-                    continue
-                lines, h2 = raw.split(b"\n"), check_bits(run_hash(sums, "check", start, end))
-                for i in known.tolist():
-                    n = int(end[i] - start[i])
-                    v = np.append(deletions(sums, "word", start[i], end[i]).view(np.int64), h[i])
-                    v2 = np.append(check_bits(deletions(sums, "check", start[i], end[i])), h2[i])
-                    place = np.append(np.arange(n, dtype=np.int32), np.int32(-1))
-                    words = [None] * n + [b" ".join(lines[numbers[i]].split()).decode("utf-8", "replace")]
-                    out.append((v, v2, place, np.full(n + 1, docs_[of[i]]), np.full(n + 1, numbers[i] - first[of[i]], dtype=np.int32), words))
+            out, numbers_of = [], b.column(2).to_pylist()
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                wanted = dict(zip(part.column(0).to_pylist(), numbers_of[at : at + 512], strict=True))
+                for docs_, raw, first in together(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    numbers, start, end, words = lines_of(raw)
+                    runs, checks, lines = Runs(words), Runs(words, "check"), raw.split(b"\n")
+                    for doc, above in zip(docs_.tolist(), first.tolist(), strict=True):
+                        given = np.array(wanted[doc], dtype=np.int64)
+                        for i in np.searchsorted(numbers, given + above).tolist():
+                            if i == len(numbers) or numbers[i] - above not in given:
+                                continue  # another text of the same doc_id
+                            a, e = int(start[i]), int(end[i])
+                            n, line = e - a, np.int32(numbers[i] - above)
+                            v2 = (keys(checks, a, e) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                            place = np.append(np.arange(n, dtype=np.int32), np.int32(-1))
+                            own = [None] * n + [_plain(lines[numbers[i]]).decode("utf-8", "replace")]
+                            out.append((keys(runs, a, e).view(np.int64), v2, place, np.full(n + 1, doc), np.full(n + 1, line), own))
             if out:
                 *columns, words = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns), pa.array([w for ws in words for w in ws], pa.string())], names=["v", "v2", "at", "doc_id", "line", "words"])
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "v long, v2 int, at int, doc_id long, line int, words string")
+    rows = by_merge(docs.select("doc_id", "text"), candidates, "doc_id").select("doc_id", "text", "lines")
+    return rows.mapInArrow(run, "v long, v2 int, at int, doc_id long, line int, words string")
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -205,42 +169,28 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def _among(rows: DataFrame, met: bytes, bits: int) -> DataFrame:
-    """Rows whose first column is in a Bloom filter."""
-    import pyarrow as pa
-
-    sent = rows.sparkSession.sparkContext.broadcast(met)
-
-    def run(batches):
-        table = np.frombuffer(sent.value, dtype=np.uint8)
-        for b in batches:
-            yield b.filter(pa.array(_in_bloom(table, b.column(0).to_numpy(), bits)))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def _near(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """doc_id, line of distinct lines that an earlier one is one edit away from."""
-    thirds = lines.select("h", F.explode("thirds").alias("third"))
-    shared = saved(thirds.groupBy("third").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 < h1").select("third"), "thirds")
-    first_bits, shared_bits = _bits(distinct.count()), _bits(shared.count())
-    firsts = _bloom(distinct, F.col("h").bitwiseXOR(F.col("first.doc_id")), first_bits)
-    shared = _bloom(shared, F.col("third"), shared_bits)
-    keys = saved(_neighbourhoods(docs, (firsts, first_bits), (shared, shared_bits)), "deletions")
+    thirds = distinct.where(f"{THIRDS[0]} is not null").select("doc_id", "line", "d1", F.explode(F.array(*THIRDS)).alias("third")).where("third is not null")
+    shared = saved(thirds.groupBy("third").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).where("least < most").select("third"), "thirds")
+    candidates = saved(by_merge(thirds.select("doc_id", "line", "third"), shared, "third", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "candidates")
+    keys = saved(_neighbourhoods(docs, candidates), "deletions")
+    forget(shared, candidates)
+    # most keys are met by no other line
     me = F.struct("doc_id", "line")
-    places = saved(keys.groupBy("v", "v2", "at").agg(F.min(me).alias("low"), F.count("*").alias("n")), "places")
-    replaced = saved(places.where("at >= 0 and n > 1").select("v", "v2", "at", "low"), "replaced")
+    met = keys.groupBy("v", "v2").agg(F.count("*").alias("n")).where("n > 1").select("v", "v2")
+    rows = saved(by_merge(keys.select("v", "v2", "at", me.alias("me")), met, ["v", "v2"], "left_semi"), "met")
+    places = saved(rows.groupBy("v", "v2", "at").agg(F.min("me").alias("low"), F.count("*").alias("n")), "places")
+    replaced = places.where("at >= 0 and n > 1").select("v", "v2", "at", "low")
     shorter = places.groupBy("v", "v2").agg(F.min(F.when(F.col("at") < 0, F.col("low"))).alias("own"), F.min(F.when(F.col("at") >= 0, F.col("low"))).alias("longer"))
-    shorter = saved(shorter.where("own is not null and longer is not null"), "shorter")
-    # most keys are met by no other line: a filter keeps them out of the joins
-    met = replaced.select("v").unionByName(shorter.select("v"))
-    bits = _bits(met.count())
-    rows = saved(_among(keys.select("v", "v2", "at", me.alias("me")), _bloom(met, F.col("v"), bits), bits), "met")
-    by_place = rows.join(replaced, ["v", "v2", "at"]).select("me", F.col("low").alias("other"))
-    by_length = rows.join(shorter, ["v", "v2"]).select("me", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("own")).alias("other"))
-    pairs = by_place.unionByName(by_length).where("other < me").groupBy("me").agg(F.min("other").alias("other"))
+    shorter = shorter.where("own is not null and longer is not null")
+    by_place = by_merge(rows, replaced, ["v", "v2", "at"]).select("me", F.col("low").alias("other"))
+    by_length = by_merge(rows, shorter, ["v", "v2"]).select("me", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("own")).alias("other"))
+    pairs = saved(by_place.unionByName(by_length).where("other < me").groupBy("me").agg(F.min("other").alias("other")), "pairs")
     words = keys.where("at < 0").select(me.alias("me"), "words").dropDuplicates(["me"])
-    both = saved(pairs, "pairs").join(words, "me").join(words.select(F.col("me").alias("other"), F.col("words").alias("earlier")), "other")
+    earlier = words.join(pairs.select(F.col("other").alias("me")).distinct(), "me").select(F.col("me").alias("other"), F.col("words").alias("earlier"))
+    earlier = earlier.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = pairs.join(words, "me").withColumn("salt", F.pmod(F.hash("me"), F.lit(SALTS))).join(earlier, ["other", "salt"])
 
     def verify(batches):
         import pyarrow as pa
@@ -250,69 +200,51 @@ def _near(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
             yield b.filter(pa.array([within_one(x.split(" "), y.split(" ")) for x, y in zip(a, c, strict=True)], pa.bool_())).select([0, 1])
 
     columns = both.select(F.col("me.doc_id").alias("doc_id"), F.col("me.line").alias("line"), "words", "earlier")
-    return columns.mapInArrow(verify, "doc_id long, line int")
+    near = saved(columns.mapInArrow(verify, "doc_id long, line int"), "near")
+    forget(keys, rows, places, pairs)
+    return near
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs with `text` cut, and n_lines and n_removed: its lines that had a word, and those taken out.
 
-    Older columns named n_lines and n_removed are replaced.
+    least: words that a line must have to be compared for edits, two at the lowest. Older columns
+    named n_lines and n_removed are replaced.
     """
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = saved(_lines(known), "lines")
-    me = F.struct("doc_id", "line")
-    distinct = saved(lines.groupBy("h", "h2").agg(F.min(me).alias("first"), F.count("*").alias("n")), "distinct")
-    copied = saved(distinct.where("n > 1").select("h", "h2", "first"), "copied")
-    copies = lines.join(copied, ["h", "h2"]).where(me != F.col("first")).select("doc_id", "line")
-    gone = copies.unionByName(_near(known, lines, distinct)).groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
-    gone = saved(gone, "gone")
-    cut = spark.sparkContext.broadcast(bytes(bitmap(gone, slot(F.col("doc_id"), DOC_BITS), DOC_BITS)))
-
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__slot", "__gone")]
-    placed = docs.select(*keep, F.coalesce(slot(F.col("doc_id").cast("long"), DOC_BITS), F.lit(-1)).alias("__slot"))
-    same = docs.select(*keep).schema
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    lines = saved(_lines(known, max(least, 2)), "lines")
+    fresh = lines.where("not again")
+    firsts = F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line"), F.count("*").alias("n")
+    distinct = saved(fresh.groupBy("d1", "d2").agg(*firsts, *(F.max(t).alias(t) for t in THIRDS)), "distinct")
+    copied = distinct.where("n > 1").select("d1", "d2", F.col("doc_id").alias("first"))
+    copies = by_merge(fresh.select("doc_id", "line", "d1", "d2"), copied, ["d1", "d2"]).where("doc_id > first").select("doc_id", "line")
+    copies = saved(copies.unionByName(lines.where("again").select("doc_id", "line")), "copies")
+    forget(lines)
+    near = _near(known, distinct)
+    gone = saved(copies.unionByName(near).groupBy("doc_id").agg(F.collect_set("line").alias("__gone")), "gone")
+    forget(distinct, copies, near)
+
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__doc", "__gone")]
     out = docs.select(*keep).withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     at = keep.index("text")
 
-    def parts(batch, hit: bool):
-        place = batch.column(len(keep)).to_numpy()
-        inside = tests_bit(np.frombuffer(cut.value, dtype=np.uint8), np.maximum(place, 0)) & (place >= 0)
-        batch = batch.filter(pa.array(inside == hit))
-        return (batch.slice(i, 256) for i in range(0, batch.num_rows, 256))
-
-    def rewritten(part, gone):
-        found = []
-        for text, drop in zip(part.column(at).to_pylist(), gone, strict=True):
-            lines, drop = (text or "").split("\n"), set(drop or ())
-            words = sum(1 for x in lines if x.strip(" \t\n\x0b\x0c\r"))
-            found.append(("\n".join([x for j, x in enumerate(lines) if j not in drop]) if drop else text, words, len(drop)))
-        text, n, removed = zip(*found, strict=True)
-        columns = list(part.columns[: len(keep)])
-        columns[at] = pa.array(text, type=part.column(at).type)
-        return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "n_lines", "n_removed"])
-
-    def untouched(batches):
-        for b in batches:
-            for part in parts(b, False):
-                yield rewritten(part, [None] * part.num_rows)
-
-    def touched(batches):
-        for b in batches:
-            for part in parts(b, True):
-                yield part.select(range(len(keep)))
+    def rewritten(text: str | None, gone: list[int] | None):
+        lines, drop = (text or "").split("\n"), set(gone or ())
+        words = sum(1 for x in lines if x.strip(" \t\n\x0b\x0c\r"))
+        return "\n".join([x for i, x in enumerate(lines) if i not in drop]) if drop else text, words, len(drop)
 
     def rewrite(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                yield rewritten(part, part.column(len(keep)).to_pylist())
+                text, n, removed = zip(*map(rewritten, part.column(at).to_pylist(), part.column(len(keep)).to_pylist()), strict=True)
+                columns = list(part.columns[: len(keep)])
+                columns[at] = pa.array(text, type=part.column(at).type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=out.names)
 
-    # what is gone grows with the corpus: the same join at every size, never a broadcast
-    joined = placed.mapInArrow(touched, same).join(gone.withColumnRenamed("doc_id", "__doc").hint("merge"), F.col("doc_id") == F.col("__doc"), "left")
-    return placed.mapInArrow(untouched, out).unionByName(joined.select(*keep, "__gone").mapInArrow(rewrite, out))
+    return by_merge(docs.select(*keep), gone.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left").select(*keep, "__gone").mapInArrow(rewrite, out)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tables written between jobs, fixed-size bitmaps and small schema helpers."""
+"""Tables written between jobs, and small schema helpers."""
 
 from __future__ import annotations
 
@@ -12,9 +12,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only on a local master where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cadaster-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -40,30 +42,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def slot(value: Column, bits: int) -> Column:
-    """Position of a value in a bitmap of 2^bits positions."""
-    return F.pmod(F.xxhash64(value), F.lit(1 << bits))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
-def bitmap(df: DataFrame, position: Column, bits: int) -> bytearray:
-    """Bitmap of the positions in df, merged on the executors in blocks of 4 KB; 2^bits / 8 bytes whatever df holds."""
-    blocks = (
-        df.select((position + 1).alias("p"))  # the SQL functions count positions from 1
-        .groupBy(F.expr("bitmap_bucket_number(p) - 1").alias("block"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    )
-    out = bytearray(max(1 << bits >> 3, 4096))
-    for row in blocks.toLocalIterator():
-        out[row.block * 4096 : row.block * 4096 + 4096] = row.bits
-    return out
+def forget(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tests_bit(bits: "np.ndarray", positions: "np.ndarray") -> "np.ndarray":
-    """Which positions are set; bits: the bitmap as uint8."""
-    return (bits[positions >> 3] >> (positions & 7).astype("uint8")) & 1 == 1
+def by_merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join whose sides both grow with the corpus: shuffled at every size, never a broadcast."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -3,17 +3,20 @@
 A word goes if a window of 50 words that covers it also starts in a document with a smaller doc_id.
 
 1. Sketch. A window's count is estimated by the count of its anchor, the 12-word run of least hash in
-   it: equal windows have equal anchors at equal places, so an anchor occurs at least as often as any
-   window it stands for, and anchors are twenty times fewer than windows. Each partition counts its
-   anchors in ROWS hashed rows of counters; partition sketches are added block by block. Hashing can
-   only add to a count: a window that occurs twice is estimated at two or more, and none is lost.
-2. Exact pass. Only windows estimated repeated are grouped, by 64 + 32 bits of hash, for the smallest
+   it: equal windows have equal anchors at equal places, so an anchor is in as many documents at least
+   as any window it stands for, and anchors are twenty times fewer than windows. The sketch is cut
+   into blocks, each a small count-min table of its own: a hash deals an anchor to a block, others to a
+   counter in each of the block's ROWS rows. Each partition counts its anchors by block; partition
+   sketches are added block by block, and a block's anchors are looked up in it by a join. Hashing can
+   only add to a count: a window in two documents is estimated at two or more, and none is lost.
+2. Exact pass. Only windows estimated repeated are grouped, by a digest of their words, for the smallest
    document that each starts in; windows of larger documents are hits. Grouping pre-aggregates and
    the join is of two written tables, so that a window in a third of all documents is split up.
-3. Texts with hits are joined with their hits and cut; all others never leave their task.
+3. Texts are joined with their hits and cut.
 
-What is broadcast has a fixed bound: 2^MOST_BITS counters' bits a row, whatever the corpus. With more
-anchors than that serves, more windows are grouped exactly and the result is the same.
+The number of blocks grows with the corpus, and no block, bitmap or list of documents leaves the
+executors: memory is the same at every size. A window's digest is 96 bits of BLAKE2b of its words; of
+10^13 different windows, the chance that any two have the same is below one in a thousand.
 
 Edge cases: null and empty texts have no words; texts under 50 words are never cut; a null doc_id is
 never cut and cuts nothing; repeated rows are cut alike and never by each other (doc_id is a key:
@@ -27,184 +30,185 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadaster.llm.shared import bitmap, saved, slot, tests_bit
-from cadaster.llm.text import SPACED, spans, window_hashes, word_hashes
+from cadaster.llm.shared import by_merge, forget, saved
+from cadaster.llm.text import SPACED, Runs, digest as digest_of, mix, spans, window_hashes, word_hashes
 
 WINDOW, ANCHOR = 50, 12
 ROWS = 2
-#: Counters of a row: eight for each expected anchor, within these powers of two.
-LEAST_BITS, MOST_BITS = 16, 30
-BLOCK_BITS = 16
-DOC_BITS = 26
-_ROW_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+#: Counters in a row of a block, and anchors expected in a block: eight counters for each.
+COUNTER_BITS = 16
+BLOCK_ANCHORS = 1 << 13
+#: Anchors gathered before a partial sketch is written, and the most that stand in one of its rows.
+GATHERED, TOGETHER = 1_000_000, 1 << 16
 
 
 def anchors(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the anchor runs, for each window the place of its anchor)."""
-    runs = window_hashes(words, anchor)
     if len(words) < window:
-        return runs, np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    runs = window_hashes(words, anchor)
     wide = np.lib.stride_tricks.sliding_window_view(runs, window - anchor + 1)
     return runs, wide.argmin(axis=1) + np.arange(len(wide))
 
 
-def slots(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((hashes * _ROW_ODD[row]) >> np.uint64(64 - bits)).astype(np.int64)
+def counters(hashes: np.ndarray, row: int) -> np.ndarray:
+    """The anchors' counters in a row of their block."""
+    return (hashes >> np.uint64(COUNTER_BITS * row) & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64)
 
 
-def sketch(docs: DataFrame, bits: int, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> list[bytes]:
-    """For each row of counters, a bitmap of those that count two or more."""
+def anchors_by_block(docs: DataFrame, blocks: int, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """block, docs, hashes: each document's distinct anchors, those of a block together as far as a partition holds them."""
     import pyarrow as pa
 
-    block_bits = min(bits, BLOCK_BITS)
-
-    def count(batches):
-        def parts(found):
-            hashes = np.concatenate(found)
-            for row in range(ROWS):
-                at, times = np.unique(slots(hashes, row, bits), return_counts=True)
-                edges = np.flatnonzero(np.diff(at >> block_bits)) + 1
-                for own, n in zip(np.split(at, edges), np.split(times, edges), strict=True):
-                    yield row, int(own[0] >> block_bits), (own & (1 << block_bits) - 1).astype(np.int32).tobytes(), np.minimum(n, 2).astype(np.int8).tobytes()
+    def rows(docs_, found):
+        hashes = np.concatenate(found)
+        block = (mix(hashes) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        hashes, block, docs_ = hashes[order], block[order], np.repeat(docs_, [len(f) for f in found])[order]
+        # a block's run is cut where it is long, so that no row is large
+        edge = np.flatnonzero(np.diff(block, prepend=-1))
+        start = np.concatenate([np.arange(a, b, TOGETHER) for a, b in zip(edge, np.append(edge[1:], len(block)), strict=True)])
+        at = pa.array(np.append(start, len(block)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (docs_, hashes.view(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(block[start]), *lists], names=["block", "docs", "hashes"])
 
-        def batch(found):
-            return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*parts(found), strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["row", "block", "at", "times"])
-
-        found, held = [], 0
+    def run(batches):
+        docs_, found, held = [], [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                for raw in b.slice(at, 512).column(0).to_pylist():
-                    runs, places = anchors(word_hashes(*spans(raw or b"", SPACED)), window, anchor)
-                    if len(places):
-                        found.append(runs[np.unique(places)])
-                        held += len(found[-1])
-                if held > 2_000_000:
-                    yield batch(found)
-                    found, held = [], 0
+            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                runs, places = anchors(word_hashes(*spans(raw or b"", SPACED)), window, anchor)
+                if len(places):
+                    docs_.append(doc)
+                    found.append(np.unique(runs[np.unique(places)]))
+                    held += len(found[-1])
+            if held > GATHERED:
+                yield rows(docs_, found)
+                docs_, found, held = [], [], 0
         if found:
-            yield batch(found)
+            yield rows(docs_, found)
 
-    def add(rows):
-        counters = np.zeros(1 << block_bits, dtype=np.uint8)
-        for at, times in zip(rows["at"], rows["times"], strict=True):
-            at = np.frombuffer(at, dtype=np.int32)
-            counters[at] = np.minimum(counters[at] + np.frombuffer(times, dtype=np.uint8), 2)
-        return rows.iloc[:1][["row", "block"]].assign(bits=[np.packbits(counters > 1, bitorder="little").tobytes()])
-
-    partial = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(count, "row int, block int, at binary, times binary")
-    merged = partial.groupBy("row", "block").applyInPandas(add, "row int, block int, bits binary")
-    out = [bytearray(1 << bits >> 3) for _ in range(ROWS)]
-    size = 1 << block_bits >> 3
-    for r in merged.toLocalIterator():
-        out[r.row][r.block * size : (r.block + 1) * size] = r.bits
-    return [bytes(x) for x in out]
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, docs array<bigint>, hashes array<bigint>")
 
 
-def estimated_repeated(docs: DataFrame, repeated: list[bytes], bits: int, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> DataFrame:
-    """doc_id, at, key, check of each window whose anchor is estimated at two or more."""
+def sketch(dealt: DataFrame) -> DataFrame:
+    """block, bits: of each block's counters, by row, those that count two or more."""
+    import pandas as pd
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(repeated)
-
-    def find(batches):
-        table = [np.frombuffer(x, dtype=np.uint8) for x in sent.value]
+    def partial(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, out = b.slice(at, 256), []
-                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = word_hashes(*spans(raw or b"", SPACED))
-                    runs, places = anchors(words, window, anchor)
-                    if not len(places):
-                        continue
-                    used, back = np.unique(places, return_inverse=True)
-                    known = np.ones(len(used), dtype=bool)
-                    for row in range(ROWS):
-                        known &= tests_bit(table[row], slots(runs[used], row, bits))
-                    found = np.flatnonzero(known[back])
-                    if len(found):
-                        check = (window_hashes(words, window, "check")[found] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                        out.append((np.full(len(found), doc), found.astype(np.int32), window_hashes(words, window)[found].view(np.int64), check))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["doc_id", "at", "key", "check"])
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(find, "doc_id long, at int, key long, check int")
+            out = []
+            for block, hashes in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                hashes = hashes.values.to_numpy().view(np.uint64)
+                for row in range(ROWS):
+                    at, times = np.unique(counters(hashes, row), return_counts=True)
+                    out.append((block, row, at.astype(np.int32).tobytes(), np.minimum(times, 2).astype(np.uint8).tobytes()))
+            if out:
+                columns = zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in columns], names=["block", "row", "at", "times"])
+
+    def add(key, parts):
+        total = np.zeros((ROWS, 1 << COUNTER_BITS), dtype=np.uint8)
+        for row, at, times in zip(parts["row"], parts["at"], parts["times"], strict=True):
+            at = np.frombuffer(at, dtype=np.int32)
+            total[row, at] = np.minimum(total[row, at] + np.frombuffer(times, dtype=np.uint8), 2)
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(total > 1, bitorder="little").tobytes()]})
 
-
-def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (the words left, joined by one space) of every document."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (size * 16 // (6 * (window - anchor))).bit_length()))
-    windows = saved(estimated_repeated(docs, sketch(docs, bits, window, anchor), bits, window, anchor), "windows")
-    first = saved(windows.groupBy("key", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "first")
-    found = windows.join(first, ["key", "check"]).where(F.col("doc_id") > F.col("first"))
-    hits = saved(found.groupBy("doc_id").agg(F.collect_list("at").alias("hits")), "hits")
-    known = spark.sparkContext.broadcast(bytes(bitmap(hits, slot(F.col("doc_id"), DOC_BITS), DOC_BITS)))
-    placed = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(slot(F.col("doc_id"), DOC_BITS), F.lit(-1)).alias("slot"))
-    hit = placed.mapInArrow(_with_hits(known), "doc_id long, text binary").join(hits, "doc_id", "left")
-    out = "doc_id long, n_words bigint, n_removed bigint, kept_text string"
-    return placed.mapInArrow(_whole(known), out).unionByName(hit.mapInArrow(_cut(window), out))
+    parts = dealt.select("block", "hashes").mapInArrow(partial, "block long, row int, at binary, times binary")
+    return parts.groupBy("block").applyInPandas(add, "block long, bits binary")
 
 
-def _parts(batch, known, hit: bool, rows: int = 256):
-    """Slices of a batch's rows whose document is in the bitmap, or is not."""
+def estimated_repeated(dealt: DataFrame, sketched: DataFrame) -> DataFrame:
+    """doc_id, anchors: of each document, those whose count is estimated at two or more."""
     import pyarrow as pa
 
-    place = batch.column(2).to_numpy()
-    inside = tests_bit(np.frombuffer(known.value, dtype=np.uint8), np.maximum(place, 0)) & (place >= 0)
-    batch = batch.filter(pa.array(inside == hit))
-    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
-
-
-def _with_hits(known):
     def run(batches):
         for b in batches:
-            for part in _parts(b, known, True):
-                yield part.select([0, 1])
-
-    return run
-
-
-def _joined(words: list[bytes]) -> str:
-    return b" ".join(words).decode("utf-8", "replace")
-
-
-def _result(part, found):
+            for docs_, hashes, bits in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+                docs_, hashes = docs_.values.to_numpy(), hashes.values.to_numpy()
+                table = np.frombuffer(bits, dtype=np.uint8)
+                known = np.ones(len(hashes), dtype=bool)
+                for row in range(ROWS):
+                    at = counters(hashes.view(np.uint64), row) + (row << COUNTER_BITS)
+                    known &= (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                if known.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(docs_[known]), pa.array(hashes[known])], names=["doc_id", "anchor"])
+
+    found = by_merge(dealt, sketched, "block").select("docs", "hashes", "bits").mapInArrow(run, "doc_id long, anchor long")
+    return found.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+
+
+def repeated_windows(docs: DataFrame, estimated: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """doc_id, at, key, check of each window whose anchor is estimated repeated; key and check are its digest."""
     import pyarrow as pa
 
-    n, removed, text = zip(*found, strict=True)
-    return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
-
+    def of(raw: bytes, estimated: np.ndarray):
+        words = spans(raw, SPACED)
+        runs, places = anchors(word_hashes(*words), window, anchor)
+        if not len(places):
+            return None
+        used, back = np.unique(places, return_inverse=True)
+        found = np.flatnonzero(np.isin(runs[used].view(np.int64), estimated)[back])
+        joined = b" ".join(raw.split())
+        ends = np.cumsum(words[2] - words[1] + 1)  # each word and a space
+        starts = ends - (words[2] - words[1] + 1)
+        keys = b"".join([digest_of(joined[a:b], 12) for a, b in zip(starts[found].tolist(), (ends[found + window - 1] - 1).tolist(), strict=True)])
+        return found.astype(np.int32), np.frombuffer(keys, dtype=np.dtype([("key", "<i8"), ("check", "<i4")]))
 
-def _whole(known):
     def run(batches):
         for b in batches:
-            for part in _parts(b, known, False):
-                words = [(raw or b"").split() for raw in part.column(1).to_pylist()]
-                yield _result(part, [(len(w), 0, _joined(w)) for w in words])
+            for doc, raw, estimated in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                found = of(raw.as_py() or b"", estimated.values.to_numpy())
+                if found and len(found[0]):
+                    at, keys = found
+                    columns = np.full(len(at), doc), at, np.ascontiguousarray(keys["key"]), np.ascontiguousarray(keys["check"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "at", "key", "check"])
 
-    return run
+    return by_merge(docs.select("doc_id", "text"), estimated, "doc_id").mapInArrow(run, "doc_id long, at int, key long, check int")
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (the words left, joined by one space) of every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    known = docs.where("doc_id is not null")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # windows of six-byte words, two anchors for each stretch of window - anchor words
+    blocks = 1 + 2 * size // (6 * (window - anchor + 1) * BLOCK_ANCHORS)
+    dealt = saved(anchors_by_block(known, blocks, window, anchor), "anchors")
+    sketched = saved(sketch(dealt), "sketch")
+    estimated = saved(estimated_repeated(dealt, sketched), "estimated")
+    forget(dealt, sketched)
+    windows = saved(repeated_windows(known, estimated, window, anchor), "windows")
+    first = saved(windows.groupBy("key", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "first")
+    found = by_merge(windows, first, ["key", "check"]).where(F.col("doc_id") > F.col("first"))
+    hits = saved(found.groupBy("doc_id").agg(F.collect_list("at").alias("hits")), "hits")
+    forget(estimated, windows, first)
+    return by_merge(docs, hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(_cut(window), "doc_id long, n_words bigint, n_removed bigint, kept_text string")
 
 
 def _cut(window: int):
     """doc_id, text, hits (starts of windows to remove) to the words left."""
+    import pyarrow as pa
+
+    def one(raw: bytes, hits: list[int] | None):
+        words = raw.split()
+        starts = np.unique(np.array(hits or [], dtype=np.int64))
+        starts = starts[starts <= len(words) - window]
+        if not len(starts):
+            return len(words), 0, b" ".join(words).decode("utf-8", "replace")
+        cover = np.zeros(len(words) + 1, dtype=np.int64)
+        cover[starts] += 1
+        cover[starts + window] -= 1
+        kept = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
+        return len(words), len(words) - len(kept), b" ".join([words[i] for i in kept.tolist()]).decode("utf-8", "replace")
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part, out = b.slice(at, 256), []
-                for raw, hits in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    words = (raw or b"").split()
-                    starts = np.unique(np.array(hits or [], dtype=np.int64))
-                    starts = starts[starts <= len(words) - window]
-                    cover = np.zeros(len(words) + 1, dtype=np.int64)
-                    cover[starts] += 1
-                    cover[starts + window] -= 1
-                    kept = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
-                    out.append((len(words), len(words) - len(kept), _joined([words[i] for i in kept])))
-                yield _result(part, out)
+                part = b.slice(at, 256)
+                n, removed, kept = zip(*(one(raw or b"", hits) for raw, hits in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)), strict=True)
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return run
 

@@ -1,15 +1,29 @@
-"""Words of a UTF-8 text as numpy arrays, and hashes of word sequences.
+"""Words of a UTF-8 text as numpy arrays, and hashes of words and of runs of words.
 
-A text's bytes are looked at once: a table says which bytes belong to words, polynomial prefix sums
-modulo 2^64 give each word's hash and each window's hash, and a finaliser mixes them.
+A word's bytes are taken eight at a time, each lane going through a keyed bijection that spreads all
+bits, so no sum over a word's bytes decides its hash. Runs are polynomials of word hashes modulo the
+prime 2^61 - 1, from prefix sums: two different runs of n words agree for at most n of the 2^61 bases
+there are, whatever the words; modulo 2^64, texts made of two words in a regular pattern collide.
+
+These hashes find candidates. What is taken out as equal is compared by its words or by a digest of
+them (`digest`).
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-ONE = np.uint64(1)
-_ODD = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93, "check": 0xC2B2AE3D27D4EB4F}
+U = np.uint64
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = U(PRIME), U((1 << 31) - 1), U((1 << 30) - 1)
+#: Bases of the polynomials, by purpose: arbitrary numbers below the prime.
+_BASE = {"word": 0x15EED1CE4E5B97F3, "check": 0x0B492B66FBE98F27}
+_WORD_KEY, _LANE_KEY = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+#: Words of more bytes are hashed by a digest.
+LANES = 8
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
 _powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -29,23 +43,14 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit (the splitmix64 finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
 
-def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of an odd base and of its inverse modulo 2^64."""
-    have = _powers.get(kind)
-    if have is None or len(have[0]) < n:
-        size, base = max(1 << 14, 1 << (n - 1).bit_length()), _ODD[kind]
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
-        have = _powers[kind] = (pair[0], pair[1])
-    return have[0][:n], have[1][:n]
+def digest(raw: bytes, size: int = 16) -> bytes:
+    """A cryptographic digest: texts with equal digests are equal."""
+    return blake2b(raw, digest_size=size).digest()
 
 
 def spans(raw: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,27 +65,95 @@ def spans(raw: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 def word_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word."""
     if not len(starts):
-        return np.empty(0, dtype=np.uint64)
-    up, down = _power("byte", len(a) + 1)
-    total = np.zeros(len(a) + 1, dtype=np.uint64)
-    np.cumsum((a.astype(np.uint64) + ONE) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return np.empty(0, dtype=U)
+    padded = np.zeros(len(a) + 8, dtype=np.uint8)
+    padded[: len(a)] = a
+    lanes = np.ndarray(len(a) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+    size = ends - starts
+    h = mix(mix(size.astype(U) ^ _WORD_KEY) ^ (lanes[starts] & _MASKS[np.minimum(size, 8)]))
+    more = np.flatnonzero(size > 8)
+    for lane in range(1, LANES):
+        if not len(more):
+            break
+        left = size[more] - 8 * lane
+        h[more] = mix((h[more] + _LANE_KEY) ^ (lanes[starts[more] + 8 * lane] & _MASKS[np.minimum(left, 8)]))
+        more = more[left > 8]
+    for i in more.tolist():
+        h[i] = int.from_bytes(digest(a[starts[i] : ends[i]].tobytes(), 8), "little")
+    return h
+
+
+# --- arithmetic modulo 2^61 - 1 -------------------------------------------------------------------
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of values below the prime, modulo the prime, by halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> U(31), a & _LOW31, b >> U(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << U(1)) + (middle >> U(30)) + ((middle & _LOW30) << U(31)) + a0 * b0)
+
+
+def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a >= b, a - b, a + _P - b)
+
+
+def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1 of a base and of its inverse."""
+    have = _powers.get(kind)
+    if have is None or len(have[0]) < n:
+        pair = []
+        for base in (_BASE[kind], pow(_BASE[kind], -1, PRIME)):
+            p = np.ones(1, dtype=U)
+            while len(p) < max(n, 1 << 14):
+                p = np.concatenate((p, _times(p, U(pow(base, len(p), PRIME)))))
+            pair.append(p)
+        have = _powers[kind] = (pair[0], pair[1])
+    return have[0][:n], have[1][:n]
+
+
+class Runs:
+    """Hashes of any runs of a sequence of word hashes."""
+
+    def __init__(self, words: np.ndarray, kind: str = "word") -> None:
+        up, self.down = _power(kind, len(words) + 1)
+        terms = _times(_reduced(words), up[:-1])
+        low, high = np.cumsum(terms & _LOW31, dtype=U), np.cumsum(terms >> U(31), dtype=U)
+        self.total = np.zeros(len(words) + 1, dtype=U)
+        self.total[1:] = _reduced(_times(_reduced(high), U(1 << 31)) + _reduced(low))
+
+    @staticmethod
+    def _ended(value: np.ndarray, size) -> np.ndarray:
+        return mix(value ^ mix(np.atleast_1d(size).astype(U)))
+
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words from start to before end."""
+        return self._ended(_times(_less(self.total[end], self.total[start]), self.down[start]), end - start)
+
+    def without_one(self, start: int, end: int) -> np.ndarray:
+        """Hash of the words from start to before end without each one of them, as between() has it of the shorter run."""
+        at = np.arange(start, end)
+        left = _times(_less(self.total[at], self.total[start]), self.down[start])
+        right = _times(_less(self.total[end], self.total[at + 1]), self.down[start + 1])  # one place nearer
+        return self._ended(_reduced(left + right), end - start - 1)
 
 
-def window_hashes(words: np.ndarray, k: int, kind: str = "word") -> np.ndarray:
+def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each run of k consecutive words; none if there are fewer."""
     n = len(words) - k + 1
     if n <= 0 or k <= 0:
-        return np.empty(0, dtype=np.uint64)
-    up, down = _power(kind, len(words) + 1)
-    total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up[:-1], out=total[1:])
-    return mix((total[k:] - total[:n]) * down[:n] + np.uint64(k))
+        return np.empty(0, dtype=U)
+    at = np.arange(n)
+    return Runs(words).between(at, at + k)
 
 
 def shingles(raw: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of a text's k-word shingles, A-Z lower-cased; a shorter text's whole sequence is one."""
     if not raw:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=U)
     words = word_hashes(*spans(raw.translate(LOWER), SPACED))
     return np.unique(window_hashes(words, min(k, len(words))))

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadaster.llm import chat_format, decontaminate, jaccard_join, line_crf, line_dedup, packing, quality_bt, queries, substring_dedup, toxicity_ftrl, url_filter
+from cadaster.llm import chat_format, decontaminate, jaccard_join, line_crf, line_dedup, packing, quality_bt, queries, substring_dedup, text, toxicity_ftrl, url_filter
+from cadaster.llm.shared import saved
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,8 +76,8 @@ def test_substrings_brute_force(docs, texts):
 @pytest.mark.parametrize("k, t", [(4, Fraction(85, 100)), (5, Fraction(80, 100)), (2, Fraction(1, 2))])
 def test_jaccard_brute_force(docs, texts, k, t):
     sets = {}
-    for i, text in texts.items():
-        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in found_words(text)]
+    for i, given in texts.items():
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in found_words(given)]
         sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
     parent = {i: i for i in sets}
 
@@ -108,6 +109,65 @@ def test_segments_meet_within_the_distance():
                 assert len(np.intersect1d(jaccard_join.keys(a, 1, h + 1 - k, k), jaccard_join.keys(b, 1, h + 1 - k, k)))
 
 
+def thue_morse(n, a, b):
+    return [(a, b)[i.bit_count() & 1] for i in range(n)]
+
+
+def test_regular_patterns_do_not_collide(spark):
+    """Sequences on which polynomials modulo a power of two agree, as words, lines, windows and sets."""
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    for t in (one, two):
+        assert len(text.word_hashes(*text.spans("".join(t).encode(), text.SPACED))) == 1
+    whole = [text.word_hashes(*text.spans("".join(t).encode(), text.SPACED))[0] for t in (one, two)]
+    runs = [text.window_hashes(text.word_hashes(*text.spans(" ".join(t).encode(), text.SPACED)), 2048)[0] for t in (one, two)]
+    assert whole[0] != whole[1] and runs[0] != runs[1]
+    rows = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, "".join(one)), (4, "".join(two))], "doc_id long, text string")
+    assert all(r.n_removed == 0 and r.n_lines == 1 for r in line_dedup.dedup(rows).collect())
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(rows, 2048).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert all(r.component_id == r.doc_id for r in jaccard_join.link(rows, 2048).collect())
+
+
+def test_word_and_run_hashes():
+    rng = random.Random(9)
+    for size in (1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 300):
+        made = {bytes(rng.choice(b"ab") for _ in range(size)) for _ in range(300)}
+        assert len({int(text.word_hashes(*text.spans(w, text.SPACED))[0]) for w in made}) == len(made)
+        assert {tuple(text.word_hashes(*text.spans(b"x " + w + b" y", text.SPACED)))[1] for w in made} == {text.word_hashes(*text.spans(w, text.SPACED))[0] for w in made}
+    w = text.word_hashes(*text.spans(" ".join(words(rng, 500)).encode(), text.SPACED))
+    for kind in ("word", "check"):
+        runs = text.Runs(w, kind)
+        for start, end in ((0, 500), (3, 40), (77, 78), (200, 260)):
+            alone = text.Runs(w[start:end], kind)
+            assert runs.between(np.array([start]), np.array([end])) == alone.between(np.array([0]), np.array([end - start]))
+            shorter = [text.Runs(np.delete(w[start:end], i), kind).between(np.array([0]), np.array([end - start - 1]))[0] for i in range(end - start)]
+            assert runs.without_one(start, end).tolist() == shorter
+
+
+def test_blocks_lose_no_repeat(spark):
+    """Anchors in two documents pass every block's sketch, however few its counters."""
+    rng = random.Random(4)
+    passage = words(rng, 70, 9999)
+    rows = [(i, " ".join(words(rng, 80, 9999) + (passage if i % 7 == 0 else []))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
+    for blocks in (1, 5, 64):
+        dealt = saved(substring_dedup.anchors_by_block(docs, blocks), "anchors")
+        found = {r.doc_id: set(r.anchors) for r in substring_dedup.estimated_repeated(dealt, substring_dedup.sketch(dealt)).collect()}
+        every = Counter(h for r in dealt.collect() for h in r.hashes)
+        assert {h for hs in found.values() for h in hs} >= {h for h, n in every.items() if n > 1} and set(found) >= {i for i, _ in rows if i % 7 == 0}
+
+
+@pytest.mark.parametrize("least", [2, 3, 5, 8])
+def test_edited_lines_meet(least):
+    """Lines one edit apart share a pair of thirds, whatever their length."""
+    rng = random.Random(least)
+    keys = lambda w: {int(k[0]) for k, there in line_dedup.thirds_of(text.Runs(text.word_hashes(*text.spans(" ".join(w).encode(), text.SPACED))), np.array([0]), np.array([len(w)])) if there[0]}
+    for n in [*range(least, 40), 70, 200, 600]:
+        a, at = words(rng, n, 50), rng.randrange(n)
+        for b in (a[:at] + a[at + 1 :], a[:at] + ["new"] + a[at + 1 :], a[:at] + ["new"] + a[at:]):
+            if len(b) >= least:
+                assert keys(a) & keys(b), (n, at)
+
+
 def test_line_edits(spark):
     base = "one two three four five six seven eight nine".split()
     cases = {1: base, 2: [*base[:4], "X", *base[5:]], 3: base[1:], 4: [*base, "ten"], 5: ["X", *base[1:8], "Y"], 6: base[:7], 7: [*base[:4], "X", *base[5:8], "Z"]}
