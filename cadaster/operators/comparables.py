@@ -61,11 +61,12 @@ def mark_duplicates(rows: DataFrame, days: int = DUPLICATE_DAYS) -> DataFrame:
     """
     key = F.when(F.col("sale_date").isNotNull() & (F.coalesce("address", F.lit("")) != ""), text.address_key(F.col("address")))
     rows = rows.withColumn("address_key", key)
+    # sales without an address or a date share a group, in which none is a duplicate
     row = F.struct(
         (-F.coalesce("price_per_sqm_eur", F.lit(0.0))).alias("o1"), (-F.unix_date("sale_date")).alias("o2"),
         *(F.col(c) for c in rows.columns if c not in ("subject_id", "address_key")),
     )
-    folded = rows.where("address_key IS NOT NULL").groupBy("subject_id", "address_key").agg(F.sort_array(F.collect_list(row)).alias("sales"))
+    folded = rows.groupBy("subject_id", "address_key").agg(F.sort_array(F.collect_list(row)).alias("sales"))
     start = F.struct(F.expr("cast(array() AS array<int>)").alias("kept"), F.expr("cast(array() AS array<boolean>)").alias("flags"))
 
     def step(acc, sale):
@@ -73,9 +74,9 @@ def mark_duplicates(rows: DataFrame, days: int = DUPLICATE_DAYS) -> DataFrame:
         near = F.exists(acc["kept"], lambda k: F.abs(k - day) < days)
         return F.struct(F.when(near, acc["kept"]).otherwise(F.array_append(acc["kept"], day)).alias("kept"), F.array_append(acc["flags"], near).alias("flags"))
 
-    folded = folded.withColumn("flags", F.aggregate("sales", start, step, lambda acc: acc["flags"]))
-    flat = folded.select("subject_id", "address_key", F.explode(F.arrays_zip(F.col("sales").alias("sale"), F.col("flags").alias("duplicate"))).alias("x")).select("subject_id", "address_key", "x.sale.*", "x.duplicate").drop("o1", "o2")
-    return flat.unionByName(rows.where("address_key IS NULL").withColumn("duplicate", F.lit(False)))
+    flags = F.when(F.col("address_key").isNull(), F.array_repeat(F.lit(False), F.size("sales"))).otherwise(F.aggregate("sales", start, step, lambda acc: acc["flags"]))
+    folded = folded.withColumn("flags", flags)
+    return folded.select("subject_id", "address_key", F.explode(F.arrays_zip(F.col("sales").alias("sale"), F.col("flags").alias("duplicate"))).alias("x")).select("subject_id", "address_key", "x.sale.*", "x.duplicate").drop("o1", "o2")
 
 
 def exclusion_reason(rows: DataFrame) -> DataFrame:
@@ -125,13 +126,15 @@ def similarity() -> Column:
 
 
 def mark_outliers(rows: DataFrame) -> DataFrame:
-    """Adds `z`, and the reason of sales whose log price lies too many scaled median deviations off."""
+    """Adds `z`, and the reason of sales whose log price lies too many scaled median deviations off.
+
+    Both medians are windows over a subject's sales, as the ranking is: one shuffle serves all three.
+    """
     ok = F.col("reason").isNull() & (F.col("price_per_sqm_eur") > 0)
+    w = W.partitionBy("subject_id")
     rows = rows.withColumn("log_price", F.when(ok, F.ln("price_per_sqm_eur")))
-    centre = rows.where("log_price IS NOT NULL").groupBy("subject_id").agg(F.percentile("log_price", 0.5).alias("centre"), F.count("*").alias("n"))
-    rows = rows.join(centre, "subject_id", "left")
-    spread = rows.where("log_price IS NOT NULL").groupBy("subject_id").agg(F.percentile(F.abs(F.col("log_price") - F.col("centre")), 0.5).alias("mad"))
-    rows = rows.join(spread, "subject_id", "left")
+    rows = rows.withColumns({"centre": F.percentile("log_price", 0.5).over(w), "n": F.count("log_price").over(w)})
+    rows = rows.withColumn("mad", F.percentile(F.abs(F.col("log_price") - F.col("centre")), 0.5).over(w))
     z = F.when((F.col("n") >= OUTLIER_SAMPLE) & (F.col("mad") >= OUTLIER_MAD), (F.col("log_price") - F.col("centre")) / (1.4826 * F.col("mad")))
     flat = F.col("property_type") == "appartement"
     low, high = (F.when(flat, OUTLIER_Z["appartement"][i]).otherwise(OUTLIER_Z["maison"][i]) for i in (0, 1))
