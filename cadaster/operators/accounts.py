@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,51 +14,78 @@ from cadaster.functions import numbers, text
 TABLES = ["actif", "passif", "compte_resultat"]
 
 #: For each table and canonical key, labels that stand for its total, and labels of its details.
-#: A caller with more labels passes a dictionary table of its own.
+#: entries() adds the forms that follow from these. A caller with more labels passes a dictionary table of its own.
 LABELS = {
     "actif": {
-        "immobilisations_corporelles": (["immobilisations corporelles", "total immobilisations corporelles"], ["terrains", "constructions", "installations techniques", "materiel et outillage"]),
-        "immobilisations_financieres": (["immobilisations financieres", "total immobilisations financieres"], ["participations", "autres participations", "prets"]),
-        "stocks": (["stocks", "stocks et en cours"], ["matieres premieres", "marchandises", "en cours de production"]),
+        "immobilisations_corporelles": (["immobilisations corporelles"], ["terrains", "constructions", "installations techniques", "materiel et outillage", "materiel", "autres immobilisations corporelles", "avances et acomptes sur immobilisations corporelles"]),
+        "immobilisations_financieres": (["immobilisations financieres"], ["participations", "autres participations", "creances rattachees a des participations", "autres titres immobilises", "prets", "autres immobilisations financieres"]),
+        "stocks": (["stocks", "stocks et en cours"], ["matieres premieres", "en cours de production", "produits intermediaires et finis", "marchandises"]),
+        "creances": (["creances"], []),
         "creances_clients": (["creances clients", "clients et comptes rattaches", "clients"], []),
-        "autres_creances": (["autres creances"], ["personnel", "taxe sur la valeur ajoutee"]),
+        "autres_creances": (["autres creances"], ["personnel", "etat et autres collectivites publiques", "securite sociale et autres organismes sociaux", "impots sur les benefices", "taxes sur la valeur ajoutee", "fournisseurs debiteurs avances et acomptes"]),
+        "tresorerie": (["tresorerie"], []),
         "disponibilites": (["disponibilites"], ["banques", "caisse"]),
-        "vmp": (["valeurs mobilieres de placement"], []),
+        "vmp": (["valeurs mobilieres de placement", "vmp"], []),
         "charges_constatees_avance": (["charges constatees d avance"], []),
-        "autres_actif_residuel": (["immobilisations incorporelles"], ["fonds commercial", "frais d etablissement"]),
-        "total_actif": (["total actif", "total general actif"], []),
+        "autres_actif_residuel": (
+            ["immobilisations incorporelles", "capital souscrit non appele", "avances et acomptes verses sur commandes"],
+            ["frais d etablissement", "frais de recherche et de developpement", "concessions brevets licences marques procedes", "fonds commercial", "capital souscrit appele non verse"],
+        ),
+        "total_actif": (["total actif", "total general actif", "total general"], []),
     },
     "passif": {
-        "capitaux_propres": (["capitaux propres", "total capitaux propres"], []),
-        "capitaux_propres_detail": ([], ["capital social", "reserves", "report a nouveau"]),
-        "dettes_bancaires": (["dettes bancaires"], ["emprunts aupres des etablissements de credit"]),
-        "autres_dettes_financieres": (["dettes financieres diverses"], ["comptes courants d associes"]),
-        "fournisseurs": (["dettes fournisseurs", "fournisseurs"], []),
-        "dettes_fiscales_sociales": (["dettes fiscales et sociales"], []),
+        "capital_social": (["capital social", "capital individuel", "capital"], []),
+        "resultat_exercice": (["resultat de l exercice", "resultat", "resultat net", "benefice", "perte"], []),
+        "capitaux_propres": (["capitaux propres"], []),
+        "capitaux_propres_detail": ([], ["primes d emission", "primes d apport", "primes de fusion scission", "ecarts de reevaluation", "reserve legale", "reserves", "autres reserves", "reserves reglementees", "report a nouveau", "subventions d investissement", "provisions reglementees"]),
+        "provisions_pour_risques": (["provisions pour risques", "provisions", "provisions pour risques et charges"], []),
+        "provisions_pour_charges": (["provisions pour charges"], []),
+        "dettes_bancaires": (["dettes bancaires", "emprunts bancaires", "emprunts aupres des etablissements de credit", "emprunts et dettes aupres des etablissements de credit"], []),
+        "autres_dettes_financieres": (["autres dettes financieres", "comptes courants d associes", "comptes courants", "cca", "emprunts et dettes financieres divers", "emprunts et dettes financieres diverses"], ["emprunts obligataires", "emprunts obligataires convertibles", "autres emprunts obligataires"]),
+        "dettes_financieres": (["dettes financieres"], []),
+        "fournisseurs": (["fournisseurs", "fournisseurs et comptes rattaches", "dettes fournisseurs"], []),
+        "dettes_fiscales_sociales": (["dettes fiscales et sociales"], ["dettes sociales", "dettes fiscales"]),
+        "dettes_exploitation": (["dettes d exploitation"], []),
         "dettes_diverses": (["autres dettes", "dettes diverses"], []),
-        "provisions_pour_risques": (["provisions pour risques"], []),
+        "autres_passif_residuel": (["dettes sur immobilisations", "dettes sur immobilisations et comptes rattaches"], []),
         "produits_constates_avance": (["produits constates d avance"], []),
-        "total_passif": (["total passif", "total general passif"], []),
+        "total_passif": (["total passif", "total general passif", "total general"], []),
     },
     "compte_resultat": {
-        "chiffre_affaires": (["chiffre d affaires", "chiffre d affaires net"], ["ventes de marchandises", "production vendue"]),
-        "charges": (["total des charges d exploitation", "charges d exploitation"], []),
+        "chiffre_affaires": (["chiffre d affaires", "chiffre d affaires net", "montant net du chiffre d affaires", "ca"], ["ventes de marchandises", "production vendue", "production vendue de biens", "production vendue de services"]),
+        "production_stockee": (["production stockee"], ["production immobilisee"]),
+        "subventions_exploitation": (["subventions d exploitation"], []),
+        "reprises_exploitation": (["reprises sur amortissements et provisions", "reprises sur amortissements et provisions transferts de charges", "reprises sur depreciations et provisions"], ["transferts de charges"]),
+        "autres_produits_exploitation": (["autres produits", "autres produits d exploitation"], []),
+        "charges": (["charges d exploitation"], []),
         "achats_marchandises": (["achats de marchandises"], []),
-        "autres_charges_externes": (["autres achats et charges externes"], []),
-        "salaires": (["salaires et traitements"], []),
-        "charges_sociales": (["charges sociales"], []),
-        "impots_taxes": (["impots et taxes"], []),
-        "dotations_amortissements": (["dotations aux amortissements"], []),
+        "variation_stock_marchandises": (["variation de stock de marchandises", "variation des stocks de marchandises"], []),
+        "achats_matieres_premieres": (["achats de matieres premieres", "achats de matieres et autres approvisionnements"], []),
+        "variation_stock_matieres_premieres": (["variation de stock de matieres premieres", "variation des stocks de matieres premieres et approvisionnements"], []),
+        "autres_charges_externes": (["autres achats et charges externes", "achats et charges externes", "achats et approvisionnements", "charges externes"], []),
+        "salaires": (["salaires et traitements", "salaires", "remunerations du personnel"], []),
+        "charges_sociales": (["charges sociales", "charges sociales du personnel"], []),
+        "impots_taxes": (["impots et taxes", "impots taxes et versements assimiles", "impots et versements assimiles"], []),
+        "dotations_amortissements": (["dotations aux amortissements", "dotations aux amortissements sur immobilisations"], []),
+        "dotations_provisions": (["dotations aux provisions", "dotations aux depreciations"], []),
+        "dotations": (["dotations", "dotations d exploitation", "dotations aux amortissements et provisions", "dotations aux amortissements depreciations et provisions"], []),
+        "autres_charges_exploitation": (["autres charges", "autres charges d exploitation"], []),
         "resultat_exploitation": (["resultat d exploitation"], []),
+        "operations_en_commun": (["operations en commun"], []),
         "resultat_financier": (["resultat financier"], []),
         "resultat_courant_avant_impots": (["resultat courant avant impots"], []),
         "resultat_exceptionnel": (["resultat exceptionnel"], []),
-        "impots_sur_les_societes": (["impots sur les benefices"], []),
+        "impots_sur_les_societes": (["impots sur les benefices", "impots sur les societes", "is"], []),
+        "participation_salaries": (["participation des salaries aux resultats", "participation des salaries aux resultats de l entreprise"], []),
         "resultat_net": (["resultat net", "benefice ou perte"], []),
     },
 }
 #: Labels of sections, which stand for no key.
-SECTIONS = {"actif": ["actif immobilise", "actif circulant"], "passif": ["dettes"], "compte_resultat": ["produits", "charges"]}
+SECTIONS = {
+    "actif": ["actif immobilise", "actif circulant"],
+    "passif": ["dettes", "dettes divers"],
+    "compte_resultat": ["produits", "charges", "produits d exploitation", "produits financiers", "charges financieres", "produits exceptionnels", "charges exceptionnelles"],
+}
 
 #: Metrics that are sums of keys; a minus sign subtracts.
 COMPONENTS = {
@@ -67,9 +95,13 @@ COMPONENTS = {
     "dettes_exploitation": ["fournisseurs", "dettes_fiscales_sociales"],
     "dettes_financieres": ["dettes_bancaires", "autres_dettes_financieres"],
     "autres_passif": ["provisions_pour_risques", "provisions_pour_charges", "produits_constates_avance", "autres_passif_residuel"],
+    "charges": ["achats_marchandises", "variation_stock_marchandises", "achats_matieres_premieres", "variation_stock_matieres_premieres", "autres_charges_externes"],
     "salaires_charges_sociales": ["salaires", "charges_sociales"],
     "dotations": ["dotations_amortissements", "dotations_provisions"],
+    "autres_elements": ["-production_stockee", "-subventions_exploitation", "-reprises_exploitation", "-autres_produits_exploitation", "autres_charges_exploitation"],
 }
+#: Metrics that an answer `bilan_<metric>_<n or n1>` gives where no line does.
+ANSWERED = ["immobilisations_corporelles", "immobilisations_financieres", "stocks", "capital_social", "resultat_exercice", "capitaux_propres", "dettes_diverses", "dettes_bancaires", "chiffre_affaires"]
 ASSETS = ["immobilisations_corporelles", "immobilisations_financieres", "stocks", "creances_clients", "autres_creances", "disponibilites", "vmp", "charges_constatees_avance", "autres_actif_residuel"]
 LIABILITIES = ["capitaux_propres", "dettes_bancaires", "autres_dettes_financieres", "fournisseurs", "dettes_fiscales_sociales", "dettes_diverses", "provisions_pour_risques", "produits_constates_avance"]
 EXPENSES = ["achats_marchandises", "autres_charges_externes", "salaires", "charges_sociales", "impots_taxes", "dotations_amortissements"]
@@ -77,16 +109,32 @@ CRITICAL = ["total_actif", "total_passif", "chiffre_affaires", "charges", "resul
 TOLERANCE = 0.05
 
 
+def _forms(label: str) -> list[str]:
+    """A total's label and what follows from it: with `total` before it, and with its small words left out."""
+    short = " ".join(w for w in label.split() if w not in ("d", "l", "de", "des", "du", "et"))
+    return [label, *(f"{t} {label}" for t in ("total", "total des") if not label.startswith("total")), short]
+
+
 def entries() -> list[tuple[str, int, str, str | None, bool]]:
-    """(table, order, label key, canonical key, is total) of the default dictionary."""
+    """(table, order, label key, canonical key, is total) of the default dictionary; the first of equal labels counts."""
     out = []
     for table, keys in LABELS.items():
-        rows = [(label, key, total) for key, both in keys.items() for total, labels in zip((True, False), both, strict=True) for label in labels]
-        rows += [(label, None, True) for label in SECTIONS[table]]
-        out += [(table, i, label.replace(" ", ""), key, total) for i, (label, key, total) in enumerate(rows)]
+        given = [(label, key, total) for key, both in keys.items() for total, labels in zip((True, False), both, strict=True) for label in labels]
+        given += [(label, None, True) for label in SECTIONS[table]]
+        follow = [(form, key, True) for label, key, total in given if total for form in _forms(label)[1:]]
+        rows = {label.replace(" ", ""): (key, total) for label, key, total in reversed(given + follow)}
+        out += [(table, i, label, key, total) for i, (label, (key, total)) in enumerate(reversed(rows.items()))]
     return out
 
 
+MOST_WORDS = 20_000
+
+
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """rows, marked for broadcast if they are counted to be `most` at most; a larger table is joined as Spark sees fit."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(entries(), "table_type string, rank int, label_key string, key string, is_total boolean")
 
@@ -98,12 +146,14 @@ def label_key(label: Column) -> Column:
 def map_labels(lines: DataFrame, words: DataFrame) -> DataFrame:
     """Adds key and is_total by the dictionary: an equal label, else the longest one, of six letters at least, that the label contains.
 
-    The dictionary is a list of words and is broadcast; labels are mapped once each, not once a line.
+    The dictionary is a list of words: it is broadcast where it has MOST_WORDS entries at most; labels
+    are mapped once each, not once a line.
     """
+    words = small(words, MOST_WORDS)
     labels = lines.select("table_type", "poste").distinct().withColumn("label_key", label_key(F.col("poste")))
-    exact = labels.join(F.broadcast(words), ["table_type", "label_key"], "left").withColumn("exact", F.col("rank").isNotNull())
+    exact = labels.join(words, ["table_type", "label_key"], "left").withColumn("exact", F.col("rank").isNotNull())
     open_ = exact.where("NOT exact").select("table_type", "poste", "label_key")
-    longest = F.broadcast(words.where("key IS NOT NULL AND length(label_key) >= 6").withColumnRenamed("label_key", "part"))
+    longest = words.where("key IS NOT NULL AND length(label_key) >= 6").withColumnRenamed("label_key", "part")
     near = open_.join(longest, "table_type").where(F.contains(F.col("label_key"), F.col("part")))
     best = near.groupBy("table_type", "poste").agg(F.max_by(F.struct("key", "is_total"), F.struct(F.length("part"), -F.col("rank"))).alias("m")).select("table_type", "poste", F.col("m.key").alias("near_key"), F.col("m.is_total").alias("near_total"))
     known = exact.join(best, ["table_type", "poste"], "left").select(
@@ -142,18 +192,25 @@ def keyed_rows(rows: DataFrame, words: DataFrame) -> DataFrame:
     return mapped.groupBy("company", "table_type", "key", "n", "n1").agg(F.min("idx").alias("idx"))
 
 
-def metrics(lines: DataFrame) -> DataFrame:
+def metrics(lines: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """company, metric, n, n1: sums of components if all are there, else the line itself, else a partial sum.
 
-    Metrics without components are their lines.
+    Metrics without components are their lines, else what is answered. answers: company, field_id, value.
     """
-    parts = [(m, k, len(ks)) for m, ks in COMPONENTS.items() for k in ks]
-    rules = F.broadcast(lines.sparkSession.createDataFrame(parts, "metric string, key string, needed int"))
-    sums = lines.join(rules, "key").groupBy("company", "metric", "needed").agg(*(f(c).alias(f"{c}_{s}") for c in ("n", "n1") for s, f in (("sum", F.sum), ("count", F.count))))
+    parts = [(m, k.lstrip("-"), -1.0 if k.startswith("-") else 1.0, len(ks)) for m, ks in COMPONENTS.items() for k in ks]
+    rules = F.broadcast(lines.sparkSession.createDataFrame(parts, "metric string, key string, sign double, needed int"))  # COMPONENTS' rows
+    sums = lines.join(rules, "key").groupBy("company", "metric", "needed").agg(*(x for c in ("n", "n1") for x in (F.sum(F.col("sign") * F.col(c)).alias(f"{c}_sum"), F.count(c).alias(f"{c}_count"))))
     own = lines.groupBy("company", F.col("key").alias("metric")).agg(F.min_by("n", "idx").alias("n"), F.min_by("n1", "idx").alias("n1"))
     both = own.join(sums, ["company", "metric"], "full_outer")
     pick = lambda c: F.when(F.col(f"{c}_count") == F.col("needed"), F.col(f"{c}_sum")).otherwise(F.coalesce(c, f"{c}_sum")).alias(c)
-    return both.select("company", "metric", pick("n"), pick("n1"))
+    found = both.select("company", "metric", pick("n"), pick("n1"))
+    if answers is None:
+        return found
+    name = F.regexp_extract("field_id", r"^bilan_(.+)_(n1?)$", 1)
+    told = answers.withColumns({"metric": name, "period": F.regexp_extract("field_id", r"_(n1?)$", 1)}).where(F.col("metric").isin(ANSWERED))
+    value = lambda p: F.max(F.when(F.col("period") == p, F.regexp_replace("value", r"[\s\u00a0]", "").try_cast("double"))).alias(f"told_{p}")
+    told = told.groupBy("company", "metric").agg(value("n"), value("n1"))
+    return found.join(told, ["company", "metric"], "full_outer").select("company", "metric", F.coalesce("n", "told_n").alias("n"), F.coalesce("n1", "told_n1").alias("n1"))
 
 
 def by_key(lines: DataFrame) -> DataFrame:
@@ -245,12 +302,15 @@ def with_margins(rows: DataFrame) -> DataFrame:
 def group_values(lines: DataFrame, groups: DataFrame) -> DataFrame:
     """company, label, n, n1: the sums of each group's sources, by code, else by normalised label; null if none is found.
 
-    lines: company, code, label, n, n1. groups: label, sources.
+    lines: company, code, label, n, n1. groups: label, sources; written by hand, MOST_WORDS sources at most.
     """
     norm = lambda c: text.without_marks(F.lower(F.trim(c)))
     last = lambda key: lines.where(key != "").groupBy("company", key.alias("source")).agg(F.max_by(F.struct("n", "n1"), "ordinal").alias("v"))
-    wanted = groups.select(F.lit(1).alias("one"), "label", F.explode("sources").alias("source"))  # a list of words, as the dictionary
-    asked = lines.select("company").distinct().withColumn("one", F.lit(1)).join(F.broadcast(wanted), "one").drop("one")
+    wanted = [(r.label, x) for r in groups.limit(MOST_WORDS + 1).collect() for x in r.sources]
+    if len(wanted) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} sources of groups")
+    pair = F.from_json(F.lit(json.dumps([{"label": a, "source": b} for a, b in wanted])), "array<struct<label: string, source: string>>")
+    asked = lines.select("company").distinct().select("company", F.inline(pair))
     by_code = last(F.col("code")).withColumnRenamed("v", "by_code")
     by_label = last(norm(F.col("label"))).withColumnsRenamed({"v": "by_label", "source": "norm"})
     found = asked.withColumn("norm", norm(F.col("source"))).join(by_code, ["company", "source"], "left").join(by_label, ["company", "norm"], "left")
@@ -298,8 +358,25 @@ def primary_value(side: Column, columns: Column, suffix: str = "") -> Column:
     return out
 
 
+#: A payload that is flat already: entries of a year, lines of a side.
+FLAT = "struct<entries: array<struct<y: string, lines: array<struct<section: int, side: string, code: string, label: string, n: double, n1: double>>>>>"
+
+
+def flat_filings(filings: DataFrame) -> DataFrame:
+    """The lines of payloads that are flat already, as flatten_filings() has them."""
+    rows = filings.select("siren", F.posexplode(F.from_json("payload", FLAT)["entries"]).alias("entry", "e"))
+    rows = rows.select("siren", F.col("e.y").alias("year"), "entry", F.posexplode("e.lines").alias("line_index", "l"))
+    return rows.select("siren", "year", "entry", F.coalesce("l.section", F.lit(0)).alias("section_index"), "line_index", "l.side", "l.code", "l.label", "l.n", "l.n1")
+
+
 def flatten_filings(filings: DataFrame) -> DataFrame:
-    """One row per line of each filing (siren, payload): year, side, code, label, n, n1."""
+    """One row per line of each filing (siren, payload): year, side, code, label, n, n1; payloads with `entries` are flat already."""
+    is_flat = F.coalesce(F.get_json_object("payload", "$.entries").isNotNull(), F.lit(False))
+    nested, filings = filings.where(~is_flat), filings.where(is_flat)
+    return _flatten(nested).unionByName(flat_filings(filings))
+
+
+def _flatten(filings: DataFrame) -> DataFrame:
     rows = filings.select("siren", F.explode(F.from_json("payload", FILING)).alias("year", "entries")).select("siren", "year", F.posexplode_outer("entries").alias("entry", "e"))
     rows = rows.select("siren", "year", "entry", F.posexplode_outer("e.sections").alias("section_index", "s")).select("siren", "year", "entry", "section_index", F.col("s.libelle").alias("section"), F.posexplode_outer("s.liasses").alias("line_index", "l"))
     columns = F.map_from_entries(F.transform(F.col("l.colonnes"), lambda c: F.struct(F.coalesce(c["libelle"], F.lit("")), c["valeur"])))

@@ -11,9 +11,9 @@ from cadaster.sources.views import files, table
 
 # labels of raw lines, by table: equal ones, ones that contain a known label, sections, unknown ones
 _POSTES = {
-    "actif": ["Immobilisations corporelles", "Terrains", "Constructions", "Stocks", "Total créances clients nettes", "Autres créances", "Disponibilités", "Actif circulant", "Total actif", "Divers inconnu", "Fonds commercial", "1. Marchandises"],
-    "passif": ["Capital social", "Réserves", "Capitaux propres", "Dettes fournisseurs", "Emprunts auprès des établissements de crédit", "Dettes fiscales et sociales", "Total passif", "Dettes", "Zzz", "Autres dettes à court terme"],
-    "compte_resultat": ["Chiffre d'affaires net", "Ventes de marchandises", "Charges d'exploitation", "Salaires et traitements", "Charges sociales", "Résultat d'exploitation", "Résultat financier", "Résultat courant avant impôts", "Résultat exceptionnel", "Impôts sur les bénéfices", "Résultat net", "Achats de marchandises (détail)", "Autre"],
+    "actif": ["Immobilisations corporelles", "Terrains", "Constructions", "Stocks", "Total créances clients nettes", "Autres créances", "Disponibilités", "Actif circulant", "Total actif", "Divers inconnu", "Fonds commercial", "1. Marchandises", "Total des stocks", "Trésorerie nette", "VMP"],
+    "passif": ["Capital social", "Réserves", "Capitaux propres", "Dettes fournisseurs", "Emprunts auprès des établissements de crédit", "Dettes fiscales et sociales", "Total passif", "Dettes", "Zzz", "Autres dettes à court terme", "Résultat de l'exercice", "Provisions pour charges", "Comptes courants d'associés"],
+    "compte_resultat": ["Chiffre d'affaires net", "Ventes de marchandises", "Charges d'exploitation", "Salaires et traitements", "Charges sociales", "Résultat d'exploitation", "Résultat financier", "Résultat courant avant impôts", "Résultat exceptionnel", "Impôts sur les bénéfices", "Résultat net", "Achats de marchandises (détail)", "Autre", "Production stockée", "Subventions d'exploitation", "Reprises sur amortissements et provisions", "Autres produits", "Autres charges d'exploitation", "Total des charges"],
 }
 
 
@@ -32,13 +32,14 @@ def _pick(quote, get) -> str:
 
 _SPARK_POSTE = _pick(_spark_list, lambda v, i: f"element_at({v}, {i})").replace("//", "div")
 _DUCK_POSTE = _pick(_sql_list, lambda v, i: f"{v}[{i}]")
-_LINE = """'c' || (o_custkey % 60) AS company, CASE o_orderkey % 3 WHEN 0 THEN 'actif' WHEN 1 THEN 'passif' ELSE 'compte_resultat' END AS table_type, cast(o_orderkey AS int) AS idx, {poste} AS poste,
+_COMPANY = "cast(floor(o_custkey / 10) AS int)"  # ten customers a company: as many companies as the tables ask for
+_LINE = """'c' || cast(floor(o_custkey / 10) AS int) AS company, CASE o_orderkey % 3 WHEN 0 THEN 'actif' WHEN 1 THEN 'passif' ELSE 'compte_resultat' END AS table_type, cast(o_orderkey AS int) AS idx, {poste} AS poste,
   CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 997 = 0 THEN 3e9 ELSE cast(floor(o_totalprice) AS double) END AS n, CASE WHEN o_orderkey % 7 > 0 THEN cast(floor(o_totalprice * 9 / 10) AS double) END AS n1,
   CASE WHEN o_orderkey % 4 = 0 THEN {poste} WHEN o_orderkey % 4 = 1 THEN '' END AS given_key"""
 
 
 def lines(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderkey % 4 < 2").selectExpr(*_split(_LINE.format(poste=_SPARK_POSTE)))
+    return table(spark, sf_dir, "orders").selectExpr(*_split(_LINE.format(poste=_SPARK_POSTE)))
 
 
 def _split(columns: str) -> list[str]:
@@ -75,8 +76,11 @@ def a7_keyed_rows(spark, sf_dir):
     return a.keyed_rows(lines(spark, sf_dir), a.dictionary(spark))
 
 
+_TOLD = "SELECT 'c' || cast(floor(o_custkey / 10) AS int) AS company, 'bilan_' || CASE o_orderkey % 4 WHEN 0 THEN 'stocks' WHEN 1 THEN 'capital_social' WHEN 2 THEN 'dettes_diverses' ELSE 'inconnu' END || CASE WHEN o_orderkey % 3 > 0 THEN '_n' ELSE '_n1' END AS field_id, CASE WHEN o_orderkey % 5 > 0 THEN '1 ' || (100 + o_orderkey % 900) END AS value FROM orders"
+
+
 def a8_metrics(spark, sf_dir):
-    return a.metrics(_canonical(spark, sf_dir))
+    return a.metrics(_canonical(spark, sf_dir), spark.sql(_TOLD.replace("FROM orders", "FROM {t}"), t=table(spark, sf_dir, "orders")))
 
 
 def a9_validation(spark, sf_dir):
@@ -90,8 +94,9 @@ def a10_quality(spark, sf_dir):
 
 def j20_better_answers(spark, sf_dir):
     e = table(spark, sf_dir, "orders").selectExpr("o_custkey AS company", "concat('f', o_orderkey % 5) AS field", "o_orderkey", "o_totalprice")
-    first = e.where("o_orderkey % 2 = 0").groupBy("company", "field").agg(F.max("o_orderkey").cast("string").alias("value"))
-    second = e.where("o_orderkey % 3 = 0").groupBy("company", "field").agg(F.min("o_orderkey").cast("string").alias("value"))
+    only = lambda name, k: F.when(F.col("o_orderkey") % k == 0, F.col("field")).otherwise(F.concat(F.lit(name), "field")).alias("field")
+    first = e.groupBy("company", only("first ", 2)).agg(F.max("o_orderkey").cast("string").alias("value"))
+    second = e.groupBy("company", only("second ", 3)).agg(F.min("o_orderkey").cast("string").alias("value"))
     scores = e.groupBy("company").agg(F.count_if(F.col("o_orderkey") % 2 == 0).alias("first_score"), F.count_if(F.col("o_orderkey") % 3 == 0).alias("second_score"))
     return a.better(first, second, scores)
 
@@ -119,9 +124,9 @@ def a24_result_report(spark, sf_dir):
 
 def _two_sources(spark, sf_dir):
     """Statement lines as a document and as the registry give them."""
-    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey % 60 AS company", "CASE o_orderkey % 2 WHEN 0 THEN 'compte_resultat' ELSE 'actif' END AS section", f"element_at({_spark_list(a.ORDER)}, cast(o_orderkey % 10 + 1 AS int)) AS label", "o_orderkey", "floor(o_totalprice) AS v")
-    one = lambda where: rows.where(where).groupBy("company", "section", "label").agg(F.min("o_orderkey").alias("ordinal"), F.max_by("v", "o_orderkey").cast("double").alias("n"), F.min_by("v", "o_orderkey").cast("double").alias("n1"))
-    return one("o_orderkey % 5 > 1"), one("o_orderkey % 5 < 3")
+    rows = table(spark, sf_dir, "orders").selectExpr(f"{_COMPANY} AS company", "CASE o_orderkey % 2 WHEN 0 THEN 'compte_resultat' ELSE 'actif' END AS section", f"element_at({_spark_list(a.ORDER)}, cast(o_orderkey % 10 + 1 AS int)) AS label", "o_orderkey", "floor(o_totalprice) AS v")
+    one = lambda shared, name: rows.withColumn("label", F.expr(f"CASE WHEN {shared} THEN label ELSE concat('{name} ', label) END")).groupBy("company", "section", "label").agg(F.min("o_orderkey").alias("ordinal"), F.max_by("v", "o_orderkey").cast("double").alias("n"), F.min_by("v", "o_orderkey").cast("double").alias("n1"))
+    return one("o_orderkey % 5 > 1", "Document"), one("o_orderkey % 5 < 3", "Registre")
 
 
 def j9_four_columns(spark, sf_dir):
@@ -139,14 +144,14 @@ def o2_statement_order(spark, sf_dir):
 
 
 def j8_group_values(spark, sf_dir):
-    given = table(spark, sf_dir, "orders").selectExpr("o_custkey % 60 AS company", "o_orderkey AS ordinal", "CASE WHEN o_orderkey % 3 > 0 THEN concat('B', o_orderkey % 12) ELSE '' END AS code", f"element_at({_spark_list(a.ORDER)}, cast(o_orderkey % 10 + 1 AS int)) AS label", "floor(o_totalprice) AS n", "CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) END AS n1")
+    given = table(spark, sf_dir, "orders").selectExpr(f"{_COMPANY} AS company", "o_orderkey AS ordinal", "CASE WHEN o_orderkey % 3 > 0 THEN concat('B', o_orderkey % 12) ELSE '' END AS code", f"element_at({_spark_list(a.ORDER)}, cast(o_orderkey % 10 + 1 AS int)) AS label", "floor(o_totalprice) AS n", "CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) END AS n1")
     groups = spark.createDataFrame([("Exploitation", ["B1", "resultat d'exploitation"]), ("Personnel", ["B5", "B7"]), ("Rien", ["ZZ"])], "label string, sources array<string>")
     return a.group_values(given, groups)
 
 
 def j15_registry_year(spark, sf_dir):
-    documents = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS document_id", "o_custkey % 60 AS company", "CASE WHEN o_orderkey % 4 > 0 THEN cast(2010 + o_orderkey % 15 AS int) END AS year")
-    filings = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").selectExpr("o_custkey % 60 AS company", "cast(2008 + o_orderkey % 13 AS int) AS year")
+    documents = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS document_id", f"{_COMPANY} AS company", "CASE WHEN o_orderkey % 4 > 0 THEN cast(2010 + o_orderkey % 15 AS int) END AS year")
+    filings = table(spark, sf_dir, "orders").selectExpr(f"{_COMPANY} AS company", "cast(2008 + o_orderkey % 13 AS int) AS year")
     return a.pick_year(documents, filings)
 
 
@@ -159,7 +164,9 @@ def _filings(spark, sf_dir):
     second = line("'ZZ'", "Ligne B", [column("Montant année N", v), column("Montant brut", f"{v} + 1")])
     section = lambda name, *ls: f"named_struct('libelle', {name}, 'liasses', array({', '.join(ls)}))"
     sections = f"array({section("CASE s_suppkey % 3 WHEN 0 THEN 'Bilan' WHEN 1 THEN 'Bilan Actif' ELSE 'Passif' END", first, second)}, {section("'Compte de résultat'", second)})"
-    return table(spark, sf_dir, "supplier").selectExpr("cast(100000000 + s_suppkey AS string) AS siren", f"to_json(map(cast(2015 + s_suppkey % 8 AS string), array(named_struct('date_cloture', '31-12', 'sections', {sections})))) AS payload")
+    nested = f"to_json(map(cast(2015 + s_suppkey % 8 AS string), array(named_struct('date_cloture', '31-12', 'sections', {sections}))))"
+    flat = f"to_json(named_struct('entries', array(named_struct('y', cast(2015 + s_suppkey % 8 AS string), 'lines', array(named_struct('side', 'actif', 'code', '010', 'label', 'Ligne plate', 'n', {v}))))))"
+    return table(spark, sf_dir, "supplier").selectExpr("cast(100000000 + s_suppkey AS string) AS siren", f"CASE WHEN s_suppkey % 5 > 0 THEN {nested} ELSE {flat} END AS payload")
 
 
 def a26_src6_p20_p21_filings(spark, sf_dir):
@@ -203,7 +210,7 @@ def _value(v) -> str:
 
 
 _WORDS = "words(table_type, rank, label_key, key, is_total) AS (VALUES " + ", ".join("(" + ", ".join(_value(v) for v in row) + ")" for row in a.entries()) + ")"
-_LINES = f"ln AS (SELECT {_LINE.format(poste=_DUCK_POSTE)} FROM orders WHERE o_orderkey % 4 < 2)"
+_LINES = f"ln AS (SELECT {_LINE.format(poste=_DUCK_POSTE)} FROM orders)"
 
 
 def _key(x: str) -> str:
@@ -226,12 +233,12 @@ gr AS (SELECT company, table_type, key, min(idx) AS idx, count(*) FILTER (is_tot
 c1 AS (SELECT company, table_type, key, idx, CASE WHEN totals > 0 THEN t_poste ELSE names END AS poste, CASE WHEN totals > 0 THEN t_n ELSE s_n END AS n, CASE WHEN totals > 0 THEN t_n1 ELSE s_n1 END AS n1 FROM gr),
 ca AS (SELECT company, table_type, CASE WHEN key = 'capitaux_propres_detail' THEN 'capitaux_propres' ELSE key END AS key, idx, poste, n, n1 FROM c1 WHERE key <> 'capitaux_propres_detail' OR NOT EXISTS (SELECT 1 FROM c1 d WHERE d.company = c1.company AND d.table_type = c1.table_type AND d.key = 'capitaux_propres')
   UNION ALL SELECT company, table_type, 'raw_unmatched_' || table_type || '_' || CASE WHEN idx < 100 THEN lpad(idx::VARCHAR, 3, '0') ELSE idx::VARCHAR END, idx, poste, n, n1 FROM mp WHERE key IS NULL AND coalesce(n, n1) IS NOT NULL)"""
-_PARTS = "parts(metric, key, needed) AS (VALUES " + ", ".join(f"('{m}', '{k}', {len(ks)})" for m, ks in a.COMPONENTS.items() for k in ks) + ")"
+_PARTS = "parts(metric, key, sign, needed) AS (VALUES " + ", ".join(f"('{m}', '{k.lstrip('-')}', {-1 if k.startswith('-') else 1}, {len(ks)})" for m, ks in a.COMPONENTS.items() for k in ks) + ")"
 
 
 def _metrics(source: str = "ca") -> str:
     return f"""{_PARTS},
-sm AS (SELECT company, metric, needed, sum(n) AS n_s, count(n) AS n_c, sum(n1) AS n1_s, count(n1) AS n1_c FROM {source} JOIN parts USING (key) GROUP BY ALL),
+sm AS (SELECT company, metric, needed, sum(sign * n) AS n_s, count(n) AS n_c, sum(sign * n1) AS n1_s, count(n1) AS n1_c FROM {source} JOIN parts USING (key) GROUP BY ALL),
 ow AS (SELECT company, key AS metric, arg_min_null(n, idx) AS n, arg_min_null(n1, idx) AS n1 FROM {source} GROUP BY ALL),
 me AS (SELECT company, metric, CASE WHEN n_c = needed THEN n_s ELSE coalesce(n, n_s) END AS n, CASE WHEN n1_c = needed THEN n1_s ELSE coalesce(n1, n1_s) END AS n1 FROM ow FULL JOIN sm USING (company, metric))"""
 
@@ -251,9 +258,9 @@ ck AS (SELECT company, period, 'actif' AS "check", sa AS lhs, total_actif AS rhs
   UNION ALL SELECT company, period, 'croise', total_actif, total_passif, abs(total_actif - total_passif) / greatest(abs(total_actif), abs(total_passif), 1) FROM w2),
 fl AS (SELECT * FROM ck WHERE gap > 0.05)"""
 _TWO = f"""
-ts AS (SELECT o_custkey % 60 AS company, CASE o_orderkey % 2 WHEN 0 THEN 'compte_resultat' ELSE 'actif' END AS section, {_sql_list(a.ORDER)}[(o_orderkey % 10 + 1)::INT] AS label, o_orderkey, floor(o_totalprice) AS v FROM orders),
-td AS (SELECT company, section, label, min(o_orderkey) AS ordinal, arg_max(v, o_orderkey) AS n, arg_min(v, o_orderkey) AS n1 FROM ts WHERE o_orderkey % 5 > 1 GROUP BY ALL),
-tr AS (SELECT company, section, label, min(o_orderkey) AS r_ordinal, arg_max(v, o_orderkey) AS n, arg_min(v, o_orderkey) AS n1 FROM ts WHERE o_orderkey % 5 < 3 GROUP BY ALL),
+ts AS (SELECT {_COMPANY} AS company, CASE o_orderkey % 2 WHEN 0 THEN 'compte_resultat' ELSE 'actif' END AS section, {_sql_list(a.ORDER)}[(o_orderkey % 10 + 1)::INT] AS label, o_orderkey, floor(o_totalprice) AS v FROM orders),
+td AS (SELECT company, section, CASE WHEN o_orderkey % 5 > 1 THEN '' ELSE 'Document ' END || label AS label, min(o_orderkey) AS ordinal, arg_max(v, o_orderkey) AS n, arg_min(v, o_orderkey) AS n1 FROM ts GROUP BY ALL),
+tr AS (SELECT company, section, CASE WHEN o_orderkey % 5 < 3 THEN '' ELSE 'Registre ' END || label AS label, min(o_orderkey) AS r_ordinal, arg_max(v, o_orderkey) AS n, arg_min(v, o_orderkey) AS n1 FROM ts GROUP BY ALL),
 fc AS (SELECT coalesce(td.company, tr.company) AS company, coalesce(td.section, tr.section) AS section, coalesce(td.label, tr.label) AS label, td.n AS document_n, td.n1 AS document_n1, tr.n AS registry_n, tr.n1 AS registry_n1,
   row_number() OVER (PARTITION BY coalesce(td.company, tr.company), coalesce(td.section, tr.section) ORDER BY ordinal NULLS LAST, r_ordinal, coalesce(td.label, tr.label))::INT AS place FROM td FULL JOIN tr ON td.company = tr.company AND td.section = tr.section AND td.label = tr.label)"""
 _NOACC = [text_ for text_ in ("chiffre d'affaires", "autres produits d'exploitation", "charges d'exploitation", "charges de personnel", "dotations aux amortissements", "resultat d'exploitation", "resultat financier", "resultat exceptionnel", "impots sur les benefices", "resultat net")]
@@ -262,16 +269,18 @@ cf AS (SELECT doc_id, source AS project_id, source || '/S' || (doc_id % 9) AS co
   '2. Audit/1. Opérateur/' || CASE doc_id % 6 WHEN 0 THEN '3. RH/Dupont Marie' WHEN 1 THEN '4. Bilans/SCI Lumière' WHEN 2 THEN 'Société Emprunteuse' WHEN 3 THEN 'X - Old' WHEN 4 THEN '5. Opération' ELSE 'Annexes' END || '/Doc ' || doc_id || ' ' || (2018 + doc_id % 6) || CASE doc_id % 11 WHEN 0 THEN '.zip' WHEN 1 THEN '.xlsx' ELSE '.pdf' END AS source_path FROM documents)"""
 _FILED = """
 sp AS (SELECT (100000000 + s_suppkey)::VARCHAR AS siren, (2015 + s_suppkey % 8)::VARCHAR AS year, s_suppkey, floor(s_acctbal) AS v, CASE s_suppkey % 3 WHEN 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'actif' ELSE 'passif' END WHEN 1 THEN 'actif' ELSE 'passif' END AS side FROM supplier),
-fi AS (SELECT siren, year, 0 AS section_index, 0 AS line_index, side, CASE WHEN s_suppkey % 2 = 0 THEN '028' ELSE '142' END AS code, 'Ligne A' AS label, CASE WHEN side = 'actif' THEN NULL ELSE v END AS n, v AS n1 FROM sp
-  UNION ALL SELECT siren, year, 0, 1, CASE s_suppkey % 3 WHEN 0 THEN 'annexe' WHEN 1 THEN 'actif' ELSE 'passif' END, 'ZZ', 'Ligne B', v, NULL FROM sp
-  UNION ALL SELECT siren, year, 1, 0, 'compte_resultat', 'ZZ', 'Ligne B', v, NULL FROM sp)"""
+fi AS (SELECT siren, year, 0 AS section_index, 0 AS line_index, 'actif' AS side, '010' AS code, 'Ligne plate' AS label, v AS n, NULL::DOUBLE AS n1 FROM sp WHERE s_suppkey % 5 = 0
+  UNION ALL SELECT siren, year, 0, 0, side, CASE WHEN s_suppkey % 2 = 0 THEN '028' ELSE '142' END AS code, 'Ligne A' AS label, CASE WHEN side = 'actif' THEN NULL ELSE v END AS n, v AS n1 FROM sp WHERE s_suppkey % 5 > 0
+  UNION ALL SELECT siren, year, 0, 1, CASE s_suppkey % 3 WHEN 0 THEN 'annexe' WHEN 1 THEN 'actif' ELSE 'passif' END, 'ZZ', 'Ligne B', v, NULL FROM sp WHERE s_suppkey % 5 > 0
+  UNION ALL SELECT siren, year, 1, 0, 'compte_resultat', 'ZZ', 'Ligne B', v, NULL FROM sp WHERE s_suppkey % 5 > 0)"""
 
 SQL = {
     "j3_label_mapping": f"WITH {_WORDS}, {_LINES}, {_mapped('ln')} SELECT ln.table_type, ln.poste, kn.key, kn.is_total, count(*) AS lines FROM ln JOIN kn USING (table_type, poste) GROUP BY ALL",
     "a6_canonical_lines": f"WITH {_CANON} SELECT * FROM ca",
     "a7_keyed_rows": f"""WITH {_WORDS}, {_LINES}, gv AS (SELECT * EXCLUDE (poste), coalesce(nullif(given_key, ''), poste) AS poste FROM (SELECT *, max(coalesce(given_key, '')) OVER (PARTITION BY company, table_type) AS top FROM ln) WHERE top <> ''), {_mapped('gv')}
       SELECT company, table_type, key, n, n1, min(idx) AS idx FROM gv JOIN kn USING (table_type, poste) WHERE key IS NOT NULL GROUP BY ALL""",
-    "a8_metrics": f"WITH {_CANON}, {_metrics()} SELECT * FROM me",
+    "a8_metrics": f"""WITH {_CANON}, {_metrics()}, tl AS ({_TOLD}), tw AS (SELECT company, regexp_extract(field_id, '^bilan_(.+)_(n1?)$', 1) AS metric, max(replace(value, ' ', '')::DOUBLE) FILTER (field_id LIKE '%\\_n' ESCAPE '\\') AS t_n, max(replace(value, ' ', '')::DOUBLE) FILTER (field_id LIKE '%\\_n1' ESCAPE '\\') AS t_n1
+      FROM tl WHERE field_id NOT LIKE '%inconnu%' GROUP BY ALL) SELECT company, metric, coalesce(n, t_n) AS n, coalesce(n1, t_n1) AS n1 FROM me FULL JOIN tw USING (company, metric)""",
     "a9_validation": f'WITH {_CANON}, {_CHECKS} SELECT company, period, "check", lhs, rhs, round(gap, 9) AS gap FROM fl',
     "a10_quality": f"""WITH {_CANON}, {_CHECKS},
       pt AS (SELECT company, table_type, count(*) FILTER (key NOT LIKE 'raw_unmatched_%') AS mapped, count(*) FILTER (key LIKE 'raw_unmatched_%') AS raw, count(*) FILTER (coalesce(n, n1) IS NOT NULL) AS filled, count(*) FILTER (key IN {tuple(a.CRITICAL)}) AS critical,
@@ -281,7 +290,7 @@ SQL = {
       tt AS (SELECT company, sum(least(mapped, 8) + 3 * critical - 4 * raw - 8 * suspicious) AS points, list_sort(flatten(list(reason))) AS reasons FROM rs GROUP BY 1)
       SELECT company, (points - 6 * coalesce(errors, 0))::BIGINT AS score, coalesce(errors, 0) AS errors, array_to_string(reasons, ' ; ') AS reasons,
         points - 6 * coalesce(errors, 0) < 12 OR coalesce(errors, 0) > 0 OR len([r for r in reasons if contains(r, 'suspects') OR contains(r, 'non mapp')]) > 0 AS retry FROM tt LEFT JOIN er USING (company)""",
-    "j20_better_answers": """WITH e AS (SELECT o_custkey AS company, 'f' || (o_orderkey % 5) AS field, o_orderkey FROM orders), a AS (SELECT company, field, max(o_orderkey)::VARCHAR AS v FROM e WHERE o_orderkey % 2 = 0 GROUP BY ALL), b AS (SELECT company, field, min(o_orderkey)::VARCHAR AS v FROM e WHERE o_orderkey % 3 = 0 GROUP BY ALL),
+    "j20_better_answers": """WITH e AS (SELECT o_custkey AS company, 'f' || (o_orderkey % 5) AS field, o_orderkey FROM orders), a AS (SELECT company, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'first ' END || field AS field, max(o_orderkey)::VARCHAR AS v FROM e GROUP BY ALL), b AS (SELECT company, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'second ' END || field AS field, min(o_orderkey)::VARCHAR AS v FROM e GROUP BY ALL),
       s AS (SELECT company, count(*) FILTER (o_orderkey % 2 = 0) AS s1, count(*) FILTER (o_orderkey % 3 = 0) AS s2 FROM e GROUP BY 1)
       SELECT company, field, CASE WHEN s2 > s1 AND b.v IS NOT NULL THEN b.v ELSE a.v END AS value FROM a FULL JOIN b USING (company, field) LEFT JOIN s USING (company)""",
     "a23_balance_report": f"""WITH {_CANON}, {_metrics()},
@@ -298,12 +307,12 @@ SQL = {
       UNION ALL SELECT company, 'EBITDA', place + 0.25, {', '.join(f"CASE WHEN coalesce({c}, da_{c}) IS NOT NULL THEN coalesce({c}, 0) + coalesce(da_{c}, 0) END" for c in ("document_n", "document_n1", "registry_n", "registry_n1"))} FROM cr JOIN ag USING (company) WHERE label = 'Résultat d''exploitation'
       UNION ALL SELECT company, 'En % du CA', place + 0.5, {', '.join(f"round({c} / nullif(ca_{c}, 0), 9)" for c in ("document_n", "document_n1", "registry_n", "registry_n1"))} FROM cr JOIN ag USING (company) WHERE label IN ('Résultat d''exploitation', 'Résultat net')""",
     "o2_statement_order": f"WITH {_LINES} SELECT company, idx, poste, (CASE WHEN list_contains({_sql_list(_NOACC)}, strip_accents(lower(trim(poste)))) THEN list_position({_sql_list(_NOACC)}, strip_accents(lower(trim(poste)))) - 1 ELSE 99 END)::INT AS rank, row_number() OVER (PARTITION BY company ORDER BY idx)::INT AS input_place FROM ln WHERE table_type = 'compte_resultat'",
-    "j8_group_values": f"""WITH g AS (SELECT o_custkey % 60 AS company, o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN 'B' || (o_orderkey % 12) ELSE '' END AS code, strip_accents(lower({_sql_list(a.ORDER)}[(o_orderkey % 10 + 1)::INT])) AS label, floor(o_totalprice) AS n, CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) END AS n1 FROM orders),
+    "j8_group_values": f"""WITH g AS (SELECT {_COMPANY} AS company, o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN 'B' || (o_orderkey % 12) ELSE '' END AS code, strip_accents(lower({_sql_list(a.ORDER)}[(o_orderkey % 10 + 1)::INT])) AS label, floor(o_totalprice) AS n, CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) END AS n1 FROM orders),
       s(label, source) AS (VALUES ('Exploitation', 'B1'), ('Exploitation', 'resultat d''exploitation'), ('Personnel', 'B5'), ('Personnel', 'B7'), ('Rien', 'ZZ')),
       bc AS (SELECT company, code, arg_max_null(n, k) AS n, arg_max_null(n1, k) AS n1 FROM g WHERE code <> '' GROUP BY ALL), bl AS (SELECT company, label, arg_max_null(n, k) AS n, arg_max_null(n1, k) AS n1 FROM g GROUP BY ALL),
       q AS (SELECT c.company, s.label, CASE WHEN bc.code IS NOT NULL THEN bc.n ELSE bl.n END AS n, CASE WHEN bc.code IS NOT NULL THEN bc.n1 ELSE bl.n1 END AS n1 FROM (SELECT DISTINCT company FROM g) c, s LEFT JOIN bc ON bc.company = c.company AND bc.code = s.source LEFT JOIN bl ON bl.company = c.company AND bl.label = s.source)
       SELECT company, label, sum(n)::BIGINT AS n, sum(n1)::BIGINT AS n1 FROM q GROUP BY ALL""",
-    "j15_registry_year": """WITH d AS (SELECT o_orderkey AS document_id, o_custkey % 60 AS company, CASE WHEN o_orderkey % 4 > 0 THEN 2010 + o_orderkey % 15 END AS year FROM orders), f AS (SELECT DISTINCT o_custkey % 60 AS company, (2008 + o_orderkey % 13)::INT AS filed FROM orders WHERE o_orderkey % 11 = 0)
+    "j15_registry_year": f"""WITH d AS (SELECT o_orderkey AS document_id, {_COMPANY} AS company, CASE WHEN o_orderkey % 4 > 0 THEN 2010 + o_orderkey % 15 END AS year FROM orders), f AS (SELECT DISTINCT {_COMPANY} AS company, (2008 + o_orderkey % 13)::INT AS filed FROM orders)
       SELECT document_id, filed AS registry_year FROM d JOIN f USING (company) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN year - filed BETWEEN 1 AND 3 THEN year - filed ELSE 9 END, filed DESC) = 1""",
     "a26_src6_p20_p21_filings": f"WITH {_FILED} SELECT * FROM fi",
     "a26_filing_totals": f"WITH {_FILED} SELECT side, count(*) AS lines, array_to_string(list_sort(list(DISTINCT year)), ',') AS years, sum(n) AS n, sum(n1) AS n1 FROM fi GROUP BY 1",
