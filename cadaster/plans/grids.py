@@ -27,20 +27,23 @@ def a22_holding_totals(spark, sf_dir):
 
 
 def p24_value_columns(spark, sf_dir):
-    return g.value_columns(_holdings(spark, sf_dir))
+    number = "CASE WHEN l_partkey % 5 > 0 THEN concat(l_suppkey, ' 000') ELSE 'n.c.' END"
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", f"array('Ligne', '', CASE WHEN l_partkey % 5 > 0 THEN '7' ELSE '' END, {number}, CASE WHEN l_linenumber % 2 > 0 THEN {number} ELSE '-' END) AS r")
+    head = F.array(F.array(*(F.lit(x) for x in ("2020", "2021", "2022", "2023", "2024"))))
+    return g.value_columns(rows.groupBy("doc_id").agg(F.concat(head, F.collect_list("r")).alias("cells")))
 
 
 def w17_main_tables(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS doc_id", "cast(l_linenumber AS int) AS table_idx", "array(CASE l_partkey % 6 WHEN 0 THEN 'Total actif' WHEN 1 THEN 'Créances clients' WHEN 2 THEN 'Disponibilités' ELSE 'Divers' END, CASE WHEN l_partkey % 5 > 0 THEN cast(l_partkey AS string) ELSE '' END, CASE WHEN l_orderkey % 2 = 0 THEN 'x' END) AS r").where("l_orderkey % 9 = 0")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS doc_id", "cast(l_linenumber AS int) AS table_idx", "array(CASE l_partkey % 6 WHEN 0 THEN 'Total actif' WHEN 1 THEN 'Créances clients' WHEN 2 THEN 'Disponibilités' ELSE 'Divers' END, CASE WHEN l_partkey % 5 > 0 THEN cast(l_partkey AS string) ELSE '' END, CASE WHEN l_orderkey % 2 = 0 THEN 'x' END) AS r")
     tables = rows.groupBy("doc_id", "table_idx").agg(F.collect_list("r").alias("cells"))
-    return g.main_table(tables, [r"^total\s+actif", "^cr[eé]ances", "disponibilit"]).select("doc_id", "hits", "numbers")
+    return g.main_table(tables, "bilan_actif").select("doc_id", "hits", "numbers")
 
 
 def _pages(spark, sf_dir):
     """Pages of statements: documents in sixes, titles and contents by number."""
     d = table(spark, sf_dir, "documents")
-    title = F.expr("CASE doc_id % 7 WHEN 0 THEN 'BILAN  ACTIF' WHEN 1 THEN 'Compte de résultat (suite)' WHEN 2 THEN 'actif immobilisé' WHEN 3 THEN 'Bilan passif' WHEN 4 THEN 'Compte de resultat' ELSE 'Notes' END")
-    content = F.expr("CASE doc_id % 4 WHEN 0 THEN 'Actif circulant' WHEN 1 THEN 'chiffre d''affaires, charges d''exploitation' WHEN 2 THEN 'capital social' ELSE 'report à nouveau' END".replace("''", "\\'"))
+    title = F.expr("CASE doc_id % 7 WHEN 0 THEN 'BILAN  ACTIF' WHEN 1 THEN 'Compte de résultat (suite)' WHEN 2 THEN 'actif immobilisé' WHEN 3 THEN 'Bilan passif' WHEN 4 THEN 'Compte de resultat' WHEN 5 THEN 'Voir le bilan actif en annexe' ELSE 'Notes' END")
+    content = F.expr("CASE doc_id % 4 WHEN 0 THEN 'Actif circulant' WHEN 1 THEN 'chiffre d''affaires, charges d''exploitation' WHEN 2 THEN 'capital social, report à nouveau, résultat de l''exercice' ELSE 'capital social, report à nouveau' END".replace("''", "\\'"))
     return d.select((F.floor(F.col("doc_id") / 6)).alias("doc_id"), (F.col("doc_id") % 6 + 1).cast("int").alias("page"), F.array(F.lit("page"), title, content).alias("lines"), (F.col("n_chars") % 5).cast("int").alias("score"))
 
 
@@ -93,15 +96,17 @@ li AS (SELECT l_orderkey AS doc_id, l_partkey AS p, l_suppkey AS s, l_linenumber
 rc AS (SELECT doc_id, (rn + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::INT AS row, CASE WHEN p % 5 > 0 THEN 'APT' || (p % 3) END AS type_bien, s || ' RUE' AS adresse, floor(q)::DOUBLE AS surface, s * 1000.0::DOUBLE * CASE WHEN p % 4 = 0 THEN -1 ELSE 1 END AS estimation_actuelle, CASE WHEN n % 2 > 0 THEN n::DOUBLE END AS capital_restant_du FROM li WHERE doc_id % 3 < 2)"""
 _PAGES = """
 pg AS (SELECT doc_id // 6 AS doc_id, (doc_id % 6 + 1)::INT AS page, doc_id % 7 AS t, doc_id % 4 AS c, n_chars % 5 AS score FROM documents),
-fo AS (SELECT doc_id, page, 'bilan_actif' AS section, CASE WHEN t = 0 THEN 0 WHEN t = 2 AND c = 0 THEN 1 END AS rank FROM pg WHERE t <> 1 UNION ALL SELECT doc_id, page, 'bilan_passif', CASE WHEN t = 3 THEN 0 END FROM pg WHERE t <> 1
-  UNION ALL SELECT doc_id, page, 'compte_resultat', CASE WHEN t = 4 THEN 0 WHEN c = 1 THEN 1 END FROM pg WHERE t <> 1),
-st AS (SELECT doc_id, section, arg_min(page, rank * 100 + page) AS page FROM fo WHERE rank IS NOT NULL GROUP BY ALL)"""
+ti AS (SELECT doc_id, CASE t WHEN 0 THEN 'bilan_actif' WHEN 3 THEN 'bilan_passif' ELSE 'compte_resultat' END AS section, min(page) AS page FROM pg WHERE t IN (0, 3, 4) GROUP BY ALL),
+fr AS (SELECT * FROM pg ANTI JOIN ti USING (doc_id, page)),
+co AS (SELECT doc_id, CASE c WHEN 0 THEN 'bilan_actif' WHEN 1 THEN 'compte_resultat' ELSE 'bilan_passif' END AS section, min(page) AS page FROM fr WHERE t <> 1 AND (c = 1 OR c = 2 OR (c = 0 AND t = 2)) GROUP BY ALL),
+st AS (SELECT * FROM ti UNION ALL SELECT * FROM co ANTI JOIN ti USING (doc_id, section))"""
 
 SQL = {
     "p23_header_records": f"WITH {_BODY} SELECT * FROM rc",
     "a22_holding_totals": f"WITH {_BODY} SELECT doc_id, sum(estimation_actuelle) AS value, sum(coalesce(capital_restant_du, 0)) AS debt, sum(estimation_actuelle - coalesce(capital_restant_du, 0)) AS net, sum(estimation_actuelle - coalesce(capital_restant_du, 0)) AS net_by_share, count(*) AS properties FROM rc GROUP BY 1",
-    "p24_value_columns": "WITH k AS (SELECT l_orderkey AS doc_id, 1 AS x FROM lineitem GROUP BY 1) SELECT doc_id, 3 AS first, 4 AS second FROM k",
-    "w17_main_tables": """WITH r AS (SELECT l_suppkey AS doc_id, l_linenumber AS t, l_partkey % 6 AS k, l_partkey % 5 > 0 AS num, l_orderkey % 2 = 0 AS x FROM lineitem WHERE l_orderkey % 9 = 0),
+    "p24_value_columns": """WITH r AS (SELECT l_orderkey AS doc_id, max((l_linenumber % 2 > 0 AND l_partkey % 5 > 0)::INT) AS last, max((l_partkey % 5 > 0)::INT) AS fourth FROM lineitem GROUP BY 1)
+      SELECT doc_id, CASE WHEN last = 1 THEN 3 WHEN fourth = 1 THEN 2 ELSE 1 END AS first, CASE WHEN last = 1 THEN 4 WHEN fourth = 1 THEN 3 ELSE 2 END AS second FROM r""",
+    "w17_main_tables": """WITH r AS (SELECT l_suppkey AS doc_id, l_linenumber AS t, l_partkey % 6 AS k, l_partkey % 5 > 0 AS num, l_orderkey % 2 = 0 AS x FROM lineitem),
       p AS (SELECT doc_id, t, max((k = 0 AND num)::INT) + max((k = 1 AND num)::INT) + max((k = 2 AND num)::INT) AS hits, sum(num::INT) AS numbers, sum(1 + num::INT + x::INT) AS filled FROM r GROUP BY ALL)
       SELECT doc_id, hits::INT AS hits, numbers::BIGINT AS numbers FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, numbers DESC, filled DESC, t) = 1""",
     "p22_statement_pages": f"WITH {_PAGES} SELECT * FROM st",
