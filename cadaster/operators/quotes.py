@@ -59,7 +59,8 @@ def with_average(quotes: DataFrame) -> DataFrame:
 
 
 def missing_types(quotes: DataFrame, expected: list[str]) -> DataFrame:
-    found = quotes.where("status = 'ok'").groupBy("subject_id").agg(F.collect_set("property_type").alias("found"))
+    """subject_id, missing: expected types that no ok quote of the subject has; all of them where none is ok."""
+    found = quotes.groupBy("subject_id").agg(F.collect_set(F.when(F.col("status") == "ok", F.col("property_type"))).alias("found"))
     return found.select("subject_id", F.array_join(F.array_sort(F.array_except(F.lit(expected), "found")), ",").alias("missing"))
 
 

@@ -57,7 +57,7 @@ def src8_latest_snapshots(spark, sf_dir):
 
 def _prices(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier")
-    level = lambda name, code, every: rows.selectExpr(f"'{name}' AS level", f"{code} AS code", "s_acctbal AS price", "s_suppkey").where(f"s_suppkey % {every} = 0").groupBy("level", "code").agg(F.max("price").alias("price"))
+    level = lambda name, code, every: rows.selectExpr(f"'{name}' AS level", f"{code} AS code", "s_acctbal AS price", "s_suppkey").withColumn("code", F.expr(f"CASE WHEN s_suppkey % {every} = 0 THEN code ELSE concat('x', code) END")).groupBy("level", "code").agg(F.max("price").alias("price"))
     return level("district", "concat('d', s_suppkey % 40)", 3).unionByName(level("city", "concat('c', s_suppkey % 12)", 2)).unionByName(level("department", "concat('p', s_suppkey % 6)", 1)), level
 
 
@@ -111,8 +111,8 @@ def _mean(c: str) -> str:
 
 
 _PRICES = """
-pr AS (SELECT 'district' AS level, 'd' || (s_suppkey % 40) AS code, max(s_acctbal) AS price FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY ALL
-  UNION ALL SELECT 'city', 'c' || (s_suppkey % 12), max(s_acctbal) FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY ALL
+pr AS (SELECT 'district' AS level, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'x' END || 'd' || (s_suppkey % 40) AS code, max(s_acctbal) AS price FROM supplier GROUP BY ALL
+  UNION ALL SELECT 'city', CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'x' END || 'c' || (s_suppkey % 12), max(s_acctbal) FROM supplier GROUP BY ALL
   UNION ALL SELECT 'department', 'p' || (s_suppkey % 6), max(s_acctbal) FROM supplier GROUP BY ALL)"""
 
 SQL = {
@@ -123,13 +123,13 @@ SQL = {
       {_mean('low')} AS low, {_mean('mid')} AS mid, {_mean('high')} AS high, min(mid) FILTER (status = 'ok') AS min_mid, max(mid) FILTER (status = 'ok') AS max_mid FROM q GROUP BY 1""",
     "s1_quotes_with_average": f"""WITH {_QUOTES} SELECT subject_id, source, low, mid, high, status FROM q
       UNION ALL SELECT subject_id, 'Moyenne globale', {_mean('low')}, {_mean('mid')}, {_mean('high')}, 'synthese' FROM q GROUP BY 1""",
-    "s3_missing_types": f"""WITH {_QUOTES}, f AS (SELECT subject_id, list(DISTINCT property_type) AS f FROM q WHERE status = 'ok' GROUP BY 1)
+    "s3_missing_types": f"""WITH {_QUOTES}, f AS (SELECT subject_id, coalesce(list(DISTINCT property_type) FILTER (status = 'ok'), []) AS f FROM q GROUP BY 1)
       SELECT subject_id, array_to_string([t for t in ['appartement', 'maison', 'terrain'] if NOT list_contains(f, t)], ',') AS missing FROM f""",
     "s4_ordered_union": """SELECT o_orderkey, array_to_string([x for x, i in l if list_position(l, x) = i], ',') AS all FROM (SELECT o_orderkey, [o_orderstatus, o_orderpriority[1], o_orderstatus, o_orderpriority[1], 'F', (o_custkey % 6)::VARCHAR] AS l FROM orders)""",
     "src8_latest_snapshots": "SELECT user_id AS key, ts AS cached_at, props AS payload FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, props DESC) = 1",
     "j16_price_fallback": f"""WITH {_PRICES} SELECT c_custkey AS place_id, coalesce(a.price, b.price, c.price) AS price, CASE WHEN a.price IS NOT NULL THEN 'district' WHEN b.price IS NOT NULL THEN 'city' WHEN c.price IS NOT NULL THEN 'department' END AS fallback_level
       FROM customer LEFT JOIN pr a ON a.level = 'district' AND a.code = 'd' || (c_custkey % 60) LEFT JOIN pr b ON b.level = 'city' AND b.code = 'c' || (c_custkey % 20) LEFT JOIN pr c ON c.level = 'department' AND c.code = 'p' || (c_custkey % 8)""",
-    "j17_finest_location": f"""WITH {_PRICES}, al AS (SELECT CASE level WHEN 'city' THEN 'commune' ELSE level END AS level, code, price FROM pr UNION ALL SELECT 'block', 'b' || (s_suppkey % 90), max(s_acctbal) FROM supplier WHERE s_suppkey % 7 = 0 GROUP BY ALL),
+    "j17_finest_location": f"""WITH {_PRICES}, al AS (SELECT CASE level WHEN 'city' THEN 'commune' ELSE level END AS level, code, price FROM pr UNION ALL SELECT 'block', CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'x' END || 'b' || (s_suppkey % 90), max(s_acctbal) FROM supplier GROUP BY ALL),
       l AS (SELECT c_custkey AS place_id, unnest([1, 2, 3, 4, 5]) AS rank, unnest(['block', 'district', 'commune', 'department', 'country']) AS level, unnest(['b' || (c_custkey % 120), 'd' || (c_custkey % 60), 'c' || (c_custkey % 20), 'p' || (c_custkey % 8), 'fr']) AS code FROM customer)
       SELECT place_id, level, code, price FROM l JOIN al USING (level, code) QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY rank) = 1""",
     "a20_o4_distinct_suggestions": """WITH f AS (SELECT o_custkey, lower(trim(o_orderpriority)) AS label, min(o_orderkey) AS k FROM orders GROUP BY ALL), n AS (SELECT o_custkey, label, row_number() OVER (PARTITION BY o_custkey ORDER BY k)::INT AS place FROM f) SELECT * FROM n WHERE place <= 5""",
