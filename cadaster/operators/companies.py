@@ -101,7 +101,8 @@ def network(roots: DataFrame, representatives: DataFrame, mandates: DataFrame, p
     """(nodes: root, node, rank; edges: root, src, dst, label, dashed) around each root company.
 
     Its representatives, their other living companies, its predecessors, and the representatives of
-    all those; a node's rank is its least number of hops. Three joins whatever the number of roots.
+    all those; a node's rank is its least number of hops. Four joins whatever the number of roots; a
+    joined row gives all its nodes or edges at once.
     """
     soc = lambda c: F.concat(F.lit("soc_"), c)
     start = roots.select(F.col("siren").alias("root"), F.col("siren"))
@@ -110,16 +111,16 @@ def network(roots: DataFrame, representatives: DataFrame, mandates: DataFrame, p
     others = first.select("root", "person_id").distinct().join(mandates.where("NOT entreprise_cessee"), "person_id").where("siren <> root").select("root", "person_id", "siren", "qualite")
     before = start.join(predecessors, "siren").where("predecessor <> root").select("root", F.col("predecessor").alias("siren"))
     linked = others.select("root", "siren", F.lit(2).alias("rank")).unionByName(before.select("root", "siren", F.lit(1).alias("rank"))).groupBy("root", "siren").agg(F.min("rank").alias("rank"))
-    second = linked.join(reps, "siren")
-    node = lambda df, c, rank: df.select("root", c.alias("node"), rank.alias("rank"))
-    nodes = (
-        node(start, soc(F.col("siren")), F.lit(0)).unionByName(node(first, F.col("person_id"), F.lit(1))).unionByName(node(linked, soc(F.col("siren")), F.col("rank")))
-        .unionByName(node(second, F.col("person_id"), F.col("rank") + 1)).groupBy("root", "node").agg(F.min("rank").alias("rank"))
-    )
+    second = linked.join(reps, "siren", "left")
+    node = lambda name, rank: F.struct(name.alias("node"), rank.cast("int").alias("rank"))
+    several = lambda df, *nodes: df.select("root", F.inline(F.array(*nodes))).where("node IS NOT NULL")
+    roots_and_people = several(start.join(reps, "siren", "left"), node(soc(F.col("siren")), F.lit(0)), node(F.col("person_id"), F.lit(1)))
+    around = several(second, node(soc(F.col("siren")), F.col("rank")), node(F.col("person_id"), F.col("rank") + 1))
+    nodes = roots_and_people.unionByName(around).groupBy("root", "node").agg(F.min("rank").alias("rank"))
     edge = lambda df, a, b, label, dashed=False: df.select("root", a.alias("src"), b.alias("dst"), label.alias("label"), F.lit(dashed).alias("dashed"))
     edges = (
         edge(first, soc(F.col("siren")), F.col("person_id"), F.col("qualite")).unionByName(edge(others, F.col("person_id"), soc(F.col("siren")), F.col("qualite")))
-        .unionByName(edge(before, soc(F.col("root")), soc(F.col("siren")), F.lit("Prédécesseur"), True)).unionByName(edge(second, soc(F.col("siren")), F.col("person_id"), F.col("qualite"))).distinct()
+        .unionByName(edge(before, soc(F.col("root")), soc(F.col("siren")), F.lit("Prédécesseur"), True)).unionByName(edge(second.where("person_id IS NOT NULL"), soc(F.col("siren")), F.col("person_id"), F.col("qualite"))).distinct()
     )
     return nodes, edges
 
@@ -144,9 +145,10 @@ def distress_signal(publications: DataFrame) -> DataFrame:
     """
     clean = F.regexp_replace(F.regexp_replace(F.trim("contenu"), r"[ \t\r\f\x0B]+", " "), r"\s*\n+\s*", "\n")
     rows = publications.select("siren", "ordinal", F.posexplode(F.split(clean, r"(?<=[.!?;])\s+|\n+")).alias("pos", "sentence")).withColumn("sentence", F.trim("sentence"))
-    plain = F.col("plain")
-    hits = F.filter(F.transform(F.lit(DISTRESS), lambda k, i: F.when(F.contains(plain, _plain(k)), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("plain", _plain(F.col("sentence"))).withColumn("hits", hits).where(F.size("hits") > 0)
+    # the phrases are literals, folded when the plan is made; a sentence is folded once
+    phrases = [_plain(F.lit(k)) for k in DISTRESS]
+    hits = text.let(_plain(F.col("sentence")), lambda plain: F.array_compact(F.array(*(F.when(F.contains(plain, k), i) for i, k in enumerate(phrases)))))
+    rows = text.once(rows, "hits", hits).where(F.size("hits") > 0)
     n = F.length("sentence")
     letters_, capitals = F.length(F.regexp_replace("sentence", r"\P{L}", "")), F.length(F.regexp_replace("sentence", r"\P{Lu}", ""))
     penalty = F.abs(n - 160) + F.when(n < 40, 60).otherwise(0) + F.greatest(n - 320, F.lit(0))
@@ -165,6 +167,28 @@ def collective_comments(publications: DataFrame) -> DataFrame:
     return rows.groupBy("siren").agg(F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("date", "ordinal", line.alias("line")))), lambda x: x["line"])), "\n").alias("comment"))
 
 
+def merged_comments(*comments: Column) -> Column:
+    """Comments with single blanks, a line each in order of first appearance, the same one in other letters once; null if none says anything."""
+    given = F.filter(F.transform(F.array(*comments), lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))), lambda c: c != "")
+    first = lambda all_: F.filter(all_, lambda c, i: F.array_position(F.transform(all_, F.lower), F.lower(c)) == i + 1)
+    return F.nullif(F.array_join(text.let(given, first), "\n"), F.lit(""))
+
+
+def mandate_counts(mandates: DataFrame) -> DataFrame:
+    """folder, people, companies, mandates of each folder; mandates: folder, person_id, siren."""
+    return mandates.groupBy("folder").agg(F.count_distinct("person_id").alias("people"), F.count_distinct("siren").alias("companies"), F.count("*").alias("mandates"))
+
+
+def person_cards(mandates: DataFrame) -> DataFrame:
+    """A card and the companies of each person of a folder: folder, person_id, value, companies (siren, nom), by appearance.
+
+    mandates: folder, person_id, siren, nom, ordinal.
+    """
+    found = F.sort_array(F.collect_list(F.struct("ordinal", "siren", "nom")))
+    per = mandates.groupBy("folder", "person_id").agg(F.transform(found, lambda m: F.struct(m["siren"].alias("siren"), m["nom"].alias("nom"))).alias("companies"))
+    return per.select("folder", "person_id", F.format_string("%d société(s) trouvée(s)", F.size("companies")).alias("value"), "companies")
+
+
 def mandate_display(rows: DataFrame) -> DataFrame:
     """Display columns of mandates: status, struck-off flag, role, figures."""
     part = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), numbers.spaced(F.col(c))))

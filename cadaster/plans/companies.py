@@ -16,9 +16,9 @@ _MANDATES = "SELECT o_custkey AS person_id, CASE WHEN o_orderkey % 9 = 0 THEN '1
 _DETAILS = "SELECT cast(100000000 + s_suppkey AS string) AS siren, s_name AS nom, CASE s_suppkey % 4 WHEN 0 THEN 'Radié' WHEN 1 THEN '' ELSE 'Actif' END AS statut, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS capital FROM supplier"
 _FOLDERS = "SELECT DISTINCT 'p' || (o_custkey % 20) AS project_id, CASE o_orderkey % 4 WHEN 0 THEN 'SCI Lumière ' || (o_custkey % 6) WHEN 1 THEN 'Groupe Nord' WHEN 2 THEN 'F.D. Invest' ELSE 'Société Est ' || (o_custkey % 4) END AS folder FROM orders"
 _POOL = "SELECT 'p' || (s_suppkey % 20) AS project_id, cast(100000000 + s_suppkey AS string) AS siren, CASE s_suppkey % 5 WHEN 0 THEN 'LUMIERE ' || (s_suppkey % 6) WHEN 1 THEN 'FD INVEST SAS' WHEN 2 THEN 'Nord Groupe Holding' WHEN 3 THEN 'Est Conseil' ELSE 'Autre' END AS nom, s_suppkey AS ordinal FROM supplier"
-_REPS = "SELECT DISTINCT cast(o_custkey % 100 AS string) AS siren, 'per_' || (o_orderkey % 300) AS person_id, CASE o_orderkey % 3 WHEN 0 THEN 'Président' WHEN 1 THEN 'Gérant' ELSE 'Directeur' END AS qualite, o_orderkey % 7 = 0 AS entreprise_cessee FROM orders WHERE o_orderkey % 10 = 0"
-_NOTICES = """SELECT doc_id, cast(100000000 + doc_id % 120 AS string) AS siren, doc_id AS ordinal, '2020-0' || (doc_id % 9 + 1) AS date, CASE doc_id % 9 WHEN 0 THEN 'Avis. Jugement d''ouverture de liquidation judiciaire le ' || doc_id || '. Voir www.x.fr' WHEN 1 THEN 'PLAN DE SAUVEGARDE ARRETE; radiation prononcée'
- WHEN 2 THEN 'Nature jugement : Clôture ' || (doc_id % 4) || '{nl}suite du texte{nl}{nl}Cessation des paiements fixée au 1er mars.' ELSE substr(text, 1, 300) END AS contenu FROM documents"""
+_REPS = "SELECT DISTINCT cast(o_custkey AS string) AS siren, 'per_' || cast(floor(o_orderkey / 3) AS int) AS person_id, CASE o_orderkey % 3 WHEN 0 THEN 'Président' WHEN 1 THEN 'Gérant' ELSE 'Directeur' END AS qualite, o_orderkey % 7 = 0 AS entreprise_cessee FROM orders"
+_NOTICES = """SELECT doc_id, cast(cast(100000000 + floor(doc_id / 8) AS int) AS string) AS siren, doc_id AS ordinal, '2020-0' || (doc_id % 9 + 1) AS date, CASE doc_id % 9 WHEN 0 THEN 'Avis. Jugement d''ouverture de liquidation judiciaire le ' || doc_id || '. Voir www.x.fr' WHEN 1 THEN 'PLAN DE SAUVEGARDE ARRETE; radiation prononcée'
+ WHEN 2 THEN 'Nature jugement : Clôture ' || (doc_id % 4) || '{nl}suite du texte{nl}{nl}Cessation des paiements fixée au 1er mars.' ELSE text END AS contenu FROM documents"""
 
 
 def _view(spark, sf_dir, sql: str, source: str):
@@ -50,8 +50,8 @@ def j7_pool_cascade(spark, sf_dir):
 
 def _network(spark, sf_dir):
     reps = _view(spark, sf_dir, _REPS, "orders")
-    roots = reps.where("siren % 10 = 0").select("siren").distinct()
-    before = reps.select("siren", F.expr("cast((siren + 7) % 100 AS string)").alias("predecessor")).where("siren % 20 = 0").distinct()
+    roots = reps.select("siren").distinct()
+    before = roots.select("siren", F.expr("CASE WHEN siren % 20 = 0 THEN cast(cast(siren AS int) + 7 AS string) ELSE siren END").alias("predecessor"))
     return c.network(roots, reps, reps, before)
 
 
@@ -84,8 +84,21 @@ def p19_mandate_display(spark, sf_dir):
 
 
 def a14_mandate_counts(spark, sf_dir):
-    rows = _view(spark, sf_dir, _MANDATES, "orders").withColumn("folder", F.concat(F.lit("d"), F.col("person_id") % 30))
-    return rows.groupBy("folder").agg(F.count_distinct("person_id").alias("people"), F.count_distinct("siren").alias("companies"), F.count("*").alias("mandates"))
+    return c.mandate_counts(_in_folders(spark, sf_dir))
+
+
+def _in_folders(spark, sf_dir):
+    return _view(spark, sf_dir, _MANDATES, "orders").withColumn("folder", F.concat(F.lit("d"), F.floor(F.col("person_id") / 5)))
+
+
+def a14_person_cards(spark, sf_dir):
+    text_of = F.array_join(F.transform("companies", lambda x: F.concat_ws(" ", x["siren"], x["nom"])), "; ")
+    return c.person_cards(_in_folders(spark, sf_dir)).select("folder", "person_id", "value", text_of.alias("companies"))
+
+
+def a27_merged_comments(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 4 > 0 THEN concat(' Radiée  le ', o_custkey % 7) END AS a", "CASE o_orderkey % 3 WHEN 0 THEN concat('RADIÉE LE ', o_custkey % 5) WHEN 1 THEN '   ' END AS b", "CASE WHEN o_orderkey % 5 > 2 THEN o_orderpriority END AS c")
+    return rows.select("o_orderkey", c.merged_comments(F.col("a"), F.col("b"), F.col("c")).alias("comment"))
 
 
 def a16_catalogue(spark, sf_dir):
@@ -95,7 +108,7 @@ def a16_catalogue(spark, sf_dir):
     return c.catalogue(people, firms)
 
 
-QUERIES = {f.__name__: f for f in (j5_director_matches, j4_enriched_mandates, a19_merged_companies, j6_best_company, j7_pool_cascade, j18_network_nodes, j18_network_edges, j19_clean_edges, w14_distress_sentences, a27_collective_comments, p19_mandate_display, a14_mandate_counts, a16_catalogue)}
+QUERIES = {f.__name__: f for f in (j5_director_matches, j4_enriched_mandates, a19_merged_companies, j6_best_company, j7_pool_cascade, j18_network_nodes, j18_network_edges, j19_clean_edges, w14_distress_sentences, a27_collective_comments, p19_mandate_display, a14_mandate_counts, a14_person_cards, a27_merged_comments, a16_catalogue)}
 
 
 def _duck(sql: str) -> str:
@@ -125,7 +138,7 @@ def _best(pool: str) -> str:
 
 
 _NET = f"""
-rp AS ({_duck(_REPS)}), ro AS (SELECT DISTINCT siren AS root FROM rp WHERE siren::INT % 10 = 0), pd AS (SELECT DISTINCT siren, ((siren::INT + 7) % 100)::VARCHAR AS predecessor FROM rp WHERE siren::INT % 20 = 0),
+rp AS ({_duck(_REPS)}), ro AS (SELECT DISTINCT siren AS root FROM rp), pd AS (SELECT DISTINCT siren, CASE WHEN siren::INT % 20 = 0 THEN (siren::INT + 7)::VARCHAR ELSE siren END AS predecessor FROM rp),
 f1 AS (SELECT root, siren, person_id, qualite FROM ro JOIN rp ON siren = root),
 ot AS (SELECT root, person_id, siren, rp.qualite FROM (SELECT DISTINCT root, person_id FROM f1) JOIN rp USING (person_id) WHERE NOT entreprise_cessee AND siren <> root),
 bf AS (SELECT root, predecessor AS siren FROM ro JOIN pd ON siren = root WHERE predecessor <> root),
@@ -164,7 +177,10 @@ SQL = {
         CASE WHEN o_orderkey % 2 = 0 THEN o_custkey * 1000.5 END::DOUBLE AS capital, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey * 10.0 END::DOUBLE AS ca FROM orders)
       SELECT mandate_id, nullif(concat_ws(' | ', s, 'RCS: ' || rcs), '') AS statut, coalesce(s LIKE 'Radi%', false) OR coalesce(rcs LIKE 'RADI%', false) AS radie, coalesce(role, CASE WHEN rcs LIKE 'RADI%' THEN 'X' END) AS role,
         nullif(concat_ws(' | ', 'Capital: ' || replace(regexp_replace(format('{:,.2f}', capital), '\\.?0+$', ''), ',', ' '), 'CA: ' || replace(regexp_replace(format('{:,.2f}', ca), '\\.?0+$', ''), ',', ' ')), '') AS infos FROM r""",
-    "a14_mandate_counts": f"WITH m AS ({_duck(_MANDATES)}) SELECT 'd' || (person_id % 30) AS folder, count(DISTINCT person_id) AS people, count(DISTINCT siren) AS companies, count(*) AS mandates FROM m GROUP BY 1",
+    "a14_mandate_counts": f"WITH m AS ({_duck(_MANDATES)}) SELECT 'd' || (person_id // 5) AS folder, count(DISTINCT person_id) AS people, count(DISTINCT siren) AS companies, count(*) AS mandates FROM m GROUP BY 1",
+    "a14_person_cards": f"""WITH m AS ({_duck(_MANDATES)}) SELECT 'd' || (person_id // 5) AS folder, person_id, count(*) || ' société(s) trouvée(s)' AS value, string_agg(siren || ' ' || nom, '; ' ORDER BY ordinal) AS companies FROM m GROUP BY ALL""",
+    "a27_merged_comments": """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN 'Radiée le ' || (o_custkey % 7) END AS a, CASE WHEN o_orderkey % 3 = 0 THEN 'RADIÉE LE ' || (o_custkey % 5) END AS b, CASE WHEN o_orderkey % 5 > 2 THEN o_orderpriority END AS c FROM orders)
+      SELECT o_orderkey, nullif(concat_ws(chr(10), a, CASE WHEN coalesce(lower(a), '') <> lower(b) THEN b END, c), '') AS comment FROM r""",
     "a16_catalogue": f"""WITH p AS (SELECT 'p' || (o_custkey % 10) AS project_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Hélène ' ELSE 'helene ' END || 'N' || (o_custkey % 40) AS name, o_orderkey AS k FROM orders),
       c AS (SELECT 'p' || (o_custkey % 10) AS project_id, CASE WHEN o_orderkey % 3 = 0 THEN 'SCI ' ELSE 'sci-' END || (o_custkey % 30) || 'x' AS name, (CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1000000000 END) + o_orderkey AS k FROM orders)
       SELECT project_id, {canonical('name')} AS key, arg_max(name, k) AS name, 'person' AS kind FROM p GROUP BY ALL UNION ALL SELECT project_id, {canonical('name')}, arg_min(name, k), 'company' FROM c GROUP BY ALL""",
