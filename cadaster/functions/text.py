@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say nothing about where in a street a property lies.
@@ -28,6 +28,16 @@ def _latin(form: str) -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value being computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a costly column that filters and later columns read, not compute again: no optimiser rule moves them below a generator."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 def without_marks(text: Column) -> Column:
     """Letters without their accents; other letters stay."""
     return F.regexp_replace(F.translate(text, *_latin("NFD")), r"\p{Mn}+", "")
@@ -81,9 +91,18 @@ def matches_pattern(name: Column, pattern: Column) -> Column:
 
 def path_has_segments(path: Column, target: Column) -> Column:
     """Whether the target's segments stand side by side in the path; both are canonical twice over."""
+    return holds_segments(joined_segments(path), target)
+
+
+def joined_segments(path: Column) -> Column:
+    """A path's canonical segments between slashes."""
     source = F.filter(F.transform(canonical_segments(path), canonical_name), lambda s: s != "")
+    return F.concat(F.lit("/"), F.array_join(source, "/"), F.lit("/"))
+
+
+def holds_segments(joined: Column, target: Column) -> Column:
+    """As path_has_segments(), of joined_segments()."""
     wanted = F.filter(F.transform(F.transform(segments(target), canonical_pattern), canonical_pattern), lambda s: s != "")
-    joined = F.concat(F.lit("/"), F.array_join(source, "/"), F.lit("/"))
     regex = F.concat(F.lit("/"), F.array_join(F.transform(wanted, _as_regex), "/"), F.lit("/"))
     return (F.size(wanted) == 0) | F.rlike(joined, regex)
 

@@ -42,10 +42,11 @@ def difference(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def change_flags(changes: DataFrame) -> DataFrame:
-    p = F.col("source_path")
+    both = F.struct(concerns_people(F.col("source_path")).alias("people"), concerns_accounts(F.col("source_path")).alias("accounts"))
+    changes = text.once(changes, "__of", both)
     return changes.groupBy("project_id").agg(
         *(F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "modified")), F.count("*").alias("changed"),
-        F.coalesce(F.bool_or(concerns_people(p)), F.lit(False)).alias("people_related"), F.coalesce(F.bool_or(concerns_accounts(p)), F.lit(False)).alias("financial_related"))
+        F.coalesce(F.bool_or("__of.people"), F.lit(False)).alias("people_related"), F.coalesce(F.bool_or("__of.accounts"), F.lit(False)).alias("financial_related"))
 
 
 def _fingerprint(keep: Column) -> Column:
@@ -55,7 +56,8 @@ def _fingerprint(keep: Column) -> Column:
 
 def fingerprints(files: DataFrame) -> DataFrame:
     """sha256 over the sorted `path::size` lines of each project's people and accounts files."""
-    people, accounts = concerns_people(F.col("source_path")), concerns_accounts(F.col("source_path"))
+    both = F.struct(concerns_people(F.col("source_path")).alias("people"), concerns_accounts(F.col("source_path")).alias("accounts"))
+    files, people, accounts = text.once(files, "__of", both), F.col("__of.people"), F.col("__of.accounts")
     return files.groupBy("project_id").agg(_fingerprint(people).alias("people"), _fingerprint(accounts).alias("financial"), F.count_if(people).alias("people_inputs"), F.count_if(accounts).alias("financial_inputs"))
 
 

@@ -51,9 +51,23 @@ def w9_table_rows(spark, sf_dir):
     return packed.select("l_orderkey", F.explode(F.arrays_zip("rows", "chunk")).alias("x")).groupBy("l_orderkey", F.col("x.chunk").alias("chunk")).agg(F.count("*").alias("rows"))
 
 
+def w9_child_chunks(spark, sf_dir):
+    """Tables of each order's items below a header with a rule, cut into children."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "struct(l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) AS o", "concat('| ', l_partkey, ' | ', l_suppkey, ' x ', l_extendedprice, ' |') AS row")
+    body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "row"))), lambda x: x["row"]), "\n").alias("body"))
+    parents = body.select(F.concat(F.lit("t"), "l_orderkey").alias("parent_id"), F.col("l_orderkey").alias("document_id"), F.lit("Lots").alias("title"), F.concat(F.lit("| Lot | Prix<br/>net |\n|---|---|\n"), "body").alias("text"))
+    return c.children(parents, 40).select("chunk_id", "document_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
+def w9_prose_children(spark, sf_dir):
+    """Children of the documents' chunks."""
+    parts = c.chunks(c.split_oversize(c.sections(_elements(spark, sf_dir)), SIZE, OVERLAP))
+    return c.children(parts, 60, 15).select("chunk_id", "parent_id", F.length("text").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
 def _ranked(spark, sf_dir):
     rows = _elements(spark, sf_dir).select("document_id", F.posexplode(F.split("text", "\n")).alias("index", "text")).withColumn("page", F.when(F.col("index") % 5 > 0, F.floor(F.col("index") / 3).cast("int")))
-    return c.rank_by_keywords(rows, F.lit(WORDS), F.col("text"))
+    return c.rank_by_keywords(rows, WORDS, F.col("text"))
 
 
 def w10_keyword_ranking(spark, sf_dir):
@@ -62,7 +76,7 @@ def w10_keyword_ranking(spark, sf_dir):
 
 
 def w11_neighbours(spark, sf_dir):
-    rows = _ranked(spark, sf_dir).withColumn("hits", F.when(F.col("hits") >= 4, F.col("hits")).otherwise(0))
+    rows = _ranked(spark, sf_dir).withColumn("hits", F.when(F.col("hits") >= 2, F.col("hits")).otherwise(0))
     return c.with_neighbours(rows, 1, 2).groupBy("document_id").agg(F.count("*").alias("n"), F.sum("index").alias("total"))
 
 
@@ -71,6 +85,16 @@ def w12_budget(spark, sf_dir):
     return rows.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("kept")).alias("chars"))
 
 
+def w12_context(spark, sf_dir):
+    rows = c.context(_ranked(spark, sf_dir).withColumn("hits", F.when(F.col("hits") >= 2, F.col("hits")).otherwise(0)), 2500, tail=True)
+    return rows.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("kept")).alias("chars"), F.sum(F.col("place") * F.col("index")).alias("order"))
+
+
+def w12_document_heads(spark, sf_dir):
+    rows = c.head(_elements(spark, sf_dir).select("document_id", F.posexplode(F.split("text", "\n")).alias("index", "text")), 900)
+    return rows.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("kept")).alias("chars"))
+
+
 def a11_manifest_totals(spark, sf_dir):
     parts = c.chunks(c.split_oversize(c.sections(_elements(spark, sf_dir)), SIZE, OVERLAP))
     per = parts.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum("token_estimate").alias("tokens"))
@@ -107,7 +131,7 @@ def a17_refresh(spark, sf_dir):
     return i.refresh_decision(i.fingerprints(files_before(spark, sf_dir)), i.fingerprints(files(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (src2_file_inventory, src10_html_text, w6_sections, w7_oversize_sections, w8_chunks, w9_table_rows, w10_keyword_ranking, w11_neighbours, w12_budget, a11_manifest_totals, j10_src5_reuse, j11_stale, j12_s5_difference, j12_change_flags, a15_fingerprints, a17_refresh)}
+QUERIES = {f.__name__: f for f in (src2_file_inventory, src10_html_text, w6_sections, w7_oversize_sections, w8_chunks, w9_table_rows, w9_child_chunks, w9_prose_children, w10_keyword_ranking, w11_neighbours, w12_budget, w12_context, w12_document_heads, a11_manifest_totals, j10_src5_reuse, j11_stale, j12_s5_difference, j12_change_flags, a15_fingerprints, a17_refresh)}
 
 _ELEMENTS = """
 el AS (SELECT doc_id AS document_id, source, array_to_string([CASE WHEN (j - 1 + doc_id) % 3 = 0 THEN '## Titre_' || (j - 1) || chr(10) || l WHEN (j - 1 + doc_id) % 7 = 0 THEN '**ARTICLE ' || (j - 1) || '** suite' || chr(10) || l ELSE l END for l, j in string_split(text, chr(10))], chr(10)) AS text FROM documents)"""
@@ -177,12 +201,34 @@ SQL = {
       f AS (SELECT l_orderkey, rn, 0 AS chunk, 6 + t + 1 AS used FROM r WHERE rn = 1
         UNION ALL SELECT r.l_orderkey, r.rn, CASE WHEN f.used + r.t > 12 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.used + r.t > 12 THEN 6 + r.t ELSE f.used + r.t + 1 END FROM f JOIN r ON r.l_orderkey = f.l_orderkey AND r.rn = f.rn + 1)
       SELECT l_orderkey, chunk::INT AS chunk, count(*) AS rows FROM f GROUP BY ALL""",
+    "w9_child_chunks": """WITH RECURSIVE r AS (SELECT l_orderkey, '| ' || l_partkey || ' | ' || l_suppkey || ' x ' || l_extendedprice || ' |' AS row, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) AS rn FROM lineitem),
+      z AS (SELECT l_orderkey, '| Lot | Prix net |' || chr(10) || '|---|---|' AS head, string_agg(row, chr(10) ORDER BY rn) AS body FROM r GROUP BY 1),
+      w AS (SELECT l_orderkey, head, head || chr(10) || body AS text, ceil(length(head || chr(10) || body) / 4) > 40 AS cut FROM z),
+      f AS (SELECT r.l_orderkey, rn, row, 0 AS chunk, 7 + ceil(length(row) / 4) + 1 AS used FROM r JOIN w USING (l_orderkey) WHERE rn = 1 AND cut
+        UNION ALL SELECT r.l_orderkey, r.rn, r.row, CASE WHEN f.used + ceil(length(r.row) / 4) > 30 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.used + ceil(length(r.row) / 4) > 30 THEN 7 + ceil(length(r.row) / 4) ELSE f.used + ceil(length(r.row) / 4) + 1 END FROM f JOIN r ON r.l_orderkey = f.l_orderkey AND r.rn = f.rn + 1),
+      t AS (SELECT l_orderkey, chunk, any_value(head) || chr(10) || string_agg(row, chr(10) ORDER BY rn) AS text FROM f JOIN w USING (l_orderkey) GROUP BY ALL UNION ALL SELECT l_orderkey, 0, text FROM w WHERE NOT cut)
+      SELECT 't' || l_orderkey || '_c_' || lpad(chunk::VARCHAR, 3, '0') AS chunk_id, l_orderkey AS document_id, sha256(text) AS sha FROM t WHERE length(text) >= 50 AND length(regexp_replace(text, '[#*_\\-|\\s]', '', 'g')) >= 10""",
     "w10_keyword_ranking": f"WITH {_RANKED} SELECT document_id, index, hits::INT AS hits, row_number() OVER (PARTITION BY document_id ORDER BY hits DESC, index)::INT AS place FROM hits WHERE hits > 0",
-    "w11_neighbours": f"""WITH {_RANKED}, n AS (SELECT *, max((hits >= 4)::INT) OVER (PARTITION BY document_id ORDER BY index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM hits),
+    "w11_neighbours": f"""WITH {_RANKED}, n AS (SELECT *, max((hits >= 2)::INT) OVER (PARTITION BY document_id ORDER BY index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM hits),
       k AS (SELECT *, min(page) OVER (PARTITION BY document_id) AS first FROM n WHERE near > 0 AND length(text) >= 50) SELECT document_id, count(*) AS n, sum(index)::BIGINT AS total FROM k WHERE page IS NULL OR page <= first + 2 GROUP BY 1""",
     "w12_budget": f"""WITH {_RANKED}, n AS (SELECT *, row_number() OVER w AS n, sum(length(text)) OVER w AS fin FROM hits WHERE hits > 0 WINDOW w AS (PARTITION BY document_id ORDER BY hits DESC, index ROWS UNBOUNDED PRECEDING)),
       o AS (SELECT *, min(n) FILTER (fin > 1500) OVER (PARTITION BY document_id) AS over, 1500 - (fin - length(text)) AS room FROM n)
       SELECT document_id, count(*) AS n, sum(CASE WHEN n = over THEN room + 4 ELSE length(text) END)::BIGINT AS chars FROM o WHERE over IS NULL OR n < over OR (n = over AND room > 200) GROUP BY 1""",
+    "w12_context": f"""WITH {_RANKED}, h AS (SELECT document_id, index, text, length(text) AS len, CASE WHEN hits >= 2 THEN hits ELSE 0 END AS hits FROM hits),
+      a AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY hits DESC, index) AS n FROM h), b AS (SELECT *, sum(len) FILTER (hits > 0) OVER (PARTITION BY document_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS fin FROM a),
+      d AS (SELECT *, coalesce(min(n) FILTER (hits > 0 AND fin > 2500) OVER (PARTITION BY document_id), 1000000) AS over FROM b),
+      e AS (SELECT *, coalesce(sum(len) FILTER (hits > 0 AND n < over) OVER (PARTITION BY document_id), 0) AS total FROM d),
+      f AS (SELECT *, total + coalesce(sum(len) FILTER (hits = 0 AND len >= 50) OVER (PARTITION BY document_id ORDER BY index ROWS UNBOUNDED PRECEDING), 0) AS t_fin FROM e),
+      g AS (SELECT *, coalesce(min(index) FILTER (hits = 0 AND len >= 50 AND t_fin > 2500) OVER (PARTITION BY document_id), 1000000) AS t_over FROM f),
+      k AS (SELECT *, CASE WHEN hits > 0 AND n < over THEN len WHEN hits > 0 AND n = over AND 2500 - (fin - len) > 200 THEN 2500 - (fin - len) + 4 WHEN hits = 0 AND len >= 50 AND index < t_over THEN len END AS kept FROM g),
+      l AS (SELECT *, count(kept) OVER (PARTITION BY document_id) AS n_kept, sum(CASE WHEN len >= 50 THEN len ELSE 0 END) OVER (PARTITION BY document_id ORDER BY index ROWS UNBOUNDED PRECEDING) AS p_fin FROM k),
+      o AS (SELECT *, coalesce(min(index) FILTER (len >= 50 AND p_fin > 2500) OVER (PARTITION BY document_id), 1000000) AS p_over FROM l),
+      q AS (SELECT document_id, index, CASE WHEN n_kept = 0 THEN index ELSE n END AS pos, CASE WHEN n_kept > 0 THEN kept WHEN len >= 50 AND index < p_over THEN len END AS kept FROM o),
+      p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS place FROM q WHERE kept IS NOT NULL)
+      SELECT document_id, count(*) AS n, sum(kept)::BIGINT AS chars, sum(place * index)::BIGINT AS "order" FROM p GROUP BY 1""",
+    "w12_document_heads": f"""WITH {_ELEMENTS}, l AS (SELECT document_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS index FROM el),
+      b AS (SELECT *, 900 - coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM l)
+      SELECT document_id, count(*) AS n, sum(least(room, length(text)))::BIGINT AS chars FROM b WHERE room > 0 AND text <> '' GROUP BY 1""",
     "a11_manifest_totals": f"""WITH {_CHUNKS}, p AS (SELECT document_id, count(*) AS chunks, sum(token_estimate) AS tokens FROM ch GROUP BY 1)
       SELECT source, count(*) AS files, count(chunks) AS with_chunks, sum(chunks)::BIGINT AS chunks, sum(tokens)::BIGINT AS tokens, max(tokens)::BIGINT AS longest FROM documents d LEFT JOIN p ON p.document_id = d.doc_id GROUP BY 1""",
     "j10_src5_reuse": f"""WITH {FILES} SELECT sha256(i.project_id || '::' || i.source_path)[1:12] AS document_id, b.source_path IS NOT NULL AND i.doc_id % 3 > 0 AS reuse FROM fi i LEFT JOIN fb b USING (project_id, source_path, file_size_bytes)""",
