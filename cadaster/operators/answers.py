@@ -17,6 +17,7 @@ KEEP_PHRASES = [
 ]
 KEEP_FOLDERS = ["acquisition", "garanties", "rh", "elements techniques", "elements financiers", "commercialisation"]
 GENERIC_FOLDERS = ["audit", "operateur", "rh", "ressources humaines", "elements juridiques", "elements financiers"]
+MOST_RULES = 1_000
 SUMMARY = ["raison_sociale_operation", "siren_operation", "dirigeants_operation", "raison_sociale_emprunt", "siren_emprunt", "dirigeants_emprunt", "localisation_projet", "montant_collecte", "duree", "ltv"]
 
 
@@ -39,28 +40,38 @@ def is_specific(pattern: Column) -> Column:
     return (F.size(named) >= 3) & ~F.coalesce(F.element_at(F.array_append(named, F.lit("audit")), F.greatest(F.size(named), F.lit(1))).isin(GENERIC_FOLDERS), F.lit(False))
 
 
-def excluded(path: Column, patterns: Column) -> Column:
-    """Whether a pattern is loosely in the path."""
-    name = text.canonical_name(path)
-    return F.exists(patterns, lambda p: (text.canonical_name(p) != "") & F.contains(name, text.canonical_name(p)))
+def excluded(path: Column, patterns: list[str]) -> Column:
+    """Whether a pattern is loosely in the path; patterns: a list of words."""
+    known = [text.canonical_name(F.lit(p)) for p in patterns]  # literals, folded when the plan is made
+    return text.let(text.canonical_name(path), lambda name: reduce(lambda x, y: x | y, ((p != "") & F.contains(name, p) for p in known), F.lit(False)))
 
 
 def match_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs of a file and a rule: the path holds one of the rule's folders, if it has any, and a keyword occurs in name or path.
 
-    Rules are the hand-written configuration and are broadcast; empty keywords match nothing.
+    Rules are the hand-written configuration, MOST_RULES at most; they become literals of one
+    expression over a file's row, so nothing is joined. Empty keywords match nothing.
     """
-    r = rules.select("field_id", "source_dirs", F.filter(F.transform("hint_keywords", text.canonical_name), lambda k: k != "").alias("keywords"))
+    given = rules.select("field_id", "source_dirs", "hint_keywords").limit(MOST_RULES + 1).collect()
+    if len(given) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    any_of = lambda conditions: reduce(lambda x, y: x | y, conditions, F.lit(False))
     hay = F.concat_ws(" ", text.canonical_stem(F.col("filename")), text.canonical_name(F.col("source_path")))
-    inside = (F.size("source_dirs") == 0) | F.exists("source_dirs", lambda d: text.path_has_segments(F.col("source_path"), d))
-    rows = files.withColumns({"hay": hay, "one": F.lit(1)}).join(F.broadcast(r.withColumn("one", F.lit(1))), "one")
-    return rows.where(F.exists("keywords", lambda k: F.contains(F.col("hay"), k)) & inside).drop("hay", "one", "keywords", "source_dirs")
+    rows = text.once(files, "__of", F.struct(hay.alias("hay"), text.joined_segments(F.col("source_path")).alias("path")))
+
+    def fits(rule):
+        words = [text.canonical_name(F.lit(k)) for k in rule.hint_keywords or []]
+        inside = any_of(text.holds_segments(F.col("__of.path"), F.lit(d)) for d in rule.source_dirs) if rule.source_dirs else F.lit(True)
+        return any_of((k != "") & F.contains(F.col("__of.hay"), k) for k in words) & inside
+
+    found = F.array_compact(F.array(*(F.when(fits(r), F.lit(r.field_id)) for r in given), F.lit(None).cast("string")))
+    return rows.withColumn("field_id", F.explode(found)).drop("__of")
 
 
 def keep_reasons(path: Column, filename: Column, rule_hits: Column, specific_dirs: Column, is_record: Column) -> Column:
     """Why a file is worth extracting; none means it is left out."""
-    name = text.canonical_name(F.concat_ws(" ", text.stem(filename), path))
-    phrase = F.exists(F.lit(KEEP_PHRASES), lambda p: F.rlike(name, F.concat(F.lit(r"(?<!\w)"), F.replace(p, F.lit(" "), F.lit(r"\s+")), F.lit(r"(?!\w)"))))
+    phrases = "|".join(p.replace(" ", r"\s+") for p in KEEP_PHRASES)
+    phrase = F.rlike(text.canonical_name(F.concat_ws(" ", text.stem(filename), path)), F.lit(rf"(?<!\w)(?:{phrases})(?!\w)"))
     folder = F.exists(text.canonical_segments(path), lambda s: s.isin(KEEP_FOLDERS))
     return F.array_compact(F.array(
         F.when(rule_hits > 0, F.concat(F.lit("questions:"), rule_hits.cast("string"))), F.when(F.exists(specific_dirs, lambda d: text.path_has_segments(path, d)), "dossier_source"),
@@ -129,15 +140,25 @@ def extraction_summary(asked: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.groupBy("project_id").agg(*counts, *(F.count_distinct(F.when(F.col("scope") == s, F.col("entity_key"))).alias(n) for s, n in (("person", "persons"), ("company", "companies"))))
 
 
+#: Rows that follow a field of the operation tab.
+FIXED_ROWS = {"montant_collecte": [("Montant d'une obligation", "1"), ("Ticket Minimum", "1 000")]}
+
+
 def operation_view(values: DataFrame) -> DataFrame:
-    """Filled fields of a project's operation tab: summary cards in their order, then sections by what the id ends with."""
+    """Filled fields of a project's operation tab: summary cards in their order, then sections by what the id ends with.
+
+    After the fields that have fixed rows these follow, at the field's place, with their own values.
+    """
     filled = values.where(labels.meaningful(F.col("value")))
     card = F.array_position(F.lit(SUMMARY), F.col("field_id"))
     section = F.when(F.endswith("field_id", F.lit("_emprunt")), "Société emprunteuse").when(F.endswith("field_id", F.lit("_operation")), "Société opération").otherwise("Opération")
     cards = filled.where(card > 0).select("project_id", F.lit("Synthèse").alias("section"), "field_id", "value", card.cast("int").alias("place"))
     w = W.partitionBy("project_id", "section").orderBy("field_id")
     rest = filled.withColumn("section", section).select("project_id", "section", "field_id", "value", F.row_number().over(w).alias("place"))
-    return cards.unionByName(rest)
+    entry = lambda label, value: F.struct(F.lit(label).alias("field_id"), F.lit(value).alias("value"))
+    after = reduce(lambda c, k: c.when(F.col("of") == k, F.array(*(entry(*x) for x in FIXED_ROWS[k]))), FIXED_ROWS, F)
+    fixed = rest.withColumnRenamed("field_id", "of").drop("value").select("project_id", "section", F.inline(after), "place")
+    return cards.unionByName(rest).unionByName(fixed)
 
 
 def export_status(projects: DataFrame, **tables: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from cadaster.functions import numbers, text
@@ -40,7 +38,7 @@ def p2_prefilter(spark, sf_dir):
 
 
 def p3_excluded(spark, sf_dir):
-    return files(spark, sf_dir).select("doc_id", a.excluded(F.col("source_path"), F.lit(["lumiere", "", "annexes", "x - old"])).alias("excluded"))
+    return files(spark, sf_dir).select("doc_id", a.excluded(F.col("source_path"), ["lumiere", "", "annexes", "x - old"]).alias("excluded"))
 
 
 def p4_resolved_dirs(spark, sf_dir):
@@ -56,11 +54,12 @@ def p11_p12_tabs_and_scope(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    return answers(spark, sf_dir).select("project_id", "field_id", "entity_key", F.when(F.col("entity_key") == "e0", "global").when(F.col("entity_key") == "e1", "person").otherwise("company").alias("scope"), (F.col("document_id") % 500).alias("document_id"))
+    return answers(spark, sf_dir).select("project_id", "field_id", "entity_key", F.when(F.col("entity_key") == "e0", "global").when(F.col("entity_key") == "e1", "person").otherwise("company").alias("scope"), F.floor(F.col("document_id") / 4).alias("document_id"))
 
 
 def p13_field_statuses(spark, sf_dir):
-    given = answers(spark, sf_dir).where("document_id % 4 > 0").withColumn("document_id", F.col("document_id") % 500)
+    field = F.when(F.col("document_id") % 4 > 0, F.col("field_id")).otherwise(F.concat(F.lit("other "), "field_id"))
+    given = answers(spark, sf_dir).withColumn("field_id", field).withColumn("document_id", F.floor(F.col("document_id") / 4))
     return a.statuses(_asked(spark, sf_dir), given)
 
 
@@ -73,17 +72,19 @@ def w5_entity_index(spark, sf_dir):
 
 
 def a12_extraction_summary(spark, sf_dir):
-    return a.extraction_summary(_asked(spark, sf_dir), answers(spark, sf_dir).where("document_id % 11 = 0"))
+    return a.extraction_summary(_asked(spark, sf_dir), answers(spark, sf_dir).withColumn("value", F.when(F.col("document_id") % 11 == 0, F.col("value"))))
 
 
 def j13_filled_answers(spark, sf_dir):
-    given = answers(spark, sf_dir).groupBy((F.col("document_id") % 500).alias("document_id"), "field_id").agg(F.max("value").alias("value"))
-    native = given.where("document_id % 3 > 0").select("document_id", "field_id", F.lit("natif").alias("value"))
-    return a.fill_missing(given.where("document_id % 2 = 0"), native, _asked(spark, sf_dir).where("document_id % 5 > 0"))
+    given = answers(spark, sf_dir).groupBy(F.floor(F.col("document_id") / 4).alias("document_id"), "field_id").agg(F.max("value").alias("value"))
+    # each side has documents that the others have not
+    shared = lambda df, k: df.withColumn("document_id", F.when(F.col("document_id") % k[0] == 0, F.col("document_id") + k[1]).otherwise(F.col("document_id")))
+    native = shared(given, (3, 10**9)).select("document_id", "field_id", F.lit("natif").alias("value"))
+    return a.fill_missing(shared(given, (2, 2 * 10**9)), native, shared(_asked(spark, sf_dir), (5, 3 * 10**9)))
 
 
 def j14_project_location(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").selectExpr("concat('p', o_custkey % 40) AS project_id", "o_orderkey % 50 AS document_id", "o_orderkey AS ordinal", "CASE o_orderkey % 5 WHEN 0 THEN concat(o_custkey % 9, ' Rue de la Paix') WHEN 1 THEN concat(o_custkey % 9, ' rue de la paix 75002 Paris') WHEN 2 THEN 'Paris' WHEN 3 THEN concat(o_orderkey % 17, ' avenue Foch') ELSE NULL END AS value").where("ordinal % 7 < 2")
+    rows = table(spark, sf_dir, "orders").selectExpr("concat('p', cast(floor(o_custkey / 10) AS int)) AS project_id", "o_orderkey % 50 AS document_id", "o_orderkey AS ordinal", "CASE o_orderkey % 5 WHEN 0 THEN concat(o_custkey % 9, ' Rue de la Paix') WHEN 1 THEN concat(o_custkey % 9, ' rue de la paix 75002 Paris') WHEN 2 THEN 'Paris' WHEN 3 THEN concat(o_orderkey % 17, ' avenue Foch') ELSE NULL END AS value")
     return a.project_location(rows)
 
 
@@ -108,42 +109,47 @@ def w18_newest_history(spark, sf_dir):
     return a.newest(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"]).select("event_id", "user_id", "place")
 
 
-def _folder(spark, name):
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp'}/cadaster-{name}-{uuid4().hex}"
-
-
 def src1_rule_files(spark, sf_dir):
-    """Rules of parts, a file for each size, read back; those without an id are left out."""
-    path = _folder(spark, "rules")
+    """Rules of parts, in files of fifty, read back; those without an id are left out."""
+    path = inventory.shared_folder(spark, "rules")
     field = F.struct(F.when(F.col("p_partkey") % 9 > 0, F.concat(F.lit("f"), F.col("p_partkey"))).alias("field_id"), F.col("p_name").alias("label"), F.array("p_type").alias("hint_keywords"))
-    table(spark, sf_dir, "part").groupBy("p_size").agg(F.collect_list(field).alias("fields")).select("fields").write.option("maxRecordsPerFile", 1).json(path)
+    table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 50)).agg(F.collect_list(field).alias("fields")).select("fields").write.option("maxRecordsPerFile", 1).json(path)
     return inventory.rules(spark, path).select("field_id", "label", F.get("hint_keywords", 0).alias("hint"))
 
 
 def src3_whole_texts(spark, sf_dir):
-    """Texts of each source, in seven files each, read back whole."""
-    path = _folder(spark, "texts")
+    """Texts of each source, in files of a few documents each, read back whole: as many files as the documents need."""
+    path = inventory.shared_folder(spark, "texts")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
-    table(spark, sf_dir, "documents").groupBy("source", F.col("doc_id") % 7).agg(joined.alias("text")).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    table(spark, sf_dir, "documents").groupBy("source", F.floor(F.col("doc_id") / 64)).agg(joined.alias("text")).select("text").write.option("maxRecordsPerFile", 1).text(path)
     return inventory.whole_texts(spark, path).groupBy("file_type").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
 
 
 def src5_manifests(spark, sf_dir):
-    """A manifest for each project, written and read back by cache key."""
-    path = _folder(spark, "manifests")
+    """Manifests of each project, in files of some hundred entries, written and read back by cache key."""
+    path = inventory.shared_folder(spark, "manifests")
     entry = F.struct(F.when(F.col("doc_id") % 13 > 0, F.col("source_path")).alias("source_path"), F.when(F.col("doc_id") % 17 > 0, F.col("file_size_bytes").cast("string")).otherwise("?").alias("file_size_bytes"))
-    files(spark, sf_dir).groupBy("project_id").agg(F.collect_list(entry).alias("files")).write.option("maxRecordsPerFile", 1).json(path)
+    files(spark, sf_dir).groupBy("project_id", F.floor(F.col("doc_id") / 256)).agg(F.collect_list(entry).alias("files")).select("project_id", "files").write.option("maxRecordsPerFile", 1).json(path)
     return inventory.manifest(spark, path).select("project_id", "cache_key")
 
 
 def src4_src9_chunk_files(spark, sf_dir):
     """Chunk rows written as JSON lines by project and read back."""
-    path = _folder(spark, "chunks")
+    path = inventory.shared_folder(spark, "chunks")
     chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("project_id"), F.col("doc_id").alias("document_id"), "text")
     inventory.write_chunks(chunks, path)
     return inventory.read_chunks(spark, path, "document_id long, text string, project_id string").groupBy("project_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+def src9_result_files(spark, sf_dir):
+    """Consolidated answers as JSON lines by project and mandate counts as Parquet, written and read back."""
+    folder = inventory.shared_folder(spark, "results")
+    inventory.write_results(a.consolidate(answers(spark, sf_dir)), f"{folder}/answers", "json", ["project_id"])
+    inventory.write_results(a.statuses(_asked(spark, sf_dir), answers(spark, sf_dir)), f"{folder}/statuses")
+    told = spark.read.schema("field_id string, entity_key string, value string, from_ordinal long, project_id string").json(f"{folder}/answers").groupBy(F.lit("answers").alias("result"), F.col("project_id").alias("of")).agg(F.count("value").alias("n"))
+    return told.unionByName(spark.read.parquet(f"{folder}/statuses").groupBy(F.lit("statuses").alias("result"), F.col("status").alias("of")).agg(F.count("*").alias("n")))
+
+
 def src7_transaction_features(spark, sf_dir):
     feature = "named_struct('properties', map('valeurfonc', cast(floor(o_totalprice) AS string), 'datemut', o_orderstatus), 'geometry', named_struct('type', 'Point', 'coordinates', '[1, 2]'))"
     body = f"CASE o_orderkey % 3 WHEN 0 THEN to_json(named_struct('features', array({feature}))) WHEN 1 THEN to_json(named_struct('results', array({feature}, {feature}))) ELSE to_json(array({feature})) END"
@@ -154,13 +160,13 @@ def src7_transaction_features(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     p1_scope, j1_matched_rules, p2_prefilter, p3_excluded, p4_resolved_dirs, p11_p12_tabs_and_scope, p13_field_statuses, w4_first_answers, w5_entity_index, a12_extraction_summary, j13_filled_answers, j14_project_location,
-    p14_operation_view, a28_export_status, j21_selected_files, w18_newest_history, src1_rule_files, src3_whole_texts, src5_manifests, src4_src9_chunk_files, src7_transaction_features,
+    p14_operation_view, a28_export_status, j21_selected_files, w18_newest_history, src1_rule_files, src3_whole_texts, src5_manifests, src4_src9_chunk_files, src9_result_files, src7_transaction_features,
 )}
 
 _ANSWERS = """
 an AS (SELECT 'p' || (user_id % 10) AS project_id, event_id AS document_id, event_id AS doc_ordinal, event_type AS field_id, 'e' || (user_id % 3) AS entity_key,
   CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '[]' ELSE trunc(value * 100)::BIGINT::VARCHAR END AS value FROM events),
-ak AS (SELECT project_id, field_id, entity_key, CASE entity_key WHEN 'e0' THEN 'global' WHEN 'e1' THEN 'person' ELSE 'company' END AS scope, document_id % 500 AS document_id FROM an)"""
+ak AS (SELECT project_id, field_id, entity_key, CASE entity_key WHEN 'e0' THEN 'global' WHEN 'e1' THEN 'person' ELSE 'company' END AS scope, document_id // 4 AS document_id FROM an)"""
 _OK = "coalesce(trim(value) NOT IN ('', 'null', '[]', '{}'), false)"
 # the rules in plain terms: every file is called `Doc <id> <year>`, its folder follows from its id
 _MATCH = f"""
@@ -178,22 +184,24 @@ SQL = {
     "p11_p12_tabs_and_scope": """WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'bilan_actif_table' WHEN 1 THEN 'bilan_compte_resultat_table' WHEN 2 THEN 'bilan_societe_nom' WHEN 3 THEN 'lots_table' ELSE event_type END AS f, event_id % 5 AS s FROM events),
       t AS (SELECT event_id, s, CASE WHEN s = 0 THEN 'patrimoine' WHEN s = 1 THEN CASE f WHEN 'bilan_actif_table' THEN 'bilan' WHEN 'bilan_compte_resultat_table' THEN 'compte_resultat' ELSE 'bilan,compte_resultat' END WHEN f = 'lots_table' OR s = 2 THEN 'lots' ELSE 'operation' END AS tabs FROM e)
       SELECT event_id, tabs, CASE s WHEN 0 THEN 'person' WHEN 1 THEN 'company' ELSE 'global' END AS scope, tabs LIKE 'bilan%' OR tabs = 'lots' AS wanted FROM t""",
-    "p13_field_statuses": f"WITH {_ANSWERS}, g AS (SELECT document_id % 500 AS document_id, field_id, bool_or({_OK}) AS filled FROM an WHERE document_id % 4 > 0 GROUP BY ALL) SELECT document_id, field_id, CASE WHEN filled THEN 'rempli' ELSE 'vide' END AS status FROM (SELECT DISTINCT document_id, field_id FROM ak) LEFT JOIN g USING (document_id, field_id)",
+    "p13_field_statuses": f"WITH {_ANSWERS}, g AS (SELECT document_id // 4 AS document_id, field_id, bool_or({_OK}) AS filled FROM an WHERE document_id % 4 > 0 GROUP BY ALL) SELECT document_id, field_id, CASE WHEN filled THEN 'rempli' ELSE 'vide' END AS status FROM (SELECT DISTINCT document_id, field_id FROM ak) LEFT JOIN g USING (document_id, field_id)",
     "w4_first_answers": f"WITH {_ANSWERS} SELECT project_id, field_id, entity_key, arg_min(value, doc_ordinal) AS value, min(doc_ordinal) AS from_ordinal FROM an WHERE {_OK} GROUP BY ALL",
     "w5_entity_index": f"WITH {_ANSWERS}, f AS (SELECT project_id, entity_key || '-' || (document_id % 7) AS entity_key, min(doc_ordinal) AS first FROM an GROUP BY ALL) SELECT project_id, entity_key, (dense_rank() OVER (PARTITION BY project_id ORDER BY first, entity_key) - 1)::INT AS k FROM f",
     "a12_extraction_summary": f"""WITH {_ANSWERS}, a AS (SELECT DISTINCT project_id, field_id, entity_key, scope FROM ak), h AS (SELECT DISTINCT project_id, field_id, entity_key, 1 AS hit FROM an WHERE document_id % 11 = 0 AND {_OK})
       SELECT project_id, {', '.join(f"count(*) FILTER (scope = '{s}') AS asked_{s}, count(*) FILTER (scope = '{s}' AND hit = 1) AS answered_{s}" for s in ('global', 'person', 'company'))}, count(DISTINCT entity_key) FILTER (scope = 'person') AS persons, count(DISTINCT entity_key) FILTER (scope = 'company') AS companies FROM a LEFT JOIN h USING (project_id, field_id, entity_key) GROUP BY 1""",
-    "j13_filled_answers": f"""WITH {_ANSWERS}, g AS (SELECT document_id % 500 AS document_id, field_id, max(value) AS value FROM an GROUP BY ALL), n AS (SELECT document_id, field_id, 'natif' AS native FROM g WHERE document_id % 3 > 0 AND document_id % 5 > 0)
-      SELECT document_id, field_id, CASE WHEN {_OK} THEN value ELSE coalesce(native, value) END AS value FROM (SELECT * FROM g WHERE document_id % 2 = 0) FULL JOIN n USING (document_id, field_id)""",
-    "j14_project_location": f"""WITH c AS (SELECT 'p' || (o_custkey % 40) AS project_id, o_orderkey % 50 AS document_id, o_orderkey AS ordinal, CASE o_orderkey % 5 WHEN 0 THEN (o_custkey % 9) || ' Rue de la Paix' WHEN 1 THEN (o_custkey % 9) || ' rue de la paix 75002 Paris' WHEN 3 THEN (o_orderkey % 17) || ' avenue Foch' END AS value FROM orders WHERE o_orderkey % 7 < 2 AND o_orderkey % 5 IN (0, 1, 3)),
+    "j13_filled_answers": f"""WITH {_ANSWERS}, g AS (SELECT document_id // 4 AS document_id, field_id, max(value) AS value FROM an GROUP BY ALL),
+      n AS (SELECT document_id, field_id, 'natif' AS native FROM g WHERE document_id % 3 > 0 AND document_id % 5 > 0), h AS (SELECT CASE WHEN document_id % 2 = 0 THEN document_id + 2000000000 ELSE document_id END AS document_id, field_id, value FROM g)
+      SELECT document_id, field_id, CASE WHEN {_OK} THEN value ELSE coalesce(native, value) END AS value FROM h FULL JOIN n USING (document_id, field_id)""",
+    "j14_project_location": f"""WITH c AS (SELECT 'p' || (o_custkey // 10) AS project_id, o_orderkey % 50 AS document_id, o_orderkey AS ordinal, CASE o_orderkey % 5 WHEN 0 THEN (o_custkey % 9) || ' Rue de la Paix' WHEN 1 THEN (o_custkey % 9) || ' rue de la paix 75002 Paris' WHEN 3 THEN (o_orderkey % 17) || ' avenue Foch' END AS value FROM orders WHERE o_orderkey % 5 IN (0, 1, 3)),
       r AS (SELECT *, {canonical('value')} AS key FROM c),
       p AS (SELECT a.project_id, a.key, a.ordinal, b.document_id, b.value, b.ordinal AS o FROM (SELECT project_id, key, min(ordinal) AS ordinal FROM r GROUP BY ALL) a JOIN r b ON a.project_id = b.project_id AND (contains(a.key, b.key) OR contains(b.key, a.key))),
       k AS (SELECT project_id, key, ordinal, count(DISTINCT document_id) AS documents, max(length(value)) AS size, (list(value ORDER BY length(value) DESC, o))[1] AS location FROM p GROUP BY ALL)
       SELECT project_id, location FROM k WHERE documents >= 2 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY documents DESC, size DESC, ordinal) = 1""",
     "p14_operation_view": f"""WITH v AS (SELECT 'p' || (user_id % 10) AS project_id, {[*a.SUMMARY, 'taux_emprunt', 'garantie_operation', 'autre']}[(event_id % 13)::INT + 1] AS field_id, max(CASE WHEN event_id % 4 > 0 THEN event_id::VARCHAR END) AS value FROM events GROUP BY ALL),
-      f AS (SELECT * FROM v WHERE {_OK})
+      f AS (SELECT * FROM v WHERE {_OK}),
+      r AS (SELECT project_id, section, field_id, value, row_number() OVER (PARTITION BY project_id, section ORDER BY field_id)::INT AS place FROM (SELECT *, CASE WHEN field_id LIKE '%\\_emprunt' ESCAPE '\\' THEN 'Société emprunteuse' WHEN field_id LIKE '%\\_operation' ESCAPE '\\' THEN 'Société opération' ELSE 'Opération' END AS section FROM f))
       SELECT project_id, 'Synthèse' AS section, field_id, value, list_position({a.SUMMARY}, field_id)::INT AS place FROM f WHERE list_contains({a.SUMMARY}, field_id)
-      UNION ALL SELECT project_id, section, field_id, value, row_number() OVER (PARTITION BY project_id, section ORDER BY field_id)::INT FROM (SELECT *, CASE WHEN field_id LIKE '%\\_emprunt' ESCAPE '\\' THEN 'Société emprunteuse' WHEN field_id LIKE '%\\_operation' ESCAPE '\\' THEN 'Société opération' ELSE 'Opération' END AS section FROM f)""",
+      UNION ALL SELECT project_id, section, field_id, value, place FROM r UNION ALL SELECT project_id, section, 'Montant d''une obligation', '1', place FROM r WHERE field_id = 'montant_collecte' UNION ALL SELECT project_id, section, 'Ticket Minimum', '1 000', place FROM r WHERE field_id = 'montant_collecte'""",
     "a28_export_status": """WITH e AS (SELECT 'p' || user_id AS project_id, event_type FROM events), c AS (SELECT project_id, count(*) FILTER (event_type = 'click') AS o, count(*) FILTER (event_type = 'error') AS f, count(*) FILTER (event_type = 'purchase' AND project_id LIKE '%1%') AS s FROM e GROUP BY 1)
       SELECT project_id, o AS n_operation, f AS n_financier, s AS n_scraping, o > 0 AS operation, f > 0 AS financier, s > 0 AS scraping, o > 0 AND f > 0 AND s > 0 AS complete FROM c""",
     "j21_selected_files": f"""WITH {FILES}, f AS (SELECT project_id AS company, source_path, greatest(2018 + doc_id % 6, CASE WHEN doc_id BETWEEN 1900 AND 2199 THEN doc_id ELSE 0 END) AS year, doc_id FROM fi),
@@ -201,8 +209,11 @@ SQL = {
       SELECT company, coalesce(chosen, dflt) AS source_path, chosen IS NOT NULL AS is_chosen FROM d LEFT JOIN c USING (company)""",
     "w18_newest_history": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS place FROM events QUALIFY place <= 25",
     "src1_rule_files": "SELECT 'f' || p_partkey AS field_id, p_name AS label, p_type AS hint FROM part WHERE p_partkey % 9 > 0",
-    "src3_whole_texts": "SELECT 'txt' AS file_type, count(DISTINCT source || (doc_id % 7)) AS files, sum(length(text) + 1)::BIGINT AS chars FROM documents",
+    "src3_whole_texts": "SELECT 'txt' AS file_type, count(DISTINCT source || '/' || (doc_id // 64)) AS files, sum(length(text) + 1)::BIGINT AS chars FROM documents",
     "src5_manifests": f"WITH {FILES} SELECT project_id, source_path || '::' || file_size_bytes AS cache_key FROM fi WHERE doc_id % 13 > 0 AND doc_id % 17 > 0",
     "src4_src9_chunk_files": "SELECT source AS project_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1",
+    "src9_result_files": f"""WITH {_ANSWERS}, c AS (SELECT DISTINCT project_id, field_id, entity_key FROM an WHERE {_OK}), g AS (SELECT document_id, field_id, bool_or({_OK}) AS filled FROM an GROUP BY ALL),
+      s AS (SELECT document_id, field_id, CASE WHEN filled THEN 'rempli' ELSE 'vide' END AS status FROM (SELECT DISTINCT document_id, field_id FROM ak) LEFT JOIN g USING (document_id, field_id))
+      SELECT 'answers' AS result, project_id AS of, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'statuses', status, count(*) FROM s GROUP BY ALL""",
     "src7_transaction_features": "SELECT o_orderstatus AS mutation, sum(CASE WHEN o_orderkey % 3 = 1 THEN 2 ELSE 1 END)::BIGINT AS n, sum(floor(o_totalprice)::BIGINT * CASE WHEN o_orderkey % 3 = 1 THEN 2 ELSE 1 END)::BIGINT AS value FROM orders GROUP BY 1",
 }

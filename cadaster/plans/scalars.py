@@ -110,7 +110,7 @@ def f28_f29_f30_answers(spark, sf_dir):
 
 def f31_record_names(spark, sf_dir):
     name = F.expr("CASE o_orderkey % 8 WHEN 0 THEN 'Casier judiciaire.pdf' WHEN 1 THEN 'cassier judiciare Dupont.pdf' WHEN 2 THEN 'Bulletin N°3.pdf' WHEN 3 THEN 'bulletin numero 3' WHEN 4 THEN 'Kbis.pdf' WHEN 5 THEN 'casier.pdf' WHEN 6 THEN 'Bulletin de paie n 2' ELSE 'CASIER_JUDICIAIRE-' || o_custkey END")
-    return _orders(spark, sf_dir, "''").select("o_orderkey", name.alias("name"), labels.is_record_name(name).alias("is_record"))
+    return labels.record_names(_orders(spark, sf_dir, "''").select("o_orderkey", name.alias("name")), "name")
 
 
 def f32_company_names(spark, sf_dir):
@@ -119,8 +119,10 @@ def f32_company_names(spark, sf_dir):
 
 
 def f33_links(spark, sf_dir):
+    filters = {"typeBien": F.when(F.col("c_custkey") % 2 == 0, "APP"), "piece": F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 7 + 1)}
+    index = labels.price_index_link("https://index.example/prix", F.when(F.col("c_custkey") % 5 > 0, "COMMUNE").otherwise("GRAND_QUARTIER"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_custkey").cast("string")), filters)
     where = F.concat_ws(",", F.round(F.col("c_custkey") / 8 + 40, 3).cast("string"), F.lit("2.5"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://maps.example/?q="), F.url_encode(where)).alias("map"), F.concat(F.lit("https://registry.example/entreprise/"), text.slug(F.col("c_name"))).alias("registry"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("https://maps.example/?q="), F.url_encode(where)).alias("map"), F.concat(F.lit("https://registry.example/entreprise/"), text.slug(F.col("c_name"))).alias("registry"), index.alias("index"))
 
 
 def f35_precise_addresses(spark, sf_dir):
@@ -136,11 +138,8 @@ def f36_people_names(spark, sf_dir):
 
 
 def f37_column_aliases(spark, sf_dir):
-    raw = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE o_orderkey % 4 WHEN 0 THEN map('Estimation actuelle', cast(o_custkey AS string)) WHEN 1 THEN map('valeur_bien', '12', 'TypeDeBien', 'APT') WHEN 2 THEN map('Type de bien (1)', 'MAISO', 'Capital restant dû', '5') ELSE map() END AS cells")
-    key = lambda k: F.regexp_replace(text.to_ascii(F.lower(k)), r"[^a-z]+", "")
-    entries = F.map_from_entries(F.transform(F.map_entries("cells"), lambda e: F.struct(key(e["key"]).alias("k"), e["value"].alias("v"))))
-    pick = lambda *names: F.coalesce(*(F.try_element_at(entries, F.lit(n)) for n in names))
-    return raw.select("o_orderkey", pick("valeurbien", "estimationactuelle").alias("valeur_bien"), pick("typebien", "typedebien").alias("type_bien"), pick("valeurbanque", "capitalrestantdu").alias("valeur_banque"))
+    raw = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE o_orderkey % 4 WHEN 0 THEN map('Estimation actuelle', cast(o_custkey AS string)) WHEN 1 THEN map('valeur_bien', '12', 'TypeDeBien', 'APT') WHEN 2 THEN map('Type de bien', 'MAISO', 'Capital restant dû', '5 000 €', 'valeur_venale', concat(o_custkey, ' 500')) ELSE map() END AS cells")
+    return raw.select("o_orderkey", *labels.aliased(F.col("cells"), ["valeur_bien", "type_bien", "valeur_banque", "valeur_nette_detenue"]))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -199,7 +198,7 @@ def _likeness(a: str, b: str) -> str:
 
 
 def _bare(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace({x}, '{labels.LEGAL_WORDS}', ' ', 'g'), '\\s{{2,}}', ' ', 'g'), ' .-_')"
+    return f"trim(regexp_replace(regexp_replace({x}, '{labels._any_word(labels.LEGAL_WORDS)}', ' ', 'g'), '\\s{{2,}}', ' ', 'g'), ' .-_')"
 
 
 _A27 = "CASE o_orderkey % 5 WHEN 0 THEN 'SAS F.D. Invest' WHEN 1 THEN 'Dupont et Fils SARL' WHEN 2 THEN 'Société Lumière' WHEN 3 THEN 'ABC' ELSE 'Groupe Nord ' || (o_custkey % 5) END"
@@ -253,15 +252,18 @@ SQL = {
     "f27_name_similarity": f"WITH r AS (SELECT {_A27} AS a, {_B27} AS b FROM orders) SELECT a, b, round(greatest({_likeness('a', 'b')}, {_likeness(_bare('a'), _bare('b'))}), 6) AS similarity, count(*) AS n FROM r GROUP BY ALL",
     "f28_f29_f30_answers": """SELECT event_id, CASE WHEN event_id % 4 > 0 OR event_id % 3 > 0 THEN concat_ws(' - ', CASE WHEN event_id % 4 > 0 THEN 'N' || user_id END, CASE WHEN event_id % 3 > 0 THEN event_type END) || ' ; ' ELSE '' END || 'associé' AS people,
       event_id % 6 > 3 AS meaningful, CASE WHEN event_id % 5 < 2 THEN (props->>'k')::INT END AS k FROM events""",
+    "f31_record_names": """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'Casier judiciaire.pdf' WHEN 1 THEN 'cassier judiciare Dupont.pdf' WHEN 2 THEN 'Bulletin N°3.pdf' WHEN 3 THEN 'bulletin numero 3' WHEN 4 THEN 'Kbis.pdf' WHEN 5 THEN 'casier.pdf' WHEN 6 THEN 'Bulletin de paie n 2' ELSE 'CASIER_JUDICIAIRE-' || o_custkey END AS name,
+      o_orderkey % 8 IN (0, 1, 2, 7) AS is_record FROM orders""",
     "f32_company_names": """SELECT path, CASE o WHEN 0 THEN 'SCI Lumière' WHEN 1 THEN 'Nord Invest' WHEN 2 THEN 'CAC_Sud' WHEN 3 THEN 'SAS Est' ELSE 'Holding ' || c END AS company, count(*) AS n FROM (SELECT o_orderkey % 5 AS o, o_custkey % 10 AS c,
       CASE o_orderkey % 5 WHEN 0 THEN 'A/SCI Lumière/bilan 2020.pdf' WHEN 1 THEN 'A/Bilans/Liasse Nord Invest 2021.pdf' WHEN 2 THEN 'B/Etats Financiers/Rapport CAC_Sud.pdf' WHEN 3 THEN 'B/comptes annuels/comptes SAS Est 2019.pdf' ELSE 'C/ Holding ' || (o_custkey % 10) || ' /x.pdf' END AS path FROM orders) GROUP BY ALL""",
-    "f33_links": f"SELECT c_custkey, 'https://maps.example/?q=' || round(c_custkey / 8 + 40, 3) || '%2C2.5' AS map, 'https://registry.example/entreprise/' || {slug('c_name')} AS registry FROM customer",
+    "f33_links": f"SELECT c_custkey, 'https://maps.example/?q=' || round(c_custkey / 8 + 40, 3) || '%2C2.5' AS map, 'https://registry.example/entreprise/' || {slug('c_name')} AS registry, 'https://index.example/prix?' || concat_ws('&', 'typeLocalisation=' || CASE WHEN c_custkey % 5 > 0 THEN 'COMMUNE' ELSE 'GRAND_QUARTIER' END, CASE WHEN c_custkey % 4 > 0 THEN 'codeInsee=' || c_custkey END, CASE WHEN c_custkey % 2 = 0 THEN 'typeBien=APP' END, CASE WHEN c_custkey % 3 = 0 THEN 'piece=' || (c_custkey % 7 + 1) END) AS index FROM customer",
     "f35_precise_addresses": f"""WITH r AS ({_orders_sql(_STREETS)}), w AS (SELECT *, len(list_intersect(string_split({canonical('t')}, ' '), {labels.STREET_HINTS})) > 0 AS hint FROM r)
       SELECT t, hint AND regexp_matches(t, '\\b\\d+[a-zA-Z]?\\b') AS precise, hint AND regexp_matches(regexp_replace(t, '^\\d+', ''), '\\b\\d+[a-zA-Z]?\\b') AS without_number, count(*) AS n FROM w GROUP BY ALL""",
     "f36_people_names": """WITH r AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'Marie, Anne' WHEN 1 THEN ' Luc ' WHEN 2 THEN '' ELSE 'Jean Paul, X' END AS given, ' DUPONT' || (o_custkey % 5) || ' ' AS last FROM orders),
       w AS (SELECT *, [w for w in string_split(given || ' ' || last, ' ') if w <> ''] AS w FROM r)
       SELECT given, last, 'per_' || lower(trim(last)) || '_' || lower(trim(string_split(given, ',')[1])) AS id, w[1] AS first, array_to_string(w[2:], ' ') AS rest, count(*) AS n FROM w GROUP BY ALL""",
-    "f37_column_aliases": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN '12' END AS valeur_bien, CASE o_orderkey % 4 WHEN 1 THEN 'APT' WHEN 2 THEN 'MAISO' END AS type_bien, CASE WHEN o_orderkey % 4 = 2 THEN '5' END AS valeur_banque FROM orders""",
+    "f37_column_aliases": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN '12' WHEN 2 THEN o_custkey || ' 500' END AS valeur_bien, CASE o_orderkey % 4 WHEN 1 THEN 'APT' WHEN 2 THEN 'MAISO' END AS type_bien, CASE WHEN o_orderkey % 4 = 2 THEN '5 000 €' END AS valeur_banque,
+      CASE WHEN o_orderkey % 4 = 2 THEN (o_custkey * 1000 + 500 - 5000)::VARCHAR END AS valeur_nette_detenue FROM orders""",
 }
 SQL["f13_f15_dates"] = f"""WITH r AS ({_orders_sql(_DAYS)}),
   d AS (SELECT *, [y[1:6] || CASE WHEN length(y) = 8 THEN CASE WHEN y[7:8] < '70' THEN '20' ELSE '19' END || y[7:8] ELSE y[7:10] END for y in regexp_extract_all(replace(t, '-', '/'), '\\b(\\d{{2}}/\\d{{2}}/\\d{{2,4}})\\b', 1)] AS found,

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from cadaster.plans.corpus import FILES
+from cadaster.sources.inventory import shared_folder
 from cadaster.sources.views import files, files_before
 from cadaster.streaming import ingest
 
 
 def t_inc_arriving_files(spark, sf_dir):
     """The inventory of the run before, then today's, through a stream; unchanged files are taken once."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    base = f"{shared}/cadaster-stream-{uuid4().hex}"
+    base = shared_folder(spark, "stream")
     columns = ["project_id", "source_path", "file_size_bytes", "modified_at"]
     for rows in (files_before(spark, sf_dir), files(spark, sf_dir)):
         rows.select(*columns).write.mode("append").parquet(f"{base}/in")

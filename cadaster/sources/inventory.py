@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from tempfile import mkdtemp
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadaster.functions import text
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; on a local master, where it is unset, below a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = mkdtemp(prefix="cadaster-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/cadaster-{name}-{uuid4().hex}"
+
+
 SUFFIXES = ["pdf", "docx", "xlsx", "xls", "pptx", "txt", "md", "html", "csv"]
 
 
@@ -69,5 +83,6 @@ def transaction_features(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.explode(F.coalesce(bare, shape["features"], shape["results"])).alias("feature"))
 
 
-def write_results(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    df.write.mode("overwrite").format(kind).save(path)
+def write_results(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None) -> None:
+    """A result table, as Parquet or JSON lines, in a folder for each value of `by`; an older result is replaced."""
+    df.write.mode("overwrite").format(kind).partitionBy(*(by or [])).save(path)
