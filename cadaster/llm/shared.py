@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    if _passing:
+        _passing[-1].append(out)
     return out
 
 
+_passing: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing(keep: list[DataFrame]) -> Iterator[None]:
+    """Tables saved inside are deleted at the end, but for those in `keep` by then, which the result is read from."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        made, kept = _passing.pop(), {t.saved_at for t in keep}
+        forget(*(t for t in made if t.saved_at not in kept))
+        if _passing:
+            _passing[-1].extend(t for t in made if t.saved_at in kept)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes saved tables that nothing reads any more."""
     for t in tables:
