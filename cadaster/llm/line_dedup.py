@@ -188,9 +188,9 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     by_length = by_merge(rows, shorter, ["v", "v2"]).select("me", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("own")).alias("other"))
     pairs = saved(by_place.unionByName(by_length).where("other < me").groupBy("me").agg(F.min("other").alias("other")), "pairs")
     words = keys.where("at < 0").select(me.alias("me"), "words").dropDuplicates(["me"])
-    earlier = words.join(pairs.select(F.col("other").alias("me")).distinct(), "me").select(F.col("me").alias("other"), F.col("words").alias("earlier"))
+    earlier = by_merge(words, pairs.select(F.col("other").alias("me")).distinct(), "me").select(F.col("me").alias("other"), F.col("words").alias("earlier"))
     earlier = earlier.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = pairs.join(words, "me").withColumn("salt", F.pmod(F.hash("me"), F.lit(SALTS))).join(earlier, ["other", "salt"])
+    both = by_merge(by_merge(pairs, words, "me").withColumn("salt", F.pmod(F.hash("me"), F.lit(SALTS))), earlier, ["other", "salt"])
 
     def verify(batches):
         import pyarrow as pa
