@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 OPEN, ROLE_END, JOIN, CLOSE = "<s>[", "]", "<|turn|>", "</s>"
 CONTROL = ("<s>", "</s>", "<|turn|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TRAINED_ROLE = "assistant"
+#: Pieces, and code points of a text, that are looked through at once.
+BLOCK, TEXT_BLOCK = 32, 1024
 
 
 def escape(text: Column) -> Column:
@@ -92,21 +94,39 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             ),
         )
     )
-    rows = rows.withColumn("pieces", pieces)
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["s"])).alias("at"),
-            F.when(p["loss"], F.array_append(acc["spans"], F.struct(acc["at"].alias("start"), F.length(p["s"]).alias("length"))))
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    rows = rows.withColumn("pieces", F.explode(F.array(pieces)))  # computed once: nothing moves below a generator
+    placed = _let(F.transform("pieces", lambda p: F.length(p["s"])), lambda sizes: _let(_starts(sizes), lambda starts: F.arrays_zip(F.transform("pieces", lambda p: p["loss"]).alias("loss"), starts.alias("start"), sizes.alias("length"))))
+    spans = F.transform(F.filter(placed, lambda p: p["loss"]), lambda p: F.struct(p["start"], p["length"]))
     return rows.select("conv_id", "messages", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value being computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _starts(sizes: Column) -> Column:
+    """The sum of the sizes before each, from sums of blocks of BLOCK sizes, so that no array is copied once an element."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda t, x: t + x)
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    blocks = F.sequence(F.lit(0), block(F.size(sizes)))
+    sums = F.transform(blocks, lambda b: total(F.slice(sizes, b * BLOCK + 1, BLOCK)))
+    before = _let(sums, lambda s: F.transform(blocks, lambda b: total(F.slice(s, 1, b))))
+    return _let(before, lambda own: F.transform(sizes, lambda _, i: F.get(own, block(i)) + total(F.slice(sizes, block(i) * BLOCK + 1, i % BLOCK))))
+
+
+def at_spans(text: Column, spans: Column) -> Column:
+    """The part of a text at each (start, length): looked up in blocks of the text, so a span costs its own length."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), 0)
+
+    def of(found):
+        first = lambda s: F.floor(s["start"] / TEXT_BLOCK).cast("int")
+        held = lambda s: F.array_join(F.slice(found, first(s) + 1, F.floor((s["start"] % TEXT_BLOCK + s["length"]) / TEXT_BLOCK).cast("int") + 1), "")
+        return F.transform(spans, lambda s: F.substring(held(s), s["start"] % TEXT_BLOCK + 1, s["length"]))
+
+    return _let(blocks, of)
+
+
 def parse_formatted(rows: DataFrame) -> DataFrame:
     """Adds what is read back from `formatted` alone: read_turns array of (role, text), one per turn."""
     body = F.filter(F.split("formatted", "</s>"), lambda m: m != "")
@@ -122,7 +142,7 @@ def digest(rows: DataFrame) -> DataFrame:
     """What the formatted output holds, read back from it: turns, and the text under the loss mask."""
     read = parse_formatted(rows).withColumn(
         "loss_text",
-        F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring("formatted", s["start"] + 1, s["length"]))), ""),
+        F.array_join(F.transform(at_spans(F.col("formatted"), F.col("loss_spans")), unescape), ""),
     )
     said = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
