@@ -5,7 +5,8 @@ each line is content or boilerplate: a two-state conditional random field over l
 decoded by Viterbi, and a document is kept if content lines hold CONTENT_SHARE of its words.
 
 There are no labelled lines, so the field is fitted to seed labels of a bounded sample of documents
-(SAMPLE documents, SAMPLE_LINES lines of each): lines on which several seed rules agree. Lines
+(SAMPLE distinct texts, SAMPLE_LINES adjacent lines of each, from a place that the text's hash picks):
+lines on which several seed rules agree. Lines
 without a seed label are latent: the fit maximises the likelihood of the labelled ones and sums over
 the others. Every document is decoded over all its lines.
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadaster.llm.shared import map_texts
-from cadaster.llm.text import SPACED, spans, window_hashes, word_hashes
+from cadaster.llm.text import SPACED, digest as digest_of, spans, window_hashes, word_hashes
 
 SAMPLE, SAMPLE_LINES = 1_500, 64
 CONTENT_SHARE = 0.5
@@ -170,13 +171,20 @@ def fit_field(documents: list[np.ndarray]) -> Field:
     return Field(emit, move)
 
 
+def some_lines(x: np.ndarray, raw: bytes) -> np.ndarray:
+    """SAMPLE_LINES adjacent lines of a text, from a place that its hash picks; all of a shorter one."""
+    start = int.from_bytes(digest_of(raw, 8), "little") % max(1, len(x) - SAMPLE_LINES + 1)
+    return x[start : start + SAMPLE_LINES]
+
+
 def fit(docs: DataFrame) -> Field:
-    """The field, from a bounded sample of distinct texts: those of smallest hash."""
-    taken = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "doc_id").orderBy("h", "doc_id").limit(SAMPLE)
+    """The field, from a bounded sample of distinct texts: those of smallest hash, whatever their number of copies."""
+    texts = docs.where("text is not null and doc_id is not null").groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    taken = texts.orderBy("h").limit(SAMPLE)
     rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").where(F.xxhash64("text") == F.col("h"))
 
     def per_text():
-        return lambda raw: ([line.tolist() for line in line_features(raw)[0][:SAMPLE_LINES]],)
+        return lambda raw: ([line.tolist() for line in some_lines(line_features(raw)[0], raw)],)
 
     found = map_texts(rows, ["h", "doc_id"], "x array<array<double>>", per_text).orderBy("h", "doc_id").collect()
     return fit_field([np.array(r.x) for r in {r.h: r for r in found}.values()])
