@@ -5,7 +5,8 @@ pairs that skip one or two words in the upper half, each present or not; pairs c
 there are many and most are seen once. The learner visits a bounded sample of labelled documents one by
 one; each coordinate has its own learning rate, and the L1 term leaves most weights at nought, so
 the fitted weights are a short list that is broadcast. Training is one task, as the method is
-sequential, over a sample of bounded size; scoring reads every whole text in parallel.
+sequential, over a sample bounded in rows and in features (240 MB); rows past the second bound are
+not learned from. Scoring reads every whole text in parallel.
 
 Edge cases: null and empty texts have the intercept's score; without labelled rows every score is
 0.5; repeated rows are each scored; a null doc_id is not held out; other columns pass through
@@ -22,8 +23,8 @@ from cadaster.llm.labelled import sample
 from cadaster.llm.shared import map_texts
 from cadaster.llm.text import ALNUM, LOWER, mix, spans, window_hashes, word_hashes
 
-#: Bounds of the sample.
-MOST = {0: 6_000, 1: 5_000}
+#: Bounds of the sample: rows of each label, and features that the learning task holds of them, in an order by hash.
+MOST, MOST_FEATURES = {0: 6_000, 1: 5_000}, 60_000_000
 BITS = 20
 PASSES = 4
 PAIR_VALUE = 0.1
@@ -77,7 +78,12 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column) -> dict[int, float]:
         return lambda raw: (np.append(np.unique(buckets(raw)), 1 << BITS).astype(np.int32).tolist(),)
 
     def learn(batches):
-        seen = [(np.asarray(at.values), y) for b in batches for at, y in zip(b.column("at"), b.column("y").to_pylist(), strict=True)]
+        seen, held = [], 0
+        for b in batches:
+            for at, y in zip(b.column("at"), b.column("y").to_pylist(), strict=True):
+                held += len(at)
+                if held <= MOST_FEATURES:
+                    seen.append((np.array(at.values), y))
         model = Ftrl()
         for _ in range(PASSES):
             for at, y in seen:
