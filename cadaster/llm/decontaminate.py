@@ -5,9 +5,10 @@ A pattern is a window of 13 consecutive words of an item; an item of fewer words
 one pattern. The automaton reads each text's words once; a word inside any occurrence is hit, and
 each word's place in the original text is known.
 
-The benchmark is the only data sent to every executor. Its size is checked: PART_BYTES of text make
-one automaton, and a larger benchmark is scanned for in several passes that carry the hits along, so
-nothing is left out.
+The items are the only data sent to every executor, as texts; a Python worker builds the automaton
+once and keeps it for its later tasks. Its size is checked before: an automaton has MOST_STATES states
+at most (about 30 bytes each), and a benchmark that needs more is scanned for in several passes that
+carry the hits along, so nothing is left out.
 
 Edge cases: null or empty texts have no words; null item texts have no patterns; a null item_id
 counts as ''; repeated items count once; repeated documents are each judged; other columns of the
@@ -17,6 +18,7 @@ documents pass through untouched; an empty table of either kind gives rows witho
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,8 +28,8 @@ from cadaster.llm.shared import map_texts
 from cadaster.llm.text import LOWER
 
 WINDOW = 13
-#: Text bytes of benchmark items in one automaton.
-PART_BYTES = 8 << 20
+#: States of one automaton: each word of a window makes one at most.
+MOST_STATES = 8_000_000
 #: Per byte: A-Z lower-cased, word bytes kept, all else a space.
 NORMAL = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in LOWER)
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -37,29 +39,39 @@ def normal_words(raw: bytes) -> list[bytes]:
     return raw.translate(NORMAL).split()
 
 
-def patterns(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict[tuple[bytes, ...], tuple[str, ...]]:
-    """Windows of the items, each with the ids of the items that hold it."""
-    out: dict[tuple[bytes, ...], set[str]] = {}
-    for item, raw in items:
-        words = normal_words(raw)
-        for at in range(max(1, len(words) - window + 1) if words else 0):
-            out.setdefault(tuple(words[at : at + window]), set()).add(item)
-    return {k: tuple(sorted(v)) for k, v in out.items()}
-
+def build(items: list[tuple[str, bytes]], window: int = WINDOW):
+    """(automaton over word numbers, word numbers) of items (id, text); 0 is any word that no item has.
 
-def build(windows: dict[tuple[bytes, ...], tuple[str, ...]]):
-    """(automaton over word numbers, word numbers); 0 is any word that no pattern has."""
+    A window's value is its length and the sorted ids of the items that hold it.
+    """
     import ahocorasick
 
     numbers: dict[bytes, int] = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for words, items in windows.items():
-        automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words), (len(words), items))
-    if windows:
+    for item, raw in sorted(items):
+        words = tuple([numbers.setdefault(w, len(numbers) + 1) for w in normal_words(raw)])
+        for at in range(max(1, len(words) - window + 1) if words else 0):
+            key = words[at : at + window]
+            held = automaton.get(key, (0, ()))[1]
+            if not held or held[-1] != item:
+                automaton.add_word(key, (len(key), (*held, item)))
+    if numbers:
         automaton.make_automaton()
     return automaton, numbers
 
 
+#: The automaton that this Python worker built last, by the name of its items.
+_kept: dict[str, tuple] = {}
+
+
+def kept(name: str, items):
+    """build() of broadcast items, once a worker."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = build(items.value)
+    return _kept[name]
+
+
 def hits(raw: bytes, automaton, numbers: dict[bytes, int]) -> tuple[int, np.ndarray, set[str]]:
     """(words of the text, which of them are hit, items found)."""
     words = normal_words(raw)
@@ -91,15 +103,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, t
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c != "contamination"]
     items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 + size // PART_BYTES
+    n = F.regexp_count(F.lower(F.col("text").cast("string")), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"))
+    states = items.agg(F.sum(F.greatest(n - WINDOW + 1, F.lit(1)) * F.least(n, F.lit(WINDOW)))).first()[0] or 0
+    parts = 1 + states // MOST_STATES
     rows, old = docs.select(*dict.fromkeys([*keep, text])), None
     for part in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        windows = spark.sparkContext.broadcast(patterns([(r.item, bytes(r.text)) for r in own.collect()]))
+        sent = spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in own.collect()])
 
-        def per_text(windows=windows):
-            automaton, numbers = build(windows.value)
+        def per_text(sent=sent, name=uuid4().hex):
+            automaton, numbers = kept(name, sent)
 
             def one(raw):
                 if not raw:
