@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadaster.llm import chat_format, decontaminate, jaccard_join, line_crf, line_dedup, packing, quality_bt, queries, substring_dedup, text, toxicity_ftrl, url_filter
-from cadaster.llm.shared import saved
+from cadaster.llm.shared import held_out, saved
+from tests.llm import plain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,24 +76,8 @@ def test_substrings_brute_force(docs, texts):
 
 @pytest.mark.parametrize("k, t", [(4, Fraction(85, 100)), (5, Fraction(80, 100)), (2, Fraction(1, 2))])
 def test_jaccard_brute_force(docs, texts, k, t):
-    sets = {}
-    for i, given in texts.items():
-        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in found_words(given)]
-        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
-    parent = {i: i for i in sets}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a, b in itertools.combinations(sets, 2):
-        both = len(sets[a] & sets[b])
-        if both and both * t.denominator >= t.numerator * len(sets[a] | sets[b]):
-            lo, hi = sorted((root(a), root(b)))
-            parent[hi] = lo
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(docs, k, t).collect()}
-    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert got == plain.components(texts, k, t)
 
 
 def test_segments_meet_within_the_distance():
@@ -181,49 +166,36 @@ def test_line_edits(spark):
 
 
 def test_lines_brute_force(docs, texts):
-    earliest, kept = {}, {}
-    lines = [(i, j, line) for i in sorted(i for i in texts if texts[i]) for j, line in enumerate(texts[i].split("\n"))]
-    for i, j, line in lines:
-        w = tuple(x.lower() for x in found_words(line))
-        if not w:
-            kept.setdefault(i, []).append(line)
-            continue
-        gone = w in earliest
-        if not gone and len(w) >= line_dedup.MIN_WORDS:
-            gone = any(abs(len(v) - len(w)) <= 1 and len(v) >= line_dedup.MIN_WORDS and line_dedup.within_one(list(v), list(w)) for v in earliest)
-        earliest.setdefault(w, (i, j))
-        if not gone:
-            kept.setdefault(i, []).append(line)
+    kept = plain.kept_lines(texts, line_dedup.MIN_WORDS)
     for r in line_dedup.dedup(docs).collect():
-        assert (r.text or "") == "\n".join(kept.get(r.doc_id, [])), r.doc_id
+        assert (r.text or "") == "\n".join(kept[r.doc_id][1]) and r.n_lines == kept[r.doc_id][0], r.doc_id
+
+
+def test_short_lines_by_parameter(spark):
+    rows = spark.createDataFrame([(1, "a b c\nd e"), (2, "a x c\nd"), (3, "a b c q\nd e"), (4, "z b\nz")], "doc_id long, text string")
+    for least in (2, 3, 4, 5):
+        want = plain.kept_lines({r.doc_id: r.text for r in rows.collect()}, least)
+        assert {r.doc_id: r.text for r in line_dedup.dedup(rows, least).collect()} == {i: "\n".join(x) for i, (_, x) in want.items()}, least
 
 
 def test_decontamination_brute_force(spark, docs, texts):
     items = {1: " ".join(texts[200].split()[30:52]), 2: "W1 w2", 3: "", 4: None, 5: texts[0], 6: "un"}
     benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    wanted = plain.contamination(texts, items.items())
     scanned = decontaminate.scan(docs, benchmark)
     spans = {r.doc_id: r.contamination for r in scanned.collect()}
     for r in decontaminate.digest(scanned).collect():
-        w, hit, found = norm(texts[r.doc_id]), set(), set()
-        for item, t in items.items():
-            p = norm(t)
-            for s in range(max(1, len(p) - 12) if p else 0):
-                win = p[s : s + 13]
-                for at in range(len(w) - len(win) + 1):
-                    if w[at : at + len(win)] == win:
-                        hit |= set(range(at, at + len(win)))
-                        found.add(str(item))
-        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit) and 20 * len(hit) >= len(w))
-        assert r.items_sha256 == hash_of(",".join(sorted(found)))
-        marked = [x for s in spans[r.doc_id].spans for x in norm(texts[r.doc_id][s.start : s.end])]
+        w, hit, found = wanted[r.doc_id]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), plain.is_contaminated(w, hit))
+        assert r.items_sha256 == hash_of(",".join(found))
+        marked = [x for s in spans[r.doc_id].spans for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", plain.lower(texts[r.doc_id][s.start : s.end]))]
         assert marked == [w[i] for i in sorted(hit)]
 
 
 def test_large_benchmark_is_scanned_in_parts(spark, docs, monkeypatch):
     benchmark = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(60)], "item_id long, text string")
     whole = {r.doc_id: r for r in decontaminate.digest(decontaminate.scan(docs, benchmark)).collect()}
-    monkeypatch.setattr(decontaminate, "PART_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "MOST_STATES", 30)
     assert whole == {r.doc_id: r for r in decontaminate.digest(decontaminate.scan(docs, benchmark)).collect()}
 
 
@@ -248,6 +220,36 @@ def test_packing(docs, texts):
         assert {r.capacity for r in held} == {min(c for c in (16, 64, 256) if c >= used)}
 
 
+def test_packing_by_plain_best_fit():
+    rng = random.Random(8)
+    for n in [*range(1, 12), 40, 120]:
+        for _ in range(12):
+            sizes = sorted((rng.randrange(1, 65) for _ in range(n)), reverse=True)
+            bins, offsets, capacity = packing.pack(np.array(sizes), (8, 16, 40, 64), 3)
+            assert list(zip(bins.tolist(), offsets.tolist(), capacity.tolist(), strict=True)) == plain.best_fit(sizes, (8, 16, 40, 64), 3)
+
+
+def test_packing_is_near_the_least_cost():
+    """Against every way to put a few pieces together: at most a fifth dearer, each time."""
+    rng, capacities, overhead = random.Random(3), (16, 32, 64), 4
+
+    def ways(sizes):
+        if not sizes:
+            yield []
+            return
+        for rest in ways(sizes[1:]):
+            yield [[sizes[0]], *rest]
+            for i in range(len(rest)):
+                yield [*rest[:i], [sizes[0], *rest[i]], *rest[i + 1 :]]
+
+    cost = lambda groups: sum(min((c for c in capacities if c >= sum(g)), default=10**9) + overhead for g in groups)
+    for _ in range(25):
+        sizes = sorted((rng.randrange(1, 65) for _ in range(rng.randrange(1, 8))), reverse=True)
+        bins, _, capacity = packing.pack(np.array(sizes), capacities, overhead)
+        first = np.unique(bins, return_index=True)[1]
+        assert (capacity[first] + overhead).sum() <= 1.2 * min(map(cost, ways(sizes))) + 4, sizes
+
+
 def test_packing_is_tight():
     sizes = np.sort(np.random.default_rng(1).integers(1, 900, 4000))[::-1]
     bins, _, capacity = packing.pack(sizes)
@@ -286,6 +288,39 @@ def test_rules_keep_good_documents(spark, sf_dir):
     assert good.where("kept").count() >= 0.95 * good.count()
 
 
+def test_rules_reject_boilerplate(spark, sf_dir):
+    """Pages of notices and menus go, prose stays; a document's share of content is that of the words on its content lines."""
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    prose = [" ".join(f"{w}{i}{k}" for k, w in enumerate("the harbour was quiet when boats came in and nets were laid out along the wall to dry under a pale sun".split())) + "." for i in range(6)]
+    notices = [f"COPYRIGHT {i} ALL RIGHTS RESERVED | HOME | ABOUT | LOGIN {i} | SUBSCRIBE NOW !!! ### {i}" for i in range(12)]
+    rows = [(1, "\n".join(prose)), (2, "\n".join(notices)), (3, "\n".join(prose[:4] + notices[:2])), (4, "\n".join(prose[:1] + notices))]
+    judged = line_crf.judge(spark.createDataFrame(rows, "doc_id long, text string"), line_crf.fit(known)).collect()
+    assert {r.doc_id: r.rules.kept for r in judged} == {1: True, 2: False, 3: True, 4: False}
+    for r in judged:
+        lines = [len(x.split()) for x in r.text.split("\n")]
+        share = sum(lines[i] for i in r.rules.content_lines) / sum(lines)
+        assert r.rules.content_share == pytest.approx(share) and r.rules.kept == (not r.rules.base_failed and share >= line_crf.CONTENT_SHARE)
+
+
+def test_bad_documents_are_rejected(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    judged = line_crf.digest(line_crf.judge(docs, line_crf.fit(docs))).join(labels, "doc_id").where("NOT base_failed")
+    bad = judged.where("quality = 0")
+    assert bad.where("NOT kept").count() >= 0.7 * bad.count() > 0
+
+
+def test_the_field_is_fitted_to_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(line_crf, "SAMPLE", 3)
+    seen = []
+    monkeypatch.setattr(line_crf, "fit_field", lambda found: seen.append(len(found)))
+    line_crf.fit(spark.createDataFrame([(i, "same\ntext") for i in range(20)] + [(50, "one"), (51, "two"), (None, "three")], "doc_id long, text string"))
+    assert seen == [3]
+    x = np.arange(200.0)[:, None]
+    starts = {int(line_crf.some_lines(x, str(i).encode())[0, 0]) for i in range(50)}
+    assert len(line_crf.some_lines(x, b"x")) == line_crf.SAMPLE_LINES and len(starts) > 20 and len(line_crf.some_lines(x[:5], b"x")) == 5
+
+
 @pytest.mark.parametrize("name, label, least", [("op2_quality_bt", "quality", 0.95), ("op5_toxicity_ftrl", "toxic", 0.75)])
 def test_held_out_ranking(spark, sf_dir, name, label, least):
     """Rows that no label was learned from are ranked well; predictions follow scores."""
@@ -298,6 +333,79 @@ def test_held_out_ranking(spark, sf_dir, name, label, least):
     assert (good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean() >= least
 
 
+def sampled(spark, sf_dir, label, keep):
+    """(text, label) of the rows that may be learned from, in the sample's order."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").where(keep).withColumn("h", F.xxhash64("doc_id", F.lit(17))).orderBy("h", "doc_id")
+    return docs, labels, [(r.text, r[label]) for r in rows.collect()]
+
+
+def test_bradley_terry_brute_force(spark, sf_dir):
+    """The weights are where the penalised logistic loss of all pairs is least; the cut is the plain weighted quantile; scores follow."""
+    keep = ~held_out(F.col("doc_id"), 5, 0)
+    docs, labels, rows = sampled(spark, sf_dir, "quality", keep)
+    model = quality_bt.fit(docs, labels, keep)
+    z = [np.clip((np.array(quality_bt.features((t or "").encode())) - model.mean) / model.scale, -8, 8) for t, _ in rows]
+    good, bad = ([x for x, (_, y) in zip(z, rows, strict=True) if y == k] for k in (1, 0))
+    gradient = -quality_bt.L2 * model.weights
+    for k in range(quality_bt.PAIRS_PER_ROW * max(len(good), len(bad))):
+        d = good[k % len(good)] - bad[(k + k // len(good) * 7 + k // len(bad)) % len(bad)]
+        gradient = gradient + d / (1 + np.exp(d @ model.weights))
+    assert np.abs(gradient).max() < 1e-3
+    strengths = sorted((float(x @ model.weights), 1 / len(rows)) for x in z)
+    share, seen, before = len(bad) / len(rows), 0.0, None
+    for strength, weight in strengths:
+        seen += weight
+        if seen >= share - 1e-9:
+            break
+        before = strength
+    assert model.cut == pytest.approx((strength + (strength if before is None else before)) / 2)
+    for r in quality_bt.score(docs, model).collect():
+        x = np.clip((np.array(quality_bt.features((r.text or "").encode())) - model.mean) / model.scale, -8, 8) @ model.weights
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(x - model.cut + np.log(0.3 / 0.7), -40, 40))))
+
+
+def test_quantile_counts_what_rows_stand_for():
+    strength, share = np.array([0.0, 1.0, 2.0, 10.0]), 0.75
+    assert quality_bt.quantile(strength, np.array([0.375, 0.375, 0.125, 0.125]), share) == 0.5
+    assert quality_bt.quantile(strength, np.full(4, 0.25), 0.5) == 0.5
+
+
+def test_ftrl_brute_force(spark, sf_dir):
+    """The same weights as a learner of dictionaries, one coordinate at a time."""
+    keep = ~held_out(F.col("doc_id"), 3, 1)
+    docs, labels, rows = sampled(spark, sf_dir, "toxic", keep)
+    top, z, n = 1 << toxicity_ftrl.BITS, Counter(), Counter()
+
+    def weight(i):
+        l1 = 0.0 if i == top else toxicity_ftrl.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((toxicity_ftrl.BETA + n[i] ** 0.5) / toxicity_ftrl.ALPHA + toxicity_ftrl.L2)
+
+    seen = [([*sorted(set(toxicity_ftrl.buckets((t or "").encode()).tolist())), top], y) for t, y in rows]
+    for _ in range(toxicity_ftrl.PASSES):
+        for at, y in seen:
+            x = {i: 1.0 if i == top or i < top // 2 else toxicity_ftrl.PAIR_VALUE for i in at}
+            w = {i: weight(i) for i in at}
+            off = 1 / (1 + np.exp(-np.clip(sum(w[i] * x[i] for i in at), -35, 35))) - y
+            for i in at:
+                g = off * x[i]
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity_ftrl.ALPHA * w[i]
+                n[i] += g * g
+    fitted = toxicity_ftrl.fit(docs, labels, keep)
+    want = {i: weight(i) for i in z if weight(i)}
+    assert fitted.keys() == want.keys() and all(fitted[i] == pytest.approx(want[i], rel=1e-6) for i in want)
+    for r in toxicity_ftrl.score(docs, fitted).limit(50).collect():
+        at = {*toxicity_ftrl.buckets((r.text or "").encode()).tolist(), top}
+        margin = sum(want.get(i, 0.0) * (1.0 if i == top or i < top // 2 else toxicity_ftrl.PAIR_VALUE) for i in at)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
+
+
+def test_a_bound_on_learned_features(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(toxicity_ftrl, "MOST_FEATURES", 0)
+    assert toxicity_ftrl.fit(docs, labels, F.lit(True)) == {}
+
+
 def test_scores_ignore_identity(spark, sf_dir):
     """The same texts under other ids, languages and sources score the same."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
@@ -323,6 +431,37 @@ def test_chat_round_trip(spark):
             assert not any(c in r.formatted[s.start : s.start + s.length] for c in chat_format.CONTROL)
 
 
+def test_long_conversations(spark):
+    """Offsets over many turns and many blocks of text, outside the basic plane too."""
+    rng = random.Random(6)
+    rows = [(7, i, rng.choice(["user", "assistant"]), rng.choice(["a", "\U0001F600é", "x\\"]) * rng.randrange(0, 400)) for i in range(700)]
+    out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    text_, spans = out.formatted, out.loss_spans
+    said = [t.replace("\\", "\\\\") for _, _, r, t in rows if r == "assistant"]
+    assert [text_[s.start : s.start + s.length] for s in spans] == said
+    digest = chat_format.digest(spark.createDataFrame([out])).first()
+    assert digest.loss_sha256 == hash_of("".join(t for _, _, r, t in rows if r == "assistant")) and digest.n_turns == 700
+
+
+def test_url_edge_cases(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (2, None)], "page_id long, url string")
+    weights = url_filter.fit(url_filter.labelled(spark))
+    assert url_filter.judge(pages.where("false"), weights).count() == 0
+    rows = url_filter.judge(pages, weights).collect()
+    assert len(rows) == 3 and rows[0] == rows[1] and rows[2].host == rows[2].path == ""
+    tie = (("allow", "a.org", "/x"), ("block", "a.org", "/x"))
+    assert {r.verdict for r in url_filter.judge(pages.where("page_id = 1"), weights, tie).collect()} == {"block"}
+    own = url_filter.fit(spark.createDataFrame([("http://good.net/a", 0.0), ("http://bad.net/b", 1.0)], "url string, y double"))
+    judged = url_filter.judge(spark.createDataFrame([(1, "http://bad.org/b"), (2, "http://good.org/a")], "page_id long, url string"), own).collect()
+    assert [r.verdict for r in sorted(judged)] == ["block", "allow"]
+
+
+def test_url_model_does_not_see_judged_pages(spark):
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select(F.substring_index("url", "://", -1).alias("u"))
+        assert pages.where(F.col("u").isin(url_filter.KEEP + url_filter.LEAVE)).count() == 0
+
+
 def test_url_rules(spark):
     cases = {
         "http://a.com/x": ("a.com", "/x", "com/", "allow"), "https://EXAMPLE.com/en/1?q": ("example.com", "/en/1", "example.com/en/", "block"), "http://b.example.com/en/": ("b.example.com", "/en/", "example.com/en/", "block"),
@@ -353,5 +492,8 @@ def test_odd_tables(spark, docs):
     assert packing.pack_documents(odd).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count() and packing.pack_documents(empty).count() == 0
     assert {r.score for r in every["bt"](odd).collect()} == {0.5} == {r.score for r in every["ftrl"](odd).collect()}
     assert chat_format.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    chats = spark.createDataFrame([(None, 0, "user", "x", 1), (None, 0, "user", "x", 1)], "conv_id long, turn long, role string, text string, messages int")
+    formatted = chat_format.format_conversations(chats).collect()
+    assert [(r.conv_id, len(r.messages), r.formatted) for r in formatted] == [(None, 1, "<s>[user]x<|turn|>x</s>")]
     null = [r for r in jaccard_join.link(odd).collect() if r.doc_id is None]
     assert [r.component_id for r in null] == [None]
