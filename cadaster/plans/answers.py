@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadaster.functions import numbers, text
 from cadaster.operators import answers as a
 from cadaster.plans.corpus import FILES
-from cadaster.plans.scalars import canonical
+from cadaster.plans.scalars import canonical, parts, pattern, regex, stem
 from cadaster.sources import inventory
 from cadaster.sources.views import answers, files, table
 
@@ -168,17 +168,38 @@ an AS (SELECT 'p' || (user_id % 10) AS project_id, event_id AS document_id, even
   CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '[]' ELSE trunc(value * 100)::BIGINT::VARCHAR END AS value FROM events),
 ak AS (SELECT project_id, field_id, entity_key, CASE entity_key WHEN 'e0' THEN 'global' WHEN 'e1' THEN 'person' ELSE 'company' END AS scope, document_id // 4 AS document_id FROM an)"""
 _OK = "coalesce(trim(value) NOT IN ('', 'null', '[]', '{}'), false)"
-# the rules in plain terms: every file is called `Doc <id> <year>`, its folder follows from its id
+_PATH = f"'/' || array_to_string([s for s in [{canonical('s')} for s in [{canonical('s')} for s in {parts('source_path')}]] if s <> ''], '/') || '/'"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _holds(folder: str) -> str:
+    """Whether the joined path holds a folder pattern's segments."""
+    segments = " || '/' || ".join(regex(pattern(pattern(_text(x)))) for x in folder.split("/"))
+    return f"regexp_matches(joined, '/' || {segments} || '/')"
+
+
+def _rule(field: str, dirs: list[str], words: list[str]) -> str:
+    said = " OR ".join(f"({canonical(_text(w))} <> '' AND contains(hay, {canonical(_text(w))}))" for w in words)
+    return f"SELECT doc_id, {_text(field)} AS field_id FROM hy WHERE ({said}) AND ({' OR '.join(map(_holds, dirs)) or 'true'})"
+
+
 _MATCH = f"""
-ru AS (SELECT doc_id, 'doc_any' AS field_id FROM fi UNION ALL SELECT doc_id, 'bilan_actif_table' FROM fi WHERE doc_id % 6 = 1 UNION ALL SELECT doc_id, 'rh_casier' FROM fi WHERE doc_id % 6 = 0
-  UNION ALL SELECT doc_id, 'emprunt' FROM fi WHERE doc_id % 6 = 2 AND (contains({canonical('source_path')}, '2019') OR contains({canonical('source_path')}, '2021')))"""
+hy AS (SELECT doc_id, filename, source_path, {canonical(stem('filename'))} || ' ' || {canonical('source_path')} AS hay, {_PATH} AS joined FROM fi),
+ru AS ({' UNION ALL '.join(_rule(*r) for r in RULES)})"""
+_PHRASES = "|".join(x.replace(" ", "\\s+") for x in a.KEEP_PHRASES)
 
 SQL = {
-    "p1_scope": "SELECT doc_id, doc_id % 4 > 0 OR (doc_id % 3 = 0 AND doc_id % 6 NOT IN (0, 1, 2, 3, 4)) AS kept FROM documents",
+    "p1_scope": f"""WITH {FILES}, p AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN replace(source_path, '1. Opérateur', '9. Divers') ELSE source_path END AS source_path, CASE WHEN doc_id % 3 = 0 THEN '2. AUDIT/9. Divers/annexes' END AS audit FROM fi),
+      j AS (SELECT *, {_PATH} AS joined FROM p) SELECT doc_id, {_holds('*operateur*')} OR coalesce(starts_with(lower(source_path || '/'), lower(trim(audit, '/') || '/')), false) AS kept FROM j""",
     "j1_matched_rules": f"WITH {FILES}, {_MATCH} SELECT * FROM ru",
-    "p2_prefilter": f"""WITH {FILES}, {_MATCH}, h AS (SELECT doc_id, count(*) AS hits FROM ru GROUP BY 1)
-      SELECT doc_id, array_to_string([x for x in [CASE WHEN hits > 0 THEN 'questions:' || hits END, CASE WHEN doc_id % 6 = 1 THEN 'dossier_source' END, CASE WHEN regexp_matches({canonical('filename')}, '\\bdoc 7\\d*\\b') THEN 'casier' END, CASE WHEN doc_id % 6 = 0 THEN 'dossier_audit' END] if x IS NOT NULL], ',') AS reasons FROM fi LEFT JOIN h USING (doc_id) WHERE hits > 0""",
-    "p3_excluded": f"WITH {FILES} SELECT doc_id, doc_id % 6 IN (1, 5) OR contains({canonical('source_path')}, 'old') AS excluded FROM fi",
+    "p2_prefilter": f"""WITH {FILES}, {_MATCH}, h AS (SELECT doc_id, count(*) AS hits FROM ru GROUP BY 1),
+      r AS (SELECT doc_id, array_to_string([x for x in [CASE WHEN hits > 0 THEN 'questions:' || hits END, CASE WHEN {_holds('2. Audit/1. Opérateur/4. Bilans')} THEN 'dossier_source' END, CASE WHEN regexp_matches({canonical('filename')}, '\\bdoc 7\\d*\\b') THEN 'casier' END,
+        CASE WHEN regexp_matches({canonical(f"concat_ws(' ', {stem('filename')}, source_path)")}, '(^|\\W)(?:{_PHRASES})(\\W|$)') THEN 'famille' END, CASE WHEN len([s for s in {parts('source_path')} if list_contains({a.KEEP_FOLDERS}, {canonical('s')})]) > 0 THEN 'dossier_audit' END] if x IS NOT NULL], ',') AS reasons
+        FROM hy LEFT JOIN h USING (doc_id)) SELECT * FROM r WHERE reasons <> ''""",
+    "p3_excluded": f"WITH {FILES} SELECT doc_id, {' OR '.join(f"contains({canonical('source_path')}, {canonical(_text(x))})" for x in ('lumiere', 'annexes', 'x - old'))} AS excluded FROM fi",
     "p4_resolved_dirs": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'Audit ' || (o_custkey % 4) END AS c, CASE WHEN o_orderkey % 2 = 0 THEN 'RH' ELSE 'Kbis' END AS x FROM orders)
       SELECT o_orderkey, CASE WHEN c IS NOT NULL THEN c || '/RH|' ELSE '' END || '2. Audit/*Opérateur/' || x || CASE WHEN c = 'Audit 1' THEN '' ELSE '|Audit 1/RH' END || '|a/*' AS dirs, CASE WHEN x = 'Kbis' THEN '2. Audit/*Opérateur/Kbis' ELSE '' END AS specific FROM o""",
     "p11_p12_tabs_and_scope": """WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'bilan_actif_table' WHEN 1 THEN 'bilan_compte_resultat_table' WHEN 2 THEN 'bilan_societe_nom' WHEN 3 THEN 'lots_table' ELSE event_type END AS f, event_id % 5 AS s FROM events),

@@ -14,8 +14,8 @@ _PEOPLE = "SELECT c_custkey AS person_id, 'Nom-' || substr('abcdefghij', cast(c_
 _FOUND = "SELECT o_custkey AS person_id, o_orderkey AS director_id, 'NOM ' || substr('abcdefghij', cast(CASE WHEN o_orderkey % 4 > 0 THEN o_custkey ELSE o_orderkey END % 10 + 1 AS int), 1) AS nom, CASE o_orderkey % 3 WHEN 0 THEN 'Lola (Juliette)' WHEN 1 THEN 'Luc' ELSE 'Anne' END AS prenom, CASE o_orderkey % 4 WHEN 0 THEN '1970-02-0' || (o_orderkey % 7 + 1) WHEN 1 THEN '1970-02' WHEN 2 THEN '05/1981' END AS date_de_naissance FROM orders"
 _MANDATES = "SELECT o_custkey AS person_id, CASE WHEN o_orderkey % 9 = 0 THEN '123' ELSE cast(100000000 + o_orderkey % 140 AS string) END AS siren, 'Stub ' || (o_orderkey % 140) AS nom, o_orderkey AS ordinal, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS role FROM orders"
 _DETAILS = "SELECT cast(100000000 + s_suppkey AS string) AS siren, s_name AS nom, CASE s_suppkey % 4 WHEN 0 THEN 'Radié' WHEN 1 THEN '' ELSE 'Actif' END AS statut, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS capital FROM supplier"
-_FOLDERS = "SELECT DISTINCT 'p' || (o_custkey % 20) AS project_id, CASE o_orderkey % 4 WHEN 0 THEN 'SCI Lumière ' || (o_custkey % 6) WHEN 1 THEN 'Groupe Nord' WHEN 2 THEN 'F.D. Invest' ELSE 'Société Est ' || (o_custkey % 4) END AS folder FROM orders"
-_POOL = "SELECT 'p' || (s_suppkey % 20) AS project_id, cast(100000000 + s_suppkey AS string) AS siren, CASE s_suppkey % 5 WHEN 0 THEN 'LUMIERE ' || (s_suppkey % 6) WHEN 1 THEN 'FD INVEST SAS' WHEN 2 THEN 'Nord Groupe Holding' WHEN 3 THEN 'Est Conseil' ELSE 'Autre' END AS nom, s_suppkey AS ordinal FROM supplier"
+_FOLDERS = "SELECT DISTINCT 'p' || cast(floor(o_custkey / 150) AS int) AS project_id, CASE o_orderkey % 4 WHEN 0 THEN 'SCI Lumière ' || (o_custkey % 6) WHEN 1 THEN 'Groupe Nord' WHEN 2 THEN CASE WHEN o_custkey % 2 = 0 THEN 'F.D. Invest' ELSE 'FD' END ELSE 'Société Est ' || (o_custkey % 4) END AS folder FROM orders"
+_POOL = "SELECT 'p' || cast(floor(s_suppkey / 10) AS int) AS project_id, cast(100000000 + s_suppkey AS string) AS siren, CASE s_suppkey % 5 WHEN 0 THEN 'LUMIERE ' || (s_suppkey % 6) WHEN 1 THEN 'FD INVEST SAS' WHEN 2 THEN 'Nord Groupe Holding' WHEN 3 THEN 'Est Conseil' ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'SCI F.D.' ELSE 'LesLumieres' END END AS nom, s_suppkey AS ordinal FROM supplier"
 _REPS = "SELECT DISTINCT cast(o_custkey AS string) AS siren, 'per_' || cast(floor(o_orderkey / 3) AS int) AS person_id, CASE o_orderkey % 3 WHEN 0 THEN 'Président' WHEN 1 THEN 'Gérant' ELSE 'Directeur' END AS qualite, o_orderkey % 7 = 0 AS entreprise_cessee FROM orders"
 _NOTICES = """SELECT doc_id, cast(cast(100000000 + floor(doc_id / 8) AS int) AS string) AS siren, doc_id AS ordinal, '2020-0' || (doc_id % 9 + 1) AS date, CASE doc_id % 9 WHEN 0 THEN 'Avis. Jugement d''ouverture de liquidation judiciaire le ' || doc_id || '. Voir www.x.fr' WHEN 1 THEN 'PLAN DE SAUVEGARDE ARRETE; radiation prononcée'
  WHEN 2 THEN 'Nature jugement : Clôture ' || (doc_id % 4) || '{nl}suite du texte{nl}{nl}Cessation des paiements fixée au 1er mars.' ELSE text END AS contenu FROM documents"""
@@ -123,17 +123,13 @@ def _iso(x: str) -> str:
     return f"regexp_replace(regexp_replace(trim({x}), '^(\\d{{2}})/(\\d{{2}})/(\\d{{4}})$', '\\3-\\2-\\1'), '^(\\d{{2}})/(\\d{{4}})$', '\\2-\\1')"
 
 
-def _blocks(x: str) -> str:
-    return f"list_distinct([w for w in regexp_split_to_array(regexp_replace(strip_accents(lower({x})), '[^a-z0-9\\s]', ' ', 'g'), '\\s+') if w <> ''] || ['^' || regexp_replace(strip_accents(lower({x})), '[^a-z0-9]', '', 'g')[1:3]])"
-
-
 def _similar(x: str, y: str) -> str:
     return f"greatest({_likeness(x, y)}, {_likeness(bare(x), bare(y))})"
 
 
 def _best(pool: str) -> str:
     return f"""SELECT project_id, folder, siren, nom, score FROM (SELECT DISTINCT f.project_id, folder, siren, nom, ordinal, greatest({_similar('folder', 'nom')}, {_similar('nom', 'folder')}) AS score
-      FROM (SELECT *, unnest({_blocks('folder')}) AS block FROM fo) f JOIN (SELECT *, unnest({_blocks('nom')}) AS block FROM {pool}) p ON f.project_id = p.project_id AND f.block = p.block) WHERE score > 0.35
+      FROM fo f JOIN {pool} p ON f.project_id = p.project_id) WHERE score > 0.35
       QUALIFY row_number() OVER (PARTITION BY project_id, folder ORDER BY score DESC, ordinal) = 1"""
 
 

@@ -101,6 +101,18 @@ fr AS (SELECT * FROM pg ANTI JOIN ti USING (doc_id, page)),
 co AS (SELECT doc_id, CASE c WHEN 0 THEN 'bilan_actif' WHEN 1 THEN 'compte_resultat' ELSE 'bilan_passif' END AS section, min(page) AS page FROM fr WHERE t <> 1 AND (c = 1 OR c = 2 OR (c = 0 AND t = 2)) GROUP BY ALL),
 st AS (SELECT * FROM ti UNION ALL SELECT * FROM co ANTI JOIN ti USING (doc_id, section))"""
 
+_LAND = "(?i)(\\d{1,4}(?:\\s?\\d{3})*(?:[.,]\\d+)?)\\s*€\\s*/\\s*m[²2]"
+
+
+def _first(pattern: str, low: int, high: int) -> str:
+    """The first number of a page that a pattern finds within limits."""
+    return f"[v for v in [try_cast(regexp_replace(x, '\\s', '', 'g') AS DOUBLE) for x in regexp_extract_all(page, '{pattern}', 1)] if v > {low} AND v < {high}][1]"
+
+
+def _number(value: str, pattern: str) -> str:
+    return f"try_cast(replace(regexp_replace(nullif(regexp_extract({value}, '{pattern}', 1), ''), '\\s', '', 'g'), ',', '.') AS DOUBLE)"
+
+
 SQL = {
     "p23_header_records": f"WITH {_BODY} SELECT * FROM rc",
     "a22_holding_totals": f"WITH {_BODY} SELECT doc_id, sum(estimation_actuelle) AS value, sum(coalesce(capital_restant_du, 0)) AS debt, sum(estimation_actuelle - coalesce(capital_restant_du, 0)) AS net, sum(estimation_actuelle - coalesce(capital_restant_du, 0)) AS net_by_share, count(*) AS properties FROM rc GROUP BY 1",
@@ -120,11 +132,16 @@ SQL = {
       SELECT doc_id, pos, coalesce(nullif(label, ''), array_to_string(CASE WHEN len(named) > 0 THEN named ELSE tail[greatest(len(tail), 1):] END, ' ')) AS label, amount FROM k""",
     "a21_lot_totals": """WITH r AS (SELECT l_suppkey AS project_id, 'L' || l_orderkey || '-' || l_linenumber AS lot, l_quantity::BIGINT AS area, floor(l_extendedprice)::BIGINT AS price, l_partkey % 1000 AS deposit FROM lineitem)
       SELECT * FROM r UNION ALL SELECT project_id, 'Total', sum(area)::BIGINT, sum(price)::BIGINT, sum(deposit)::BIGINT FROM r GROUP BY 1""",
-    "x1_price_pages": """WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_custkey AS c, nullif(o_custkey % 120, 0) AS a FROM orders)
-      SELECT o_orderkey, CASE k WHEN 0 THEN 3000.0 + c WHEN 1 THEN 4100.0 + c % 900 WHEN 2 THEN floor(300000.0 / a + 0.5) END::DOUBLE AS m2, CASE WHEN k = 2 THEN floor((210 + c % 90) * 1000.0 / a + 0.5) END::DOUBLE AS low,
-        CASE WHEN k = 2 THEN floor(350500.0 / a + 0.5) WHEN k = 4 THEN floor((1000000.0 + 100000 + c) / a + 0.5) END::DOUBLE AS high FROM o""",
+    "x1_price_pages": f"""WITH o AS (SELECT o_orderkey, nullif(o_custkey % 120, 0) AS a, CASE o_orderkey % 5 WHEN 0 THEN 'Bien : ' || (3000 + o_custkey) || ' €/m² environ' WHEN 1 THEN 'prix au m2 : 4 ' || (100 + o_custkey % 900) || ' €' WHEN 2 THEN '12 € / m² ; basse 2' || (10 + o_custkey % 90) || ' 000 € moyenne 300 000 € haute : 350 500 €' WHEN 3 THEN 'rien' ELSE 'estimation haute 99 € puis haut de 1' || (100000 + o_custkey) || ' €' END AS page FROM orders),
+      f AS (SELECT o_orderkey, a, coalesce({_first('(?i)(\\d[\\d\\s]*)\\s*€\\s*/\\s*m\\s*[²2]', 500, 50000)}, {_first('(?i)prix\\s+au\\s+m[²2]\\s*[:*]*\\s*(\\d[\\d\\s]*)\\s*€', 500, 50000)}) AS m2,
+        {', '.join(f"{_first(f'(?i)(?:{w})[^\\d]{{0,30}}(\\d[\\d\\s]{{4,}})\\s*€', 50000, 100000000)} AS {k}" for k, w in (('mid', 'moyenne?|moyen'), ('low', 'basse|bas'), ('high', 'haute?|haut')))} FROM o)
+      SELECT o_orderkey, coalesce(m2, floor(mid / a + 0.5)) AS m2, floor(low / a + 0.5) AS low, floor(high / a + 0.5) AS high FROM f""",
     "x2_price_replies": """SELECT o_orderkey::VARCHAR AS url, unnest(CASE WHEN o_orderkey % 4 = 0 THEN ['mid', 'low'] ELSE ['high'] END) AS kind, unnest(CASE WHEN o_orderkey % 4 = 0 THEN [1000.0 + o_custkey, 501.0] ELSE [700.0 + o_custkey] END)::DOUBLE AS price FROM orders WHERE o_orderkey % 4 < 2""",
     "x3_price_tables": """WITH o AS (SELECT o_orderkey::VARCHAR AS url, o_custkey AS c, o_orderkey AS k, unnest(['appartement', 'maison']) AS type_bien, unnest([0, 7]) AS add FROM orders)
       SELECT url, type_bien, (2000 + c + add)::DOUBLE AS low, (3100 + c % 800)::DOUBLE AS mid, CASE WHEN k % 3 > 0 THEN 5000.0 END::DOUBLE AS high FROM o WHERE type_bien = 'appartement' OR k % 2 = 0""",
-    "x4_land_prices": """SELECT o_orderkey::VARCHAR AS url, CASE o_orderkey % 4 WHEN 0 THEN 100.5 + o_custkey WHEN 1 THEN 1100.0 + o_custkey % 800 END::DOUBLE AS price, CASE WHEN o_orderkey % 4 = 1 THEN o_custkey END::INT AS sample FROM orders""",
+    "x4_land_prices": f"""WITH o AS (SELECT o_orderkey::VARCHAR AS url, 'tourcoing' AS city, CASE o_orderkey % 4 WHEN 0 THEN ['x', 'Prix moyen du terrain constructible en France : ' || (100 + o_custkey) || ',5 €/m²'] WHEN 1 THEN ['TOURCOING (59200)', 'a', '1 ' || (100 + o_custkey % 800) || ' € / m2', 'Calculé sur ' || o_custkey || ' terrains à vendre'] WHEN 2 THEN ['Tourcoing', 'a', 'b', 'c', '99 €/m²'] ELSE ['Lille', '88 €/m²'] END AS lines FROM orders),
+      l AS (SELECT url, city, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM o), n AS (SELECT url, pos FROM l WHERE lower(trim(regexp_replace(line, '\\s*\\(\\d{{5}}\\)\\s*$', ''))) = city),
+      p AS (SELECT l.url, arg_min({_number('line', _LAND)}, l.pos) AS near FROM l JOIN n ON n.url = l.url AND l.pos BETWEEN n.pos + 1 AND n.pos + 3 WHERE {_number('line', _LAND)} IS NOT NULL GROUP BY 1),
+      b AS (SELECT url, array_to_string(lines, chr(10)) AS body FROM o)
+      SELECT b.url, coalesce({_number('body', '(?i)Prix\\s+moyen\\s+du\\s+terrain\\s+constructible\\s+(?:en\\s+France|dans\\s+.+?)\\s*:\\s*' + _LAND[4:])}, near) AS price, try_cast(regexp_replace(regexp_extract(body, '(?i)Calculé\\s+sur\\s+(\\d{{1,3}}(?:\\s?\\d{{3}})*)\\s+terrains?\\s+à\\s+vendre', 1), '\\D', '', 'g') AS INT) AS sample FROM b LEFT JOIN p USING (url)""",
 }

@@ -19,6 +19,25 @@ _DAYS = """CASE o_orderkey % 7 WHEN 0 THEN '2024-03-0' || (1 + o_custkey % 9) WH
  WHEN 5 THEN 'du 01/01/22 au 31-12-2' || (o_custkey % 9) ELSE 'clos le 30/06/71' END"""
 
 
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+
+
+def _spark_pick(values, key: str) -> str:
+    return f"element_at(array({_quoted(values)}), cast({key} % {len(values)} + 1 AS int))"
+
+
+def _duck_pick(values, key: str) -> str:
+    return f"[{_quoted(values)}]".replace("\\'", "''") + f"[({key} % {len(values)} + 1)::INT]"
+
+
+# legal forms as registers write them, and paths of accounts
+_FORM_WORDS = [*(x for x, _ in labels.LEGAL_FORMS), "fonds commun de placement", "indivision"]
+_FORMS = "CASE o_custkey % 6 WHEN 0 THEN {pick} WHEN 1 THEN upper({pick}) WHEN 2 THEN concat('SAS, ', {pick}) WHEN 3 THEN concat({pick}, ' à capital variable, autre') WHEN 4 THEN '' ELSE NULL END"
+_FOLDERS = ["SCI Lumière", "Bilans", "Etats Financiers 2020", "comptes annuels", " Holding Nord ", "Comptabilité", "Projet Est"]
+_NAMES_OF_ACCOUNTS = ["bilan 2020.pdf", "Liasse Nord Invest 2021.pdf", "Rapport CAC_Sud.pdf", "comptes SAS Est 2019.pdf", "x.pdf", "Etats  financiers - Groupe Ouest.xlsx", "Projet annuel.Sud.docx", "liasse", "RAPPORT CAC 1999 Fils.pdf"]
+
+
 def _orders(spark, sf_dir, expression):
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", f"{expression} AS t")
 
@@ -90,8 +109,8 @@ def f24_build_years(spark, sf_dir):
 
 
 def f26_legal_forms(spark, sf_dir):
-    form = F.expr("CASE o_orderkey % 7 WHEN 0 THEN 'SAS, société par actions simplifiée' WHEN 1 THEN 'Société par actions simplifiée unipersonnelle' WHEN 2 THEN 'Société civile immobilière' WHEN 3 THEN 'Fonds, autre' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE 'Société à responsabilité limitée' END")
-    return _counted(_orders(spark, sf_dir, "''"), form.alias("form"), labels.legal_form(form).alias("short"))
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", f"{_FORMS.format(pick=_spark_pick(_FORM_WORDS, 'o_orderkey'))} AS form")
+    return _counted(rows, "form", labels.legal_form(F.col("form")).alias("short"))
 
 
 def f27_name_similarity(spark, sf_dir):
@@ -114,8 +133,8 @@ def f31_record_names(spark, sf_dir):
 
 
 def f32_company_names(spark, sf_dir):
-    path = F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'A/SCI Lumière/bilan 2020.pdf' WHEN 1 THEN 'A/Bilans/Liasse Nord Invest 2021.pdf' WHEN 2 THEN 'B/Etats Financiers/Rapport CAC_Sud.pdf' WHEN 3 THEN 'B/comptes annuels/comptes SAS Est 2019.pdf' ELSE 'C/ Holding ' || (o_custkey % 10) || ' /x.pdf' END")
-    return _counted(_orders(spark, sf_dir, "''"), path.alias("path"), labels.company_from_path(path).alias("company"))
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"concat('A/', {_spark_pick(_FOLDERS, 'o_custkey')}, '/', {_spark_pick(_NAMES_OF_ACCOUNTS, 'o_orderkey')}) AS path")
+    return _counted(rows, "path", labels.company_from_path(F.col("path")).alias("company"))
 
 
 def f33_links(spark, sf_dir):
@@ -247,15 +266,16 @@ SQL = {
       SELECT year, state, {_BUCKET(((1849, "'1849'"), (1913, "'1851'"), (1947, "'1915'"), (1969, "'1949'"), (1980, "'1971'"), (1991, "'1982'"), (2000, "'1993'"), (2010, "'2002'")), "'2012'")} AS period,
         {_BUCKET(((1849, 1), (1919, 2), (1944, 3), (1969, 4), (1989, 5), (2006, 6)), 7)}::INT AS class,
         CASE state WHEN 'Refait à neuf' THEN 'GOOD_AS_NEW' WHEN 'Rénové' THEN 'GOOD_AS_NEW' WHEN 'gros travaux' THEN 'HEAVY_WORK_REQUIRED' WHEN 'bon' THEN 'STANDARD' ELSE 'LIGHT_WORK_REQUIRED' END AS level, count(*) AS n FROM r GROUP BY ALL""",
-    "f26_legal_forms": """SELECT form, CASE o WHEN 0 THEN 'SAS' WHEN 1 THEN 'SASU' WHEN 2 THEN 'SCI' WHEN 3 THEN 'Fonds' WHEN 4 THEN '' WHEN 5 THEN '' ELSE 'SARL' END AS short, count(*) AS n FROM (SELECT o_orderkey % 7 AS o,
-      CASE o_orderkey % 7 WHEN 0 THEN 'SAS, société par actions simplifiée' WHEN 1 THEN 'Société par actions simplifiée unipersonnelle' WHEN 2 THEN 'Société civile immobilière' WHEN 3 THEN 'Fonds, autre' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE 'Société à responsabilité limitée' END AS form FROM orders) GROUP BY ALL""",
+    "f26_legal_forms": f"""WITH r AS (SELECT {_FORMS.format(pick=_duck_pick(_FORM_WORDS, 'o_orderkey'))} AS form FROM orders)
+      SELECT form, coalesce(CASE {' '.join(f"WHEN contains(lower(form), '{k.replace(chr(39), chr(39) * 2)}') THEN '{v}'" for k, v in labels.LEGAL_FORMS)} ELSE trim(string_split(form, ',')[1]) END, '') AS short, count(*) AS n FROM r GROUP BY ALL""",
     "f27_name_similarity": f"WITH r AS (SELECT {_A27} AS a, {_B27} AS b FROM orders) SELECT a, b, round(greatest({_likeness('a', 'b')}, {_likeness(_bare('a'), _bare('b'))}), 6) AS similarity, count(*) AS n FROM r GROUP BY ALL",
     "f28_f29_f30_answers": """SELECT event_id, CASE WHEN event_id % 4 > 0 OR event_id % 3 > 0 THEN concat_ws(' - ', CASE WHEN event_id % 4 > 0 THEN 'N' || user_id END, CASE WHEN event_id % 3 > 0 THEN event_type END) || ' ; ' ELSE '' END || 'associé' AS people,
       event_id % 6 > 3 AS meaningful, CASE WHEN event_id % 5 < 2 THEN (props->>'k')::INT END AS k FROM events""",
     "f31_record_names": """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'Casier judiciaire.pdf' WHEN 1 THEN 'cassier judiciare Dupont.pdf' WHEN 2 THEN 'Bulletin N°3.pdf' WHEN 3 THEN 'bulletin numero 3' WHEN 4 THEN 'Kbis.pdf' WHEN 5 THEN 'casier.pdf' WHEN 6 THEN 'Bulletin de paie n 2' ELSE 'CASIER_JUDICIAIRE-' || o_custkey END AS name,
       o_orderkey % 8 IN (0, 1, 2, 7) AS is_record FROM orders""",
-    "f32_company_names": """SELECT path, CASE o WHEN 0 THEN 'SCI Lumière' WHEN 1 THEN 'Nord Invest' WHEN 2 THEN 'CAC_Sud' WHEN 3 THEN 'SAS Est' ELSE 'Holding ' || c END AS company, count(*) AS n FROM (SELECT o_orderkey % 5 AS o, o_custkey % 10 AS c,
-      CASE o_orderkey % 5 WHEN 0 THEN 'A/SCI Lumière/bilan 2020.pdf' WHEN 1 THEN 'A/Bilans/Liasse Nord Invest 2021.pdf' WHEN 2 THEN 'B/Etats Financiers/Rapport CAC_Sud.pdf' WHEN 3 THEN 'B/comptes annuels/comptes SAS Est 2019.pdf' ELSE 'C/ Holding ' || (o_custkey % 10) || ' /x.pdf' END AS path FROM orders) GROUP BY ALL""",
+    "f32_company_names": f"""WITH r AS (SELECT 'A/' || {_duck_pick(_FOLDERS, 'o_custkey')} || '/' || {_duck_pick(_NAMES_OF_ACCOUNTS, 'o_orderkey')} AS path FROM orders),
+      p AS (SELECT path, string_split(path, '/')[2] AS parent, regexp_replace(string_split(path, '/')[3], '\\.[^.]*$', '') AS name FROM r)
+      SELECT path, CASE WHEN regexp_matches(strip_accents(lower(parent)), '{'|'.join(labels.ACCOUNT_FOLDERS)}') THEN trim(regexp_replace(regexp_replace(name, '{labels._any_word(labels.ACCOUNT_WORDS)}', ' ', 'g'), '\\s{{2,}}', ' ', 'g'), ' .-_') ELSE trim(parent) END AS company, count(*) AS n FROM p GROUP BY ALL""",
     "f33_links": f"SELECT c_custkey, 'https://maps.example/?q=' || round(c_custkey / 8 + 40, 3) || '%2C2.5' AS map, 'https://registry.example/entreprise/' || {slug('c_name')} AS registry, 'https://index.example/prix?' || concat_ws('&', 'typeLocalisation=' || CASE WHEN c_custkey % 5 > 0 THEN 'COMMUNE' ELSE 'GRAND_QUARTIER' END, CASE WHEN c_custkey % 4 > 0 THEN 'codeInsee=' || c_custkey END, CASE WHEN c_custkey % 2 = 0 THEN 'typeBien=APP' END, CASE WHEN c_custkey % 3 = 0 THEN 'piece=' || (c_custkey % 7 + 1) END) AS index FROM customer",
     "f35_precise_addresses": f"""WITH r AS ({_orders_sql(_STREETS)}), w AS (SELECT *, len(list_intersect(string_split({canonical('t')}, ' '), {labels.STREET_HINTS})) > 0 AS hint FROM r)
       SELECT t, hint AND regexp_matches(t, '\\b\\d+[a-zA-Z]?\\b') AS precise, hint AND regexp_matches(regexp_replace(t, '^\\d+', ''), '\\b\\d+[a-zA-Z]?\\b') AS without_number, count(*) AS n FROM w GROUP BY ALL""",
