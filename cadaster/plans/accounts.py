@@ -265,7 +265,7 @@ fc AS (SELECT coalesce(td.company, tr.company) AS company, coalesce(td.section,
   row_number() OVER (PARTITION BY coalesce(td.company, tr.company), coalesce(td.section, tr.section) ORDER BY ordinal NULLS LAST, r_ordinal, coalesce(td.label, tr.label))::INT AS place FROM td FULL JOIN tr ON td.company = tr.company AND td.section = tr.section AND td.label = tr.label)"""
 _NOACC = [text_ for text_ in ("chiffre d'affaires", "autres produits d'exploitation", "charges d'exploitation", "charges de personnel", "dotations aux amortissements", "resultat d'exploitation", "resultat financier", "resultat exceptionnel", "impots sur les benefices", "resultat net")]
 _FILES_OF = """
-cf AS (SELECT doc_id, source AS project_id, source || '/S' || (doc_id % 9) AS company_folder, CASE WHEN doc_id % 3 > 0 THEN greatest(2018 + doc_id % 6, CASE WHEN doc_id BETWEEN 1900 AND 2199 THEN doc_id ELSE 0 END) END::INT AS year, n_chars AS size, doc_id % 300 AS age,
+cf AS (SELECT doc_id, source || '-' || (doc_id // 500) AS project_id, source || '-' || (doc_id // 500) || '/S' || (doc_id % 9) AS company_folder, CASE WHEN doc_id % 3 > 0 THEN greatest(2018 + doc_id % 6, CASE WHEN doc_id BETWEEN 1900 AND 2199 THEN doc_id ELSE 0 END) END::INT AS year, n_chars AS size, doc_id % 300 AS age,
   '2. Audit/1. Opérateur/' || CASE doc_id % 6 WHEN 0 THEN '3. RH/Dupont Marie' WHEN 1 THEN '4. Bilans/SCI Lumière' WHEN 2 THEN 'Société Emprunteuse' WHEN 3 THEN 'X - Old' WHEN 4 THEN '5. Opération' ELSE 'Annexes' END || '/Doc ' || doc_id || ' ' || (2018 + doc_id % 6) || CASE doc_id % 11 WHEN 0 THEN '.zip' WHEN 1 THEN '.xlsx' ELSE '.pdf' END AS source_path FROM documents)"""
 _FILED = """
 sp AS (SELECT (100000000 + s_suppkey)::VARCHAR AS siren, (2015 + s_suppkey % 8)::VARCHAR AS year, s_suppkey, floor(s_acctbal) AS v, CASE s_suppkey % 3 WHEN 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'actif' ELSE 'passif' END WHEN 1 THEN 'actif' ELSE 'passif' END AS side FROM supplier),

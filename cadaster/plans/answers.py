@@ -90,7 +90,7 @@ def j14_project_location(spark, sf_dir):
 
 def p14_operation_view(spark, sf_dir):
     names = F.lit([*a.SUMMARY, "taux_emprunt", "garantie_operation", "autre"])
-    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("p"), F.col("user_id") % 10).alias("project_id"), F.get(names, (F.col("event_id") % 13).cast("int")).alias("field_id"), F.when(F.col("event_id") % 4 > 0, F.col("event_id").cast("string")).alias("value"))
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("p"), F.floor(F.col("user_id") / 3)).alias("project_id"), F.get(names, (F.col("event_id") % 13).cast("int")).alias("field_id"), F.when(F.col("event_id") % 4 > 0, F.col("event_id").cast("string")).alias("value"))
     return a.operation_view(rows.groupBy("project_id", "field_id").agg(F.max("value").alias("value")))
 
 
@@ -164,7 +164,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _ANSWERS = """
-an AS (SELECT 'p' || (user_id % 10) AS project_id, event_id AS document_id, event_id AS doc_ordinal, event_type AS field_id, 'e' || (user_id % 3) AS entity_key,
+an AS (SELECT 'p' || (user_id // 3) AS project_id, event_id AS document_id, event_id AS doc_ordinal, event_type AS field_id, 'e' || (user_id % 3) AS entity_key,
   CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '[]' ELSE trunc(value * 100)::BIGINT::VARCHAR END AS value FROM events),
 ak AS (SELECT project_id, field_id, entity_key, CASE entity_key WHEN 'e0' THEN 'global' WHEN 'e1' THEN 'person' ELSE 'company' END AS scope, document_id // 4 AS document_id FROM an)"""
 _OK = "coalesce(trim(value) NOT IN ('', 'null', '[]', '{}'), false)"
@@ -218,7 +218,7 @@ SQL = {
       p AS (SELECT a.project_id, a.key, a.ordinal, b.document_id, b.value, b.ordinal AS o FROM (SELECT project_id, key, min(ordinal) AS ordinal FROM r GROUP BY ALL) a JOIN r b ON a.project_id = b.project_id AND (contains(a.key, b.key) OR contains(b.key, a.key))),
       k AS (SELECT project_id, key, ordinal, count(DISTINCT document_id) AS documents, max(length(value)) AS size, (list(value ORDER BY length(value) DESC, o))[1] AS location FROM p GROUP BY ALL)
       SELECT project_id, location FROM k WHERE documents >= 2 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY documents DESC, size DESC, ordinal) = 1""",
-    "p14_operation_view": f"""WITH v AS (SELECT 'p' || (user_id % 10) AS project_id, {[*a.SUMMARY, 'taux_emprunt', 'garantie_operation', 'autre']}[(event_id % 13)::INT + 1] AS field_id, max(CASE WHEN event_id % 4 > 0 THEN event_id::VARCHAR END) AS value FROM events GROUP BY ALL),
+    "p14_operation_view": f"""WITH v AS (SELECT 'p' || (user_id // 3) AS project_id, {[*a.SUMMARY, 'taux_emprunt', 'garantie_operation', 'autre']}[(event_id % 13)::INT + 1] AS field_id, max(CASE WHEN event_id % 4 > 0 THEN event_id::VARCHAR END) AS value FROM events GROUP BY ALL),
       f AS (SELECT * FROM v WHERE {_OK}),
       r AS (SELECT project_id, section, field_id, value, row_number() OVER (PARTITION BY project_id, section ORDER BY field_id)::INT AS place FROM (SELECT *, CASE WHEN field_id LIKE '%\\_emprunt' ESCAPE '\\' THEN 'Société emprunteuse' WHEN field_id LIKE '%\\_operation' ESCAPE '\\' THEN 'Société opération' ELSE 'Opération' END AS section FROM f))
       SELECT project_id, 'Synthèse' AS section, field_id, value, list_position({a.SUMMARY}, field_id)::INT AS place FROM f WHERE list_contains({a.SUMMARY}, field_id)

@@ -103,8 +103,8 @@ def a27_merged_comments(spark, sf_dir):
 
 def a16_catalogue(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    people = o.selectExpr("concat('p', o_custkey % 10) AS project_id", "concat(CASE WHEN o_orderkey % 2 = 0 THEN 'Hélène ' ELSE 'helene ' END, 'N', o_custkey % 40) AS name", "o_orderkey AS ordinal")
-    firms = o.selectExpr("concat('p', o_custkey % 10) AS project_id", "concat(CASE WHEN o_orderkey % 3 = 0 THEN 'SCI ' ELSE 'sci-' END, o_custkey % 30, 'x') AS name", "o_orderkey AS ordinal", "CASE WHEN o_orderkey % 4 = 0 THEN 'cache' ELSE 'extraction' END AS source")
+    people = o.selectExpr("concat('p', cast(floor(o_custkey / 10) AS int)) AS project_id", "concat(CASE WHEN o_orderkey % 2 = 0 THEN 'Hélène ' ELSE 'helene ' END, 'N', o_custkey % 40) AS name", "o_orderkey AS ordinal")
+    firms = o.selectExpr("concat('p', cast(floor(o_custkey / 10) AS int)) AS project_id", "concat(CASE WHEN o_orderkey % 3 = 0 THEN 'SCI ' ELSE 'sci-' END, o_custkey % 30, 'x') AS name", "o_orderkey AS ordinal", "CASE WHEN o_orderkey % 4 = 0 THEN 'cache' ELSE 'extraction' END AS source")
     return c.catalogue(people, firms)
 
 
@@ -177,7 +177,7 @@ SQL = {
     "a14_person_cards": f"""WITH m AS ({_duck(_MANDATES)}) SELECT 'd' || (person_id // 5) AS folder, person_id, count(*) || ' société(s) trouvée(s)' AS value, string_agg(siren || ' ' || nom, '; ' ORDER BY ordinal) AS companies FROM m GROUP BY ALL""",
     "a27_merged_comments": """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN 'Radiée le ' || (o_custkey % 7) END AS a, CASE WHEN o_orderkey % 3 = 0 THEN 'RADIÉE LE ' || (o_custkey % 5) END AS b, CASE WHEN o_orderkey % 5 > 2 THEN o_orderpriority END AS c FROM orders)
       SELECT o_orderkey, nullif(concat_ws(chr(10), a, CASE WHEN coalesce(lower(a), '') <> lower(b) THEN b END, c), '') AS comment FROM r""",
-    "a16_catalogue": f"""WITH p AS (SELECT 'p' || (o_custkey % 10) AS project_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Hélène ' ELSE 'helene ' END || 'N' || (o_custkey % 40) AS name, o_orderkey AS k FROM orders),
-      c AS (SELECT 'p' || (o_custkey % 10) AS project_id, CASE WHEN o_orderkey % 3 = 0 THEN 'SCI ' ELSE 'sci-' END || (o_custkey % 30) || 'x' AS name, (CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1000000000 END) + o_orderkey AS k FROM orders)
+    "a16_catalogue": f"""WITH p AS (SELECT 'p' || (o_custkey // 10) AS project_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Hélène ' ELSE 'helene ' END || 'N' || (o_custkey % 40) AS name, o_orderkey AS k FROM orders),
+      c AS (SELECT 'p' || (o_custkey // 10) AS project_id, CASE WHEN o_orderkey % 3 = 0 THEN 'SCI ' ELSE 'sci-' END || (o_custkey % 30) || 'x' AS name, (CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1000000000 END) + o_orderkey AS k FROM orders)
       SELECT project_id, {canonical('name')} AS key, arg_max(name, k) AS name, 'person' AS kind FROM p GROUP BY ALL UNION ALL SELECT project_id, {canonical('name')}, arg_min(name, k), 'company' FROM c GROUP BY ALL""",
 }

@@ -163,7 +163,7 @@ rk AS (SELECT document_id, unnest(string_split(text, chr(10))) AS text, unnest(r
 hits AS (SELECT *, CASE WHEN index % 5 > 0 THEN index // 3 END AS page, CASE WHEN length(text) >= 50 THEN len([k for k in ['the', 'und', 'etre', 'tion', 'acion'] if contains({canonical('text')}, k)]) ELSE 0 END AS hits FROM rk)"""
 _FOLDER = "CASE doc_id % 6 WHEN 0 THEN '3. RH/Dupont Marie' WHEN 1 THEN '4. Bilans/SCI Lumière' WHEN 2 THEN 'Société Emprunteuse' WHEN 3 THEN 'X - Old' WHEN 4 THEN '5. Opération' ELSE 'Annexes' END"
 FILES = f"""
-fi AS (SELECT doc_id, source AS project_id, 'Doc ' || doc_id || ' ' || (2018 + doc_id % 6) || CASE doc_id % 11 WHEN 0 THEN '.zip' WHEN 1 THEN '.xlsx' ELSE '.pdf' END AS filename,
+fi AS (SELECT doc_id, source || '-' || (doc_id // 500) AS project_id, 'Doc ' || doc_id || ' ' || (2018 + doc_id % 6) || CASE doc_id % 11 WHEN 0 THEN '.zip' WHEN 1 THEN '.xlsx' ELSE '.pdf' END AS filename,
   '2. Audit/1. Opérateur/' || {_FOLDER} || '/Doc ' || doc_id || ' ' || (2018 + doc_id % 6) || CASE doc_id % 11 WHEN 0 THEN '.zip' WHEN 1 THEN '.xlsx' ELSE '.pdf' END AS source_path, n_chars AS file_size_bytes, CASE doc_id % 11 WHEN 0 THEN 'zip' WHEN 1 THEN 'xlsx' ELSE 'pdf' END AS file_type FROM documents),
 fb AS (SELECT doc_id, project_id, filename, source_path, CASE WHEN doc_id % 5 = 0 THEN file_size_bytes + 10 ELSE file_size_bytes END AS file_size_bytes, file_type FROM fi WHERE doc_id % 7 <> 0
   UNION ALL SELECT doc_id, project_id, filename, '2. Audit/Ancien/' || filename, file_size_bytes, file_type FROM fi WHERE doc_id % 13 = 0)"""

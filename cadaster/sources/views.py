@@ -47,11 +47,11 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File inventory of every project."""
+    """File inventory of every project; a project has some dozen files, however many documents there are."""
     folder = """CASE doc_id % 6 WHEN 0 THEN '3. RH/Dupont Marie' WHEN 1 THEN '4. Bilans/SCI Lumière' WHEN 2 THEN 'Société Emprunteuse'
         WHEN 3 THEN 'X - Old' WHEN 4 THEN '5. Opération' ELSE 'Annexes' END"""
     return table(spark, sf_dir, "documents").selectExpr(
-        "source AS project_id",
+        "concat(source, '-', cast(floor(doc_id / 500) AS int)) AS project_id",
         f"concat('2. Audit/1. Opérateur/', {folder}, '/Doc ', doc_id, ' ', 2018 + doc_id % 6, CASE doc_id % 11 WHEN 0 THEN '.zip' WHEN 1 THEN '.xlsx' ELSE '.pdf' END) AS source_path",
         "cast(n_chars AS long) AS file_size_bytes",
         "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(doc_id % 300 AS int)) AS modified_at",
@@ -70,7 +70,7 @@ def files_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers to the questions put to each document of each project."""
     return table(spark, sf_dir, "events").selectExpr(
-        "concat('p', user_id % 10) AS project_id",
+        "concat('p', cast(floor(user_id / 3) AS int)) AS project_id",
         "event_id AS document_id",
         "event_id AS doc_ordinal",
         "event_type AS field_id",
