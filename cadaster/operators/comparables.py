@@ -98,12 +98,14 @@ def similarity() -> Column:
     """The score of a sale for its subject: a weighted sum of decays and bands, to two digits."""
     flat = F.col("property_type") == "appartement"
     d = F.col("distance_m")
-    mine, its = text.street_key(F.col("street_name")), text.street_key(F.col("street"))
-    same = F.coalesce(mine == its, F.lit(False))
-    unknown = mine.isNull() | its.isNull()
-    micro = F.when(flat, F.when(same & (d <= 100), 1.0).when(same & (d <= 300), 0.7).when(same & (d <= 500), 0.45).when(unknown & (d <= 30), 0.3).otherwise(0.0)).otherwise(
-        F.when(same & (d <= 300), 1.0).when(same & (d <= 800), 0.6).when(d <= 50, 0.25).otherwise(0.0)
-    )
+
+    def on_street(keys):
+        same, unknown = F.coalesce(keys["mine"] == keys["its"], F.lit(False)), keys["mine"].isNull() | keys["its"].isNull()
+        return F.when(flat, F.when(same & (d <= 100), 1.0).when(same & (d <= 300), 0.7).when(same & (d <= 500), 0.45).when(unknown & (d <= 30), 0.3).otherwise(0.0)).otherwise(
+            F.when(same & (d <= 300), 1.0).when(same & (d <= 800), 0.6).when(d <= 50, 0.25).otherwise(0.0)
+        )
+
+    micro = text.let(F.struct(text.street_key(F.col("street_name")).alias("mine"), text.street_key(F.col("street")).alias("its")), on_street)
     close = F.when(flat, F.when(d <= 20, 1.0).when(d <= 40, 0.65).when(d <= 70, 0.3).otherwise(0.0)).otherwise(F.when(d <= 40, 1.0).when(d <= 80, 0.5).otherwise(0.0))
     age = F.datediff("valuation_date", "sale_date")
     gap = F.abs(F.col("rooms") - F.col("s_rooms"))
