@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadaster.llm.components import between, unite
-from cadaster.llm.shared import by_merge, map_texts, passing, saved
+from cadaster.llm.shared import by_merge, map_texts, passing, saved, split_join
 from cadaster.llm.text import digest, mix, shingles
 
 WORDS, THRESHOLD = 5, Fraction(80, 100)
@@ -191,9 +191,9 @@ def _index(sets: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) that link, by their full sets."""
+    """The pairs (a, b), a saved table, that link, by their full sets; a set that many are compared with is dealt out to them."""
     side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    both = by_merge(split_join(pairs.select("a", "b"), side("b"), "b", "a"), side("a"), "a")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     linked = common * (t.denominator + t.numerator) >= (F.col("n_a") + F.col("n_b")) * t.numerator
     return both.where(linked).select("a", "b")
@@ -231,7 +231,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, t
         star = saved(star, "star")
         labels = None
         if not star.isEmpty():
-            best = star.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
+            best = saved(star.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b")), "best")
             labels = unite(labels, saved(_verify(best, sets, t), "verified"))
             sketch = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
             apart = between(labels, star.select("a", "b")).where("a_root <> b_root").select("a", "b").join(sketch("a"), "a").join(sketch("b"), "b").where(_may_link(t))

@@ -14,7 +14,7 @@ take. The earliest stays.
 4. Each line and its earliest neighbour are compared word by word, and texts are cut.
 
 What grows with the corpus is grouped and joined, never broadcast or gathered. Where many lines have
-the same neighbour, that one is dealt to SALTS parts of the comparison.
+the same neighbour, copies of it are dealt to parts of them.
 
 Edge cases: null and empty texts have no lines; lines without a word are left as they are; a null
 doc_id is never cut and cuts nothing; repeated rows are cut alike and never by each other (doc_id is
@@ -30,11 +30,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadaster.llm.shared import by_merge, forget, saved
+from cadaster.llm.shared import by_merge, forget, saved, split_join
 from cadaster.llm.text import LOWER, SPACED, Runs, digest as digest_of, mix, spans, word_hashes
 
 MIN_WORDS = 5
-SALTS = 16
 
 #: Lengths that lines are taken for when their thirds are compared: the largest of these up to their own.
 LENGTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 18, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 128, 160, 192, 256, 384, 512])
@@ -188,9 +187,8 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     by_length = by_merge(rows, shorter, ["v", "v2"]).select("me", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("own")).alias("other"))
     pairs = saved(by_place.unionByName(by_length).where("other < me").groupBy("me").agg(F.min("other").alias("other")), "pairs")
     words = keys.where("at < 0").select(me.alias("me"), "words").dropDuplicates(["me"])
-    earlier = by_merge(words, pairs.select(F.col("other").alias("me")).distinct(), "me").select(F.col("me").alias("other"), F.col("words").alias("earlier"))
-    earlier = earlier.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = by_merge(by_merge(pairs, words, "me").withColumn("salt", F.pmod(F.hash("me"), F.lit(SALTS))), earlier, ["other", "salt"])
+    earlier = words.select(F.col("me").alias("other"), F.col("words").alias("earlier"))
+    both = by_merge(split_join(pairs, earlier, "other", "me"), words, "me")
 
     def verify(batches):
         import pyarrow as pa

@@ -80,6 +80,18 @@ def by_merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataF
     return left.join(right.hint("merge"), on, how)
 
 
+#: Rows of one key that meet one copy of its row in split_join().
+PER_COPY = 2_000
+
+
+def split_join(many: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
+    """many, a saved table, joined with the one row of each key: a key with many rows is dealt, by `spread`, to as many copies of its row as it needs."""
+    parts = many.groupBy(key).agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("__parts"))
+    dealt = by_merge(many, parts, key).withColumn("__part", F.pmod(F.hash(spread), F.col("__parts"))).drop("__parts")
+    copies = by_merge(one, parts, key).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return by_merge(dealt, copies, [key, "__part"]).drop("__part")
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of doc_id as text, modulo folds, is fold; a null doc_id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

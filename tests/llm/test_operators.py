@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadaster.llm import chat_format, decontaminate, jaccard_join, line_crf, line_dedup, packing, quality_bt, queries, substring_dedup, text, toxicity_ftrl, url_filter
+from cadaster.llm import chat_format, decontaminate, jaccard_join, line_crf, line_dedup, packing, quality_bt, queries, shared, substring_dedup, text, toxicity_ftrl, url_filter
 from cadaster.llm.shared import held_out, saved
 from tests.llm import plain
 
@@ -141,6 +141,15 @@ def test_blocks_lose_no_repeat(spark):
         assert {h for hs in found.values() for h in hs} >= {h for h, n in every.items() if n > 1} and set(found) >= {i for i, _ in rows if i % 7 == 0}
 
 
+def test_split_join(spark, monkeypatch):
+    """A hot key's rows meet copies of its row; the result is a plain join's."""
+    monkeypatch.setattr(shared, "PER_COPY", 3)
+    many = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(40)], "a long, b long")
+    one = spark.createDataFrame([(i, f"v{i}") for i in range(60)], "b long, v string")
+    got = Counter((r.a, r.b, r.v) for r in shared.split_join(many, one, "b", "a").collect())
+    assert got == Counter((r.a, r.b, r.v) for r in many.join(one, "b").collect()) and max(got.values()) == 1
+
+
 @pytest.mark.parametrize("least", [2, 3, 5, 8])
 def test_edited_lines_meet(least):
     """Lines one edit apart share a pair of thirds, whatever their length."""
