@@ -78,7 +78,7 @@ def w1_time_gap_dedup(spark, sf_dir):
 
 def a3_mad_outliers(spark, sf_dir):
     return _rows(spark, sf_dir).where("z IS NOT NULL").groupBy("subject_id").agg(
-        F.count_if(F.col("reason") == "price_outlier_low").alias("low"), F.count_if(F.col("reason") == "price_outlier_high").alias("high"), F.round(F.sum("z"), 1).alias("z"))
+        F.count_if(F.col("reason") == "price_outlier_low").alias("low"), F.count_if(F.col("reason") == "price_outlier_high").alias("high"), F.round(F.sum("z"), 3).alias("z"))
 
 
 def w2_ranking(spark, sf_dir):
@@ -91,7 +91,7 @@ def w3_top_ten(spark, sf_dir):
 
 def c1_similarity(spark, sf_dir):
     rows = c.candidates(subjects(spark, sf_dir), transactions(spark, sf_dir)).withColumn("score", c.similarity())
-    return rows.groupBy("subject_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 1).alias("total"), F.max("score").alias("best"), F.min("score").alias("least"))
+    return rows.groupBy("subject_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("total"), F.max("score").alias("best"), F.min("score").alias("least"))
 
 
 def c2_price_premium(spark, sf_dir):
@@ -207,10 +207,10 @@ SQL = {
     "f19_gap_and_decay": """WITH g AS (SELECT CASE WHEN l_quantity > 10 THEN abs(l_linenumber * 5.0 - (l_quantity - 10)) / (l_quantity - 10) END AS g FROM lineitem)
       SELECT round(g, 6) AS gap, round(exp(-g / 0.14), 6) AS decay, count(*) AS n FROM g GROUP BY 1, 2""",
     "w1_time_gap_dedup": f"WITH RECURSIVE {_FOLD} SELECT subject_id, address, count(*) FILTER (duplicate) AS duplicates, count(*) FILTER (NOT duplicate) AS kept FROM flag GROUP BY 1, 2",
-    "a3_mad_outliers": f"WITH RECURSIVE {_COMPARE} SELECT subject_id, count(*) FILTER (reason = 'price_outlier_low') AS low, count(*) FILTER (reason = 'price_outlier_high') AS high, round(sum(z), 1) AS z FROM done WHERE z IS NOT NULL GROUP BY 1",
+    "a3_mad_outliers": f"WITH RECURSIVE {_COMPARE} SELECT subject_id, count(*) FILTER (reason = 'price_outlier_low') AS low, count(*) FILTER (reason = 'price_outlier_high') AS high, round(sum(z), 3) AS z FROM done WHERE z IS NOT NULL GROUP BY 1",
     "w2_ranking": f"WITH RECURSIVE {_COMPARE} SELECT subject_id, max(place)::INT AS places, (max(place) FILTER (reason IS NULL))::INT AS last_retained, max(score) FILTER (place = 1) AS best_score FROM placed GROUP BY 1",
     "w3_top_ten": f"WITH RECURSIVE {_COMPARE} SELECT subject_id, place::INT AS place, score, address, price_per_sqm_eur, distance_m FROM placed WHERE place <= 10",
-    "c1_similarity": f"WITH {_TABLES}, s AS (SELECT *, {_SCORE} AS score FROM cand) SELECT subject_id, count(*) AS n, round(sum(score), 1) AS total, max(score) AS best, min(score) AS least FROM s GROUP BY 1",
+    "c1_similarity": f"WITH {_TABLES}, s AS (SELECT *, {_SCORE} AS score FROM cand) SELECT subject_id, count(*) AS n, round(sum(score), 2) AS total, max(score) AS best, min(score) AS least FROM s GROUP BY 1",
     "c2_price_premium": """WITH r AS (SELECT o_totalprice / 150000 AS r FROM orders)
       SELECT CASE WHEN r >= 1.2 THEN 15 WHEN r >= 1.1 THEN 10 WHEN r >= 1.0 THEN 5 ELSE 0 END AS bonus,
         CASE WHEN r <= 0.5 THEN -18 WHEN r <= 0.6 THEN -12 WHEN r <= 0.7 THEN -8 WHEN r <= 0.8 THEN -4 ELSE 0 END AS penalty, count(*) AS n FROM r GROUP BY 1, 2""",
