@@ -208,6 +208,17 @@ SQL = {
         UNION ALL SELECT r.l_orderkey, r.rn, r.row, CASE WHEN f.used + ceil(length(r.row) / 4) > 30 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.used + ceil(length(r.row) / 4) > 30 THEN 7 + ceil(length(r.row) / 4) ELSE f.used + ceil(length(r.row) / 4) + 1 END FROM f JOIN r ON r.l_orderkey = f.l_orderkey AND r.rn = f.rn + 1),
       t AS (SELECT l_orderkey, chunk, any_value(head) || chr(10) || string_agg(row, chr(10) ORDER BY rn) AS text FROM f JOIN w USING (l_orderkey) GROUP BY ALL UNION ALL SELECT l_orderkey, 0, text FROM w WHERE NOT cut)
       SELECT 't' || l_orderkey || '_c_' || lpad(chunk::VARCHAR, 3, '0') AS chunk_id, l_orderkey AS document_id, sha256(text) AS sha FROM t WHERE length(text) >= 50 AND length(regexp_replace(text, '[#*_\\-|\\s]', '', 'g')) >= 10""",
+    "w9_prose_children": f"""WITH RECURSIVE {_CHUNKS},
+      pa AS (SELECT document_id || '_' || lpad(idx::VARCHAR, 4, '0') AS parent_id, [x for x in flatten([CASE WHEN ceil(length(x) / 4) > {c.LONG_PIECE} THEN string_split(replace(x, ' ', ' ' || chr(1)), chr(1)) ELSE [x] END for x in string_split(regexp_replace(text, '(\\n|[.!?] )', '\\1' || chr(1), 'g'), chr(1))]) if x <> ''] AS pieces FROM ch),
+      si AS (SELECT parent_id, [ceil(length(x) / 4)::INT for x in pieces] AS sizes FROM pa),
+      st AS (SELECT parent_id, sizes, 1 AS i, 1 AS first, []::INT[][] AS runs FROM si
+        UNION ALL SELECT parent_id, sizes, i + 1, CASE WHEN overfull THEN again ELSE first END, CASE WHEN overfull THEN list_append(runs, [first, i - 1]) ELSE runs END
+        FROM (SELECT *, i > first AND coalesce(list_sum(sizes[first : i - 1]), 0) + sizes[i] > 60 AS overfull,
+          [j for j in range(least(first + 1, i), i + 1) if coalesce(list_sum(sizes[j : i - 1]), 0) <= 15 AND (coalesce(list_sum(sizes[j : i - 1]), 0) + sizes[i] <= 60 OR j = i)][1] AS again FROM st WHERE i <= len(sizes))),
+      en AS (SELECT parent_id, unnest(list_append(runs, [first, i - 1])) AS run, unnest(range(len(runs) + 1)) AS k FROM st WHERE i = len(sizes) + 1 AND i > first),
+      tx AS (SELECT parent_id, k, trim(array_to_string(pieces[run[1] : run[2]], ''), ' ' || chr(10) || chr(13) || chr(9)) AS text FROM en JOIN pa USING (parent_id))
+      SELECT parent_id || '_c_' || lpad(k::VARCHAR, 3, '0') AS chunk_id, parent_id, length(text)::INT AS chars, sha256(text) AS sha FROM tx
+      WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 50 AND length(regexp_replace(text, '[#*_\\-|\\s]', '', 'g')) >= 10 AND NOT regexp_matches(text, '(?i)^(?:#{{1,6}}\\s*)?[\\s*_#\\-|]*$|^Tous droits de reproduction|^Page \\d+')""",
     "w10_keyword_ranking": f"WITH {_RANKED} SELECT document_id, index, hits::INT AS hits, row_number() OVER (PARTITION BY document_id ORDER BY hits DESC, index)::INT AS place FROM hits WHERE hits > 0",
     "w11_neighbours": f"""WITH {_RANKED}, n AS (SELECT *, max((hits >= 2)::INT) OVER (PARTITION BY document_id ORDER BY index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM hits),
       k AS (SELECT *, min(page) OVER (PARTITION BY document_id) AS first FROM n WHERE near > 0 AND length(text) >= 50) SELECT document_id, count(*) AS n, sum(index)::BIGINT AS total FROM k WHERE page IS NULL OR page <= first + 2 GROUP BY 1""",
