@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,25 +47,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
-    if _passing:
-        _passing[-1].append(out)
+    if (scope := _scope.get()) is not None:
+        scope.append(out)
     return out
 
 
-_passing: list[list[DataFrame]] = []
+#: Tables saved in the innermost passing() of this thread.
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
 def passing(keep: list[DataFrame]) -> Iterator[None]:
     """Tables saved inside are deleted at the end, but for those in `keep` by then, which the result is read from."""
-    _passing.append([])
+    outer, made = _scope.get(), []
+    token = _scope.set(made)
     try:
         yield
     finally:
-        made, kept = _passing.pop(), {t.saved_at for t in keep}
+        _scope.reset(token)
+        kept = {t.saved_at for t in keep}
         forget(*(t for t in made if t.saved_at not in kept))
-        if _passing:
-            _passing[-1].extend(t for t in made if t.saved_at in kept)
+        if outer is not None:
+            outer.extend(t for t in made if t.saved_at in kept)
 
 
 def forget(*tables: DataFrame) -> None:

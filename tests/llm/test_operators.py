@@ -141,6 +141,24 @@ def test_blocks_lose_no_repeat(spark):
         assert {h for hs in found.values() for h in hs} >= {h for h, n in every.items() if n > 1} and set(found) >= {i for i, _ in rows if i % 7 == 0}
 
 
+def test_passing_tables_go(spark):
+    """Saved tables that a result is not read from are deleted, at every depth; kept ones pass to the scope around."""
+    import os
+
+    there = lambda t: os.path.exists(t.saved_at.removeprefix("file:"))
+    keep, inner_keep = [], []
+    with shared.passing(keep):
+        a = saved(spark.range(2), "a")
+        with shared.passing(inner_keep):
+            b, c = saved(spark.range(3), "b"), saved(spark.range(4), "c")
+            inner_keep.append(c)
+        assert there(a) and not there(b) and there(c)
+        keep.append(a)
+    assert there(a) and not there(c) and a.count() == 2
+    before = saved(jaccard_join.link(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")), "result")
+    assert sorted(r.component_id for r in before.collect()) == [1, 1, 3]
+
+
 def test_split_join(spark, monkeypatch):
     """A hot key's rows meet copies of its row; the result is a plain join's."""
     monkeypatch.setattr(shared, "PER_COPY", 3)
