@@ -17,11 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from cadaster.llm.labelled import sample
 from cadaster.llm.shared import map_texts
-from cadaster.llm.text import ALNUM, LOWER, mix, spans, window_hashes, word_hashes
+from cadaster.llm.text import ALNUM, LOWER, mix, spans, word_hashes
 
 #: Bounds of the sample: rows of each label, and features that the learning task holds of them, in an order by hash.
 MOST, MOST_FEATURES = {0: 6_000, 1: 5_000}, 60_000_000
@@ -37,12 +36,13 @@ def buckets(raw: bytes | None) -> np.ndarray:
     if not raw:
         return np.empty(0, dtype=np.int64)
     words = word_hashes(*spans(raw.translate(LOWER), ALNUM))
-    grams = [words, window_hashes(words, 2)]
-    for gap in (2, 3):
+    grams = [words]
+    for gap in (1, 2, 3):
         if len(words) > gap:
             grams.append(mix(words[:-gap] * np.uint64(0x9E3779B97F4A7C15 + 2 * gap) + words[gap:]))
     half = np.uint64(65 - BITS)
-    return np.concatenate((grams[0] >> half, (np.concatenate(grams[1:]) >> half) + np.uint64(1 << BITS - 1))).astype(np.int64)
+    pairs = np.concatenate(grams[1:]) if len(grams) > 1 else np.empty(0, dtype=np.uint64)
+    return np.concatenate((words >> half, (pairs >> half) + np.uint64(1 << BITS - 1))).astype(np.int64)
 
 
 def values(at: np.ndarray) -> np.ndarray:
