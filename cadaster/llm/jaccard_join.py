@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadaster.llm.components import between, unite
-from cadaster.llm.shared import by_merge, map_texts, passing, saved, split_join
-from cadaster.llm.text import digest, mix, shingles
+from cadaster.llm.shared import by_merge, passing, saved, split_join
+from cadaster.llm.text import digest, mix, shingles, together
 
 WORDS, THRESHOLD = 5, Fraction(80, 100)
 #: One in so many shingles is counted in the first pass over all documents.
@@ -105,15 +105,20 @@ def parity(tokens: np.ndarray) -> list[int]:
 
 
 def _digests(docs: DataFrame, words: int) -> DataFrame:
-    def per_text():
-        def one(raw):
-            s = shingles(raw, words)
-            own = digest(s.tobytes())
-            return len(s), *(int.from_bytes(x, "little", signed=True) for x in (own[:8], own[8:]))
+    """doc_id, n, d1, d2: size and digest of every document's set."""
+    import pyarrow as pa
 
-        return one
+    def run(batches):
+        for b in batches:
+            raws = b.column(1).to_pylist()
+            for start, end in together(raws):
+                at, tokens = shingles(raws[start:end], words)
+                own = b"".join([digest(tokens[i:j].tobytes()) if j > i else bytes(16) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+                d = np.frombuffer(own, dtype="<i8").reshape(-1, 2)
+                columns = [b.column(0).slice(start, end - start), pa.array(np.diff(at).astype(np.int32)), *(pa.array(np.ascontiguousarray(d[:, i])) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2"])
 
-    return map_texts(docs, ["doc_id"], "n int, d1 bigint, d2 bigint", per_text)
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n int, d1 long, d2 long")
 
 
 def _lonely(tokens: DataFrame) -> DataFrame:
@@ -127,34 +132,31 @@ def _some_tokens(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                found = [s[s % np.uint64(SAMPLED) == 0] for s in (shingles(x, words) for x in part.column(1).to_pylist())]
-                docs_ = np.repeat(part.column(0).to_numpy(), [len(s) for s in found])
-                yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "token"])
+            docs_, raws = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for start, end in together(raws):
+                at, tokens = shingles(raws[start:end], words)
+                some = tokens % np.uint64(SAMPLED) == 0
+                own = np.repeat(docs_[start:end], np.diff(at))[some]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(tokens[some].view(np.int64))], names=["doc_id", "token"])
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, token long")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, tokens, sketch of the documents."""
+    """id, n, tokens, sketch of the documents that have shingles."""
     import pyarrow as pa
 
-    schema = "id long, n int, tokens array<bigint>, sketch array<bigint>"
-    types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, out = b.slice(at, 256), []
-                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    s = shingles(raw, words)
-                    if len(s):
-                        out.append((doc, len(s), s.view(np.int64), parity(s)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["id", "n", "tokens", "sketch"])
-
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)
+            raws = b.column(1).to_pylist()
+            for start, end in together(raws):
+                at, tokens = shingles(raws[start:end], words)
+                sketches = [parity(tokens[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))
+                columns = [b.column(0).slice(start, end - start), pa.array(np.diff(at).astype(np.int32)), lists, pa.array(sketches, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "tokens", "sketch"])
+
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "id long, n int, tokens array<bigint>, sketch array<bigint>").where("n > 0")
 
 
 def _index(sets: DataFrame, t: Fraction) -> DataFrame:

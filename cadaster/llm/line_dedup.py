@@ -125,32 +125,30 @@ def _neighbourhoods(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """v, v2, at, doc_id, line, words: of each candidate line (doc_id, lines), itself (at = -1, with its words) and its one-word deletions."""
     import pyarrow as pa
 
-    def keys(runs, start, end):
-        return np.append(runs.without_one(start, end), runs.between(np.array([start]), np.array([end])))
-
     def run(batches):
         for b in batches:
-            out, numbers_of = [], b.column(2).to_pylist()
+            given = b.column(2).to_pylist()
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                wanted = dict(zip(part.column(0).to_pylist(), numbers_of[at : at + 512], strict=True))
+                wanted = dict(zip(part.column(0).to_pylist(), given[at : at + 512], strict=True))
                 for docs_, raw, first in together(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     numbers, start, end, words = lines_of(raw)
-                    runs, checks, lines = Runs(words), Runs(words, "check"), raw.split(b"\n")
-                    for doc, above in zip(docs_.tolist(), first.tolist(), strict=True):
-                        given = np.array(wanted[doc], dtype=np.int64)
-                        for i in np.searchsorted(numbers, given + above).tolist():
-                            if i == len(numbers) or numbers[i] - above not in given:
-                                continue  # another text of the same doc_id
-                            a, e = int(start[i]), int(end[i])
-                            n, line = e - a, np.int32(numbers[i] - above)
-                            v2 = (keys(checks, a, e) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                            place = np.append(np.arange(n, dtype=np.int32), np.int32(-1))
-                            own = [None] * n + [_plain(lines[numbers[i]]).decode("utf-8", "replace")]
-                            out.append((keys(runs, a, e).view(np.int64), v2, place, np.full(n + 1, doc), np.full(n + 1, line), own))
-            if out:
-                *columns, words = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns), pa.array([w for ws in words for w in ws], pa.string())], names=["v", "v2", "at", "doc_id", "line", "words"])
+                    # the wanted lines' numbers in the texts together; another text of the same doc_id may lack one
+                    asked = np.array([above + i for doc, above in zip(docs_.tolist(), first.tolist(), strict=True) for i in wanted[doc]], dtype=np.int64)
+                    at_ = np.flatnonzero(np.isin(numbers, asked))
+                    if not len(at_):
+                        continue
+                    numbers, start, end, lines = numbers[at_], start[at_], end[at_], raw.split(b"\n")
+                    own = np.searchsorted(first, numbers, side="right") - 1
+                    n = end - start
+                    of = np.repeat(np.arange(len(n)), n)
+                    place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                    v, v2 = (np.concatenate((r.without(start[of] + place, start[of], end[of]), r.between(start, end))) for r in (Runs(words), Runs(words, "check")))
+                    of, place = np.append(of, np.arange(len(n))), np.append(place, np.full(len(n), -1)).astype(np.int32)
+                    plain = pa.array([_plain(lines[i]).decode("utf-8", "replace") for i in numbers.tolist()], pa.string())
+                    columns = [v.view(np.int64), (v2 >> np.uint64(32)).astype(np.uint32).view(np.int32), place, docs_[own[of]], (numbers - first[own])[of].astype(np.int32)]
+                    spelt = pa.concat_arrays([pa.nulls(len(of) - len(n), pa.string()), plain])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), spelt], names=["v", "v2", "at", "doc_id", "line", "words"])
 
     rows = by_merge(docs.select("doc_id", "text"), candidates, "doc_id").select("doc_id", "text", "lines")
     return rows.mapInArrow(run, "v long, v2 int, at int, doc_id long, line int, words string")

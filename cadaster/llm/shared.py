@@ -85,14 +85,15 @@ def by_merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataF
 
 
 #: Rows of one key that meet one copy of its row in split_join().
-PER_COPY = 2_000
+PER_COPY = 64
 
 
 def split_join(many: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
     """many, a saved table, joined with the one row of each key: a key with many rows is dealt, by `spread`, to as many copies of its row as it needs."""
-    parts = many.groupBy(key).agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("__parts"))
-    dealt = by_merge(many, parts, key).withColumn("__part", F.pmod(F.hash(spread), F.col("__parts"))).drop("__parts")
-    copies = by_merge(one, parts, key).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    hot = many.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > PER_COPY).select(key, F.ceil(F.col("__n") / PER_COPY).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = many.join(hot, key, "left").withColumn("__part", F.pmod(F.hash(spread), parts)).drop("__parts")
+    copies = one.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return by_merge(dealt, copies, [key, "__part"]).drop("__part")
 
 

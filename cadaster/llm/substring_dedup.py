@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadaster.llm.shared import by_merge, forget, saved
-from cadaster.llm.text import SPACED, Runs, digest as digest_of, mix, spans, window_hashes, word_hashes
+from cadaster.llm.text import Joined, digest as digest_of, distinct, mix, together
 
 WINDOW, ANCHOR = 50, 12
 ROWS = 2
@@ -42,13 +42,15 @@ BLOCK_ANCHORS = 1 << 13
 GATHERED, TOGETHER = 1_000_000, 1 << 16
 
 
-def anchors(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the anchor runs, for each window the place of its anchor)."""
-    if len(words) < window:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    runs = window_hashes(words, anchor)
+def anchors(joined: Joined, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where windows start, for each the place of its anchor, hashes of the runs of `anchor` words)."""
+    at = joined.windows(window)
+    if not len(at):
+        return at, at, np.empty(0, dtype=np.uint64)
+    starts = np.arange(len(joined.starts) - anchor + 1)
+    runs = joined.runs.between(starts, starts + anchor)
     wide = np.lib.stride_tricks.sliding_window_view(runs, window - anchor + 1)
-    return runs, wide.argmin(axis=1) + np.arange(len(wide))
+    return at, wide.argmin(axis=1)[at] + at, runs
 
 
 def counters(hashes: np.ndarray, row: int) -> np.ndarray:
@@ -60,11 +62,10 @@ def anchors_by_block(docs: DataFrame, blocks: int, window: int = WINDOW, anchor:
     """block, docs, hashes: each document's distinct anchors, those of a block together as far as a partition holds them."""
     import pyarrow as pa
 
-    def rows(docs_, found):
-        hashes = np.concatenate(found)
+    def rows(docs_, hashes):
         block = (mix(hashes) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
-        hashes, block, docs_ = hashes[order], block[order], np.repeat(docs_, [len(f) for f in found])[order]
+        hashes, block, docs_ = hashes[order], block[order], docs_[order]
         # a block's run is cut where it is long, so that no row is large
         edge = np.flatnonzero(np.diff(block, prepend=-1))
         start = np.concatenate([np.arange(a, b, TOGETHER) for a, b in zip(edge, np.append(edge[1:], len(block)), strict=True)])
@@ -75,17 +76,20 @@ def anchors_by_block(docs: DataFrame, blocks: int, window: int = WINDOW, anchor:
     def run(batches):
         docs_, found, held = [], [], 0
         for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                runs, places = anchors(word_hashes(*spans(raw or b"", SPACED)), window, anchor)
-                if len(places):
-                    docs_.append(doc)
-                    found.append(np.unique(runs[np.unique(places)]))
-                    held += len(found[-1])
+            ids, raws = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for start, end in together(raws):
+                joined = Joined(raws[start:end])
+                _, places, runs = anchors(joined, window, anchor)
+                used = np.unique(places)
+                begin, hashes = distinct(joined.of[used], runs[used], end - start)
+                docs_.append(np.repeat(ids[start:end], np.diff(begin)))
+                found.append(hashes)
+                held += len(hashes)
             if held > GATHERED:
-                yield rows(docs_, found)
+                yield rows(np.concatenate(docs_), np.concatenate(found))
                 docs_, found, held = [], [], 0
-        if found:
-            yield rows(docs_, found)
+        if held:
+            yield rows(np.concatenate(docs_), np.concatenate(found))
 
     return docs.select("doc_id", "text").mapInArrow(run, "block long, docs array<bigint>, hashes array<bigint>")
 
@@ -142,27 +146,27 @@ def repeated_windows(docs: DataFrame, estimated: DataFrame, window: int = WINDOW
     """doc_id, at, key, check of each window whose anchor is estimated repeated; key and check are its digest."""
     import pyarrow as pa
 
-    def of(raw: bytes, estimated: np.ndarray):
-        words = spans(raw, SPACED)
-        runs, places = anchors(word_hashes(*words), window, anchor)
-        if not len(places):
-            return None
-        used, back = np.unique(places, return_inverse=True)
-        found = np.flatnonzero(np.isin(runs[used].view(np.int64), estimated)[back])
-        joined = b" ".join(raw.split())
-        ends = np.cumsum(words[2] - words[1] + 1)  # each word and a space
-        starts = ends - (words[2] - words[1] + 1)
-        keys = b"".join([digest_of(joined[a:b], 12) for a, b in zip(starts[found].tolist(), (ends[found + window - 1] - 1).tolist(), strict=True)])
-        return found.astype(np.int32), np.frombuffer(keys, dtype=np.dtype([("key", "<i8"), ("check", "<i4")]))
-
     def run(batches):
         for b in batches:
-            for doc, raw, estimated in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                found = of(raw.as_py() or b"", estimated.values.to_numpy())
-                if found and len(found[0]):
-                    at, keys = found
-                    columns = np.full(len(at), doc), at, np.ascontiguousarray(keys["key"]), np.ascontiguousarray(keys["check"])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "at", "key", "check"])
+            ids, raws, lists = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2)
+            for start, end in together(raws):
+                joined = Joined(raws[start:end])
+                at, places, runs = anchors(joined, window, anchor)
+                used, back = np.unique(places, return_inverse=True)
+                # an anchor is estimated repeated wherever it is
+                known = np.isin(runs[used], lists.slice(start, end - start).flatten().to_numpy().view(np.uint64))
+                found = at[known[back]]
+                if not len(found):
+                    continue
+                # each word and a space: the words from one to another are a slice of these bytes
+                words = b" ".join(joined.raw.split())
+                ends = np.cumsum(joined.ends - joined.starts + 1)
+                begins = ends - (joined.ends - joined.starts + 1)
+                keys = b"".join([digest_of(words[i:j], 12) for i, j in zip(begins[found].tolist(), (ends[found + window - 1] - 1).tolist(), strict=True)])
+                keys = np.frombuffer(keys, dtype=np.dtype([("key", "<i8"), ("check", "<i4")]))
+                own = joined.of[found]
+                columns = ids[start:end][own], (found - joined.first[own]).astype(np.int32), np.ascontiguousarray(keys["key"]), np.ascontiguousarray(keys["check"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "at", "key", "check"])
 
     return by_merge(docs.select("doc_id", "text"), estimated, "doc_id").mapInArrow(run, "doc_id long, at int, key long, check int")
 

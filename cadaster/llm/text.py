@@ -11,6 +11,7 @@ them (`digest`).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -134,9 +135,8 @@ class Runs:
         """Hash of the words from start to before end."""
         return self._ended(_times(_less(self.total[end], self.total[start]), self.down[start]), end - start)
 
-    def without_one(self, start: int, end: int) -> np.ndarray:
-        """Hash of the words from start to before end without each one of them, as between() has it of the shorter run."""
-        at = np.arange(start, end)
+    def without(self, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words from start to before end without the one at `at`, as between() has it of the shorter run."""
         left = _times(_less(self.total[at], self.total[start]), self.down[start])
         right = _times(_less(self.total[end], self.total[at + 1]), self.down[start + 1])  # one place nearer
         return self._ended(_reduced(left + right), end - start - 1)
@@ -151,9 +151,57 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return Runs(words).between(at, at + k)
 
 
-def shingles(raw: bytes | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's k-word shingles, A-Z lower-cased; a shorter text's whole sequence is one."""
-    if not raw:
-        return np.empty(0, dtype=U)
-    words = word_hashes(*spans(raw.translate(LOWER), SPACED))
-    return np.unique(window_hashes(words, min(k, len(words))))
+#: Texts are hashed together up to so many bytes; a longer one by itself.
+TOGETHER = 1 << 18
+
+
+def together(raws: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are hashed together."""
+    start, size = 0, 0
+    for i, raw in enumerate(raws):
+        n = len(raw or b"") + 1
+        if i > start and size + n > TOGETHER:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(raws):
+        yield start, len(raws)
+
+
+class Joined:
+    """The words of several texts, hashed together: starts and ends of words, the first word of each text, the text of each word, runs."""
+
+    def __init__(self, raws: list[bytes | None], lower: bool = False) -> None:
+        texts = [raw or b"" for raw in raws]
+        self.raw = b"\n".join(texts)
+        if lower:
+            self.raw = self.raw.translate(LOWER)
+        a, self.starts, self.ends = spans(self.raw, SPACED)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.first = np.searchsorted(self.starts, begins)
+        self.of = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.runs = Runs(word_hashes(a, self.starts, self.ends))
+
+    def windows(self, k: int) -> np.ndarray:
+        """Where windows of k words of one text start."""
+        at = np.arange(max(0, len(self.starts) - k + 1))
+        return at[self.of[at] == self.of[at + k - 1]]
+
+
+def distinct(of: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where each of n owners' values begin, its sorted distinct values, one owner's after the other's)."""
+    order = np.lexsort((values, of))
+    of, values = of[order], values[order]
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (values[1:] != values[:-1])
+    return np.cumsum(np.append(0, np.bincount(of[new], minlength=n))), values[new]
+
+
+def shingles(raws: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where each text's shingles begin, sorted distinct hashes of its k-word shingles), A-Z lower-cased; a shorter text's whole sequence is one."""
+    joined = Joined(raws, lower=True)
+    at = joined.windows(k)
+    n = np.diff(joined.first)
+    short = np.flatnonzero((n > 0) & (n < k))
+    hashes = np.concatenate((joined.runs.between(at, at + k), joined.runs.between(joined.first[short], joined.first[short] + n[short])))
+    return distinct(np.concatenate((joined.of[at], short)), hashes, len(raws))

@@ -125,7 +125,8 @@ def test_word_and_run_hashes():
             alone = text.Runs(w[start:end], kind)
             assert runs.between(np.array([start]), np.array([end])) == alone.between(np.array([0]), np.array([end - start]))
             shorter = [text.Runs(np.delete(w[start:end], i), kind).between(np.array([0]), np.array([end - start - 1]))[0] for i in range(end - start)]
-            assert runs.without_one(start, end).tolist() == shorter
+            at = np.arange(start, end)
+            assert runs.without(at, np.full(len(at), start), np.full(len(at), end)).tolist() == shorter
 
 
 def test_blocks_lose_no_repeat(spark):
