@@ -138,4 +138,33 @@ def _substrings() -> str:
     FROM k LEFT JOIN kept USING (doc_id)"""
 
 
-ORACLES = {"op4_jaccard_join": _jaccard(), "op1_chat_format": _chat(), "op6_url_filter": _urls(), "op7_decontaminate": _decontaminate(), "op9_line_dedup": _lines(), "op10_substring_dedup": _substrings()}
+def _suffixes() -> str:
+    return """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    w AS (SELECT doc_id, unnest(range(0, greatest(len(x) // 2 - 199, 0))) AS pos, unnest([hash(substr(x, 2 * i + 1, 400)) for i in range(0, greatest(len(x) // 2 - 199, 0))]) AS win FROM d),
+    h AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY win) AS times FROM w) WHERE times > 1),
+    g AS (SELECT doc_id, pos, coalesce(pos > 200 + lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), true)::INT AS new FROM h),
+    n AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM g),
+    s AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 200 AS b FROM n GROUP BY doc_id, span),
+    p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+    k AS (SELECT doc_id, string_agg(substr(x, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS head, max(b) AS last, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans
+          FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(head, '') || substr(x, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def _negatives() -> str:
+    return """
+    WITH r AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+          FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5"""
+
+
+ORACLES = {"op4_jaccard_join": _jaccard(), "op1_chat_format": _chat(), "op6_url_filter": _urls(), "op7_decontaminate": _decontaminate(), "op9_line_dedup": _lines(), "op10_substring_dedup": _substrings(), "op12_suffix_dedup": _suffixes(), "op13_hard_negatives": _negatives()}

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaster.llm import chat_format, decontaminate, jaccard_join, line_crf, line_dedup, packing, quality_bt, substring_dedup, toxicity_ftrl, url_filter
+from cadaster.llm import chat_format, decontaminate, hard_negatives, jaccard_join, line_crf, line_dedup, packing, quality_bt, substring_dedup, suffix_dedup, toxicity_ftrl, url_filter, whitening
 from cadaster.llm.oracles import ORACLES
 from cadaster.llm.shared import held_out, small_batches
 
@@ -84,7 +84,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_bt, op3_line_crf, op4_jaccard_join, op5_toxicity_ftrl, op6_url_filter, op7_decontaminate, op8_best_fit_packing, op9_line_dedup, op10_substring_dedup)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's first components, whitened."""
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document's bytes."""
+    return suffix_dedup.digest(suffix_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, against all; a seventh of the labels moved to the next."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_bt, op3_line_crf, op4_jaccard_join, op5_toxicity_ftrl, op6_url_filter, op7_decontaminate, op8_best_fit_packing, op9_line_dedup, op10_substring_dedup, op11_whitening, op12_suffix_dedup, op13_hard_negatives)}
 
 
 def queries() -> dict:

@@ -31,8 +31,8 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back.
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder, with a directory for each value of `by`, and reads it back.
 
     This cuts lineage in a way that survives lost executors. The write's shuffle files are
     dropped when it ends, as the table replaces them.
@@ -42,7 +42,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
