@@ -35,9 +35,16 @@ def signed_amount(text: Column) -> Column:
     return F.when(F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")")), -n).otherwise(n)
 
 
+def statement_amount(text: Column) -> Column:
+    """The number that a cell of a statement is: groups of digits, one decimal mark, in brackets if negative; null for all else, an amount with its currency too."""
+    t = F.trim(F.regexp_replace(text, f"{SPACES}+", " "))
+    n = F.translate(F.translate(t, "() ", ""), ",", ".").try_cast("double")
+    return F.when(F.rlike(t, F.lit(r"^\(?-?\d[\d ]*([.,]\d+)?\)?$")), F.when(F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")")), -n).otherwise(n))
+
+
 def priced(text: Column) -> Column:
     """A price in a text: the later of comma and point is the decimal mark; one alone is, if two digits at most follow."""
-    t = F.regexp_replace(F.regexp_extract(text, r"\d[\d\s.,]*", 0), r"[^\d.,]", "")
+    t = F.regexp_replace(F.regexp_extract(text, r"\d[\d\s\u00a0\u202f.,]*", 0), r"[^\d.,]", "")
     both = F.contains(t, F.lit(",")) & F.contains(t, F.lit("."))
     comma_last = F.rlike(t, F.lit(r",[^.]*$"))
     one = lambda mark: F.rlike(t, F.lit(rf"^[^{mark}]*[{mark}]\d{{0,2}}$"))

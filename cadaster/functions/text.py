@@ -19,9 +19,9 @@ ARCHIVE_NAMES = ["old", "archive", "archives"]
 
 @cache
 def _latin(form: str) -> tuple[str, str]:
-    """Letters with marks, and the letters without them, for translate(); built from the Unicode database."""
+    """Letters with marks, and the letters without them, for translate(); built from the Unicode database. By NFKD no-break and wide blanks are blanks."""
     pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), 0x3000):
         bare = "".join(c for c in unicodedata.normalize(form, chr(code)) if unicodedata.category(c) != "Mn")
         if len(bare) == 1 and bare != chr(code):
             pairs.append((chr(code), bare))
@@ -38,6 +38,11 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.withColumn(name, F.explode(F.array(value)))
 
 
+def strip(text: Column) -> Column:
+    """Without blanks of any kind at the ends, no-break ones too."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def without_marks(text: Column) -> Column:
     """Letters without their accents; other letters stay."""
     return F.regexp_replace(F.translate(text, *_latin("NFD")), r"\p{Mn}+", "")
@@ -50,7 +55,8 @@ def to_ascii(text: Column) -> Column:
 
 def canonical_name(text: Column) -> Column:
     """A folder, file or key name for comparison: no case, accents, numbering or separators."""
-    t = without_marks(F.lower(F.trim(text)))
+    # no-break blanks are blanks
+    t = without_marks(F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " "))))
     t = F.translate(t, "_-", "  ")
     t = F.regexp_replace(t, r"^\s*(?:\d+|x)\s*[.)](?!\d)\s*", "")
     t = F.regexp_replace(t, r"\s+\d+\s*$", "")
@@ -59,7 +65,7 @@ def canonical_name(text: Column) -> Column:
 
 def canonical_pattern(text: Column) -> Column:
     """As canonical_name, `*` being kept without spaces around it."""
-    marked = F.replace(F.lower(F.trim(text)), F.lit("*"), F.lit("wildcardtoken"))
+    marked = F.replace(F.lower(strip(text)), F.lit("*"), F.lit("wildcardtoken"))
     return F.trim(F.regexp_replace(F.replace(canonical_name(marked), F.lit("wildcardtoken"), F.lit("*")), r"\s*\*\s*", "*"))
 
 

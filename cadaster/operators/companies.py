@@ -22,20 +22,45 @@ def letters(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), "[^a-z]", "")
 
 
+def _name_parts(*names: Column) -> Column:
+    """Each name's letters, and those of each of its words."""
+    return F.flatten(F.array(*(F.concat(F.array(letters(n)), F.transform(F.split(text.strip(F.coalesce(n, F.lit(""))), r"(?U)[\s,;/()-]+"), letters)) for n in names)))
+
+
+def _with(rows: DataFrame, **kinds: str) -> DataFrame:
+    """rows with columns that they may lack, as nulls."""
+    return rows.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in rows.columns})
+
+
+def distinct_directors(found: DataFrame, by: list[str]) -> DataFrame:
+    """The first, by ordinal, of the records of one director: same letters of the full name, same birth date (or month) and same set of companies.
+
+    found: nom_complet, date_de_naissance, date_de_naissance_rgpd, sirens (an array), ordinal, and what `by` names.
+    """
+    found = _with(found, nom_complet="string", date_de_naissance_rgpd="string", sirens="array<string>", ordinal="long")
+    sirens = F.filter(F.transform(F.coalesce("sirens", F.expr("cast(array() AS array<string>)")), lambda s: text.strip(F.coalesce(s, F.lit("")))), lambda s: s != "")
+    birth = F.coalesce(F.nullif("date_de_naissance", F.lit("")), F.nullif("date_de_naissance_rgpd", F.lit("")), F.lit(""))
+    same = F.sha2(F.concat_ws("|", letters(F.col("nom_complet")), birth, F.array_join(F.array_sort(F.array_distinct(sirens)), ",")).cast("binary"), 256)
+    whole = F.struct(*found.columns)
+    return found.groupBy(*by, same.alias("__signature")).agg(F.min_by(whole, F.struct(F.coalesce("ordinal", F.lit(1 << 62)), "director_id")).alias("x")).select("x.*")
+
+
 def match_people(people: DataFrame, found: DataFrame) -> DataFrame:
     """person_id, director_id, mode: which of the directors found for a person are that person.
 
-    people: person_id, nom, prenoms, date_naissance. found: person_id, director_id, nom, prenom,
-    date_de_naissance. Same names first, else everybody found; then the exact birth date with records
-    of the same month, else the month, else an only candidate, else nobody.
+    people: person_id, nom, prenoms, date_naissance. found: person_id, director_id, nom, prenom, date_de_naissance
+    and, where there are, prenom_usuel, nom_complet, date_de_naissance_rgpd (a month), sirens, ordinal. Records of one director
+    count once. Same names first, else everybody found; then the exact birth date with records of
+    the same month, else the month, else an only candidate, else nobody.
     """
     p = people.select("person_id", letters(F.col("nom")).alias("p_nom"), letters(labels.first_given_name(F.col("prenoms"))).alias("p_prenom"), numbers.birth(F.col("date_naissance")).alias("p_birth"))
-    rows = found.join(p, "person_id").withColumn("birth", numbers.birth(F.col("date_de_naissance")))
-    given = F.transform(F.split(F.coalesce("prenom", F.lit("")), r"[\s,;/()-]+"), letters)
-    named = (F.col("p_nom") != "") & (letters(F.col("nom")) == F.col("p_nom")) & ((F.col("p_prenom") == "") | F.array_contains(given, F.col("p_prenom")) | (letters(F.col("prenom")) == F.col("p_prenom")))
+    found = distinct_directors(_with(found, prenom_usuel="string"), ["person_id"])
+    rows = found.join(p, "person_id").withColumns({"birth": numbers.birth(F.col("date_de_naissance")), "by_month": numbers.birth(F.col("date_de_naissance_rgpd"))})
+    surname = letters(F.coalesce(F.nullif("nom", F.lit("")), "nom_complet"))
+    named = (F.col("p_nom") != "") & (surname == F.col("p_nom")) & ((F.col("p_prenom") == "") | F.array_contains(_name_parts(F.col("prenom"), F.col("prenom_usuel"), F.col("nom_complet")), F.col("p_prenom")))
     w = W.partitionBy("person_id")
     rows = rows.withColumn("named", named).withColumn("any_named", F.max(F.col("named").cast("int")).over(w)).where((F.col("any_named") == 0) | F.col("named"))
-    exact, month = F.coalesce(F.col("birth.day") == F.col("p_birth.day"), F.lit(False)), F.coalesce(F.col("birth.month") == F.col("p_birth.month"), F.lit(False))
+    exact, month = F.coalesce(F.col("birth.day") == F.col("p_birth.day"), F.lit(False)), F.coalesce(F.coalesce("birth.month", "by_month.month") == F.col("p_birth.month"), F.lit(False))
     rows = rows.withColumns({"exact": exact, "month": month}).withColumns({"n": F.count("*").over(w), "exacts": F.count_if("exact").over(w), "months": F.count_if("month").over(w)})
     mode = (
         F.when(F.col("exacts") > 0, F.when(F.col("exact") | F.col("month"), "date_de_naissance_plus_rgpd"))
@@ -53,10 +78,18 @@ def enrich(mandates: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def merge_companies(rows: DataFrame) -> DataFrame:
-    """One company per id, else per lower-case name: the first value of each column that is not empty."""
-    key = F.coalesce(F.nullif("siren", F.lit("")), F.lower(F.trim("nom")))
-    first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col("ordinal"))).alias(c)
-    return rows.withColumn("key", key).groupBy("key").agg(*(first(c) for c in ("nom", "statut", "capital", "role")), F.min("ordinal").alias("ordinal"))
+    """One company per id, else per lower-case name: key, the first value of each column that is not empty, the first ordinal.
+
+    rows: siren, nom, ordinal and any other columns. Empty are null, no text and empty lists; rows with neither id nor name go.
+    """
+    key = F.coalesce(F.nullif(text.strip(F.col("siren")), F.lit("")), F.nullif(F.lower(text.strip(F.col("nom"))), F.lit("")))
+    kinds = dict(rows.dtypes)
+
+    def first(c):
+        some = F.col(c) != "" if kinds[c] == "string" else F.size(c) > 0 if kinds[c].startswith(("array", "map")) else F.col(c).isNotNull()
+        return F.min_by(c, F.when(some, F.col("ordinal"))).alias(c)
+
+    return rows.withColumn("key", key).where("key IS NOT NULL").groupBy("key").agg(*(first(c) for c in rows.columns if c != "ordinal"), F.min("ordinal").alias("ordinal"))
 
 
 def _blocks(name: Column, starts: str, holds: str) -> Column:
@@ -97,32 +130,46 @@ def cascade(folders: DataFrame, pools: list[DataFrame]) -> DataFrame:
     return out.groupBy("project_id", "folder").agg(F.min_by(F.struct("siren", "score"), "match_tier").alias("x"), F.min("match_tier").alias("match_tier")).select("project_id", "folder", "x.*", "match_tier")
 
 
+def visits(roots: DataFrame, representatives: DataFrame, mandates: DataFrame, predecessors: DataFrame) -> DataFrame:
+    """root, siren, rank, src, label, dashed: the companies found around each root, each by the first visit only.
+
+    Representatives are gone through in order: one that is a company is visited (rank 1), of a person's companies
+    those that live, in order (rank 2); then the predecessors (rank 1). Who comes to a company that was visited draws no edge.
+    """
+    soc = lambda c: F.concat(F.lit("soc_"), c)
+    start = roots.select(F.col("siren").alias("root"), F.col("siren"))
+    visit = lambda siren, rank, src, label, dashed, order: F.struct(siren.alias("siren"), F.struct(*(x.cast("long") for x in order)).alias("order"), F.lit(rank).alias("rank"), src.alias("src"), label.alias("label"), F.lit(dashed).alias("dashed"))
+    reps = start.join(representatives.select("siren", "ordinal", "person_id", "company", "qualite"), "siren")
+    companies = reps.where("company IS NOT NULL").select("root", visit(F.col("company"), 1, soc(F.col("root")), F.coalesce("qualite", F.lit("Lié")), False, (F.col("ordinal"), F.lit(0))).alias("v"))
+    people = reps.where("person_id IS NOT NULL").groupBy("root", "person_id").agg(F.min("ordinal").alias("rep"))
+    theirs = people.join(mandates.where("NOT entreprise_cessee").select("person_id", F.col("ordinal").alias("at"), F.col("siren").alias("held"), "qualite"), "person_id")
+    held = theirs.select("root", visit(F.col("held"), 2, F.col("person_id"), F.coalesce("qualite", F.lit("Dirigeant")), False, (F.col("rep"), F.col("at"))).alias("v"))
+    before = start.join(predecessors, "siren").select("root", visit(F.col("predecessor"), 1, soc(F.col("root")), F.lit("Prédécesseur"), True, (F.lit(1 << 62), F.col("ordinal"))).alias("v"))
+    first = companies.unionByName(held).unionByName(before).where("v.siren <> root").groupBy("root", F.col("v.siren").alias("siren"))
+    return first.agg(F.min_by("v", F.struct("v.order", "v.src")).alias("v")).select("root", "siren", "v.order", "v.rank", "v.src", "v.label", "v.dashed")
+
+
 def network(roots: DataFrame, representatives: DataFrame, mandates: DataFrame, predecessors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: root, node, rank; edges: root, src, dst, label, dashed) around each root company.
 
-    Its representatives, their other living companies, its predecessors, and the representatives of
-    all those; a node's rank is its least number of hops. Four joins whatever the number of roots; a
-    joined row gives all its nodes or edges at once.
+    Its representatives, people and companies, the people's other living companies, its predecessors, and the people
+    who represent all those. A company's rank is that of the visit that found it; people of the root have rank 1, others one more
+    than the first company visited that they represent. representatives: siren, ordinal, person_id or company, qualite; mandates: person_id, ordinal, siren,
+    qualite, entreprise_cessee; predecessors: siren, ordinal, predecessor.
     """
     soc = lambda c: F.concat(F.lit("soc_"), c)
-    start = roots.select(F.col("siren").alias("root"), F.col("siren"))
-    reps = representatives.select("siren", "person_id", "qualite")
-    first = start.join(reps, "siren").select("root", "siren", "person_id", "qualite")
-    others = first.select("root", "person_id").distinct().join(mandates.where("NOT entreprise_cessee"), "person_id").where("siren <> root").select("root", "person_id", "siren", "qualite")
-    before = start.join(predecessors, "siren").where("predecessor <> root").select("root", F.col("predecessor").alias("siren"))
-    linked = others.select("root", "siren", F.lit(2).alias("rank")).unionByName(before.select("root", "siren", F.lit(1).alias("rank"))).groupBy("root", "siren").agg(F.min("rank").alias("rank"))
-    second = linked.join(reps, "siren", "left")
-    node = lambda name, rank: F.struct(name.alias("node"), rank.cast("int").alias("rank"))
-    several = lambda df, *nodes: df.select("root", F.inline(F.array(*nodes))).where("node IS NOT NULL")
-    roots_and_people = several(start.join(reps, "siren", "left"), node(soc(F.col("siren")), F.lit(0)), node(F.col("person_id"), F.lit(1)))
-    around = several(second, node(soc(F.col("siren")), F.col("rank")), node(F.col("person_id"), F.col("rank") + 1))
-    nodes = roots_and_people.unionByName(around).groupBy("root", "node").agg(F.min("rank").alias("rank"))
-    edge = lambda df, a, b, label, dashed=False: df.select("root", a.alias("src"), b.alias("dst"), label.alias("label"), F.lit(dashed).alias("dashed"))
-    edges = (
-        edge(first, soc(F.col("siren")), F.col("person_id"), F.col("qualite")).unionByName(edge(others, F.col("person_id"), soc(F.col("siren")), F.col("qualite")))
-        .unionByName(edge(before, soc(F.col("root")), soc(F.col("siren")), F.lit("Prédécesseur"), True)).unionByName(edge(second.where("person_id IS NOT NULL"), soc(F.col("siren")), F.col("person_id"), F.col("qualite"))).distinct()
-    )
-    return nodes, edges
+    root = roots.select(F.col("siren").alias("root"), "siren", F.lit(None).cast("struct<a: bigint, b: bigint>").alias("order"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("dashed"))
+    found = root.union(visits(roots, representatives, mandates, predecessors))
+    people = representatives.where("person_id IS NOT NULL").groupBy("siren").agg(F.collect_set(F.struct("person_id", F.coalesce("qualite", F.lit("Dirigeant")).alias("qualite"))).alias("people"))
+    around = found.join(people, "siren", "left").withColumn("people", F.coalesce("people", F.expr("cast(array() AS array<struct<person_id: string, qualite: string>>)")))
+    # the root itself comes before all visits
+    node = lambda name, rank: F.struct(name.alias("node"), rank.cast("int").alias("rank"), F.col("order").isNotNull().alias("later"), F.col("order").alias("at"))
+    several = around.select("root", F.inline(F.concat(F.array(node(soc(F.col("siren")), F.col("rank"))), F.transform("people", lambda p: node(p["person_id"], F.col("rank") + 1)))))
+    nodes = several.groupBy("root", "node").agg(F.min_by("rank", F.struct("later", "at")).alias("rank"))
+    edge = lambda a, b, label, dashed: F.struct(a.alias("src"), b.alias("dst"), label.alias("label"), dashed.alias("dashed"))
+    own = F.transform("people", lambda p: edge(soc(F.col("siren")), p["person_id"], p["qualite"], F.lit(False)))
+    came = F.filter(F.array(edge(F.col("src"), soc(F.col("siren")), F.col("label"), F.col("dashed"))), lambda e: e["src"].isNotNull())
+    return nodes, around.select("root", F.inline(F.concat(came, own)))
 
 
 def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,12 +190,16 @@ def distress_signal(publications: DataFrame) -> DataFrame:
     publications: siren, ordinal, contenu. Sentences are ranked by phrases found, the gravest phrase,
     a full stop, a length near 160, no address of a web site, not all capitals, and shortness.
     """
-    clean = F.regexp_replace(F.regexp_replace(F.trim("contenu"), r"[ \t\r\f\x0B]+", " "), r"\s*\n+\s*", "\n")
-    rows = publications.select("siren", "ordinal", F.posexplode(F.split(clean, r"(?<=[.!?;])\s+|\n+")).alias("pos", "sentence")).withColumn("sentence", F.trim("sentence"))
+    clean = F.regexp_replace(F.regexp_replace(text.strip(F.col("contenu")), r"[ \t\r\f\x0B]+", " "), r"(?U)\s*\n+\s*", "\n")
+    plain = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    said = F.filter(F.transform(F.split(clean, r"(?U)(?<=[.!?;])\s+|\n+"), plain), lambda x: x != "")
     # the phrases are literals, folded when the plan is made; a sentence is folded once
     phrases = [_plain(F.lit(k)) for k in DISTRESS]
-    hits = text.let(_plain(F.col("sentence")), lambda plain: F.array_compact(F.array(*(F.when(F.contains(plain, k), i) for i, k in enumerate(phrases)))))
-    rows = text.once(rows, "hits", hits).where(F.size("hits") > 0)
+    hits = lambda x: text.let(_plain(x), lambda p: F.array_compact(F.array(*(F.when(F.contains(p, k), i) for i, k in enumerate(phrases)))))
+    scored = lambda xs: F.filter(F.transform(xs, lambda x, i: F.struct(i.alias("pos"), x.alias("sentence"), hits(x).alias("hits"))), lambda x: F.size(x["hits"]) > 0)
+    rows = text.once(publications.select("siren", "ordinal", "contenu"), "found", scored(said))
+    # a phrase that no sentence holds may run over the end of a line: then the notice is the sentence
+    rows = rows.select("siren", "ordinal", F.inline(F.when(F.size("found") > 0, F.col("found")).otherwise(scored(F.array(plain(F.col("contenu")))))))
     n = F.length("sentence")
     letters_, capitals = F.length(F.regexp_replace("sentence", r"\P{L}", "")), F.length(F.regexp_replace("sentence", r"\P{Lu}", ""))
     penalty = F.abs(n - 160) + F.when(n < 40, 60).otherwise(0) + F.greatest(n - 320, F.lit(0))
@@ -201,7 +252,14 @@ def mandate_display(rows: DataFrame) -> DataFrame:
 
 
 def catalogue(people: DataFrame, companies: DataFrame) -> DataFrame:
-    """Catalogue entries: people by canonical name, the last one wins; companies from the cache before those from extraction."""
-    p = people.withColumn("key", text.canonical_name(F.col("name"))).groupBy("project_id", "key").agg(F.max_by("name", "ordinal").alias("name"))
-    c = companies.withColumn("key", text.canonical_name(F.col("name"))).groupBy("project_id", "key").agg(F.min_by("name", F.struct(F.when(F.col("source") == "cache", 0).otherwise(1), "ordinal")).alias("name"))
+    """Catalogue entries: people by canonical name, else by that of their folder, the last one wins; companies from the cache, the last one, before those from extraction, the first one.
+
+    people: project_id, name, ordinal, and folder where known. Companies without a name are no entry.
+    """
+    people = _with(people, folder="string")
+    named = people.withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), "folder"))
+    p = named.withColumn("key", F.coalesce(F.nullif(text.canonical_name(F.col("name")), F.lit("")), text.canonical_name(F.col("folder")))).groupBy("project_id", "key").agg(F.max_by("name", "ordinal").alias("name"))
+    cached = F.col("source") == "cache"
+    order = F.struct(F.when(cached, 0).otherwise(1), F.when(cached, -F.col("ordinal")).otherwise(F.col("ordinal")))
+    c = companies.withColumn("key", text.canonical_name(F.col("name"))).where("key <> ''").groupBy("project_id", "key").agg(F.min_by("name", order).alias("name"))
     return p.withColumn("kind", F.lit("person")).unionByName(c.withColumn("kind", F.lit("company")))

@@ -41,25 +41,53 @@ def sections(elements: DataFrame) -> DataFrame:
     return out.where(F.length(F.trim("text")) >= 5)
 
 
+#: What a text is cut at, the first that leaves pieces small enough: paragraphs, lines, sentences, words; what is too long even then, at any character.
+SEPARATORS = ("\n\n", "\n", ".", " ")
+#: A mark that texts are cut at in between; no text has it.
+_CUT = "\u0001"
+
+
+def recursive_parts(value: Column, most: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> Column:
+    """The parts of a text, none over `most` tokens.
+
+    The text is cut before each of the first separator. Pieces side by side that are under `most` are packed into
+    parts, each of which repeats the last pieces of the one before, `overlap` tokens together at most; a piece
+    that is not is cut by the next separator, and in the end at every so many characters.
+    """
+    nothing = F.expr("cast(array() AS array<string>)")
+    if not separators:
+        size, step = 4 * most, 4 * (most - overlap)
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(value) - size) / step), F.lit(0)).cast("int"))
+        return F.transform(starts, lambda i: F.substring(value, i * step + 1, F.lit(size)))
+    mark = separators[0]
+    pieces = F.filter(F.split(F.replace(value, F.lit(mark), F.lit(_CUT + mark)), _CUT), lambda x: x != "")
+
+    def packed(run):
+        joined = lambda r: F.array_join(F.slice(run, r["first"] + 1, r["last"] - r["first"] + 1), "")
+        return F.when(F.size(run) > 0, F.transform(pack_pieces(F.transform(run, text.token_estimate), most, overlap), joined)).otherwise(nothing)
+
+    start = F.struct(nothing.alias("run"), nothing.alias("out"))
+
+    def step(acc, piece):
+        small = text.token_estimate(piece) < most
+        return F.struct(
+            F.when(small, F.array_append(acc["run"], piece)).otherwise(nothing).alias("run"),
+            F.when(small, acc["out"]).otherwise(F.concat(acc["out"], packed(acc["run"]), recursive_parts(piece, most, overlap, separators[1:]))).alias("out"),
+        )
+
+    return F.aggregate(pieces, start, step, lambda acc: F.concat(acc["out"], packed(acc["run"])))
+
+
 def split_oversize(rows: DataFrame, most: int, overlap: int) -> DataFrame:
-    """Sections over `most` tokens cut at line ends into parts that repeat the last `overlap` tokens of the part before.
+    """Sections over `most` tokens cut into parts: part (0 for the first or only one), section_type, title, text.
 
-    Adds part (0 for the first or only one) and section_type.
+    Parts are without blanks at their ends, and empty ones are left out.
     """
-    lines = rows.select("document_id", "section", "title", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("tokens", text.token_estimate(F.col("line")))
-    w = W.partitionBy("document_id", "section").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    lines = lines.withColumns({"end": F.sum("tokens").over(w), "all": F.sum("tokens").over(W.partitionBy("document_id", "section"))})
-    step = most - overlap
-    own = F.when(F.col("all") <= most, F.lit(0)).otherwise(F.floor((F.col("end") - F.col("tokens")) / step)).cast("int")
-    # a line that ends in the last tokens of its part opens the next one too, if there is one
-    tail = (F.col("all") > most) & (F.col("end") > (F.col("own") + 1) * step - overlap) & ((F.col("own") + 1) * step < F.col("all"))
-    lines = lines.withColumn("own", own)
-    lines = lines.withColumn("part", F.explode(F.when(tail, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    out = lines.groupBy("document_id", "section", "title", "part").agg(body.alias("text"), F.max("all").alias("all"))
-    kind = F.when(F.col("all") > most, "section_split").otherwise("section")
-    title = F.when(F.col("all") > most, F.concat("title", F.lit(" (Part "), (F.col("part") + 1).cast("string"), F.lit(")"))).otherwise(F.col("title"))
+    over = text.token_estimate(F.col("text")) > most
+    cut = F.filter(F.transform(recursive_parts(F.col("text"), most, overlap), text.strip), lambda x: x != "")
+    out = rows.select("document_id", "section", "title", over.alias("over"), F.posexplode(F.when(over, cut).otherwise(F.array("text"))).alias("part", "text"))
+    kind = F.when(F.col("over"), "section_split").otherwise("section")
+    title = F.when(F.col("over"), F.concat("title", F.lit(" (Part "), (F.col("part") + 1).cast("string"), F.lit(")"))).otherwise(F.col("title"))
     return out.select("document_id", "section", "part", kind.alias("section_type"), title.alias("title"), "text")
 
 

@@ -11,12 +11,12 @@ from cadaster.sources.views import table
 
 # the tables, made from keys alike in both dialects
 _PEOPLE = "SELECT c_custkey AS person_id, 'Nom-' || substr('abcdefghij', cast(c_custkey % 10 + 1 AS int), 1) AS nom, CASE c_custkey % 3 WHEN 0 THEN 'Juliette, Lola' WHEN 1 THEN 'Luc' ELSE '' END AS prenoms, CASE c_custkey % 5 WHEN 0 THEN '1970-02-0' || (c_custkey % 7 + 1) WHEN 1 THEN '0' || (c_custkey % 7 + 1) || '/02/1970' WHEN 2 THEN '1970-02' WHEN 3 THEN '03/1970' END AS date_naissance FROM customer"
-_FOUND = "SELECT o_custkey AS person_id, o_orderkey AS director_id, 'NOM ' || substr('abcdefghij', cast(CASE WHEN o_orderkey % 4 > 0 THEN o_custkey ELSE o_orderkey END % 10 + 1 AS int), 1) AS nom, CASE o_orderkey % 3 WHEN 0 THEN 'Lola (Juliette)' WHEN 1 THEN 'Luc' ELSE 'Anne' END AS prenom, CASE o_orderkey % 4 WHEN 0 THEN '1970-02-0' || (o_orderkey % 7 + 1) WHEN 1 THEN '1970-02' WHEN 2 THEN '05/1981' END AS date_de_naissance FROM orders"
-_MANDATES = "SELECT o_custkey AS person_id, CASE WHEN o_orderkey % 9 = 0 THEN '123' ELSE cast(100000000 + o_orderkey % 140 AS string) END AS siren, 'Stub ' || (o_orderkey % 140) AS nom, o_orderkey AS ordinal, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS role FROM orders"
+_FOUND = "SELECT o_custkey AS person_id, o_orderkey AS director_id, 'NOM ' || substr('abcdefghij', cast(CASE WHEN o_orderkey % 4 > 0 THEN o_custkey ELSE o_orderkey END % 10 + 1 AS int), 1) AS nom, CASE o_orderkey % 3 WHEN 0 THEN 'Lola (Juliette)' WHEN 1 THEN 'Luc' ELSE 'Anne' END AS prenom, CASE o_orderkey % 5 WHEN 0 THEN 'Lola' WHEN 1 THEN 'luc' END AS prenom_usuel, 'Nom ' || substr('abc', cast(o_orderkey % 3 + 1 AS int), 1) AS nom_complet, CASE o_orderkey % 4 WHEN 0 THEN '1970-02-0' || (o_orderkey % 7 + 1) WHEN 1 THEN '1970-02' WHEN 2 THEN '05/1981' ELSE '' END AS date_de_naissance, CASE WHEN o_orderkey % 3 > 0 THEN '1970-02' END AS date_de_naissance_rgpd, CASE WHEN o_orderkey % 2 = 0 THEN '2' ELSE '1' END AS s1, ' 2 ' AS s2, o_orderkey AS ordinal FROM orders"
+_MANDATES = "SELECT o_custkey AS person_id, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE cast(100000000 + cast(floor(o_orderkey / 40) AS int) AS string) END AS siren, 'Stub ' || cast(floor(o_orderkey / 40) AS int) AS nom, o_orderkey AS ordinal, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS role FROM orders"
 _DETAILS = "SELECT cast(100000000 + s_suppkey AS string) AS siren, s_name AS nom, CASE s_suppkey % 4 WHEN 0 THEN 'Radié' WHEN 1 THEN '' ELSE 'Actif' END AS statut, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS capital FROM supplier"
 _FOLDERS = "SELECT DISTINCT 'p' || cast(floor(o_custkey / 150) AS int) AS project_id, CASE o_orderkey % 4 WHEN 0 THEN 'SCI Lumière ' || (o_custkey % 6) WHEN 1 THEN 'Groupe Nord' WHEN 2 THEN CASE WHEN o_custkey % 2 = 0 THEN 'F.D. Invest' ELSE 'FD' END ELSE 'Société Est ' || (o_custkey % 4) END AS folder FROM orders"
 _POOL = "SELECT 'p' || cast(floor(s_suppkey / 10) AS int) AS project_id, cast(100000000 + s_suppkey AS string) AS siren, CASE s_suppkey % 5 WHEN 0 THEN 'LUMIERE ' || (s_suppkey % 6) WHEN 1 THEN 'FD INVEST SAS' WHEN 2 THEN 'Nord Groupe Holding' WHEN 3 THEN 'Est Conseil' ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'SCI F.D.' ELSE 'LesLumieres' END END AS nom, s_suppkey AS ordinal FROM supplier"
-_REPS = "SELECT DISTINCT cast(o_custkey AS string) AS siren, 'per_' || cast(floor(o_orderkey / 3) AS int) AS person_id, CASE o_orderkey % 3 WHEN 0 THEN 'Président' WHEN 1 THEN 'Gérant' ELSE 'Directeur' END AS qualite, o_orderkey % 7 = 0 AS entreprise_cessee FROM orders"
+_REPS = "SELECT cast(o_custkey AS string) AS siren, o_orderkey AS ordinal, CASE WHEN o_orderkey % 11 > 0 THEN 'per_' || cast(floor(o_orderkey / 3) AS int) END AS person_id, CASE WHEN o_orderkey % 11 = 0 THEN cast(o_custkey + 2 AS string) END AS company, CASE o_orderkey % 4 WHEN 0 THEN 'Président' WHEN 1 THEN 'Gérant' WHEN 2 THEN 'Directeur' END AS qualite, o_orderkey % 7 = 0 AS entreprise_cessee FROM orders"
 _NOTICES = """SELECT doc_id, cast(cast(100000000 + floor(doc_id / 8) AS int) AS string) AS siren, doc_id AS ordinal, '2020-0' || (doc_id % 9 + 1) AS date, CASE doc_id % 9 WHEN 0 THEN 'Avis. Jugement d''ouverture de liquidation judiciaire le ' || doc_id || '. Voir www.x.fr' WHEN 1 THEN 'PLAN DE SAUVEGARDE ARRETE; radiation prononcée'
  WHEN 2 THEN 'Nature jugement : Clôture ' || (doc_id % 4) || '{nl}suite du texte{nl}{nl}Cessation des paiements fixée au 1er mars.' ELSE text END AS contenu FROM documents"""
 
@@ -27,7 +27,15 @@ def _view(spark, sf_dir, sql: str, source: str):
 
 
 def j5_director_matches(spark, sf_dir):
-    return c.match_people(_view(spark, sf_dir, _PEOPLE, "customer"), _view(spark, sf_dir, _FOUND, "orders"))
+    return c.match_people(_view(spark, sf_dir, _PEOPLE, "customer"), _directors(spark, sf_dir))
+
+
+def a20_distinct_directors(spark, sf_dir):
+    return c.distinct_directors(_directors(spark, sf_dir), ["person_id"]).select("person_id", "director_id")
+
+
+def _directors(spark, sf_dir):
+    return _view(spark, sf_dir, _FOUND, "orders").withColumn("sirens", F.array("s1", "s2", "s1")).drop("s1", "s2")
 
 
 def j4_enriched_mandates(spark, sf_dir):
@@ -36,7 +44,7 @@ def j4_enriched_mandates(spark, sf_dir):
 
 def a19_merged_companies(spark, sf_dir):
     m = _view(spark, sf_dir, _MANDATES, "orders").join(_view(spark, sf_dir, _DETAILS, "supplier").select("siren", "statut", "capital"), "siren", "left")
-    return c.merge_companies(m)
+    return c.merge_companies(m.drop("person_id"))
 
 
 def j6_best_company(spark, sf_dir):
@@ -45,14 +53,15 @@ def j6_best_company(spark, sf_dir):
 
 def j7_pool_cascade(spark, sf_dir):
     pool = _view(spark, sf_dir, _POOL, "supplier")
-    return c.cascade(_view(spark, sf_dir, _FOLDERS, "orders"), [pool.where("ordinal % 3 = 0"), pool.where("ordinal % 3 = 1"), pool])
+    elsewhere = lambda k: pool.withColumn("project_id", F.expr(f"CASE WHEN ordinal % 3 = {k} THEN project_id ELSE concat('x', project_id) END"))
+    return c.cascade(_view(spark, sf_dir, _FOLDERS, "orders"), [elsewhere(0), elsewhere(1), pool])
 
 
 def _network(spark, sf_dir):
     reps = _view(spark, sf_dir, _REPS, "orders")
     roots = reps.select("siren").distinct()
-    before = roots.select("siren", F.expr("CASE WHEN siren % 20 = 0 THEN cast(cast(siren AS int) + 7 AS string) ELSE siren END").alias("predecessor"))
-    return c.network(roots, reps, reps, before)
+    before = roots.select("siren", F.lit(1).alias("ordinal"), F.expr("CASE WHEN siren % 20 = 0 THEN cast(cast(siren AS int) + 2 AS string) ELSE siren END").alias("predecessor"))
+    return c.network(roots, reps, reps.where("person_id IS NOT NULL"), before)
 
 
 def j18_network_nodes(spark, sf_dir):
@@ -108,7 +117,7 @@ def a16_catalogue(spark, sf_dir):
     return c.catalogue(people, firms)
 
 
-QUERIES = {f.__name__: f for f in (j5_director_matches, j4_enriched_mandates, a19_merged_companies, j6_best_company, j7_pool_cascade, j18_network_nodes, j18_network_edges, j19_clean_edges, w14_distress_sentences, a27_collective_comments, p19_mandate_display, a14_mandate_counts, a14_person_cards, a27_merged_comments, a16_catalogue)}
+QUERIES = {f.__name__: f for f in (j5_director_matches, a20_distinct_directors, j4_enriched_mandates, a19_merged_companies, j6_best_company, j7_pool_cascade, j18_network_nodes, j18_network_edges, j19_clean_edges, w14_distress_sentences, a27_collective_comments, p19_mandate_display, a14_mandate_counts, a14_person_cards, a27_merged_comments, a16_catalogue)}
 
 
 def _duck(sql: str) -> str:
@@ -134,26 +143,30 @@ def _best(pool: str) -> str:
 
 
 _NET = f"""
-rp AS ({_duck(_REPS)}), ro AS (SELECT DISTINCT siren AS root FROM rp), pd AS (SELECT DISTINCT siren, CASE WHEN siren::INT % 20 = 0 THEN (siren::INT + 7)::VARCHAR ELSE siren END AS predecessor FROM rp),
-f1 AS (SELECT root, siren, person_id, qualite FROM ro JOIN rp ON siren = root),
-ot AS (SELECT root, person_id, siren, rp.qualite FROM (SELECT DISTINCT root, person_id FROM f1) JOIN rp USING (person_id) WHERE NOT entreprise_cessee AND siren <> root),
-bf AS (SELECT root, predecessor AS siren FROM ro JOIN pd ON siren = root WHERE predecessor <> root),
-lk AS (SELECT root, siren, min(rank) AS rank FROM (SELECT root, siren, 2 AS rank FROM ot UNION ALL SELECT root, siren, 1 FROM bf) GROUP BY ALL), s2 AS (SELECT root, siren, rank, person_id, qualite FROM lk JOIN rp USING (siren)),
-nd AS (SELECT root, node, min(rank)::INT AS rank FROM (SELECT root, 'soc_' || root AS node, 0 AS rank FROM ro UNION ALL SELECT root, person_id, 1 FROM f1 UNION ALL SELECT root, 'soc_' || siren, rank FROM lk UNION ALL SELECT root, person_id, rank + 1 FROM s2) GROUP BY ALL),
-ed AS (SELECT root, 'soc_' || siren AS src, person_id AS dst, qualite AS label, false AS dashed FROM f1 UNION SELECT root, person_id, 'soc_' || siren, qualite, false FROM ot UNION SELECT root, 'soc_' || root, 'soc_' || siren, 'Prédécesseur', true FROM bf UNION SELECT root, 'soc_' || siren, person_id, qualite, false FROM s2)"""
+rp AS ({_duck(_REPS)}), pe AS (SELECT siren, ordinal, person_id, coalesce(qualite, 'Dirigeant') AS qualite, entreprise_cessee FROM rp WHERE person_id IS NOT NULL), ro AS (SELECT DISTINCT siren AS root FROM rp),
+vi AS (SELECT siren AS root, company AS siren, 1 AS rank, 'soc_' || siren AS src, coalesce(qualite, 'Lié') AS label, false AS dashed, ordinal AS o1, 0 AS o2 FROM rp WHERE company IS NOT NULL
+  UNION ALL SELECT a.siren, m.siren, 2, m.person_id, m.qualite, false, a.ordinal, m.ordinal FROM pe a JOIN pe m ON a.person_id = m.person_id AND NOT m.entreprise_cessee
+  UNION ALL SELECT root, (root::INT + 2)::VARCHAR, 1, 'soc_' || root, 'Prédécesseur', true, 1000000000000, 1 FROM ro WHERE root::INT % 20 = 0),
+lk AS (SELECT * FROM vi WHERE siren <> root QUALIFY row_number() OVER (PARTITION BY root, siren ORDER BY o1, o2, src) = 1),
+al AS (SELECT root, root AS siren, 0 AS rank, NULL AS src, NULL AS label, false AS dashed, -1 AS o1, -1 AS o2 FROM ro UNION ALL SELECT * FROM lk),
+nd AS (SELECT root, node, rank FROM (SELECT root, 'soc_' || siren AS node, rank, o1, o2 FROM al UNION ALL SELECT root, person_id, rank + 1, o1, o2 FROM al JOIN pe USING (siren)) QUALIFY row_number() OVER (PARTITION BY root, node ORDER BY o1, o2) = 1),
+ed AS (SELECT root, src, 'soc_' || siren AS dst, label, dashed FROM lk UNION SELECT root, 'soc_' || siren, person_id, qualite, false FROM al JOIN pe USING (siren))"""
+_FIRSTS = f"""
+f0 AS ({_duck(_FOUND)}), f AS (SELECT * FROM f0 QUALIFY row_number() OVER (PARTITION BY person_id, nom_complet, coalesce(nullif(date_de_naissance, ''), date_de_naissance_rgpd, ''), s1 = '2' ORDER BY ordinal) = 1)"""
 _KEYS = "[" + ", ".join("'" + k.replace("'", "''") + "'" for k in c.DISTRESS) + "]"
 
 SQL = {
-    "j5_director_matches": f"""WITH p AS ({_duck(_PEOPLE)}), f AS ({_duck(_FOUND)}),
-      r AS (SELECT person_id, director_id, {_letters('p.nom')} <> '' AND {_letters('f.nom')} = {_letters('p.nom')} AND ({_letters("string_split(prenoms, ',')[1]")} = '' OR list_contains([{_letters('x')} for x in regexp_split_to_array(prenom, '[\\s,;/()-]+')], {_letters("string_split(prenoms, ',')[1]")})) AS named,
-        {_iso('date_naissance')} AS pb, {_iso('date_de_naissance')} AS db FROM f JOIN p USING (person_id)),
-      n AS (SELECT *, length(pb) = 10 AND coalesce(pb = db, false) AS exact, coalesce(pb[1:7] = db[1:7], false) AS month FROM (SELECT *, max(named::INT) OVER (PARTITION BY person_id) AS any_named FROM r) WHERE any_named = 0 OR named),
+    "a20_distinct_directors": f"WITH {_FIRSTS} SELECT person_id, director_id FROM f",
+    "j5_director_matches": f"""WITH p AS ({_duck(_PEOPLE)}), {_FIRSTS},
+      r AS (SELECT person_id, director_id, {_letters('p.nom')} <> '' AND {_letters('f.nom')} = {_letters('p.nom')} AND ({_letters("string_split(prenoms, ',')[1]")} = '' OR list_contains([{_letters('x')} for x in flatten([[prenom, prenom_usuel, nom_complet], regexp_split_to_array(prenom, '[\\s,;/()-]+'), regexp_split_to_array(nom_complet, '[\\s,;/()-]+')])], {_letters("string_split(prenoms, ',')[1]")})) AS named,
+        {_iso('date_naissance')} AS pb, {_iso('date_de_naissance')} AS db, date_de_naissance_rgpd AS mb FROM f JOIN p USING (person_id)),
+      n AS (SELECT *, length(pb) = 10 AND coalesce(pb = db, false) AS exact, coalesce(pb[1:7] = coalesce(nullif(db[1:7], ''), mb), false) AS month FROM (SELECT *, max(named::INT) OVER (PARTITION BY person_id) AS any_named FROM r) WHERE any_named = 0 OR named),
       w AS (SELECT *, count(*) OVER v AS n, count(*) FILTER (exact) OVER v AS ex, count(*) FILTER (month) OVER v AS mo FROM n WINDOW v AS (PARTITION BY person_id)),
       m AS (SELECT person_id, director_id, CASE WHEN ex > 0 THEN CASE WHEN exact OR month THEN 'date_de_naissance_plus_rgpd' END WHEN mo > 0 THEN CASE WHEN month THEN 'date_de_naissance_rgpd' END WHEN n = 1 THEN 'candidat_unique' END AS mode FROM w)
       SELECT * FROM m WHERE mode IS NOT NULL""",
     "j4_enriched_mandates": f"WITH m AS ({_duck(_MANDATES)}), d AS ({_duck(_DETAILS)}) SELECT person_id, m.siren, coalesce(d.nom, m.nom) AS nom_societe, statut, capital FROM m LEFT JOIN d ON length(m.siren) = 9 AND d.siren = m.siren",
     "a19_merged_companies": f"""WITH m AS ({_duck(_MANDATES)}), d AS ({_duck(_DETAILS)}), j AS (SELECT m.*, statut, capital FROM m LEFT JOIN d USING (siren))
-      SELECT siren AS key, arg_min(nom, ordinal) AS nom, arg_min(statut, ordinal) FILTER (statut <> '') AS statut, arg_min(capital, ordinal) FILTER (capital IS NOT NULL) AS capital, arg_min(role, ordinal) FILTER (role <> '') AS role, min(ordinal) AS ordinal FROM j GROUP BY 1""",
+      SELECT coalesce(nullif(siren, ''), lower(nom)) AS key, arg_min(siren, ordinal) FILTER (siren <> '') AS siren, arg_min(nom, ordinal) AS nom, arg_min(statut, ordinal) FILTER (statut <> '') AS statut, arg_min(capital, ordinal) FILTER (capital IS NOT NULL) AS capital, arg_min(role, ordinal) FILTER (role <> '') AS role, min(ordinal) AS ordinal FROM j GROUP BY 1""",
     "j6_best_company": f"WITH fo AS ({_duck(_FOLDERS)}), po AS ({_duck(_POOL)}) SELECT *, score >= 0.55 AS confident FROM ({_best('po')})",
     "j7_pool_cascade": f"""WITH fo AS ({_duck(_FOLDERS)}), p2 AS ({_duck(_POOL)}), p0 AS (SELECT * FROM p2 WHERE ordinal % 3 = 0), p1 AS (SELECT * FROM p2 WHERE ordinal % 3 = 1),
       u AS (SELECT *, 0 AS match_tier FROM ({_best('p0')}) UNION ALL SELECT *, 1 FROM ({_best('p1')}) UNION ALL SELECT *, 2 FROM ({_best('p2')})) SELECT project_id, folder, siren, score, match_tier FROM u QUALIFY row_number() OVER (PARTITION BY project_id, folder ORDER BY match_tier) = 1""",
@@ -178,6 +191,6 @@ SQL = {
     "a27_merged_comments": """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN 'Radiée le ' || (o_custkey % 7) END AS a, CASE WHEN o_orderkey % 3 = 0 THEN 'RADIÉE LE ' || (o_custkey % 5) END AS b, CASE WHEN o_orderkey % 5 > 2 THEN o_orderpriority END AS c FROM orders)
       SELECT o_orderkey, nullif(concat_ws(chr(10), a, CASE WHEN coalesce(lower(a), '') <> lower(b) THEN b END, c), '') AS comment FROM r""",
     "a16_catalogue": f"""WITH p AS (SELECT 'p' || (o_custkey // 10) AS project_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Hélène ' ELSE 'helene ' END || 'N' || (o_custkey % 40) AS name, o_orderkey AS k FROM orders),
-      c AS (SELECT 'p' || (o_custkey // 10) AS project_id, CASE WHEN o_orderkey % 3 = 0 THEN 'SCI ' ELSE 'sci-' END || (o_custkey % 30) || 'x' AS name, (CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1000000000 END) + o_orderkey AS k FROM orders)
+      c AS (SELECT 'p' || (o_custkey // 10) AS project_id, CASE WHEN o_orderkey % 3 = 0 THEN 'SCI ' ELSE 'sci-' END || (o_custkey % 30) || 'x' AS name, CASE WHEN o_orderkey % 4 = 0 THEN -o_orderkey ELSE 1000000000 + o_orderkey END AS k FROM orders)
       SELECT project_id, {canonical('name')} AS key, arg_max(name, k) AS name, 'person' AS kind FROM p GROUP BY ALL UNION ALL SELECT project_id, {canonical('name')}, arg_min(name, k), 'company' FROM c GROUP BY ALL""",
 }

@@ -148,13 +148,34 @@ ti AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+') THEN translate(
   THEN translate(trim(trim(regexp_extract(trim(line), '^\\*\\*(.+?)\\*\\*\\s*(.*)', 1)) || ' ' || regexp_extract(trim(line), '^\\*\\*(.+?)\\*\\*\\s*(.*)', 2)), '*_', '') END AS title FROM ln),
 se AS (SELECT *, count(title) OVER (PARTITION BY document_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM ti),
 sc AS (SELECT * FROM (SELECT document_id, section, coalesce(max(title), 'Introduction') AS title, {_clean("string_agg(line, chr(10) ORDER BY pos)")} AS text FROM se GROUP BY 1, 2) WHERE length(trim(text)) >= 5)"""
-_PARTS = _SECTIONS + f""",
-l2 AS (SELECT document_id, section, title, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM sc),
-l3 AS (SELECT *, ceil(length(line) / 4)::INT AS tokens FROM l2),
-l4 AS (SELECT *, sum(tokens) OVER (PARTITION BY document_id, section ORDER BY pos ROWS UNBOUNDED PRECEDING) AS fin, sum(tokens) OVER (PARTITION BY document_id, section) AS total FROM l3),
-l5 AS (SELECT *, CASE WHEN total <= {SIZE} THEN 0 ELSE floor((fin - tokens) / {SIZE - OVERLAP})::INT END AS own FROM l4),
-l6 AS (SELECT *, unnest(CASE WHEN total > {SIZE} AND fin > (own + 1) * {SIZE - OVERLAP} - {OVERLAP} AND (own + 1) * {SIZE - OVERLAP} < total THEN [own, own + 1] ELSE [own] END) AS part FROM l5),
-pt AS (SELECT document_id, section, part, max(total) > {SIZE} AS cut, title || CASE WHEN max(total) > {SIZE} THEN ' (Part ' || (part + 1) || ')' ELSE '' END AS title, string_agg(line, chr(10) ORDER BY pos) AS text FROM l6 GROUP BY document_id, section, l6.title, part)"""
+
+
+def _levels() -> str:
+    """Pieces of the sections over SIZE by level: runs of small pieces, and what is cut by the next separator, with their places as text that sorts."""
+    out = f"""
+v0 AS (SELECT document_id, section, '' AS path, text FROM sc WHERE ceil(length(text) / 4) > {SIZE}),"""
+    for k, mark in enumerate(("chr(10) || chr(10)", "chr(10)", "'.'", "' '"), 1):
+        out += f"""
+q{k} AS (SELECT document_id, section, path, unnest(x) AS piece, unnest(range(len(x))) AS i FROM (SELECT document_id, section, path, [y for y in string_split(replace(text, {mark}, chr(1) || {mark}), chr(1)) if y <> ''] AS x FROM v{k - 1})),
+b{k} AS (SELECT *, ceil(length(piece) / 4) >= {SIZE} AS big, sum((ceil(length(piece) / 4) >= {SIZE})::INT) OVER (PARTITION BY document_id, section, path ORDER BY i ROWS UNBOUNDED PRECEDING) AS bigs FROM q{k}),
+r{k} AS (SELECT document_id, section, path || lpad((2 * bigs + 1)::VARCHAR, 8, '0') AS path, list(piece ORDER BY i) AS pieces FROM b{k} WHERE NOT big GROUP BY document_id, section, b{k}.path, bigs),
+v{k} AS (SELECT document_id, section, path || lpad((2 * bigs)::VARCHAR, 8, '0') AS path, piece AS text FROM b{k} WHERE big),"""
+    return out
+
+
+_PARTS = _SECTIONS + f""",{_levels()}
+ru AS (SELECT row_number() OVER () AS run, * FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4)),
+rs AS (SELECT run, [ceil(length(x) / 4)::INT for x in pieces] AS sizes FROM ru),
+rp AS (SELECT run, sizes, 1 AS i, 1 AS first, []::INT[][] AS spans FROM rs
+  UNION ALL SELECT run, sizes, i + 1, CASE WHEN overfull THEN again ELSE first END, CASE WHEN overfull THEN list_append(spans, [first, i - 1]) ELSE spans END
+  FROM (SELECT *, i > first AND coalesce(list_sum(sizes[first : i - 1]), 0) + sizes[i] > {SIZE} AS overfull,
+    CASE WHEN i > first AND coalesce(list_sum(sizes[first : i - 1]), 0) + sizes[i] > {SIZE} THEN [j for j in range(least(first + 1, i), i + 1) if coalesce(list_sum(sizes[j : i - 1]), 0) <= {OVERLAP} AND (coalesce(list_sum(sizes[j : i - 1]), 0) + sizes[i] <= {SIZE} OR j = i)][1] END AS again FROM rp WHERE i <= len(sizes))),
+re AS (SELECT run, unnest(list_append(spans, [first, i - 1])) AS span, unnest(range(len(spans) + 1)) AS k FROM rp WHERE i = len(sizes) + 1 AND i > first),
+pc AS (SELECT document_id, section, path, k, array_to_string(pieces[span[1] : span[2]], '') AS text FROM re JOIN ru USING (run)
+  UNION ALL SELECT document_id, section, path, unnest(range(greatest(ceil((length(text) - {4 * SIZE}) / {4 * (SIZE - OVERLAP)}), 0)::INT + 1)), unnest([substr(text, x * {4 * (SIZE - OVERLAP)} + 1, {4 * SIZE}) for x in range(greatest(ceil((length(text) - {4 * SIZE}) / {4 * (SIZE - OVERLAP)}), 0)::INT + 1)]) FROM v4),
+ps AS (SELECT document_id, section, row_number() OVER (PARTITION BY document_id, section ORDER BY path, k) - 1 AS part, text FROM (SELECT document_id, section, path, k, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM pc) WHERE text <> ''),
+pt AS (SELECT document_id, section, part, true AS cut, sc.title || ' (Part ' || (part + 1) || ')' AS title, ps.text FROM ps JOIN sc USING (document_id, section)
+  UNION ALL SELECT document_id, section, 0, false, title, text FROM sc WHERE ceil(length(text) / 4) <= {SIZE})"""
 _CHUNKS = _PARTS + """,
 ix AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY section, part) - 1 AS idx, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM pt),
 ch AS (SELECT *, length(text)::INT AS char_count, ceil(length(text) / 4)::INT AS token_estimate FROM ix WHERE length(s) >= 50 AND length(regexp_replace(s, '[#*_\\-|\\s]', '', 'g')) >= 10 AND NOT regexp_matches(s, '(?i)^(?:#{1,6}\\s*)?[\\s*_#\\-|]*$|^Tous droits de reproduction|^Page \\d+'))"""
@@ -195,8 +216,8 @@ SQL = {
     "src2_file_inventory": f"WITH {FILES} SELECT project_id, file_type, count(*) AS n, sum(file_size_bytes)::BIGINT AS bytes FROM fi WHERE file_type <> 'zip' AND doc_id % 6 <> 3 GROUP BY ALL",
     "src10_html_text": f"WITH t AS (SELECT page_id, {_page_text()} AS text FROM pages) SELECT page_id, length(text)::INT AS chars, sha256(text) AS sha FROM t",
     "w6_sections": f"WITH {_SECTIONS} SELECT document_id, section, title, sha256(text) AS sha FROM sc",
-    "w7_oversize_sections": f"WITH {_PARTS} SELECT document_id, count(*) AS parts, count(*) FILTER (cut) AS cut, sum(length(text))::BIGINT AS chars, max(title) AS last FROM pt GROUP BY 1",
-    "w8_chunks": f"WITH {_CHUNKS} SELECT document_id || '_' || lpad(idx::VARCHAR, 4, '0') AS parent_id, document_id, CASE WHEN cut THEN 'section_split' ELSE 'section' END AS section_type, title, char_count, token_estimate FROM ch",
+    "w7_oversize_sections": f"WITH RECURSIVE {_PARTS} SELECT document_id, count(*) AS parts, count(*) FILTER (cut) AS cut, sum(length(text))::BIGINT AS chars, max(title) AS last FROM pt GROUP BY 1",
+    "w8_chunks": f"WITH RECURSIVE {_CHUNKS} SELECT document_id || '_' || lpad(idx::VARCHAR, 4, '0') AS parent_id, document_id, CASE WHEN cut THEN 'section_split' ELSE 'section' END AS section_type, title, char_count, token_estimate FROM ch",
     "w9_table_rows": """WITH RECURSIVE r AS (SELECT l_orderkey, ceil(length(l_partkey || ' | ' || l_quantity) / 4)::INT AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS rn FROM lineitem),
       f AS (SELECT l_orderkey, rn, 0 AS chunk, 6 + t + 1 AS used FROM r WHERE rn = 1
         UNION ALL SELECT r.l_orderkey, r.rn, CASE WHEN f.used + r.t > 12 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.used + r.t > 12 THEN 6 + r.t ELSE f.used + r.t + 1 END FROM f JOIN r ON r.l_orderkey = f.l_orderkey AND r.rn = f.rn + 1)
@@ -240,7 +261,7 @@ SQL = {
     "w12_document_heads": f"""WITH {_ELEMENTS}, l AS (SELECT document_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS index FROM el),
       b AS (SELECT *, 900 - coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM l)
       SELECT document_id, count(*) AS n, sum(least(room, length(text)))::BIGINT AS chars FROM b WHERE room > 0 AND text <> '' GROUP BY 1""",
-    "a11_manifest_totals": f"""WITH {_CHUNKS}, p AS (SELECT document_id, count(*) AS chunks, sum(token_estimate) AS tokens FROM ch GROUP BY 1)
+    "a11_manifest_totals": f"""WITH RECURSIVE {_CHUNKS}, p AS (SELECT document_id, count(*) AS chunks, sum(token_estimate) AS tokens FROM ch GROUP BY 1)
       SELECT source, count(*) AS files, count(chunks) AS with_chunks, sum(chunks)::BIGINT AS chunks, sum(tokens)::BIGINT AS tokens, max(tokens)::BIGINT AS longest FROM documents d LEFT JOIN p ON p.document_id = d.doc_id GROUP BY 1""",
     "j10_src5_reuse": f"""WITH {FILES} SELECT sha256(i.project_id || '::' || i.source_path)[1:12] AS document_id, b.source_path IS NOT NULL AND i.doc_id % 3 > 0 AS reuse FROM fi i LEFT JOIN fb b USING (project_id, source_path, file_size_bytes)""",
     "j11_stale": f"WITH {FILES} SELECT project_id, source_path FROM fb ANTI JOIN fi USING (project_id, source_path)",

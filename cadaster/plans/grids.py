@@ -40,26 +40,47 @@ def w17_main_tables(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    """Pages of statements: documents in sixes, titles and contents by number."""
+    """Pages of statements: documents in sixes, titles, contents and lines with numbers by number."""
     d = table(spark, sf_dir, "documents")
     title = F.expr("CASE doc_id % 7 WHEN 0 THEN 'BILAN  ACTIF' WHEN 1 THEN 'Compte de résultat (suite)' WHEN 2 THEN 'actif immobilisé' WHEN 3 THEN 'Bilan passif' WHEN 4 THEN 'Compte de resultat' WHEN 5 THEN 'Voir le bilan actif en annexe' ELSE 'Notes' END")
-    content = F.expr("CASE doc_id % 4 WHEN 0 THEN 'Actif circulant' WHEN 1 THEN 'chiffre d''affaires, charges d''exploitation' WHEN 2 THEN 'capital social, report à nouveau, résultat de l''exercice' ELSE 'capital social, report à nouveau' END".replace("''", "\\'"))
-    return d.select((F.floor(F.col("doc_id") / 6)).alias("doc_id"), (F.col("doc_id") % 6 + 1).cast("int").alias("page"), F.array(F.lit("page"), title, content).alias("lines"), (F.col("n_chars") % 5).cast("int").alias("score"))
+    content = F.expr("CASE doc_id % 4 WHEN 0 THEN 'Actif circulant' WHEN 1 THEN 'chiffre d\\'affaires, charges d\\'exploitation' WHEN 2 THEN 'capital social, report à nouveau, résultat de l\\'exercice' ELSE 'capital social, report à nouveau' END")
+    more = F.expr("CASE WHEN doc_id % 17 = 5 THEN array('Notes sur le bilan') WHEN n_chars % 22 = 0 THEN array('12 et 7') ELSE transform(sequence(1, cast(n_chars % 22 AS int)), i -> concat('Ligne ', i, '\u00a0000')) END")
+    return d.select((F.floor(F.col("doc_id") / 6)).alias("doc_id"), (F.col("doc_id") % 6 + 1).cast("int").alias("page"), F.concat(F.array(F.lit("page"), title, content), more).alias("lines"))
+
+
+def _page_tables(spark, sf_dir):
+    """A table on every third of those pages, of up to fourteen rows, and on some a second."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").withColumn("table_idx", F.explode(F.expr("CASE WHEN doc_id % 5 = 0 THEN array(0, 1) ELSE array(0) END")))
+    row = "array(CASE (i + table_idx) % 4 WHEN 0 THEN 'Créances' WHEN 1 THEN 'Capital social' WHEN 2 THEN 'Impôts et taxes' ELSE 'Divers' END, cast(i * 7 AS string))"
+    cells = F.expr(f"transform(sequence(1, cast((n_chars + 3 * table_idx) % 14 + 1 AS int)), i -> {row})")
+    return d.select(F.floor(F.col("doc_id") / 6).alias("doc_id"), (F.col("doc_id") % 6 + 1).cast("int").alias("page"), "table_idx", cells.alias("cells"))
 
 
 def p22_statement_pages(spark, sf_dir):
     return g.statement_pages(_pages(spark, sf_dir))
 
 
+def w16_section_scores(spark, sf_dir):
+    pages = _pages(spark, sf_dir).withColumn("section", F.explode(F.lit(list(g.TITLES))))
+    return g.section_scores(pages, _page_tables(spark, sf_dir))
+
+
 def w16_page_spans(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    scores = pages.select("doc_id", F.explode(F.lit(list(g.TITLES))).alias("section"), "page", "score")
-    return g.page_spans(g.statement_pages(pages), scores, 3)
+    return g.page_spans(_pages(spark, sf_dir), _page_tables(spark, sf_dir), 3)
+
+
+_GRID_ROW = """CASE l_partkey % 13 WHEN 0 THEN array('Actif immobilisé', '', '', '') WHEN 1 THEN array('Emprunts', NULL, '', '') WHEN 2 THEN array('dont  concours bancaires', '', concat('(', l_suppkey, '\u00a0000)'), cast(l_linenumber AS string))
+ WHEN 3 THEN array('du 01/01/2020 au 31/12/2020', '', '', '') WHEN 4 THEN array('', '', concat(l_suppkey, ' 000'), concat(l_linenumber, ',50')) WHEN 5 THEN array('- à long terme', '', '', 'n.c.') WHEN 6 THEN array('Dettes\n fournisseurs :', '', '', cast(l_suppkey AS string))
+ WHEN 7 THEN array('BRUT', '', 'NET', '') WHEN 8 THEN array(concat('Ligne ', l_suppkey, 'x'), '', cast(l_suppkey AS string), cast(l_linenumber AS string)) WHEN 9 THEN array('Terrains', '', '', '') WHEN 10 THEN array('- divers', '', '', cast(l_linenumber AS string))
+ WHEN 11 THEN array('Total |', '', '12', '7') ELSE array('12 €', '', '', '') END"""
 
 
-def w15_carried_labels(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderkey AS pos", "CASE o_orderkey % 6 WHEN 0 THEN 'Actif immobilisé' WHEN 1 THEN 'Terrains' WHEN 2 THEN '' WHEN 3 THEN 'Charges d’exploitation' WHEN 4 THEN concat('Ligne ', o_custkey % 3, 'x') ELSE 'BILAN ACTIF' END AS label", "CASE WHEN o_orderkey % 4 = 0 THEN floor(o_totalprice) END AS amount")
-    return g.carry_labels(rows)
+def w15_logical_rows(spark, sf_dir):
+    """An account grid for each order: its items are rows with amounts, labels that wait for them, headings."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "struct(l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) AS o", f"{_GRID_ROW} AS r")
+    body = F.transform(F.sort_array(F.collect_list(F.struct("o", "r"))), lambda x: x["r"])
+    head = F.array(F.array(*(F.lit(x) for x in ("Poste", "", "2021", "2020"))))
+    return g.logical_rows(rows.groupBy("doc_id").agg(F.concat(head, body).alias("cells")))
 
 
 def a21_lot_totals(spark, sf_dir):
@@ -89,18 +110,25 @@ def x4_land_prices(spark, sf_dir):
     return g.land_prices(rows)
 
 
-QUERIES = {f.__name__: f for f in (p23_header_records, a22_holding_totals, p24_value_columns, w17_main_tables, p22_statement_pages, w16_page_spans, w15_carried_labels, a21_lot_totals, x1_price_pages, x2_price_replies, x3_price_tables, x4_land_prices)}
+QUERIES = {f.__name__: f for f in (p23_header_records, a22_holding_totals, p24_value_columns, w17_main_tables, p22_statement_pages, w16_section_scores, w16_page_spans, w15_logical_rows, a21_lot_totals, x1_price_pages, x2_price_replies, x3_price_tables, x4_land_prices)}
 
 _BODY = """
 li AS (SELECT l_orderkey AS doc_id, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, l_quantity AS q, l_extendedprice AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE 'A' END, l_quantity) AS rn FROM lineitem),
 rc AS (SELECT doc_id, (rn + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::INT AS row, CASE WHEN p % 5 > 0 THEN 'APT' || (p % 3) END AS type_bien, s || ' RUE' AS adresse, floor(q)::DOUBLE AS surface, s * 1000.0::DOUBLE * CASE WHEN p % 4 = 0 THEN -1 ELSE 1 END AS estimation_actuelle, CASE WHEN n % 2 > 0 THEN n::DOUBLE END AS capital_restant_du FROM li WHERE doc_id % 3 < 2)"""
 _PAGES = """
-pg AS (SELECT doc_id // 6 AS doc_id, (doc_id % 6 + 1)::INT AS page, doc_id % 7 AS t, doc_id % 4 AS c, n_chars % 5 AS score FROM documents),
-ti AS (SELECT doc_id, CASE t WHEN 0 THEN 'bilan_actif' WHEN 3 THEN 'bilan_passif' ELSE 'compte_resultat' END AS section, min(page) AS page FROM pg WHERE t IN (0, 3, 4) GROUP BY ALL),
+pg AS (SELECT doc_id // 6 AS doc_id, (doc_id % 6 + 1)::INT AS page, doc_id % 7 AS t, doc_id % 4 AS c, n_chars % 22 AS n, doc_id % 17 = 5 AS notes, doc_id AS d, n_chars AS chars FROM documents),
+ti AS (SELECT doc_id, CASE t WHEN 0 THEN 'bilan_actif' WHEN 3 THEN 'bilan_passif' ELSE 'compte_resultat' END AS section, min(page) AS page FROM pg WHERE t IN (0, 3, 4) AND NOT notes GROUP BY ALL),
 fr AS (SELECT * FROM pg ANTI JOIN ti USING (doc_id, page)),
-co AS (SELECT doc_id, CASE c WHEN 0 THEN 'bilan_actif' WHEN 1 THEN 'compte_resultat' ELSE 'bilan_passif' END AS section, min(page) AS page FROM fr WHERE t <> 1 AND (c = 1 OR c = 2 OR (c = 0 AND t = 2)) GROUP BY ALL),
+co AS (SELECT doc_id, CASE c WHEN 0 THEN 'bilan_actif' WHEN 1 THEN 'compte_resultat' ELSE 'bilan_passif' END AS section, min(page) AS page FROM fr WHERE t <> 1 AND NOT notes AND (c = 1 OR c = 2 OR (c = 0 AND t = 2)) GROUP BY ALL),
 st AS (SELECT * FROM ti UNION ALL SELECT * FROM co ANTI JOIN ti USING (doc_id, section))"""
 
+# what the pages say of each section, what their tables hold, and lines with numbers
+_SCORES = """
+tr AS (SELECT d, i AS idx, (chars + 3 * i) % 14 + 1 AS rows, unnest(range(1, (chars + 3 * i) % 14 + 2)) AS j FROM (SELECT d, chars, unnest(CASE WHEN d % 5 = 0 THEN [0, 1] ELSE [0] END) AS i FROM pg WHERE d % 3 = 0)),
+th AS (SELECT d, idx, rows, section, count(DISTINCT (j + idx) % 4) FILTER ((j + idx) % 4 = CASE section WHEN 'bilan_actif' THEN 0 WHEN 'bilan_passif' THEN 1 ELSE 2 END) AS hits FROM tr, (SELECT unnest(['bilan_actif', 'bilan_passif', 'compte_resultat']) AS section) GROUP BY ALL),
+tm AS (SELECT d, section, rows FROM th QUALIFY row_number() OVER (PARTITION BY d, section ORDER BY hits DESC, rows DESC, idx) = 1),
+ks AS (SELECT pg.*, section, CASE section WHEN 'bilan_actif' THEN (t = 2)::INT + (c = 0)::INT WHEN 'bilan_passif' THEN CASE c WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 0 END ELSE CASE WHEN c = 1 THEN 2 ELSE 0 END END AS said FROM pg, (SELECT unnest(['bilan_actif', 'bilan_passif', 'compte_resultat']) AS section)),
+sc AS (SELECT doc_id, ks.section, page, (CASE WHEN notes THEN -10 ELSE 2 * said + (n >= 8)::INT + (n >= 18)::INT + CASE WHEN tm.rows IS NULL THEN 0 ELSE 3 + least(tm.rows, 12) // 4 END END)::INT AS score FROM ks LEFT JOIN tm ON tm.d = ks.d AND tm.section = ks.section)"""
 _LAND = "(?i)(\\d{1,4}(?:\\s?\\d{3})*(?:[.,]\\d+)?)\\s*€\\s*/\\s*m[²2]"
 
 
@@ -122,14 +150,22 @@ SQL = {
       p AS (SELECT doc_id, t, max((k = 0 AND num)::INT) + max((k = 1 AND num)::INT) + max((k = 2 AND num)::INT) AS hits, sum(num::INT) AS numbers, sum(1 + num::INT + x::INT) AS filled FROM r GROUP BY ALL)
       SELECT doc_id, hits::INT AS hits, numbers::BIGINT AS numbers FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, numbers DESC, filled DESC, t) = 1""",
     "p22_statement_pages": f"WITH {_PAGES} SELECT * FROM st",
-    "w16_page_spans": f"""WITH RECURSIVE {_PAGES}, o AS (SELECT *, list_position(['bilan_actif', 'bilan_passif', 'compte_resultat'], section) AS k FROM st), n AS (SELECT a.*, (SELECT min(b.page) FROM o b WHERE b.doc_id = a.doc_id AND b.k > a.k) AS next FROM o a),
-      w AS (SELECT doc_id, section, page, next, page AS end_page FROM n UNION ALL SELECT w.doc_id, w.section, w.page, w.next, pg.page FROM w JOIN pg ON pg.doc_id = w.doc_id AND pg.page = w.end_page + 1 AND pg.score >= 2 AND pg.page <= w.page + 3 AND (w.next IS NULL OR pg.page < w.next))
+    "w16_section_scores": f"WITH {_PAGES}, {_SCORES} SELECT doc_id, section, page, score FROM sc",
+    "w16_page_spans": f"""WITH RECURSIVE {_PAGES}, {_SCORES}, o AS (SELECT *, list_position(['bilan_actif', 'bilan_passif', 'compte_resultat'], section) AS k FROM st), n AS (SELECT a.*, (SELECT min(b.page) FROM o b WHERE b.doc_id = a.doc_id AND b.k > a.k) AS next FROM o a),
+      w AS (SELECT doc_id, section, page, next, page AS end_page FROM n UNION ALL SELECT w.doc_id, w.section, w.page, w.next, sc.page FROM w JOIN sc ON sc.doc_id = w.doc_id AND sc.section = w.section AND sc.page = w.end_page + 1 AND sc.score >= 2 AND sc.page <= w.page + 3 AND (w.next IS NULL OR sc.page < w.next))
       SELECT doc_id, section, page, max(end_page) AS end_page FROM w GROUP BY ALL""",
-    "w15_carried_labels": f"""WITH r AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, CASE o_orderkey % 6 WHEN 0 THEN 'Actif immobilisé' WHEN 1 THEN 'Terrains' WHEN 2 THEN '' WHEN 3 THEN 'Charges d’exploitation' WHEN 4 THEN 'Ligne ' || (o_custkey % 3) || 'x' ELSE 'BILAN ACTIF' END AS label, CASE WHEN o_orderkey % 4 = 0 THEN floor(o_totalprice)::BIGINT END AS amount FROM orders),
-      g AS (SELECT *, count(amount) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp FROM r),
-      a AS (SELECT doc_id, grp, list(label ORDER BY pos) FILTER (amount IS NULL AND label <> '') AS w, max(pos) FILTER (amount IS NOT NULL) AS pos, max(label) FILTER (amount IS NOT NULL) AS label, max(amount) AS amount FROM g GROUP BY ALL),
-      t AS (SELECT *, coalesce(w, [])[greatest(len(coalesce(w, [])) - 2, 1):] AS tail FROM a WHERE amount IS NOT NULL), k AS (SELECT *, [x for x in tail if NOT list_contains({g.GENERIC_LABELS}, {canonical('x')})] AS named FROM t)
-      SELECT doc_id, pos, coalesce(nullif(label, ''), array_to_string(CASE WHEN len(named) > 0 THEN named ELSE tail[greatest(len(tail), 1):] END, ' ')) AS label, amount FROM k""",
+    "w15_logical_rows": """WITH i AS (SELECT l_orderkey AS doc_id, l_partkey % 13 AS k, l_suppkey AS s, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) AS pos FROM lineitem),
+      v AS (SELECT *, CASE k WHEN 2 THEN -1000.0 * s WHEN 4 THEN 1000.0 * s WHEN 8 THEN s WHEN 11 THEN 12 END::DOUBLE AS a, CASE k WHEN 2 THEN n WHEN 4 THEN n + 0.5 WHEN 6 THEN s WHEN 8 THEN n WHEN 10 THEN n WHEN 11 THEN 7 END::DOUBLE AS b,
+        CASE k WHEN 0 THEN 'Actif immobilisé' WHEN 1 THEN 'Emprunts' WHEN 2 THEN 'dont concours bancaires' WHEN 3 THEN 'du 01/01/2020 au 31/12/2020' WHEN 4 THEN '' WHEN 5 THEN '- à long terme' WHEN 6 THEN 'Dettes fournisseurs:' WHEN 7 THEN 'BRUT' WHEN 8 THEN 'Ligne ' || s || 'x' WHEN 9 THEN 'Terrains' WHEN 10 THEN '- divers' WHEN 11 THEN 'Total' ELSE '12 €' END AS label FROM i),
+      h AS (SELECT doc_id, count(a) > 0 AS ha, count(b) > 0 AS hb FROM v GROUP BY 1), y AS (SELECT doc_id, k, pos, label, a, b FROM v UNION ALL SELECT doc_id, -1, 0, 'Poste', 2021, 2020 FROM h),
+      r AS (SELECT y.doc_id, pos, k, label, CASE WHEN ha THEN a WHEN hb THEN b END AS n, CASE WHEN hb THEN b ELSE a END AS n1 FROM y JOIN h USING (doc_id)),
+      g AS (SELECT *, n IS NOT NULL OR n1 IS NOT NULL AS amount, count(*) FILTER (n IS NOT NULL OR n1 IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp FROM r),
+      w AS (SELECT doc_id, grp, list(label ORDER BY pos) FILTER (NOT amount AND k NOT IN (3, 7)) AS waits, max(pos) FILTER (amount) AS pos, max(label) FILTER (amount) AS label, max(n) FILTER (amount) AS n, max(n1) FILTER (amount) AS n1 FROM g GROUP BY ALL),
+      t AS (SELECT *, coalesce(len(waits), 0) AS m, [x for x in waits[-3:] if x <> 'Actif immobilisé'] AS named FROM w WHERE pos IS NOT NULL),
+      c AS (SELECT *, CASE WHEN m = 0 THEN '' WHEN len(named) = 0 THEN waits[-1] WHEN len(named) >= 2 AND starts_with(named[-1], '-') THEN named[-2] || ' ' || named[-1] ELSE array_to_string(named, ' ') END AS said FROM t),
+      f AS (SELECT doc_id, pos AS place, m > 0 AND (label = '' OR label LIKE '-%' OR label LIKE 'dont %') AS rebuilt, CASE WHEN m > 0 AND label = '' THEN said WHEN m > 0 AND (label LIKE '-%' OR label LIKE 'dont %') THEN said || ' ' || label ELSE label END AS label, n, n1 FROM c),
+      o AS (SELECT * FROM f WHERE label <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, label, n, n1 ORDER BY place) = 1)
+      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS pos, label, n, n1, rebuilt FROM o""",
     "a21_lot_totals": """WITH r AS (SELECT l_suppkey AS project_id, 'L' || l_orderkey || '-' || l_linenumber AS lot, l_quantity::BIGINT AS area, floor(l_extendedprice)::BIGINT AS price, l_partkey % 1000 AS deposit FROM lineitem)
       SELECT * FROM r UNION ALL SELECT project_id, 'Total', sum(area)::BIGINT, sum(price)::BIGINT, sum(deposit)::BIGINT FROM r GROUP BY 1""",
     "x1_price_pages": f"""WITH o AS (SELECT o_orderkey, nullif(o_custkey % 120, 0) AS a, CASE o_orderkey % 5 WHEN 0 THEN 'Bien : ' || (3000 + o_custkey) || ' €/m² environ' WHEN 1 THEN 'prix au m2 : 4 ' || (100 + o_custkey % 900) || ' €' WHEN 2 THEN '12 € / m² ; basse 2' || (10 + o_custkey % 90) || ' 000 € moyenne 300 000 € haute : 350 500 €' WHEN 3 THEN 'rien' ELSE 'estimation haute 99 € puis haut de 1' || (100000 + o_custkey) || ' €' END AS page FROM orders),

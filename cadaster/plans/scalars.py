@@ -9,11 +9,11 @@ from cadaster.sources.views import table
 
 # texts of many shapes, made from keys alike in both dialects
 _NAMES = """CASE o_orderkey % 9 WHEN 0 THEN '0. Opérateur' WHEN 1 THEN 'X. Société_Emprunteuse 12' WHEN 2 THEN ' 10) Bilan-Été  2' WHEN 3 THEN '1.2 plan' WHEN 4 THEN 'Audit2023'
- WHEN 5 THEN '1. 2. x' WHEN 6 THEN '' WHEN 7 THEN 'ÇA-VA_Très bien' ELSE o_orderpriority END || CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' 7' ELSE '.pdf' END"""
+ WHEN 5 THEN '\u00a01.\u00a0x\u202fbilan\u00a02020' WHEN 6 THEN '' WHEN 7 THEN 'ÇA-VA_Très bien' ELSE o_orderpriority END || CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' 7' ELSE '.pdf' END"""
 _PATHS = """CASE o_orderkey % 8 WHEN 0 THEN '2. Audit /1. Opérateur/3. RH/Dupont/' WHEN 1 THEN 'Audit/Opérateur/Ressources Humaines/' WHEN 2 THEN 'Audit/X - Old/RH/Paul/'
  WHEN 3 THEN 'Société Emprunteuse/' WHEN 4 THEN 'rh/Archives/' WHEN 5 THEN 'A/3. RH/Marie Anne/Pièces/' WHEN 6 THEN 'Opérateur\\\\RH\\\\Luc\\\\' ELSE '' END || 'Doc ' || (o_custkey % 4) || '.pdf'"""
-_STREETS = """(o_custkey % 12) || CASE o_orderkey % 6 WHEN 0 THEN ' Rue de la Paix' WHEN 1 THEN ' bd du Général Leclerc' WHEN 2 THEN ', RÉSIDENCE l''Étoile' WHEN 3 THEN ' avenue' WHEN 4 THEN ' Chemin St-Jean' ELSE ' place Ste Anne 75002 Paris' END"""
-_AMOUNTS = """CASE o_orderkey % 9 WHEN 0 THEN '530 000 €' WHEN 1 THEN '(12000)' WHEN 2 THEN 'APT' WHEN 3 THEN '1.234,56' WHEN 4 THEN '12,5 %' WHEN 5 THEN '1 234.5'
+_STREETS = """(o_custkey % 12) || CASE o_orderkey % 6 WHEN 0 THEN '\u00a0Rue de la\u202fPaix' WHEN 1 THEN ' bd du Général\u00a0Leclerc' WHEN 2 THEN ', RÉSIDENCE l''Étoile' WHEN 3 THEN ' avenue' WHEN 4 THEN ' Chemin St-Jean' ELSE ' place Ste Anne 75002 Paris' END"""
+_AMOUNTS = """CASE o_orderkey % 9 WHEN 0 THEN '530\u00a0000\u202f€' WHEN 1 THEN '(12000)' WHEN 2 THEN 'APT' WHEN 3 THEN '1.234,56' WHEN 4 THEN '12,5 %' WHEN 5 THEN '1\u202f234,50 €'
  WHEN 6 THEN '2,500' WHEN 7 THEN '' ELSE '' || o_custkey || ',' || (o_orderkey % 100) END"""
 _DAYS = """CASE o_orderkey % 7 WHEN 0 THEN '2024-03-0' || (1 + o_custkey % 9) WHEN 1 THEN '1' || (o_custkey % 9) || '/02/1999' WHEN 2 THEN '31/02/2020' WHEN 3 THEN '2020-05' WHEN 4 THEN '07/1980'
  WHEN 5 THEN 'du 01/01/22 au 31-12-2' || (o_custkey % 9) ELSE 'clos le 30/06/71' END"""
@@ -170,8 +170,13 @@ QUERIES = {f.__name__: f for f in (
 # --- the same in DuckDB ---------------------------------------------------------------------------
 
 
+def blanks(x: str) -> str:
+    """No-break blanks as plain ones."""
+    return f"translate({x}, chr(160) || chr(8239), '  ')"
+
+
 def canonical(x: str) -> str:
-    t = f"translate(strip_accents(lower(trim({x}))), '_-', '  ')"
+    t = f"translate(strip_accents(lower(trim({blanks(x)}))), '_-', '  ')"
     t = f"regexp_replace({t}, '^\\s*(?:\\d+|x)\\s*[.)](?:\\s+|([^\\d\\s])|$)', '\\1')"
     return f"trim(regexp_replace(regexp_replace({t}, '\\s+\\d+\\s*$', ''), '\\s+', ' ', 'g'))"
 
@@ -189,7 +194,7 @@ def stem(x: str) -> str:
 
 
 def ascii_words(x: str) -> str:
-    return f"regexp_replace(lower(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]+', '', 'g')), '[^a-z0-9]+', ' ', 'g')"
+    return f"regexp_replace(lower(regexp_replace(strip_accents({blanks(x)}), '[^\\x00-\\x7F]+', '', 'g')), '[^a-z0-9]+', ' ', 'g')"
 
 
 def parts(x: str) -> str:
@@ -207,7 +212,7 @@ def _orders_sql(expression: str) -> str:
 _ARCHIVED = f"len([p for p in {parts('t')} if list_contains({text.ARCHIVE_WORDS}, lower(trim(p))) OR list_contains({text.ARCHIVE_NAMES}, {canonical('p')})]) > 0"
 _TO_NUMBER = "try_cast({} AS DOUBLE)"
 _BARE = "regexp_replace({}, '[\\s\\x{{a0}}\\x{{202f}}{}]', '', 'g')"
-_P = "regexp_replace(regexp_extract(t, '\\d[\\d\\s.,]*'), '[^\\d.,]', '', 'g')"
+_P = "regexp_replace(regexp_extract(t, '\\d[\\d\\s\\x{a0}\\x{202f}.,]*'), '[^\\d.,]', '', 'g')"
 
 
 def _likeness(a: str, b: str) -> str:
