@@ -9,71 +9,89 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadaster.functions import numbers, text
+from cadaster.functions import labels, numbers, text
 
 TABLES = ["actif", "passif", "compte_resultat"]
 
-#: For each table and canonical key, labels that stand for its total, and labels of its details.
-#: entries() adds the forms that follow from these. A caller with more labels passes a dictionary table of its own.
+#: For each table and canonical key, labels that stand for its total, and labels of its details, some as
+#: statements misspell them. A label ending in ` +` also stands with `total` before it. A caller with other labels passes a dictionary table of its own.
 LABELS = {
     "actif": {
-        "immobilisations_corporelles": (["immobilisations corporelles"], ["terrains", "constructions", "installations techniques", "materiel et outillage", "materiel", "autres immobilisations corporelles", "avances et acomptes sur immobilisations corporelles"]),
-        "immobilisations_financieres": (["immobilisations financieres"], ["participations", "autres participations", "creances rattachees a des participations", "autres titres immobilises", "prets", "autres immobilisations financieres"]),
-        "stocks": (["stocks", "stocks et en cours"], ["matieres premieres", "en cours de production", "produits intermediaires et finis", "marchandises"]),
-        "creances": (["creances"], []),
+        "autres_actif_residuel": (
+            ["immobilisations incorporelles +", "capital souscrit non appele", "avances et acomptes verses sur commandes"],
+            ["frais d establissement", "frais de recherche et developpement", "concessions brevets licences marques procedes", "fonds commercial", "capital souscrit appele non verse"],
+        ),
+        "immobilisations_corporelles": (
+            ["immobilisations corporelles +"],
+            ["terrains", "constructions", "installations techniques materiel et outillage industriels", "installations techniques", "materiel et outillage", "materiel", "autres immobilisations corporelles", "immobilisations corporelles en cours", "avances et acomptes sur immobilisations corporelles"],
+        ),
+        "immobilisations_financieres": (
+            ["immobilisations financieres +"],
+            ["participations", "autres participations", "participations evaluees par mise en equivalence", "creances rattachees a des participations", "autres titres immobilises", "prets", "autres immobilisations financieres"],
+        ),
+        "stocks": (["stocks", "stocks et en cours +"], ["matieres premieres et autres approvisionnements", "matieres premieres", "en cours de production", "en cours de production de biens", "en cours de production de services", "produits intermediaires et finis", "marchandises"]),
+        "creances": (["creances +"], []),
         "creances_clients": (["creances clients", "clients et comptes rattaches", "clients"], []),
-        "autres_creances": (["autres creances"], ["personnel", "etat et autres collectivites publiques", "securite sociale et autres organismes sociaux", "impots sur les benefices", "taxes sur la valeur ajoutee", "fournisseurs debiteurs avances et acomptes"]),
+        "autres_creances": (
+            ["autres creances"],
+            ["personnel", "etat et autres collectivites publiques", "securite sociale et autres organismes sociaux", "impots sur les benefices", "taxe sur la valeur ajoutee", "autres creances diverses", "fournisseurs debiteurs avances et acomptes"],
+        ),
         "tresorerie": (["tresorerie"], []),
-        "disponibilites": (["disponibilites"], ["banques", "caisse"]),
+        "disponibilites": (["disponibilites"], []),
         "vmp": (["valeurs mobilieres de placement", "vmp"], []),
         "charges_constatees_avance": (["charges constatees d avance"], []),
-        "autres_actif_residuel": (
-            ["immobilisations incorporelles", "capital souscrit non appele", "avances et acomptes verses sur commandes"],
-            ["frais d etablissement", "frais de recherche et de developpement", "concessions brevets licences marques procedes", "fonds commercial", "capital souscrit appele non verse"],
-        ),
         "total_actif": (["total actif", "total general actif", "total general"], []),
     },
     "passif": {
         "capital_social": (["capital social", "capital individuel", "capital"], []),
-        "resultat_exercice": (["resultat de l exercice", "resultat", "resultat net", "benefice", "perte"], []),
-        "capitaux_propres": (["capitaux propres"], []),
-        "capitaux_propres_detail": ([], ["primes d emission", "primes d apport", "primes de fusion scission", "ecarts de reevaluation", "reserve legale", "reserves", "autres reserves", "reserves reglementees", "report a nouveau", "subventions d investissement", "provisions reglementees"]),
-        "provisions_pour_risques": (["provisions pour risques", "provisions", "provisions pour risques et charges"], []),
+        "capitaux_propres_detail": (
+            [],
+            ["primes d emission", "primes d apport", "primes de fusion scission", "ecarts de revaluation", "reserve legale", "reserves statutaires et contractuelles", "reserves reglementees", "autres reserves", "reserves", "report a nouveau", "subventions d investissement", "provisions reglementees"],
+        ),
+        "resultat_exercice": (["resultat de l exercice", "resultat de exercice", "resultat exercice", "benefice", "perte", "resultat", "resultat net"], []),
+        "capitaux_propres": (["capitaux propres +"], []),
+        "provisions_pour_risques": (["provisions pour risques", "provisions +", "provisions pour risques et charges"], []),
         "provisions_pour_charges": (["provisions pour charges"], []),
-        "dettes_bancaires": (["dettes bancaires", "emprunts bancaires", "emprunts aupres des etablissements de credit", "emprunts et dettes aupres des etablissements de credit"], []),
-        "autres_dettes_financieres": (["autres dettes financieres", "comptes courants d associes", "comptes courants", "cca", "emprunts et dettes financieres divers", "emprunts et dettes financieres diverses"], ["emprunts obligataires", "emprunts obligataires convertibles", "autres emprunts obligataires"]),
-        "dettes_financieres": (["dettes financieres"], []),
+        "dettes_bancaires": (["emprunts et dettes aupres des etablissements de credit", "emprunts bancaires", "dettes bancaires", "emprunts aupres des etablissements de credit"], []),
+        "autres_dettes_financieres": (
+            ["comptes courants d associes", "comptes courants associes", "comptes courants", "cca", "autres dettes financieres", "emprunts et dettes financieres divers", "emprunts et dettes financieres diverses"],
+            ["emprunts obligataires convertibles", "emprunts obligataires", "autres emprunts obligataires"],
+        ),
+        "dettes_financieres": (["dettes financieres +"], []),
         "fournisseurs": (["fournisseurs", "fournisseurs et comptes rattaches", "dettes fournisseurs"], []),
-        "dettes_fiscales_sociales": (["dettes fiscales et sociales"], ["dettes sociales", "dettes fiscales"]),
-        "dettes_exploitation": (["dettes d exploitation"], []),
-        "dettes_diverses": (["autres dettes", "dettes diverses"], []),
+        "dettes_fiscales_sociales": (["dettes fiscales et sociales", "dettes fiscales sociales"], ["dettes sociales", "dettes fiscales"]),
+        "dettes_exploitation": (["dettes exploitation", "total dettes d exploitation"], []),
         "autres_passif_residuel": (["dettes sur immobilisations", "dettes sur immobilisations et comptes rattaches"], []),
+        "dettes_diverses": (["autres dettes", "dettes diverses"], []),
         "produits_constates_avance": (["produits constates d avance"], []),
         "total_passif": (["total passif", "total general passif", "total general"], []),
     },
     "compte_resultat": {
-        "chiffre_affaires": (["chiffre d affaires", "chiffre d affaires net", "montant net du chiffre d affaires", "ca"], ["ventes de marchandises", "production vendue", "production vendue de biens", "production vendue de services"]),
+        "chiffre_affaires": (["chiffre d affaires", "chiffre d affaires net", "montant net du chiffre d affaires", "ca"], ["ventes de marchandises", "production vendue de biens", "production vendue de services", "production vendue"]),
         "production_stockee": (["production stockee"], ["production immobilisee"]),
-        "subventions_exploitation": (["subventions d exploitation"], []),
-        "reprises_exploitation": (["reprises sur amortissements et provisions", "reprises sur amortissements et provisions transferts de charges", "reprises sur depreciations et provisions"], ["transferts de charges"]),
-        "autres_produits_exploitation": (["autres produits", "autres produits d exploitation"], []),
-        "charges": (["charges d exploitation"], []),
-        "achats_marchandises": (["achats de marchandises"], []),
-        "variation_stock_marchandises": (["variation de stock de marchandises", "variation des stocks de marchandises"], []),
-        "achats_matieres_premieres": (["achats de matieres premieres", "achats de matieres et autres approvisionnements"], []),
-        "variation_stock_matieres_premieres": (["variation de stock de matieres premieres", "variation des stocks de matieres premieres et approvisionnements"], []),
-        "autres_charges_externes": (["autres achats et charges externes", "achats et charges externes", "achats et approvisionnements", "charges externes"], []),
+        "subventions_exploitation": (["subventions d exploitation", "subventions d exploitation recues"], []),
+        "reprises_exploitation": (
+            ["reprise sur amortissements et provisions transfert de charges", "reprise sur amortissements et provisions transferts de charges", "reprise sur amortissements et provisions", "reprises sur depreciations et provisions"],
+            ["transferts de charges"],
+        ),
+        "autres_produits_exploitation": (["autres produits", "autres produits d exploitation", "autres produits exploitation"], []),
+        "achats_marchandises": (["achats de marchandises", "achats marchandises"], []),
+        "variation_stock_marchandises": (["variation de stock de marchandises", "variation des stocks de marchandises", "variation de stock marchandises"], []),
+        "achats_matieres_premieres": (["achats de matieres et autres approvisionnements", "achats de matieres premieres", "achats de maties premieres et autres approvisionnements"], []),
+        "autres_charges_externes": (["achats et approvisionnements", "autres achats et charges externes", "autres achats charges externes", "charges externes", "achats et charges externes"], []),
+        "variation_stock_matieres_premieres": (["variation de stock de matieres premieres et approvisionnements", "variation des stocks de matieres premieres et approvisionnements", "variation de stock matieres premieres"], []),
         "salaires": (["salaires et traitements", "salaires", "remunerations du personnel"], []),
         "charges_sociales": (["charges sociales", "charges sociales du personnel"], []),
-        "impots_taxes": (["impots et taxes", "impots taxes et versements assimiles", "impots et versements assimiles"], []),
-        "dotations_amortissements": (["dotations aux amortissements", "dotations aux amortissements sur immobilisations"], []),
+        "impots_taxes": (["impots taxes et versements assimiles", "impots et taxes", "impots et versements assimiles"], []),
+        "dotations_amortissements": (["dotations aux amortissements sur immobilisations", "dotations aux amortissements", "dotations amortissements"], []),
         "dotations_provisions": (["dotations aux provisions", "dotations aux depreciations"], []),
-        "dotations": (["dotations", "dotations d exploitation", "dotations aux amortissements et provisions", "dotations aux amortissements depreciations et provisions"], []),
-        "autres_charges_exploitation": (["autres charges", "autres charges d exploitation"], []),
-        "resultat_exploitation": (["resultat d exploitation"], []),
+        "dotations": (["dotations aux amortissements et provisions", "dotations aux amortissements depreciations et provisions", "dotations d exploitation", "dotations"], []),
+        "autres_charges_exploitation": (["autres charges", "autres charges d exploitation", "autres charges exploitation"], []),
+        "charges": (["charges d exploitation +", "total des charges d exploitation"], []),
+        "resultat_exploitation": (["resultat d exploitation", "resultat exploitation"], []),
         "operations_en_commun": (["operations en commun"], []),
-        "resultat_financier": (["resultat financier"], []),
         "resultat_courant_avant_impots": (["resultat courant avant impots"], []),
+        "resultat_financier": (["resultat financier"], []),
         "resultat_exceptionnel": (["resultat exceptionnel"], []),
         "impots_sur_les_societes": (["impots sur les benefices", "impots sur les societes", "is"], []),
         "participation_salaries": (["participation des salaries aux resultats", "participation des salaries aux resultats de l entreprise"], []),
@@ -82,10 +100,13 @@ LABELS = {
 }
 #: Labels of sections, which stand for no key.
 SECTIONS = {
-    "actif": ["actif immobilise", "actif circulant"],
-    "passif": ["dettes", "dettes divers"],
-    "compte_resultat": ["produits", "charges", "produits d exploitation", "produits financiers", "charges financieres", "produits exceptionnels", "charges exceptionnelles"],
-}
+    "actif": ["actif immobilise +", "actif circulant +"],
+    "passif": ["dettes +", "total dettes divers"],
+    "compte_resultat": [
+        "produits d exploitation +", "produits financiers", "charges financieres", "total des produits financiers", "total des charges financieres", "produits exceptionnels", "charges exceptionnelles",
+        "total des produits exceptionnels", "total des charges exceptionnelles", "total des produits", "total des charges",
+    ],
+}
 
 #: Metrics that are sums of keys; a minus sign subtracts.
 COMPONENTS = {
@@ -103,26 +124,21 @@ COMPONENTS = {
 #: Metrics that an answer `bilan_<metric>_<n or n1>` gives where no line does.
 ANSWERED = ["immobilisations_corporelles", "immobilisations_financieres", "stocks", "capital_social", "resultat_exercice", "capitaux_propres", "dettes_diverses", "dettes_bancaires", "chiffre_affaires"]
 ASSETS = ["immobilisations_corporelles", "immobilisations_financieres", "stocks", "creances_clients", "autres_creances", "disponibilites", "vmp", "charges_constatees_avance", "autres_actif_residuel"]
-LIABILITIES = ["capitaux_propres", "dettes_bancaires", "autres_dettes_financieres", "fournisseurs", "dettes_fiscales_sociales", "dettes_diverses", "provisions_pour_risques", "produits_constates_avance"]
-EXPENSES = ["achats_marchandises", "autres_charges_externes", "salaires", "charges_sociales", "impots_taxes", "dotations_amortissements"]
+LIABILITIES = ["capitaux_propres", "dettes_bancaires", "autres_dettes_financieres", "fournisseurs", "dettes_fiscales_sociales", "dettes_diverses", "provisions_pour_risques", "provisions_pour_charges", "produits_constates_avance", "autres_passif_residuel"]
+EXPENSES = ["achats_marchandises", "variation_stock_marchandises", "achats_matieres_premieres", "variation_stock_matieres_premieres", "autres_charges_externes", "salaires", "charges_sociales", "impots_taxes", "dotations_amortissements", "dotations_provisions", "autres_charges_exploitation"]
+#: Lines that the identities of results need beside those.
+RESULTS = ["resultat_financier", "operations_en_commun", "resultat_exceptionnel", "impots_sur_les_societes", "participation_salaries"]
 CRITICAL = ["total_actif", "total_passif", "chiffre_affaires", "charges", "resultat_exploitation", "resultat_courant_avant_impots", "resultat_net"]
 TOLERANCE = 0.05
 
 
-def _forms(label: str) -> list[str]:
-    """A total's label and what follows from it: with `total` before it, and with its small words left out."""
-    short = " ".join(w for w in label.split() if w not in ("d", "l", "de", "des", "du", "et"))
-    return [label, *(f"{t} {label}" for t in ("total", "total des") if not label.startswith("total")), short]
-
-
 def entries() -> list[tuple[str, int, str, str | None, bool]]:
     """(table, order, label key, canonical key, is total) of the default dictionary; the first of equal labels counts."""
     out = []
     for table, keys in LABELS.items():
-        given = [(label, key, total) for key, both in keys.items() for total, labels in zip((True, False), both, strict=True) for label in labels]
-        given += [(label, None, True) for label in SECTIONS[table]]
-        follow = [(form, key, True) for label, key, total in given if total for form in _forms(label)[1:]]
-        rows = {label.replace(" ", ""): (key, total) for label, key, total in reversed(given + follow)}
+        given = [(label, key, total) for key, both in keys.items() for total, labels in zip((True, False), both, strict=True) for label in labels] + [(label, None, True) for label in SECTIONS[table]]
+        forms = [(form, key, total) for label, key, total in given for form in ([label[:-2], f"total {label[:-2]}"] if label.endswith(" +") else [label])]
+        rows = {label.replace(" ", ""): (key, total) for label, key, total in reversed(forms)}
         out += [(table, i, label, key, total) for i, (label, (key, total)) in enumerate(reversed(rows.items()))]
     return out
 
@@ -143,19 +159,36 @@ def label_key(label: Column) -> Column:
     return F.regexp_replace(text.canonical_name(F.translate(label, "'’", "  ")), " ", "")
 
 
+#: Letters that a label and a dictionary entry that it contains share; shorter entries are found only as they are.
+GRAM = 6
+
+
+def _grams(key: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(key, F.lit(f"(?=(.{{{GRAM}}}))"), 1))
+
+
+def gram_index(words: DataFrame) -> DataFrame:
+    """The dictionary's entries of GRAM letters or more with a key, each under the one of its grams that fewest entries have."""
+    parts = words.where(f"key IS NOT NULL AND length(label_key) >= {GRAM}").select("table_type", F.col("label_key").alias("part"), F.col("rank").alias("part_rank"), F.col("key").alias("part_key"), F.col("is_total").alias("part_total"))
+    each = parts.select("table_type", "part", "part_rank", F.explode(_grams(F.col("part"))).alias("gram"))
+    shared = each.groupBy("table_type", "gram").agg(F.count("*").alias("n"))
+    rarest = each.join(shared, ["table_type", "gram"]).groupBy("table_type", "part_rank").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return parts.join(rarest, ["table_type", "part_rank"])
+
+
 def map_labels(lines: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds key and is_total by the dictionary: an equal label, else the longest one, of six letters at least, that the label contains.
+    """Adds key and is_total by the dictionary: an equal label, else the longest one, of GRAM letters at least, that the label contains.
 
-    The dictionary is a list of words: it is broadcast where it has MOST_WORDS entries at most; labels
-    are mapped once each, not once a line.
+    A label meets the entries whose rarest gram it has: an equi-join, at any size of the dictionary. A
+    dictionary of MOST_WORDS entries at most is broadcast. Labels are mapped once each, not once a line.
     """
-    words = small(words, MOST_WORDS)
-    labels = lines.select("table_type", "poste").distinct().withColumn("label_key", label_key(F.col("poste")))
-    exact = labels.join(words, ["table_type", "label_key"], "left").withColumn("exact", F.col("rank").isNotNull())
+    few = words.limit(MOST_WORDS + 1).count() <= MOST_WORDS
+    marked = F.broadcast if few else lambda rows: rows
+    given = lines.select("table_type", "poste").distinct().withColumn("label_key", label_key(F.col("poste")))
+    exact = given.join(marked(words), ["table_type", "label_key"], "left").withColumn("exact", F.col("rank").isNotNull())
     open_ = exact.where("NOT exact").select("table_type", "poste", "label_key")
-    longest = words.where("key IS NOT NULL AND length(label_key) >= 6").withColumnRenamed("label_key", "part")
-    near = open_.join(longest, "table_type").where(F.contains(F.col("label_key"), F.col("part")))
-    best = near.groupBy("table_type", "poste").agg(F.max_by(F.struct("key", "is_total"), F.struct(F.length("part"), -F.col("rank"))).alias("m")).select("table_type", "poste", F.col("m.key").alias("near_key"), F.col("m.is_total").alias("near_total"))
+    near = open_.withColumn("gram", F.explode(_grams(F.col("label_key")))).join(marked(gram_index(words)), ["table_type", "gram"]).where(F.contains(F.col("label_key"), F.col("part")))
+    best = near.groupBy("table_type", "poste").agg(F.max_by(F.struct("part_key", "part_total"), F.struct(F.length("part"), -F.col("part_rank"))).alias("m")).select("table_type", "poste", F.col("m.part_key").alias("near_key"), F.col("m.part_total").alias("near_total"))
     known = exact.join(best, ["table_type", "poste"], "left").select(
         "table_type", "poste", F.when(F.col("exact"), F.col("key")).otherwise(F.col("near_key")).alias("key"), F.when(F.col("exact"), F.col("is_total")).otherwise(F.col("near_total")).alias("is_total"))
     return lines.join(known, ["table_type", "poste"], "left")
@@ -215,7 +248,7 @@ def metrics(lines: DataFrame, answers: DataFrame | None = None) -> DataFrame:
 
 def by_key(lines: DataFrame) -> DataFrame:
     """company, period and one column per key that the checks need."""
-    wanted = sorted({*ASSETS, *LIABILITIES, *EXPENSES, *CRITICAL, "resultat_financier", "resultat_exceptionnel", "impots_sur_les_societes"})
+    wanted = sorted({*ASSETS, *LIABILITIES, *EXPENSES, *CRITICAL, *RESULTS})
     long = lines.select("company", "key", F.explode(F.array(*(F.struct(F.lit(p).alias("period"), F.col(p).alias("v")) for p in ("n", "n1")))).alias("x")).select("company", "key", "x.*")
     return long.groupBy("company", "period").agg(*(F.max(F.when(F.col("key") == k, F.col("v"))).alias(k) for k in wanted))
 
@@ -234,8 +267,8 @@ def checks(lines: DataFrame) -> DataFrame:
         ("exploitation", c("chiffre_affaires") - expenses, c("resultat_exploitation"), F.greatest(F.abs(c("resultat_exploitation")), F.lit(1.0)),
          (expenses > 0) & (F.abs(c("resultat_exploitation")) > 0) & (F.abs(c("chiffre_affaires") - c("charges") - c("resultat_exploitation")) / F.greatest(F.abs(c("resultat_exploitation")), F.lit(1.0)) > TOLERANCE)),
         ("charges", expenses, c("charges"), F.abs(c("charges")), (c("charges") > 0) & (expenses > 0)),
-        ("courant", c("resultat_exploitation") + c("resultat_financier"), c("resultat_courant_avant_impots"), F.greatest(F.abs(c("resultat_courant_avant_impots")), F.lit(1.0)), F.lit(True)),
-        ("net", c("resultat_courant_avant_impots") + c("resultat_exceptionnel") - c("impots_sur_les_societes"), c("resultat_net"), F.greatest(F.abs(c("resultat_net")), F.lit(1.0)), F.lit(True)),
+        ("courant", c("resultat_exploitation") + c("resultat_financier") + F.coalesce("operations_en_commun", F.lit(0.0)), c("resultat_courant_avant_impots"), F.greatest(F.abs(c("resultat_courant_avant_impots")), F.lit(1.0)), F.lit(True)),
+        ("net", c("resultat_courant_avant_impots") + c("resultat_exceptionnel") - c("impots_sur_les_societes") - F.coalesce("participation_salaries", F.lit(0.0)), c("resultat_net"), F.greatest(F.abs(c("resultat_net")), F.lit(1.0)), F.lit(True)),
         ("croise", c("total_actif"), c("total_passif"), F.greatest(F.abs(c("total_actif")), F.abs(c("total_passif")), F.lit(1.0)), F.lit(True)),
     ]
     found = F.array(*(F.struct(F.lit(n).alias("check"), a.alias("lhs"), b.alias("rhs"), F.when(ok, F.abs(a - b) / by).alias("gap")) for n, a, b, by, ok in rows))
@@ -243,29 +276,99 @@ def checks(lines: DataFrame) -> DataFrame:
 
 
 def quality(lines: DataFrame, failed: DataFrame) -> DataFrame:
-    """company, score, reasons, retry: how far a company's answers can be trusted."""
+    """company, score, errors, reasons, retry: how far a company's answers can be trusted.
+
+    A check across both sides of the balance sheet is an error of both tables.
+    """
     raw, key = F.startswith("key", F.lit("raw_unmatched_")), F.col("key")
     per = lines.groupBy("company", "table_type").agg(
         F.count_if(~raw).alias("mapped"), F.count_if(raw).alias("raw"), F.count_if(F.coalesce("n", "n1").isNotNull()).alias("filled"), F.count_if(key.isin(CRITICAL)).alias("critical"),
         F.count_if(numbers.suspicious(F.col("n")) | numbers.suspicious(F.col("n1"))).alias("suspicious"))
-    reason = F.array_compact(F.array(
-        F.when((F.col("mapped") == 0) & (F.col("filled") > 0), F.concat("table_type", F.lit(": non mappé"))), F.when(F.col("raw") >= F.greatest(F.lit(2), F.col("mapped")), F.concat("table_type", F.lit(": trop de lignes brutes"))),
-        F.when(F.col("suspicious") > 0, F.concat("table_type", F.lit(": montants suspects")))))
+    said = (
+        ((F.col("mapped") == 0) & (F.col("filled") > 0), "lignes chiffrées non mappées"), (F.col("raw") >= F.greatest(F.lit(2), F.col("mapped")), "trop de lignes brutes non mappées"), (F.col("suspicious") > 0, "montants suspects ou concaténés"),
+    )
+    place = F.array_position(F.lit(TABLES), F.col("table_type"))
+    reason = F.array_compact(F.array(*(F.when(is_so, F.struct(place.alias("place"), F.lit(i).alias("i"), F.concat("table_type", F.lit(f": {words}")).alias("said"))) for i, (is_so, words) in enumerate(said))))
     points = F.least(F.col("mapped"), F.lit(8)) + 3 * F.col("critical") - 4 * F.col("raw") - 8 * F.col("suspicious")
-    total = per.withColumns({"points": points, "reason": reason}).groupBy("company").agg(F.sum("points").alias("points"), F.array_sort(F.flatten(F.collect_list("reason"))).alias("reasons"))
-    errors = failed.groupBy("company").agg(F.count("*").alias("errors"))
+    total = per.withColumns({"points": points, "reason": reason}).groupBy("company").agg(F.sum("points").alias("points"), F.transform(F.array_sort(F.flatten(F.collect_list("reason"))), lambda x: x["said"]).alias("told"))
+    errors = failed.groupBy("company").agg(F.sum(F.when(F.col("check") == "croise", 2).otherwise(1)).alias("errors"))
     rows = total.join(errors, "company", "left").withColumn("errors", F.coalesce("errors", F.lit(0))).withColumn("score", F.col("points") - 6 * F.col("errors"))
-    serious = F.exists("reasons", lambda r: F.contains(r, F.lit("suspects")) | F.contains(r, F.lit("non mapp")))
-    return rows.select("company", "score", "errors", F.array_join("reasons", " ; ").alias("reasons"), ((F.col("score") < 12) | (F.col("errors") > 0) | serious).alias("retry"))
+    more = F.array_compact(F.array(F.when(F.col("errors") > 0, F.concat(F.col("errors").cast("string"), F.lit(" incohérence(s) comptable(s) détectée(s)"))), F.when(F.col("score") < 12, F.lit("score global trop faible"))))
+    return rows.select("company", "score", "errors", F.array_join(F.concat("told", more), " ; ").alias("reasons"), ((F.col("score") < 12) | (F.col("errors") > 0) | (F.size("told") > 0)).alias("retry"))
+
+
+#: The answers about accounts that a better set replaces.
+ACCOUNT_FIELDS = ["bilan_societe_nom", "bilan_date_arrete_n", "bilan_date_arrete_n1", "bilan_actif_table", "bilan_passif_table", "bilan_compte_resultat_table"]
 
 
 def better(first: DataFrame, second: DataFrame, scores: DataFrame) -> DataFrame:
-    """Answers (company, field, value) of the better-scored set; the second replaces only where it has something to say.
+    """The first set of answers (company, field, value); where the second is scored better, its answers about accounts that say something take their place.
 
     scores: company, first_score, second_score.
     """
-    both = first.withColumnRenamed("value", "v1").join(second.withColumnRenamed("value", "v2"), ["company", "field"], "full_outer").join(scores, "company", "left")
-    return both.select("company", "field", F.when((F.col("second_score") > F.col("first_score")) & F.col("v2").isNotNull(), F.col("v2")).otherwise(F.col("v1")).alias("value"))
+    wins = scores.where("second_score > first_score").select("company")
+    own = second.where(F.col("field").isin(ACCOUNT_FIELDS) & labels.meaningful(F.col("value"))).join(wins, "company", "left_semi").select("company", "field", F.col("value").alias("v2"), F.lit(True).alias("told"))
+    return first.join(own, ["company", "field"], "full_outer").select("company", "field", F.when(F.coalesce("told", F.lit(False)), F.col("v2")).otherwise(F.col("value")).alias("value"))
+
+
+#: The lines of the reports, each a label and its metric.
+ASSET_LINES = (
+    ("Immobilisations corporelles", "immobilisations_corporelles"), ("Immobilisations financières", "immobilisations_financieres"), ("Stocks", "stocks"), ("Créances", "creances"), ("Trésorerie", "tresorerie"), ("Autres éléments d'actif", "autres_actif"),
+)
+EQUITY_LINES = (("Capital social", "capital_social"), ("Résultat", "resultat_exercice"))
+LIABILITY_LINES = (
+    ("Capitaux propres", "capitaux_propres"), ("Dettes financières", "dettes_financieres"), ("Dettes d'exploitation", "dettes_exploitation"), ("Dettes diverses", "dettes_diverses"), ("Autres éléments de passif", "autres_passif"),
+)
+RESULT_LINES = (
+    ("Chiffre d'affaires", "chiffre_affaires"), ("Charges", "charges"), ("Salaires et charges sociales", "salaires_charges_sociales"), ("Impôts et taxes", "impots_taxes"), ("Dotations aux amortissements", "dotations"), ("Autres éléments", "autres_elements"),
+    ("Résultat d'exploitation", "resultat_exploitation"), ("Résultat financier", "resultat_financier"), ("Résultat exceptionnel", "resultat_exceptionnel"), ("Impôts sur les sociétés", "impots_sur_les_societes"), ("Résultat net", "resultat_net"),
+)
+PERIODS = ("n", "n1")
+
+
+def _report(found: DataFrame, wanted: list[str], lines) -> DataFrame:
+    """company, place, label, n, n1, ok_n, ok_n1: the rows that lines(metric of a period) gives: (label, value or None, check or None)."""
+    wide = found.where(F.col("metric").isin(wanted)).groupBy("company").agg(*(F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in wanted for p in PERIODS))
+    told = [lines(lambda m, p=p: F.col(f"{m}_{p}")) for p in PERIODS]
+    or_null = lambda c, kind: (F.lit(None) if c is None else c).cast(kind)
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(x[0]).alias("label"), or_null(x[1], "double").alias("n"), or_null(y[1], "double").alias("n1"), or_null(x[2], "boolean").alias("ok_n"), or_null(y[2], "boolean").alias("ok_n1")) for i, (x, y) in enumerate(zip(*told, strict=True))]
+    companies = found.select("company").distinct().join(wide, "company", "left")
+    return companies.select("company", F.inline(F.array(*rows)))
+
+
+def balance_report(found: DataFrame) -> DataFrame:
+    """company, place, label, n, n1, ok_n, ok_n1: lines, computed totals, the source's totals, and four checks of each company's balance sheet.
+
+    found: metrics(). Lines without a value count as nothing in totals and checks; a total that the source does not give agrees.
+    """
+    wanted = [m for lines in (ASSET_LINES, EQUITY_LINES, LIABILITY_LINES) for _, m in lines] + ["total_actif", "total_passif"]
+
+    def lines(v):
+        some = lambda m: F.coalesce(v(m), F.lit(0.0))
+        total = lambda rows: reduce(lambda x, y: x + y, (some(m) for _, m in rows))
+        same = lambda x, y: F.abs(x - y) < 0.005
+        source = lambda m, rows: v(m).isNull() | same(total(rows), v(m))
+        return [
+            *((label, v(m), None) for label, m in ASSET_LINES), ("Total Actif", total(ASSET_LINES), None), ("Total Actif (source doc)", v("total_actif"), None),
+            *((label, v(m), None) for label, m in (*EQUITY_LINES, *LIABILITY_LINES)), ("Total Passif", total(LIABILITY_LINES), None), ("Total Passif (source doc)", v("total_passif"), None),
+            ("Check équilibre", None, same(total(ASSET_LINES), total(LIABILITY_LINES))), ("Check total actif source", None, source("total_actif", ASSET_LINES)), ("Check total passif source", None, source("total_passif", LIABILITY_LINES)),
+            ("Check résultat", None, same(some("capitaux_propres"), total(EQUITY_LINES))),
+        ]
+
+    return _report(found, wanted, lines)
+
+
+def result_report(found: DataFrame) -> DataFrame:
+    """As balance_report(): the lines of the profit and loss account, and after the operating and the net result their part of sales, nothing where it cannot be told.
+
+    found: metrics() of the profit and loss account's lines alone.
+    """
+
+    def lines(v):
+        margin = lambda m: ("En % du CA", F.coalesce(F.try_divide(F.coalesce(v(m), F.lit(0.0)), v("chiffre_affaires")), F.lit(0.0)), None)
+        return [row for label, m in RESULT_LINES for row in ((label, v(m), None), *([margin(m)] if m in ("resultat_exploitation", "resultat_net") else []))]
+
+    return _report(found, [m for _, m in RESULT_LINES], lines)
 
 
 ORDER = ["Chiffre d'affaires", "Autres produits d'exploitation", "Charges d'exploitation", "Charges de personnel", "Dotations aux amortissements", "Résultat d'exploitation", "Résultat financier", "Résultat exceptionnel", "Impôts sur les bénéfices", "Résultat net"]
@@ -279,12 +382,19 @@ def statement_rank(label: Column) -> Column:
 
 
 def four_columns(documents: DataFrame, registry: DataFrame) -> DataFrame:
-    """Document lines with the registry's values by label; lines that only the registry has come last. Adds place."""
-    d = documents.select("company", "section", "label", "ordinal", F.col("n").alias("document_n"), F.col("n1").alias("document_n1"))
-    r = registry.select("company", "section", "label", F.col("ordinal").alias("r_ordinal"), F.col("n").alias("registry_n"), F.col("n1").alias("registry_n1"))
-    rows = d.join(r, ["company", "section", "label"], "full_outer")
-    w = W.partitionBy("company", "section").orderBy(F.asc_nulls_last("ordinal"), "r_ordinal", "label")
-    return rows.withColumn("place", F.row_number().over(w)).drop("ordinal", "r_ordinal")
+    """Document lines with the registry's values by label, its last ones where it has a label twice; lines that only the registry has come last. Adds place.
+
+    Lines without a label go.
+    """
+    d = documents.withColumn("label", text.strip(F.col("label"))).where("label <> ''").select("company", "section", "label", "ordinal", F.col("n").alias("document_n"), F.col("n1").alias("document_n1"))
+    given = registry.withColumn("label", text.strip(F.col("label"))).where("label <> ''")
+    by = ["company", "section", "label"]
+    last = given.groupBy(*by).agg(F.max_by(F.struct("n", "n1"), "ordinal").alias("v"))
+    told = d.join(last, by, "left").select(*by, F.lit(0).alias("side"), "ordinal", "document_n", "document_n1", F.col("v.n").alias("registry_n"), F.col("v.n1").alias("registry_n1"))
+    nothing = F.lit(None).cast("double")
+    only = given.join(d, by, "left_anti").select(*by, F.lit(1).alias("side"), "ordinal", nothing.alias("document_n"), nothing.alias("document_n1"), F.col("n").alias("registry_n"), F.col("n1").alias("registry_n1"))
+    w = W.partitionBy("company", "section").orderBy("side", "ordinal", "label")
+    return told.unionByName(only).withColumn("place", F.row_number().over(w)).drop("side", "ordinal")
 
 
 def with_margins(rows: DataFrame) -> DataFrame:
@@ -384,6 +494,17 @@ def _flatten(filings: DataFrame) -> DataFrame:
     return rows.select("siren", "year", "entry", "section_index", "line_index", "side", F.col("l.code").alias("code"), F.col("l.libelle").alias("label"), primary_value(F.col("side"), F.col("columns")).alias("n"), primary_value(F.col("side"), F.col("columns"), "-1").alias("n1"))
 
 
+def company_periods(files: DataFrame) -> DataFrame:
+    """company_folder, place, period, files (array of year, name, source_path), of each company's files by year; newest periods and files first.
+
+    files: company_folder, year or null, filename, source_path. Files without a year are a period of their own, with those that come after it by name.
+    """
+    period = F.when(F.col("year").isNotNull(), F.concat(F.lit("Bilan "), F.col("year").cast("string"))).otherwise("Autres bilans")
+    listed = F.sort_array(F.collect_list(F.struct(F.coalesce("year", F.lit(0)).alias("year"), F.col("filename").alias("name"), "source_path")), asc=False)
+    per = files.withColumn("period", period).groupBy("company_folder", "period").agg(listed.alias("files"))
+    return per.withColumn("place", F.row_number().over(W.partitionBy("company_folder").orderBy(F.desc("period"))))
+
+
 def latest_documents(files: DataFrame) -> DataFrame:
     """Of each company folder the file of the latest year, else the latest modified."""
     w = W.partitionBy("company_folder").orderBy(F.desc_nulls_last("year"), F.desc("modified_at"), "source_path")

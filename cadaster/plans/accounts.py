@@ -11,9 +11,9 @@ from cadaster.sources.views import files, table
 
 # labels of raw lines, by table: equal ones, ones that contain a known label, sections, unknown ones
 _POSTES = {
-    "actif": ["Immobilisations corporelles", "Terrains", "Constructions", "Stocks", "Total créances clients nettes", "Autres créances", "Disponibilités", "Actif circulant", "Total actif", "Divers inconnu", "Fonds commercial", "1. Marchandises", "Total des stocks", "Trésorerie nette", "VMP"],
-    "passif": ["Capital social", "Réserves", "Capitaux propres", "Dettes fournisseurs", "Emprunts auprès des établissements de crédit", "Dettes fiscales et sociales", "Total passif", "Dettes", "Zzz", "Autres dettes à court terme", "Résultat de l'exercice", "Provisions pour charges", "Comptes courants d'associés"],
-    "compte_resultat": ["Chiffre d'affaires net", "Ventes de marchandises", "Charges d'exploitation", "Salaires et traitements", "Charges sociales", "Résultat d'exploitation", "Résultat financier", "Résultat courant avant impôts", "Résultat exceptionnel", "Impôts sur les bénéfices", "Résultat net", "Achats de marchandises (détail)", "Autre", "Production stockée", "Subventions d'exploitation", "Reprises sur amortissements et provisions", "Autres produits", "Autres charges d'exploitation", "Total des charges"],
+    "actif": ["Immobilisations corporelles", "Terrains", "Constructions", "Stocks", "Total créances clients nettes", "Autres créances", "Disponibilités", "Actif circulant", "Total actif", "Divers inconnu", "Fonds commercial", "1. Marchandises", "Total des stocks", "Trésorerie nette", "VMP", "Frais d'établissement", "Frais de recherche et développement", "Immobilisations corporelles en cours", "Autres créances diverses", "Taxe sur la valeur ajoutée", "Total général"],
+    "passif": ["Capital social", "Réserves", "Capitaux propres", "Dettes fournisseurs", "Emprunts auprès des établissements de crédit", "Dettes fiscales et sociales", "Total passif", "Dettes", "Zzz", "Autres dettes à court terme", "Résultat de l'exercice", "Provisions pour charges", "Comptes courants d'associés", "Ecarts de réévaluation", "Total dettes d'exploitation", "Dettes sur immobilisations"],
+    "compte_resultat": ["Chiffre d'affaires net", "Ventes de marchandises", "Charges d'exploitation", "Salaires et traitements", "Charges sociales", "Résultat d'exploitation", "Résultat financier", "Résultat courant avant impôts", "Résultat exceptionnel", "Impôts sur les bénéfices", "Résultat net", "Achats de marchandises (détail)", "Autre", "Production stockée", "Subventions d'exploitation", "Reprises sur amortissements et provisions", "Autres produits", "Autres charges d'exploitation", "Total des charges", "Reprise sur amortissements et provisions, transferts de charges", "Variation de stock marchandises", "Dotations amortissements", "Participation des salariés aux résultats", "Opérations en commun", "Achats de matièspremières et autres approvisionnements"],
 }
 
 
@@ -92,13 +92,14 @@ def a10_quality(spark, sf_dir):
     return a.quality(found, a.checks(found))
 
 
+_ANSWERS = "SELECT o_custkey AS company, CASE o_orderkey % 5 WHEN 0 THEN 'bilan_actif_table' WHEN 1 THEN 'bilan_societe_nom' WHEN 2 THEN 'bilan_date_arrete_n' WHEN 3 THEN 'nom' ELSE 'adresse' END AS field, o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '[]' WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE concat('v', o_orderkey) END AS value FROM orders"
+
+
 def j20_better_answers(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").selectExpr("o_custkey AS company", "concat('f', o_orderkey % 5) AS field", "o_orderkey", "o_totalprice")
-    only = lambda name, k: F.when(F.col("o_orderkey") % k == 0, F.col("field")).otherwise(F.concat(F.lit(name), "field")).alias("field")
-    first = e.groupBy("company", only("first ", 2)).agg(F.max("o_orderkey").cast("string").alias("value"))
-    second = e.groupBy("company", only("second ", 3)).agg(F.min("o_orderkey").cast("string").alias("value"))
+    e = spark.sql(_ANSWERS.replace("FROM orders", "FROM {t}"), t=table(spark, sf_dir, "orders"))
+    answers = lambda pick: e.groupBy("company", "field").agg(pick("value", "o_orderkey").alias("value"))
     scores = e.groupBy("company").agg(F.count_if(F.col("o_orderkey") % 2 == 0).alias("first_score"), F.count_if(F.col("o_orderkey") % 3 == 0).alias("second_score"))
-    return a.better(first, second, scores)
+    return a.better(answers(F.max_by), answers(F.min_by), scores)
 
 
 def _statement(spark, sf_dir, table_type=None):
@@ -106,27 +107,27 @@ def _statement(spark, sf_dir, table_type=None):
     return rows.where(F.col("table_type") == table_type) if table_type else rows
 
 
+def _rounded(report):
+    return report.withColumns({c: F.round(c, 9) for c in ("n", "n1")})
+
+
 def a23_balance_report(spark, sf_dir):
-    m = a.metrics(_canonical(spark, sf_dir))
-    wide = m.groupBy("company").agg(*(F.max(F.when(F.col("metric") == k, F.col("n"))).alias(k) for k in ("immobilisations_corporelles", "stocks", "creances", "tresorerie", "capitaux_propres", "dettes_financieres", "dettes_exploitation", "total_actif", "total_passif")))
-    add = lambda *names: sum((F.coalesce(n, F.lit(0.0)) for n in names), F.lit(0.0))
-    wide = wide.withColumns({"assets": add("immobilisations_corporelles", "stocks", "creances", "tresorerie"), "liabilities": add("capitaux_propres", "dettes_financieres", "dettes_exploitation")})
-    equal = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) < 0.5, F.lit(False))
-    return wide.select("company", "creances", "tresorerie", "dettes_exploitation", "assets", "liabilities", equal("assets", "total_actif").alias("assets_agree"), equal("liabilities", "total_passif").alias("liabilities_agree"), equal("total_actif", "total_passif").alias("totals_agree"))
+    told = spark.sql(_TOLD.replace("FROM orders", "FROM {t}"), t=table(spark, sf_dir, "orders"))
+    return a.balance_report(a.metrics(_canonical(spark, sf_dir).where("table_type <> 'compte_resultat'"), told))
 
 
 def a24_result_report(spark, sf_dir):
-    m = a.metrics(_statement(spark, sf_dir, "compte_resultat"))
-    of = lambda k: F.max(F.when(F.col("metric") == k, F.col("n")))
-    wide = m.groupBy("company").agg(of("chiffre_affaires").alias("sales"), of("resultat_exploitation").alias("operating"), of("resultat_net").alias("net"))
-    return wide.select("*", F.round(F.coalesce(F.try_divide("operating", "sales"), F.lit(0.0)), 9).alias("operating_margin"), F.round(F.coalesce(F.try_divide("net", "sales"), F.lit(0.0)), 9).alias("net_margin"))
+    return _rounded(a.result_report(a.metrics(_statement(spark, sf_dir, "compte_resultat"))))
 
 
 def _two_sources(spark, sf_dir):
     """Statement lines as a document and as the registry give them."""
     rows = table(spark, sf_dir, "orders").selectExpr(f"{_COMPANY} AS company", "CASE o_orderkey % 2 WHEN 0 THEN 'compte_resultat' ELSE 'actif' END AS section", f"element_at({_spark_list(a.ORDER)}, cast(o_orderkey % 10 + 1 AS int)) AS label", "o_orderkey", "floor(o_totalprice) AS v")
     one = lambda shared, name: rows.withColumn("label", F.expr(f"CASE WHEN {shared} THEN label ELSE concat('{name} ', label) END")).groupBy("company", "section", "label").agg(F.min("o_orderkey").alias("ordinal"), F.max_by("v", "o_orderkey").cast("double").alias("n"), F.min_by("v", "o_orderkey").cast("double").alias("n1"))
-    return one("o_orderkey % 5 > 1", "Document"), one("o_orderkey % 5 < 3", "Registre")
+    # the registry has some labels twice
+    again = one("o_orderkey % 5 < 3", "Registre")
+    twice = again.where("ordinal % 4 = 0").selectExpr("company", "section", "label", "ordinal + 1000000000 AS ordinal", "n + 1 AS n", "n1")
+    return one("o_orderkey % 5 > 1", "Document"), again.unionByName(twice)
 
 
 def j9_four_columns(spark, sf_dir):
@@ -193,8 +194,8 @@ def a13_latest_year_filter(spark, sf_dir):
 
 
 def a18_company_periods(spark, sf_dir):
-    rows = _company_files(spark, sf_dir).where("file_type <> 'zip'")
-    return rows.groupBy("company_folder", F.coalesce(F.col("year").cast("string"), F.lit("sans date")).alias("period")).agg(F.count("*").alias("files"), F.sum("file_size_bytes").alias("bytes"), F.max("source_path").alias("last"))
+    rows = a.company_periods(_company_files(spark, sf_dir))
+    return rows.select("company_folder", "place", "period", F.size("files").alias("n"), F.array_join(F.transform("files", lambda f: f["name"]), "; ").alias("files"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -244,25 +245,71 @@ me AS (SELECT company, metric, CASE WHEN n_c = needed THEN n_s ELSE coalesce(n,
 
 
 _SUM = lambda keys: "CASE WHEN coalesce(" + ", ".join(keys) + ") IS NOT NULL THEN " + " + ".join(f"coalesce({k}, 0)" for k in keys) + " END"
-_WANTED = sorted({*a.ASSETS, *a.LIABILITIES, *a.EXPENSES, *a.CRITICAL, "resultat_financier", "resultat_exceptionnel", "impots_sur_les_societes"})
+# the lists of the survey's source, not the library's
+_ASSETS = "immobilisations_corporelles immobilisations_financieres stocks creances_clients autres_creances disponibilites vmp charges_constatees_avance autres_actif_residuel".split()
+_LIABILITIES = "capitaux_propres dettes_bancaires autres_dettes_financieres fournisseurs dettes_fiscales_sociales dettes_diverses provisions_pour_risques provisions_pour_charges produits_constates_avance autres_passif_residuel".split()
+_EXPENSES = "achats_marchandises variation_stock_marchandises achats_matieres_premieres variation_stock_matieres_premieres autres_charges_externes salaires charges_sociales impots_taxes dotations_amortissements dotations_provisions autres_charges_exploitation".split()
+_WANTED = sorted({*_ASSETS, *_LIABILITIES, *_EXPENSES, *a.CRITICAL, "resultat_financier", "operations_en_commun", "resultat_exceptionnel", "impots_sur_les_societes", "participation_salaries"})
 _CHECKS = f"""
 lg AS (SELECT company, key, 'n' AS period, n AS v FROM ca UNION ALL SELECT company, key, 'n1', n1 FROM ca),
 wd AS (SELECT company, period, {', '.join(f"max(v) FILTER (key = '{k}') AS {k}" for k in _WANTED)} FROM lg GROUP BY ALL),
-w2 AS (SELECT *, {_SUM(a.ASSETS)} AS sa, {_SUM(a.LIABILITIES)} AS sl, {_SUM(a.EXPENSES)} AS se FROM wd),
+w2 AS (SELECT *, {_SUM(_ASSETS)} AS sa, {_SUM(_LIABILITIES)} AS sl, {_SUM(_EXPENSES)} AS se FROM wd),
 ck AS (SELECT company, period, 'actif' AS "check", sa AS lhs, total_actif AS rhs, CASE WHEN sa > 0 AND total_actif <> 0 THEN abs(sa - total_actif) / abs(total_actif) END AS gap FROM w2
   UNION ALL SELECT company, period, 'passif', sl, total_passif, CASE WHEN sl > 0 AND total_passif <> 0 THEN abs(sl - total_passif) / abs(total_passif) END FROM w2
   UNION ALL SELECT company, period, 'exploitation', chiffre_affaires - se, resultat_exploitation, CASE WHEN se > 0 AND abs(resultat_exploitation) > 0 AND abs(chiffre_affaires - charges - resultat_exploitation) / greatest(abs(resultat_exploitation), 1) > 0.05 THEN abs(chiffre_affaires - se - resultat_exploitation) / greatest(abs(resultat_exploitation), 1) END FROM w2
   UNION ALL SELECT company, period, 'charges', se, charges, CASE WHEN charges > 0 AND se > 0 THEN abs(se - charges) / abs(charges) END FROM w2
-  UNION ALL SELECT company, period, 'courant', resultat_exploitation + resultat_financier, resultat_courant_avant_impots, abs(resultat_exploitation + resultat_financier - resultat_courant_avant_impots) / CASE WHEN resultat_courant_avant_impots IS NOT NULL THEN greatest(abs(resultat_courant_avant_impots), 1) END FROM w2
-  UNION ALL SELECT company, period, 'net', resultat_courant_avant_impots + resultat_exceptionnel - impots_sur_les_societes, resultat_net, abs(resultat_courant_avant_impots + resultat_exceptionnel - impots_sur_les_societes - resultat_net) / greatest(abs(resultat_net), 1) FROM w2
+  UNION ALL SELECT company, period, 'courant', resultat_exploitation + resultat_financier + coalesce(operations_en_commun, 0), resultat_courant_avant_impots, abs(resultat_exploitation + resultat_financier + coalesce(operations_en_commun, 0) - resultat_courant_avant_impots) / CASE WHEN resultat_courant_avant_impots IS NOT NULL THEN greatest(abs(resultat_courant_avant_impots), 1) END FROM w2
+  UNION ALL SELECT company, period, 'net', resultat_courant_avant_impots + resultat_exceptionnel - impots_sur_les_societes - coalesce(participation_salaries, 0), resultat_net, abs(resultat_courant_avant_impots + resultat_exceptionnel - impots_sur_les_societes - coalesce(participation_salaries, 0) - resultat_net) / greatest(abs(resultat_net), 1) FROM w2
   UNION ALL SELECT company, period, 'croise', total_actif, total_passif, abs(total_actif - total_passif) / greatest(abs(total_actif), abs(total_passif), 1) FROM w2),
 fl AS (SELECT * FROM ck WHERE gap > 0.05)"""
+
+
+def _wide(source: str, names: list[str]) -> str:
+    return f"w AS (SELECT company, {', '.join(f"max({p}) FILTER (metric = '{m}') AS {m}_{p}" for m in names for p in ('n', 'n1'))} FROM {source} GROUP BY 1)"
+
+
+def _rows(lines: list[tuple[str, str, str, str, str]]) -> str:
+    """Report rows of a wide table: label, n, n1, ok_n, ok_n1."""
+    return " UNION ALL ".join(f"SELECT company, {i} AS place, '{label.replace("'", "''")}' AS label, ({n})::DOUBLE AS n, ({n1})::DOUBLE AS n1, ({x})::BOOLEAN AS ok_n, ({y})::BOOLEAN AS ok_n1 FROM w" for i, (label, n, n1, x, y) in enumerate(lines))
+
+
+def _balance() -> str:
+    assets = "immobilisations_corporelles immobilisations_financieres stocks creances tresorerie autres_actif".split()
+    debts = "capitaux_propres dettes_financieres dettes_exploitation dettes_diverses autres_passif".split()
+    names = [*assets, "total_actif", "capital_social", "resultat_exercice", *debts, "total_passif"]
+    both = lambda f: (f("n"), f("n1"))
+    total = lambda ms, p: " + ".join(f"coalesce({m}_{p}, 0)" for m in ms)
+    line = lambda label, m: (label, f"{m}_n", f"{m}_n1", "NULL", "NULL")
+    check = lambda label, f: (label, "NULL", "NULL", *both(f))
+    rows = [line(*x) for x in zip(("Immobilisations corporelles", "Immobilisations financières", "Stocks", "Créances", "Trésorerie", "Autres éléments d'actif"), assets, strict=True)]
+    rows += [("Total Actif", *both(lambda p: total(assets, p)), "NULL", "NULL"), line("Total Actif (source doc)", "total_actif"), line("Capital social", "capital_social"), line("Résultat", "resultat_exercice")]
+    rows += [line(*x) for x in zip(("Capitaux propres", "Dettes financières", "Dettes d'exploitation", "Dettes diverses", "Autres éléments de passif"), debts, strict=True)]
+    rows += [("Total Passif", *both(lambda p: total(debts, p)), "NULL", "NULL"), line("Total Passif (source doc)", "total_passif")]
+    rows += [check("Check équilibre", lambda p: f"abs({total(assets, p)} - ({total(debts, p)})) < 0.005"), check("Check total actif source", lambda p: f"total_actif_{p} IS NULL OR abs({total(assets, p)} - total_actif_{p}) < 0.005")]
+    rows += [check("Check total passif source", lambda p: f"total_passif_{p} IS NULL OR abs({total(debts, p)} - total_passif_{p}) < 0.005"), check("Check résultat", lambda p: f"abs(coalesce(capitaux_propres_{p}, 0) - coalesce(capital_social_{p}, 0) - coalesce(resultat_exercice_{p}, 0)) < 0.005")]
+    return f"{_wide('mt', names)} {_rows(rows)}"
+
+
+def _result() -> str:
+    names = "chiffre_affaires charges salaires_charges_sociales impots_taxes dotations autres_elements resultat_exploitation resultat_financier resultat_exceptionnel impots_sur_les_societes resultat_net".split()
+    said = ("Chiffre d'affaires", "Charges", "Salaires et charges sociales", "Impôts et taxes", "Dotations aux amortissements", "Autres éléments", "Résultat d'exploitation", "Résultat financier", "Résultat exceptionnel", "Impôts sur les sociétés", "Résultat net")
+    rows = []
+    for label, m in zip(said, names, strict=True):
+        rows.append((label, f"{m}_n", f"{m}_n1", "NULL", "NULL"))
+        if m in ("resultat_exploitation", "resultat_net"):
+            rows.append(("En % du CA", *(f"round(coalesce(coalesce({m}_{p}, 0) / nullif(chiffre_affaires_{p}, 0), 0), 9)" for p in ("n", "n1")), "NULL", "NULL"))
+    return f"{_wide('me', names)} {_rows(rows)}"
+
+
 _TWO = f"""
 ts AS (SELECT {_COMPANY} AS company, CASE o_orderkey % 2 WHEN 0 THEN 'compte_resultat' ELSE 'actif' END AS section, {_sql_list(a.ORDER)}[(o_orderkey % 10 + 1)::INT] AS label, o_orderkey, floor(o_totalprice) AS v FROM orders),
 td AS (SELECT company, section, CASE WHEN o_orderkey % 5 > 1 THEN '' ELSE 'Document ' END || label AS label, min(o_orderkey) AS ordinal, arg_max(v, o_orderkey) AS n, arg_min(v, o_orderkey) AS n1 FROM ts GROUP BY ALL),
-tr AS (SELECT company, section, CASE WHEN o_orderkey % 5 < 3 THEN '' ELSE 'Registre ' END || label AS label, min(o_orderkey) AS r_ordinal, arg_max(v, o_orderkey) AS n, arg_min(v, o_orderkey) AS n1 FROM ts GROUP BY ALL),
-fc AS (SELECT coalesce(td.company, tr.company) AS company, coalesce(td.section, tr.section) AS section, coalesce(td.label, tr.label) AS label, td.n AS document_n, td.n1 AS document_n1, tr.n AS registry_n, tr.n1 AS registry_n1,
-  row_number() OVER (PARTITION BY coalesce(td.company, tr.company), coalesce(td.section, tr.section) ORDER BY ordinal NULLS LAST, r_ordinal, coalesce(td.label, tr.label))::INT AS place FROM td FULL JOIN tr ON td.company = tr.company AND td.section = tr.section AND td.label = tr.label)"""
+t0 AS (SELECT company, section, CASE WHEN o_orderkey % 5 < 3 THEN '' ELSE 'Registre ' END || label AS label, min(o_orderkey) AS ordinal, arg_max(v, o_orderkey) AS n, arg_min(v, o_orderkey) AS n1 FROM ts GROUP BY ALL),
+tr AS (SELECT * FROM t0 UNION ALL SELECT company, section, label, ordinal + 1000000000, n + 1, n1 FROM t0 WHERE ordinal % 4 = 0),
+tl AS (SELECT company, section, label, arg_max(n, ordinal) AS n, arg_max(n1, ordinal) AS n1 FROM tr GROUP BY ALL),
+fo AS (SELECT td.company, td.section, td.label, td.n AS document_n, td.n1 AS document_n1, tl.n AS registry_n, tl.n1 AS registry_n1, 0 AS side, ordinal FROM td LEFT JOIN tl USING (company, section, label)
+  UNION ALL SELECT company, section, label, NULL, NULL, n, n1, 1, ordinal FROM tr ANTI JOIN td USING (company, section, label)),
+fc AS (SELECT company, section, label, document_n, document_n1, registry_n, registry_n1, row_number() OVER (PARTITION BY company, section ORDER BY side, ordinal, label)::INT AS place FROM fo)"""
 _NOACC = [text_ for text_ in ("chiffre d'affaires", "autres produits d'exploitation", "charges d'exploitation", "charges de personnel", "dotations aux amortissements", "resultat d'exploitation", "resultat financier", "resultat exceptionnel", "impots sur les benefices", "resultat net")]
 _FILES_OF = """
 cf AS (SELECT doc_id, source || '-' || (doc_id // 500) AS project_id, source || '-' || (doc_id // 500) || '/S' || (doc_id % 9) AS company_folder, CASE WHEN doc_id % 3 > 0 THEN greatest(2018 + doc_id % 6, CASE WHEN doc_id BETWEEN 1900 AND 2199 THEN doc_id ELSE 0 END) END::INT AS year, n_chars AS size, doc_id % 300 AS age,
@@ -285,21 +332,20 @@ SQL = {
     "a10_quality": f"""WITH {_CANON}, {_CHECKS},
       pt AS (SELECT company, table_type, count(*) FILTER (key NOT LIKE 'raw_unmatched_%') AS mapped, count(*) FILTER (key LIKE 'raw_unmatched_%') AS raw, count(*) FILTER (coalesce(n, n1) IS NOT NULL) AS filled, count(*) FILTER (key IN {tuple(a.CRITICAL)}) AS critical,
         count(*) FILTER (abs(n) >= 1e9 OR abs(n1) >= 1e9) AS suspicious FROM ca GROUP BY ALL),
-      rs AS (SELECT *, [x for x in [CASE WHEN mapped = 0 AND filled > 0 THEN table_type || ': non mappé' END, CASE WHEN raw >= greatest(2, mapped) THEN table_type || ': trop de lignes brutes' END, CASE WHEN suspicious > 0 THEN table_type || ': montants suspects' END] if x IS NOT NULL] AS reason FROM pt),
-      er AS (SELECT company, count(*) AS errors FROM fl GROUP BY 1),
-      tt AS (SELECT company, sum(least(mapped, 8) + 3 * critical - 4 * raw - 8 * suspicious) AS points, list_sort(flatten(list(reason))) AS reasons FROM rs GROUP BY 1)
-      SELECT company, (points - 6 * coalesce(errors, 0))::BIGINT AS score, coalesce(errors, 0) AS errors, array_to_string(reasons, ' ; ') AS reasons,
-        points - 6 * coalesce(errors, 0) < 12 OR coalesce(errors, 0) > 0 OR len([r for r in reasons if contains(r, 'suspects') OR contains(r, 'non mapp')]) > 0 AS retry FROM tt LEFT JOIN er USING (company)""",
-    "j20_better_answers": """WITH e AS (SELECT o_custkey AS company, 'f' || (o_orderkey % 5) AS field, o_orderkey FROM orders), a AS (SELECT company, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'first ' END || field AS field, max(o_orderkey)::VARCHAR AS v FROM e GROUP BY ALL), b AS (SELECT company, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'second ' END || field AS field, min(o_orderkey)::VARCHAR AS v FROM e GROUP BY ALL),
+      tn AS (SELECT *, list_position(['actif', 'passif', 'compte_resultat'], table_type) AS k FROM pt),
+      rs AS (SELECT company, k, unnest([1, 2, 3]) AS i, unnest([CASE WHEN mapped = 0 AND filled > 0 THEN table_type || ': lignes chiffrées non mappées' END, CASE WHEN raw >= greatest(2, mapped) THEN table_type || ': trop de lignes brutes non mappées' END, CASE WHEN suspicious > 0 THEN table_type || ': montants suspects ou concaténés' END]) AS reason FROM tn),
+      rr AS (SELECT company, string_agg(reason, ' ; ' ORDER BY k, i) AS told FROM rs WHERE reason IS NOT NULL GROUP BY 1),
+      er AS (SELECT company, sum(CASE WHEN "check" = 'croise' THEN 2 ELSE 1 END) AS errors FROM fl GROUP BY 1),
+      tt AS (SELECT company, sum(least(mapped, 8) + 3 * critical - 4 * raw - 8 * suspicious) AS points FROM pt GROUP BY 1),
+      tz AS (SELECT company, (points - 6 * coalesce(errors, 0))::BIGINT AS score, coalesce(errors, 0)::BIGINT AS errors, told FROM tt LEFT JOIN er USING (company) LEFT JOIN rr USING (company))
+      SELECT company, score, errors, concat_ws(' ; ', told, CASE WHEN errors > 0 THEN errors || ' incohérence(s) comptable(s) détectée(s)' END, CASE WHEN score < 12 THEN 'score global trop faible' END) AS reasons, score < 12 OR errors > 0 OR told IS NOT NULL AS retry FROM tz""",
+    "j20_better_answers": f"""WITH e AS ({_ANSWERS}), a AS (SELECT company, field, arg_max_null(value, o_orderkey) AS v FROM e GROUP BY ALL), b AS (SELECT company, field, arg_min_null(value, o_orderkey) AS v FROM e GROUP BY ALL),
       s AS (SELECT company, count(*) FILTER (o_orderkey % 2 = 0) AS s1, count(*) FILTER (o_orderkey % 3 = 0) AS s2 FROM e GROUP BY 1)
-      SELECT company, field, CASE WHEN s2 > s1 AND b.v IS NOT NULL THEN b.v ELSE a.v END AS value FROM a FULL JOIN b USING (company, field) LEFT JOIN s USING (company)""",
-    "a23_balance_report": f"""WITH {_CANON}, {_metrics()},
-      w AS (SELECT company, {', '.join(f"max(n) FILTER (metric = '{k}') AS {k}" for k in ("immobilisations_corporelles", "stocks", "creances", "tresorerie", "capitaux_propres", "dettes_financieres", "dettes_exploitation", "total_actif", "total_passif"))} FROM me GROUP BY 1),
-      v AS (SELECT *, coalesce(immobilisations_corporelles, 0) + coalesce(stocks, 0) + coalesce(creances, 0) + coalesce(tresorerie, 0) AS assets, coalesce(capitaux_propres, 0) + coalesce(dettes_financieres, 0) + coalesce(dettes_exploitation, 0) AS liabilities FROM w)
-      SELECT company, creances, tresorerie, dettes_exploitation, assets, liabilities, coalesce(abs(assets - total_actif) < 0.5, false) AS assets_agree, coalesce(abs(liabilities - total_passif) < 0.5, false) AS liabilities_agree, coalesce(abs(total_actif - total_passif) < 0.5, false) AS totals_agree FROM v""",
-    "a24_result_report": f"""WITH {_CANON}, cr AS (SELECT * FROM ca WHERE table_type = 'compte_resultat'), {_metrics('cr')},
-      w AS (SELECT company, max(n) FILTER (metric = 'chiffre_affaires') AS sales, max(n) FILTER (metric = 'resultat_exploitation') AS operating, max(n) FILTER (metric = 'resultat_net') AS net FROM me GROUP BY 1)
-      SELECT *, round(coalesce(operating / nullif(sales, 0), 0), 9) AS operating_margin, round(coalesce(net / nullif(sales, 0), 0), 9) AS net_margin FROM w""",
+      SELECT company, field, CASE WHEN s2 > s1 AND field LIKE 'bilan_%' AND b.v LIKE 'v%' THEN b.v ELSE a.v END AS value FROM a JOIN b USING (company, field) JOIN s USING (company)""",
+    "a23_balance_report": f"""WITH {_CANON}, cb AS (SELECT * FROM ca WHERE table_type <> 'compte_resultat'), {_metrics('cb')}, tl AS ({_TOLD}), tw AS (SELECT company, regexp_extract(field_id, '^bilan_(.+)_(n1?)$', 1) AS metric, max(replace(value, ' ', '')::DOUBLE) FILTER (field_id LIKE '%\\_n' ESCAPE '\\') AS t_n, max(replace(value, ' ', '')::DOUBLE) FILTER (field_id LIKE '%\\_n1' ESCAPE '\\') AS t_n1
+      FROM tl WHERE field_id NOT LIKE '%inconnu%' GROUP BY ALL), mt AS (SELECT company, metric, coalesce(n, t_n) AS n, coalesce(n1, t_n1) AS n1 FROM me FULL JOIN tw USING (company, metric)),
+      {_balance()}""",
+    "a24_result_report": f"""WITH {_CANON}, cr AS (SELECT * FROM ca WHERE table_type = 'compte_resultat'), {_metrics('cr')}, {_result()}""",
     "j9_four_columns": f"WITH {_TWO} SELECT * FROM fc",
     "a25_margins": f"""WITH {_TWO}, cr AS (SELECT * FROM fc WHERE section = 'compte_resultat'),
       ag AS (SELECT company, {', '.join(f"max({c}) FILTER (label = 'Chiffre d''affaires') AS ca_{c}, max({c}) FILTER (label = 'Dotations aux amortissements') AS da_{c}" for c in ("document_n", "document_n1", "registry_n", "registry_n1"))} FROM cr GROUP BY 1)
@@ -318,5 +364,5 @@ SQL = {
     "a26_filing_totals": f"WITH {_FILED} SELECT side, count(*) AS lines, array_to_string(list_sort(list(DISTINCT year)), ',') AS years, sum(n) AS n, sum(n1) AS n1 FROM fi GROUP BY 1",
     "w13_latest_documents": f"WITH {_FILES_OF} SELECT company_folder, source_path, year FROM cf QUALIFY row_number() OVER (PARTITION BY company_folder ORDER BY year DESC NULLS LAST, age DESC, source_path) = 1",
     "a13_latest_year_filter": f"WITH {_FILES_OF}, l AS (SELECT company_folder, max(year) AS last FROM cf GROUP BY 1) SELECT company_folder, last, count(*) AS kept FROM cf JOIN l USING (company_folder) WHERE year IS NULL OR year >= last GROUP BY ALL",
-    "a18_company_periods": f"WITH {_FILES_OF} SELECT company_folder, coalesce(year::VARCHAR, 'sans date') AS period, count(*) AS files, sum(size)::BIGINT AS bytes, max(source_path) AS last FROM cf WHERE doc_id % 11 <> 0 GROUP BY ALL",
+    "a18_company_periods": f"WITH {_FILES_OF}, p AS (SELECT company_folder, CASE WHEN year IS NULL THEN 'Autres bilans' ELSE 'Bilan ' || year END AS period, count(*)::INT AS n, string_agg(name, '; ' ORDER BY coalesce(year, 0) DESC, name DESC, source_path DESC) AS files FROM (SELECT *, regexp_extract(source_path, '[^/]*$') AS name FROM cf) GROUP BY ALL) SELECT company_folder, row_number() OVER (PARTITION BY company_folder ORDER BY period DESC)::INT AS place, period, n, files FROM p",
 }
