@@ -58,6 +58,17 @@ def priced(text: Column) -> Column:
     return clean.try_cast("double")
 
 
+def amounts(text: Column, decimals: bool = True) -> Column:
+    """(before, value, after) of each number of a text: what stands between it and the number before, and between it and the next.
+
+    Digits may stand in groups; decimals: whether a comma or point and more digits belong to a number.
+    """
+    number = r"\d[\d\s\u00a0\u202f]*" + (r"(?:[.,]\d+)?" if decimals else "")
+    between = F.split(text, number)
+    value = lambda x: F.translate(F.regexp_replace(x, SPACES, ""), ",", ".").try_cast("double")
+    return F.transform(F.regexp_extract_all(text, F.lit(f"({number})"), 1), lambda x, i: F.struct(F.get(between, i).alias("before"), value(x).alias("value"), F.get(between, i + 1).alias("after")))
+
+
 def spaced(value: Column) -> Column:
     """Spaces between thousands, two digits at most, trailing noughts trimmed."""
     text = F.regexp_replace(F.format_number(value, 2), r"\.?0+$", "")

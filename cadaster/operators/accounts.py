@@ -146,11 +146,6 @@ def entries() -> list[tuple[str, int, str, str | None, bool]]:
 MOST_WORDS = 20_000
 
 
-def small(rows: DataFrame, most: int) -> DataFrame:
-    """rows, marked for broadcast if they are counted to be `most` at most; a larger table is joined as Spark sees fit."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
 def dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(entries(), "table_type string, rank int, label_key string, key string, is_total boolean")
 
@@ -412,15 +407,17 @@ def with_margins(rows: DataFrame) -> DataFrame:
 def group_values(lines: DataFrame, groups: DataFrame) -> DataFrame:
     """company, label, n, n1: the sums of each group's sources, by code, else by normalised label; null if none is found.
 
-    lines: company, code, label, n, n1. groups: label, sources; written by hand, MOST_WORDS sources at most.
+    lines: company, code, label, n, n1. groups: label, sources; written by hand, MOST_WORDS sources at most become literals.
     """
     norm = lambda c: text.without_marks(F.lower(F.trim(c)))
     last = lambda key: lines.where(key != "").groupBy("company", key.alias("source")).agg(F.max_by(F.struct("n", "n1"), "ordinal").alias("v"))
-    wanted = [(r.label, x) for r in groups.limit(MOST_WORDS + 1).collect() for x in r.sources]
-    if len(wanted) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} sources of groups")
-    pair = F.from_json(F.lit(json.dumps([{"label": a, "source": b} for a, b in wanted])), "array<struct<label: string, source: string>>")
-    asked = lines.select("company").distinct().select("company", F.inline(pair))
+    few = groups.limit(MOST_WORDS + 1).collect()
+    if sum(len(r.sources) for r in few) <= MOST_WORDS:
+        pair = F.from_json(F.lit(json.dumps([{"label": r.label, "source": x} for r in few for x in r.sources])), "array<struct<label: string, source: string>>")
+        asked = lines.select("company").distinct().select("company", F.inline(pair))
+    else:
+        # every company has every group in the result
+        asked = lines.select("company").distinct().crossJoin(groups.select("label", F.explode("sources").alias("source")))
     by_code = last(F.col("code")).withColumnRenamed("v", "by_code")
     by_label = last(norm(F.col("label"))).withColumnsRenamed({"v": "by_label", "source": "norm"})
     found = asked.withColumn("norm", norm(F.col("source"))).join(by_code, ["company", "source"], "left").join(by_label, ["company", "norm"], "left")

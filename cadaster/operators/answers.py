@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadaster.functions import labels, text
+from cadaster.operators import matching
 
 #: Phrases in names that keep a file, and folders whose files are kept.
 KEEP_PHRASES = [
@@ -49,15 +50,15 @@ def excluded(path: Column, patterns: list[str]) -> Column:
 def match_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs of a file and a rule: the path holds one of the rule's folders, if it has any, and a keyword occurs in name or path.
 
-    Rules are the hand-written configuration, MOST_RULES at most; they become literals of one
-    expression over a file's row, so nothing is joined. Empty keywords match nothing.
+    Rules are the hand-written configuration: up to MOST_RULES they become literals of one
+    expression over a file's row, so that nothing is joined; more of them meet names and paths in a join. Empty keywords match nothing.
     """
     given = rules.select("field_id", "source_dirs", "hint_keywords").limit(MOST_RULES + 1).collect()
-    if len(given) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     any_of = lambda conditions: reduce(lambda x, y: x | y, conditions, F.lit(False))
     hay = F.concat_ws(" ", text.canonical_stem(F.col("filename")), text.canonical_name(F.col("source_path")))
     rows = text.once(files, "__of", F.struct(hay.alias("hay"), text.joined_segments(F.col("source_path")).alias("path")))
+    if len(given) > MOST_RULES:
+        return _many_rules(rows, rules).drop("__of")
 
     def fits(rule):
         words = [text.canonical_name(F.lit(k)) for k in rule.hint_keywords or []]
@@ -68,6 +69,17 @@ def match_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.withColumn("field_id", F.explode(found)).drop("__of")
 
 
+def _many_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """match_rules() for any number of rules: keywords meet the texts that hold them by their rarest letters."""
+    words = rules.select("field_id", "source_dirs", F.explode("hint_keywords").alias("word")).withColumn("key", text.canonical_name(F.col("word"))).where("key <> ''")
+    hays = rows.select(F.col("__of.hay").alias("key")).distinct()
+    found = matching.containment(words.select("key").distinct(), hays, []).toDF("key", "hay")
+    own = found.join(words.select("key", "field_id", "source_dirs").distinct(), "key").select("hay", "field_id", "source_dirs").distinct()
+    both = rows.join(own, F.col("__of.hay") == F.col("hay"))
+    inside = (F.size(F.coalesce("source_dirs", F.expr("cast(array() AS array<string>)"))) == 0) | F.exists("source_dirs", lambda d: text.holds_segments(F.col("__of.path"), d))
+    return both.where(inside).drop("hay", "source_dirs").distinct()
+
+
 def keep_reasons(path: Column, filename: Column, rule_hits: Column, specific_dirs: Column, is_record: Column) -> Column:
     """Why a file is worth extracting; none means it is left out."""
     phrases = "|".join(p.replace(" ", r"\s+") for p in KEEP_PHRASES)
@@ -120,13 +132,15 @@ def fill_missing(answers: DataFrame, native: DataFrame, asked: DataFrame) -> Dat
 def project_location(candidates: DataFrame) -> DataFrame:
     """project_id, location: of the addresses that two documents at least agree on, the best-supported one's longest form.
 
-    candidates: project_id, document_id, ordinal, value. Addresses agree if one contains the other;
-    they are compared within a project, distinct ones once each.
+    candidates: project_id, document_id, ordinal, value. Addresses agree if one contains the other: distinct ones of a
+    project meet on the rarest letters of the one that is contained.
     """
     rows = candidates.where(labels.is_precise_address(F.col("value"))).withColumn("key", text.canonical_name(F.col("value"))).where("key <> ''")
     keys = rows.groupBy("project_id", "key").agg(F.collect_set("document_id").alias("documents"), F.max_by(F.trim("value"), F.struct(F.length(F.trim("value")), -F.col("ordinal"))).alias("longest"), F.max(F.length("value")).alias("size"), F.min("ordinal").alias("ordinal"))
+    inside = matching.containment(keys, keys, ["project_id"])
+    agreeing = inside.union(inside.where("a <> b").select("project_id", "b", "a")).toDF("project_id", "key", "o_key")
     other = keys.select("project_id", F.col("key").alias("o_key"), F.col("documents").alias("o_documents"), F.col("longest").alias("o_longest"), F.col("size").alias("o_size"), F.col("ordinal").alias("o_ordinal"))
-    pairs = keys.select("project_id", "key", "ordinal").join(other, "project_id").where(F.contains("key", F.col("o_key")) | F.contains("o_key", F.col("key")))
+    pairs = agreeing.join(other, ["project_id", "o_key"]).join(keys.select("project_id", "key", "ordinal"), ["project_id", "key"])
     clusters = pairs.groupBy("project_id", "key", "ordinal").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("o_documents")))).alias("documents"), F.max("o_size").alias("size"), F.max_by("o_longest", F.struct("o_size", -F.col("o_ordinal"))).alias("location"))
     return clusters.where("documents >= 2").groupBy("project_id").agg(F.max_by("location", F.struct("documents", "size", -F.col("ordinal"))).alias("location"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadaster.functions import labels, numbers, text
+from cadaster.operators import matching
 
 #: Phrases of distress in official notices, most serious first.
 DISTRESS = [
@@ -92,32 +93,36 @@ def merge_companies(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", key).where("key IS NOT NULL").groupBy("key").agg(*(first(c) for c in rows.columns if c != "ordinal"), F.min("ordinal").alias("ordinal"))
 
 
-def _blocks(name: Column, starts: str, holds: str) -> Column:
-    """Keys of which two names that score share one: a word, or how the compact form begins that the other's holds.
+def _parts(name: Column, held: bool) -> Column:
+    """(tag, part, need) of a name: its words and its compact forms' letters, with and without legal forms.
 
-    starts, holds: marks of the keys of a form's beginning and of the runs of letters in it; the other
-    side has them the other way round. Of forms under three letters the whole form is the key, also
-    the empty one, which every name holds.
+    held: those of which a name that scores with this one has a rarest: of n words all but a third and a bit, as more than
+    MATCH_ABOVE of them must be shared; of a compact form any one run of letters.
     """
-    forms, bare = F.array(labels.compact(name), labels.compact(labels.bare(name))), labels.bare(name)
-    runs = lambda x: F.concat(F.array(F.lit("")), *(F.regexp_extract_all(x, F.lit(f"(?=(.{{{k}}}))"), 1) for k in (1, 2, 3)))
-    marked = lambda mark, keys: F.transform(keys, lambda x: F.concat(F.lit(mark), x))
-    words = F.array_union(labels.name_words(name), labels.name_words(bare))
-    return F.array_distinct(F.concat(marked("=", words), marked(starts, F.transform(forms, lambda x: F.substring(x, 1, 3))), marked(holds, F.flatten(F.transform(forms, runs)))))
+    part = lambda tag, parts, need: F.transform(parts, lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("part"), need.cast("int").alias("need")))
+    out = []
+    for tag, form in (("", name), ("-", labels.bare(name))):
+        words, letters_ = labels.name_words(form), labels.compact(form)
+        out.append(part(f"w{tag}", words, F.size(words) - F.floor(F.size(words) * MATCH_ABOVE)))
+        out.append(part(f"c{tag}", matching.held_parts(letters_) if held else matching.holding_parts(letters_), F.lit(1)))
+    return F.concat(*out)
 
 
 def best_matches(folders: DataFrame, pool: DataFrame) -> DataFrame:
     """project_id, folder, siren, nom, score, confident: the most similar company of the project, the first of equals.
 
-    folders: project_id, folder. pool: project_id, siren, nom, ordinal. Pairs are formed within a
-    project and on keys that all names share that score, not all with all.
+    folders: project_id, folder. pool: project_id, siren, nom, ordinal. Within a project, names meet on the rarest of
+    what any name that scores shares with them, in both directions; distinct names once.
     """
-    f = folders.distinct().withColumn("block", F.explode(_blocks(F.col("folder"), "<", ">")))
-    c = pool.withColumn("block", F.explode(_blocks(F.col("nom"), ">", "<")))
-    pairs = f.join(c, ["project_id", "block"]).select("project_id", "folder", "siren", "nom", "ordinal").distinct()
+    f, c = folders.distinct().withColumn("a", F.col("folder")), pool.select("project_id", F.col("nom").alias("a")).distinct()
+    some = lambda df: df.select("project_id", "a", F.inline(_parts(F.col("a"), True)))
+    all_ = lambda df: df.select("project_id", F.col("a").alias("b"), F.inline(_parts(F.col("a"), False))).drop("need")
+    there = matching.candidates(some(f), all_(c), ["project_id"]).toDF("project_id", "folder", "nom")
+    back = matching.candidates(some(c), all_(f), ["project_id"]).toDF("project_id", "nom", "folder")
+    pairs = there.unionByName(back).distinct()
     score = F.greatest(labels.similarity(F.col("folder"), F.col("nom")), labels.similarity(F.col("nom"), F.col("folder")))
-    pairs = pairs.withColumn("score", score).where(F.col("score") > MATCH_ABOVE)
-    best = pairs.groupBy("project_id", "folder").agg(F.max_by(F.struct("siren", "nom", "score"), F.struct("score", -F.col("ordinal"))).alias("x"))
+    scored = text.once(pairs, "score", score).where(F.col("score") > MATCH_ABOVE).join(pool, ["project_id", "nom"])
+    best = scored.groupBy("project_id", "folder").agg(F.max_by(F.struct("siren", "nom", "score"), F.struct("score", -F.col("ordinal"))).alias("x"))
     return best.select("project_id", "folder", "x.*", (F.col("x.score") >= CONFIDENT).alias("confident"))
 
 

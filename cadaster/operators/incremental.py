@@ -61,9 +61,14 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return files.groupBy("project_id").agg(_fingerprint(people).alias("people"), _fingerprint(accounts).alias("financial"), F.count_if(people).alias("people_inputs"), F.count_if(accounts).alias("financial_inputs"))
 
 
-def refresh_decision(before: DataFrame, now: DataFrame) -> DataFrame:
-    """Whether a project's people and accounts are to be computed anew; before, now: fingerprints()."""
+def refresh_decision(before: DataFrame, now: DataFrame, stored: DataFrame) -> DataFrame:
+    """Whether a project's people and accounts are to be computed anew; before, now: fingerprints().
+
+    People are, where there are inputs for them, if these changed or people are missing. stored: project_id, persons: how many the last
+    extraction has, has_file: whether their file is there; a project that is not in it has neither.
+    """
     old = before.select("project_id", F.col("people").alias("old_people"), F.col("financial").alias("old_financial"))
-    rows = now.join(old, "project_id", "left")
+    rows = now.join(old, "project_id", "left").join(stored.select("project_id", "persons", "has_file"), "project_id", "left")
     changed = lambda c: ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
-    return rows.select("project_id", ((F.col("people_inputs") > 0) & changed("people")).alias("people_recomputed"), changed("financial").alias("financial_recomputed"))
+    missing = (F.coalesce("persons", F.lit(0)) == 0) | ~F.coalesce("has_file", F.lit(False))
+    return rows.select("project_id", ((F.col("people_inputs") > 0) & (changed("people") | missing)).alias("people_recomputed"), changed("financial").alias("financial_recomputed"))

@@ -58,19 +58,19 @@ def src8_latest_snapshots(spark, sf_dir):
 def _prices(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier")
     level = lambda name, code, every: rows.selectExpr(f"'{name}' AS level", f"{code} AS code", "s_acctbal AS price", "s_suppkey").withColumn("code", F.expr(f"CASE WHEN s_suppkey % {every} = 0 THEN code ELSE concat('x', code) END")).groupBy("level", "code").agg(F.max("price").alias("price"))
-    return level("district", "concat('d', s_suppkey % 40)", 3).unionByName(level("city", "concat('c', s_suppkey % 12)", 2)).unionByName(level("department", "concat('p', s_suppkey % 6)", 1)), level
+    return level("district", "concat('d', cast(floor(s_suppkey / 3) AS int))", 3).unionByName(level("city", "concat('c', cast(floor(s_suppkey / 8) AS int))", 2)).unionByName(level("department", "concat('p', cast(floor(s_suppkey / 16) AS int))", 1)), level
 
 
 def j16_price_fallback(spark, sf_dir):
     prices, _ = _prices(spark, sf_dir)
-    places = table(spark, sf_dir, "customer").selectExpr("c_custkey AS place_id", "concat('d', c_custkey % 60) AS district", "concat('c', c_custkey % 20) AS city", "concat('p', c_custkey % 8) AS department")
+    places = table(spark, sf_dir, "customer").selectExpr("c_custkey AS place_id", "concat('d', cast(floor(c_custkey / 30) AS int)) AS district", "concat('c', cast(floor(c_custkey / 90) AS int)) AS city", "concat('p', cast(floor(c_custkey / 200) AS int)) AS department")
     return q.with_fallback(places, prices)
 
 
 def j17_finest_location(spark, sf_dir):
     prices, level = _prices(spark, sf_dir)
-    prices = prices.withColumn("level", F.when(F.col("level") == "city", "commune").otherwise(F.col("level"))).unionByName(level("block", "concat('b', s_suppkey % 90)", 7))
-    places = table(spark, sf_dir, "customer").selectExpr("c_custkey AS place_id", "array(concat('b', c_custkey % 120), concat('d', c_custkey % 60), concat('c', c_custkey % 20), concat('p', c_custkey % 8), 'fr') AS codes")
+    prices = prices.withColumn("level", F.when(F.col("level") == "city", "commune").otherwise(F.col("level"))).unionByName(level("block", "concat('b', cast(floor(s_suppkey / 2) AS int))", 7))
+    places = table(spark, sf_dir, "customer").selectExpr("c_custkey AS place_id", "array(concat('b', cast(floor(c_custkey / 24) AS int)), concat('d', cast(floor(c_custkey / 30) AS int)), concat('c', cast(floor(c_custkey / 90) AS int)), concat('p', cast(floor(c_custkey / 200) AS int)), 'fr') AS codes")
     return q.finest(places, prices)
 
 
@@ -111,9 +111,9 @@ def _mean(c: str) -> str:
 
 
 _PRICES = """
-pr AS (SELECT 'district' AS level, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'x' END || 'd' || (s_suppkey % 40) AS code, max(s_acctbal) AS price FROM supplier GROUP BY ALL
-  UNION ALL SELECT 'city', CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'x' END || 'c' || (s_suppkey % 12), max(s_acctbal) FROM supplier GROUP BY ALL
-  UNION ALL SELECT 'department', 'p' || (s_suppkey % 6), max(s_acctbal) FROM supplier GROUP BY ALL)"""
+pr AS (SELECT 'district' AS level, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'x' END || 'd' || (cast(floor(s_suppkey / 3) AS int)) AS code, max(s_acctbal) AS price FROM supplier GROUP BY ALL
+  UNION ALL SELECT 'city', CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'x' END || 'c' || (cast(floor(s_suppkey / 8) AS int)), max(s_acctbal) FROM supplier GROUP BY ALL
+  UNION ALL SELECT 'department', 'p' || (cast(floor(s_suppkey / 16) AS int)), max(s_acctbal) FROM supplier GROUP BY ALL)"""
 
 SQL = {
     "p18_source_requests": f"""SELECT source, property_type, status, count(*) AS n FROM (SELECT source, property_type, CASE WHEN source = 'terrain_construction' AND property_type <> 'maison' THEN 'skipped'
@@ -128,9 +128,9 @@ SQL = {
     "s4_ordered_union": """SELECT o_orderkey, array_to_string([x for x, i in l if list_position(l, x) = i], ',') AS all FROM (SELECT o_orderkey, [o_orderstatus, o_orderpriority[1], o_orderstatus, o_orderpriority[1], 'F', (o_custkey % 6)::VARCHAR] AS l FROM orders)""",
     "src8_latest_snapshots": "SELECT user_id AS key, ts AS cached_at, props AS payload FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, props DESC) = 1",
     "j16_price_fallback": f"""WITH {_PRICES} SELECT c_custkey AS place_id, coalesce(a.price, b.price, c.price) AS price, CASE WHEN a.price IS NOT NULL THEN 'district' WHEN b.price IS NOT NULL THEN 'city' WHEN c.price IS NOT NULL THEN 'department' END AS fallback_level
-      FROM customer LEFT JOIN pr a ON a.level = 'district' AND a.code = 'd' || (c_custkey % 60) LEFT JOIN pr b ON b.level = 'city' AND b.code = 'c' || (c_custkey % 20) LEFT JOIN pr c ON c.level = 'department' AND c.code = 'p' || (c_custkey % 8)""",
-    "j17_finest_location": f"""WITH {_PRICES}, al AS (SELECT CASE level WHEN 'city' THEN 'commune' ELSE level END AS level, code, price FROM pr UNION ALL SELECT 'block', CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'x' END || 'b' || (s_suppkey % 90), max(s_acctbal) FROM supplier GROUP BY ALL),
-      l AS (SELECT c_custkey AS place_id, unnest([1, 2, 3, 4, 5]) AS rank, unnest(['block', 'district', 'commune', 'department', 'country']) AS level, unnest(['b' || (c_custkey % 120), 'd' || (c_custkey % 60), 'c' || (c_custkey % 20), 'p' || (c_custkey % 8), 'fr']) AS code FROM customer)
+      FROM customer LEFT JOIN pr a ON a.level = 'district' AND a.code = 'd' || (cast(floor(c_custkey / 30) AS int)) LEFT JOIN pr b ON b.level = 'city' AND b.code = 'c' || (cast(floor(c_custkey / 90) AS int)) LEFT JOIN pr c ON c.level = 'department' AND c.code = 'p' || (cast(floor(c_custkey / 200) AS int))""",
+    "j17_finest_location": f"""WITH {_PRICES}, al AS (SELECT CASE level WHEN 'city' THEN 'commune' ELSE level END AS level, code, price FROM pr UNION ALL SELECT 'block', CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'x' END || 'b' || (cast(floor(s_suppkey / 2) AS int)), max(s_acctbal) FROM supplier GROUP BY ALL),
+      l AS (SELECT c_custkey AS place_id, unnest([1, 2, 3, 4, 5]) AS rank, unnest(['block', 'district', 'commune', 'department', 'country']) AS level, unnest(['b' || (cast(floor(c_custkey / 24) AS int)), 'd' || (cast(floor(c_custkey / 30) AS int)), 'c' || (cast(floor(c_custkey / 90) AS int)), 'p' || (cast(floor(c_custkey / 200) AS int)), 'fr']) AS code FROM customer)
       SELECT place_id, level, code, price FROM l JOIN al USING (level, code) QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY rank) = 1""",
     "a20_o4_distinct_suggestions": """WITH f AS (SELECT o_custkey, lower(trim(o_orderpriority)) AS label, min(o_orderkey) AS k FROM orders GROUP BY ALL), n AS (SELECT o_custkey, label, row_number() OVER (PARTITION BY o_custkey ORDER BY k)::INT AS place FROM f) SELECT * FROM n WHERE place <= 5""",
     "o3_catalogue_order": """WITH d AS (SELECT s_suppkey, s_name, lpad((s_suppkey * 931)::VARCHAR, 5, '0') AS p FROM supplier), e AS (SELECT *, CASE WHEN p[1:3] IN ('971', '972', '973', '974', '976') THEN p[1:3] WHEN p LIKE '20%' THEN CASE WHEN p::INT <= 20190 THEN '2A' ELSE '2B' END ELSE p[1:2] END AS department FROM d)
