@@ -13,13 +13,13 @@ from cadaster.functions import labels, numbers, text
 
 TABLES = ["actif", "passif", "compte_resultat"]
 
-#: For each table and canonical key, labels that stand for its total, and labels of its details, some as
-#: statements misspell them. A label ending in ` +` also stands with `total` before it. A caller with other labels passes a dictionary table of its own.
+#: For each table and canonical key, labels that stand for its total, and labels of its details, some of them
+#: misspelt as well as spelt right. A label ending in ` +` also stands with `total` before it. A caller with other labels passes a dictionary table of its own.
 LABELS = {
     "actif": {
         "autres_actif_residuel": (
             ["immobilisations incorporelles +", "capital souscrit non appele", "avances et acomptes verses sur commandes"],
-            ["frais d establissement", "frais de recherche et developpement", "concessions brevets licences marques procedes", "fonds commercial", "capital souscrit appele non verse"],
+            ["frais d establissement", "frais d etablissement", "frais de recherche et developpement", "concessions brevets licences marques procedes", "fonds commercial", "capital souscrit appele non verse"],
         ),
         "immobilisations_corporelles": (
             ["immobilisations corporelles +"],
@@ -46,7 +46,7 @@ LABELS = {
         "capital_social": (["capital social", "capital individuel", "capital"], []),
         "capitaux_propres_detail": (
             [],
-            ["primes d emission", "primes d apport", "primes de fusion scission", "ecarts de revaluation", "reserve legale", "reserves statutaires et contractuelles", "reserves reglementees", "autres reserves", "reserves", "report a nouveau", "subventions d investissement", "provisions reglementees"],
+            ["primes d emission", "primes d apport", "primes de fusion scission", "ecarts de revaluation", "ecarts de reevaluation", "reserve legale", "reserves statutaires et contractuelles", "reserves reglementees", "autres reserves", "reserves", "report a nouveau", "subventions d investissement", "provisions reglementees"],
         ),
         "resultat_exercice": (["resultat de l exercice", "resultat de exercice", "resultat exercice", "benefice", "perte", "resultat", "resultat net"], []),
         "capitaux_propres": (["capitaux propres +"], []),
@@ -71,7 +71,7 @@ LABELS = {
         "production_stockee": (["production stockee"], ["production immobilisee"]),
         "subventions_exploitation": (["subventions d exploitation", "subventions d exploitation recues"], []),
         "reprises_exploitation": (
-            ["reprise sur amortissements et provisions transfert de charges", "reprise sur amortissements et provisions transferts de charges", "reprise sur amortissements et provisions", "reprises sur depreciations et provisions"],
+            ["reprise sur amortissements et provisions transfert de charges", "reprise sur amortissements et provisions transferts de charges", "reprise sur amortissements et provisions", "reprises sur amortissements et provisions", "reprises sur depreciations et provisions"],
             ["transferts de charges"],
         ),
         "autres_produits_exploitation": (["autres produits", "autres produits d exploitation", "autres produits exploitation"], []),

@@ -40,7 +40,12 @@ def box_join(subjects: DataFrame, sales: DataFrame) -> DataFrame:
 
 
 def candidates(subjects: DataFrame, sales: DataFrame) -> DataFrame:
-    """Sales in the box and date window, projected: positive amounts, price per m², address, distance."""
+    """Sales in the box and date window, projected: positive amounts, price per m², address, distance.
+
+    A subject without a street has the one of its normalized_address, if subjects have that column.
+    """
+    if "normalized_address" in subjects.columns:
+        subjects = subjects.withColumn("street_name", F.coalesce(F.nullif(F.trim("street_name"), F.lit("")), "normalized_address")).drop("normalized_address")
     pairs = box_join(subjects, sales).where(F.col("sale_date").between(window_start(F.col("valuation_date"), F.col("min_year")), F.col("valuation_date")))
     area, price = F.when(F.col("living_area") > 0, numbers.half_up(F.col("living_area"))), F.when(F.col("total_price") > 0, numbers.half_up(F.col("total_price")))
     return pairs.select(
