@@ -30,24 +30,75 @@ STEPS, RATE, L2 = 300, 0.5, 0.001
 BLOCK_ABOVE = 0.5
 
 #: The labelled table: hosts and paths that a crawl keeps (0) or leaves out (1). Fixed values, written from general
-#: knowledge of what such addresses look like.
+#: knowledge of how such addresses are built: what shops, schools, papers and forums call their pages, and what link farms, pill
+#: and loan mills, betting and adult sites, parked names and trackers do. None names a real site.
 KEEP = """
-www.garden.example.org/en/roses blog.carpentry.example.net/de/44 news.city.example.org/fr/930.html docs.library.example.net/en/guide.html
-m.weather.example.org/es/7 museum.example.net/de/collection recipes.kitchen.example.org/en/soup/ university.example.org/en/courses/882
-blog.travel.example.net/en/lisbon history.example.org/fr/rome wiki.example.net/en/article/31 science.example.org/en/physics/9120
-forum.cycling.example.org/de/3301 council.example.net/en/meetings/2024 orchestra.example.org/en/6150 www.nursery.example.net/en/trees/470
-m.railway.example.net/en/25 astronomy.example.net/de/533 health.example.org/en/advice/12.html blog.weaving.example.org/en/7733/
-maps.example.org/fr/paris journal.example.net/en/2019/04 school.example.org/es/math opensource.example.net/en/project/77
-thesaurus.example.net/en/5021 theatre.example.org/en/tonight.html lighthouse.example.net/fr/12 northern-trail.example.org/en/8080
+www.rosegarden-society.org/articles/pruning-in-march.html
+library.northfield.edu/catalogue/records/88213
+blog.woodworkersguild.org/2021/06/dovetail-joints-by-hand/
+news.harbourherald.co.uk/local/council-approves-new-bridge
+docs.openmatrixlib.io/en/latest/tutorial/quickstart.html
+www.stadtbibliothek-altenberg.de/angebote/lesungen/herbst
+museum.villeneuve-sur-loire.fr/expositions/ceramique-ancienne
+recipes.grandmaskitchen.ca/soups/leek-and-potato
+www.physics.lakeside.ac.uk/research/groups/optics/publications
+forum.vintagecyclists.net/threads/restoring-a-steel-frame.4821/
+weather.coastalwatch.gov/forecast/tides/week
+en.encyclopaedia-libre.org/wiki/History_of_paper
+journal.appliedbotany.org/vol12/issue3/paper7.pdf
+www.orquesta-sinfonica-merida.es/temporada/programa
+school.riverbend.k12.us/parents/calendar/term-dates
+trainspotters.railclub.org/galleries/steam/1954
+www.handelskammer-suedwest.de/ausbildung/berufe/tischler
+astronomy.backyardstars.com/guides/first-telescope
+www.mairie-saint-aubin.fr/vie-municipale/comptes-rendus/2019
+healthadvice.countyclinic.org/topics/asthma/inhalers
+travelnotes.slowroads.com/portugal/lisbon-on-foot
+code.smalltools.dev/projects/parser/issues/17
+www.theatre-des-halles.fr/saison/billetterie
+maps.hikingtrails.org/routes/northern-ridge/day-3
+poetry.quietpages.com/essays/on-translation
+www.farmersunion.org/policy/water-and-soil
+chemistry.openlectures.edu/courses/organic/week-5/notes
+archive.localhistory.org/letters/1911/february
+www.camaracomercio-leon.es/empresas/formacion
+parks.greenbelt.gov/visit/opening-hours
+philosophy.readinggroup.net/discussions/kant-preface
+www.knittingpatterns.org.uk/free/childrens-cardigan
 """.split()
 LEAVE = """
-spam.example.org/en/28 www.spammers-farm.example.org/en/2181 pills-cheap.example.net/en/450 www.cheap-pharmacy-pills.example.org/de/9
-adult-videos.example.org/en/13420 m.xxx-adult.example.net/fr/77 casino-royal-win.example.org/en/bonus best-casino.example.net/de/slots
-free-porn.example.org/en/1 xxx-videos.example.net/en/2 buy-viagra.example.org/en/shop pills-online.example.net/en/cheap
-payday-loan.example.org/en/apply replica-watch.example.net/en/sale click-farm.example.org/en/ads hot-adult-chat.example.net/es/5
-spam-links.example.net/en/list online-casino.example.org/poker/free-spins torrent-crack.example.org/en/keygen cheap-meds.example.org/en/order
-adult-dating.example.org/en/8 seo-spam.example.net/en/backlinks lottery-winner.example.org/en/claim fake-bags.example.net/en/outlet
-sports-bets-free.example.net/en/odds free-betting.example.org/en/17 ad-tracker.example.net/en/pixel tracking-ads.example.org/en/banner
+www.best-cheap-pills4u.biz/buy-now/viagra-no-prescription
+casino-jackpot-777.info/bonus/free-spins
+xxx-hot-cams.tv/live/girls/page9
+payday-loans-instant.top/apply-now/bad-credit-ok
+replica-watches-outlet.shop/sale/rolex-80-off
+click.adtrack-network.com/pixel/redirect/8f3a
+free-movie-torrents.cc/download/full-hd-cracked
+seo-backlinks-cheap.xyz/order/1000-links
+win-a-free-phone.click/claim/prize/you-won
+adult-dating-tonight.net/profiles/hot-singles
+pharmacy-online-discount.ru/tramadol/overnight-shipping
+bet365-bonus-codes.info/odds/sure-win-tips
+lose-weight-fast-keto.store/miracle/order
+parked-domain-for-sale.com/buy-this-domain
+porn-tube-free.sex/videos/amateur/42
+crypto-doubler-invest.biz/register/guaranteed-profit
+fake-passport-documents.to/order/eu
+banner.popunder-ads.net/serve/zone/119
+essay-mill-writers.pro/cheap/order-now
+spam-comments-list.top/links/page77
+slots-poker-online.bet/play/roulette-bonus
+viagra-cialis-generic.su/checkout/cheap
+keygen-serials-crack.ws/full/license-key
+hot-escorts-city.club/girls/24h
+make-money-home-fast.info/secret/millionaire
+cheap-handbags-replica.cn/outlet/louis
+ringtones-free-win.mobi/subscribe/premium
+link-farm-directory.biz/submit/free-links
+bitcoin-casino-slots.io/faucet/spin-to-win
+nude-celebs-leaked.xxx/gallery/hot
+instant-loan-approval.loan/apply/no-credit-check
+miracle-cure-supplement.shop/buy/discount-pills
 """.split()
 
 
