@@ -6,9 +6,9 @@ one pattern. The automaton reads each text's words once; a word inside any occur
 each word's place in the original text is known.
 
 The items are the only data sent to every executor, as texts; a Python worker builds the automaton
-once and keeps it for its later tasks. Its size is checked before: an automaton has MOST_STATES states
-at most (about 30 bytes each), and a benchmark that needs more is scanned for in several passes that
-carry the hits along, so nothing is left out.
+once and keeps it, and one more, for its later tasks. Its size is checked before: an automaton has MOST_STATES states
+at most (about 60 bytes each), and a benchmark that needs more is scanned for in several passes that
+carry the hits along, so nothing is left out; an item whose words alone make more is one automaton.
 
 Edge cases: null or empty texts have no words; null item texts have no patterns; a null item_id
 counts as ''; repeated items count once; repeated documents are each judged; other columns of the
@@ -29,7 +29,7 @@ from cadaster.llm.text import LOWER
 
 WINDOW = 13
 #: States of one automaton: each word of a window makes one at most.
-MOST_STATES = 8_000_000
+MOST_STATES = 4_000_000
 #: Per byte: A-Z lower-cased, word bytes kept, all else a space.
 NORMAL = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in LOWER)
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -60,14 +60,16 @@ def build(items: list[tuple[str, bytes]], window: int = WINDOW):
     return automaton, numbers
 
 
-#: The automaton that this Python worker built last, by the name of its items.
+#: The automata that this Python worker built last, by the names of their items; workers take turns between passes.
 _kept: dict[str, tuple] = {}
+KEPT = 2
 
 
 def kept(name: str, items):
     """build() of broadcast items, once a worker."""
     if name not in _kept:
-        _kept.clear()
+        while len(_kept) >= KEPT:
+            del _kept[next(iter(_kept))]
         _kept[name] = build(items.value)
     return _kept[name]
 
