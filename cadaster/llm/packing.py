@@ -1,15 +1,15 @@
 """Operator 8: best-fit packing into sequences of several permitted lengths.
 
 Documents are counted in tokens and cut into pieces no longer than the longest permitted length.
-Pieces are dealt by hash into groups of about GROUP_PIECES, and each group is packed by itself, in
+Pieces are numbered as they are written and dealt by a hash of their numbers into groups of about GROUP_PIECES, and each group is packed by itself, in
 decreasing order: a piece goes where it leaves the least room; if it fits nowhere, a bin is opened,
 of the permitted length whose cost for each token it can be expected to hold is least; at the end
 each bin shrinks to the shortest permitted length that holds its contents. A group has thousands of
 pieces, so what is lost at its edges is a bin or two.
 
 Edge cases: documents without tokens (null or empty texts) are returned with a null bin; equal
-pieces are taken by doc_id; repeated rows are each packed; other columns are ignored; an empty
-table gives no rows.
+pieces are taken by doc_id, piece and number; repeated rows, and rows without a doc_id, are each packed, and spread
+over groups as others are; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -81,12 +81,13 @@ def pack_documents(docs: DataFrame, capacities=CAPACITIES, overhead: int = OVERH
     counted = docs.select("doc_id", (count_words(F.col("text")) if tokens is None else tokens).cast("int").alias("n"))
     pieces = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / longest) - 1, F.lit(0)).cast("int"))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * longest).alias("start"), F.least(F.col("n") - F.col("piece") * longest, F.lit(longest)).cast("int").alias("n_tokens"))
-    pieces = saved(pieces, "pieces")
+    # numbered when written, so that rows of one doc_id, or of none, are told apart
+    pieces = saved(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = 1 + pieces.count() // GROUP_PIECES
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["n_tokens", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
         bins, offsets, fits = pack(group["n_tokens"].to_numpy(), capacities, overhead)
         return group.assign(bin_id=[f"{g}-{b}" for g, b in zip(group["g"], bins, strict=True)], capacity=fits, offset=offsets)[[f.split()[0] for f in RESULT.split(", ")]]
 
