@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cadaster.llm import decontaminate, jaccard_join, line_dedup, packing, quality_bt
 from cadaster.llm.queries import read
-from cadaster.llm.shared import forget, held_out, saved
+from cadaster.llm.shared import forget, held_out, passing, saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written and read again; what stages write in between is deleted when they end."""
     docs = read(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        keep: list[DataFrame] = []
+        with passing(keep):
+            docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep.append(docs)
         if before is not None:
             forget(before)
         before = docs
