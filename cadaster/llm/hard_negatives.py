@@ -13,7 +13,7 @@ whose score is within a window below the positive's are its hard negatives. Scor
 3. Anchors that need a block meet its pieces in a join on the block (in as many parts as anchors ask for), and one
    matrix product scores them together. Each piece gives an anchor its few best; ranking over pieces limits before it shuffles.
 
-There are at most BLOCKS blocks, so that all their zone maps are small at any size; rows a block grow past that. In many
+There are at most ZONES / d blocks, so that all their zone maps are a few MB at any size and in any dimension; rows a block grow past that. In many
 dimensions without structure bounds are wide and nearly all is read: then this is the block product of the anchors with all rows.
 
 Edge cases: rows with a null id, label or vector, a null, non-finite or too large component (MOST: products must be exact), or
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from cadaster.llm.shared import by_merge, forget, passing, saved
 
-#: Rows of a block, as long as there are no more than BLOCKS of them; rows of a piece; anchors that go together.
-BLOCK, BLOCKS, PIECE, GROUP = 4096, 4096, 1024, 256
+#: Rows of a block, as long as all blocks have no more than ZONES dimensions together; rows of a piece; anchors that go together.
+BLOCK, ZONES, PIECE, GROUP = 4096, 1 << 18, 1024, 256
 #: Anchors of one part of a block's join.
 PART = 1 << 14
 SEEDS = 2
@@ -111,7 +111,7 @@ def layout(rows: DataFrame, d: int, block: int = BLOCK, piece: int = PIECE) -> D
     count, mean = s["count"], np.array(s["mean"].toArray())
     cuts = np.stack([mean, mean - 0.6745 * s["std"].toArray(), mean + 0.6745 * s["std"].toArray()])
     cuts.sort(axis=0)
-    n_blocks = int(max(1, min(BLOCKS, -(-count // block))))
+    n_blocks = int(max(1, min(ZONES // d, -(-count // block))))
 
     def keyed(batches):
         for b in batches:
@@ -161,7 +161,7 @@ def layout(rows: DataFrame, d: int, block: int = BLOCK, piece: int = PIECE) -> D
 
 
 def zone_maps(blocks: DataFrame, d: int) -> ZoneMaps:
-    """Those of all blocks, BLOCKS at most: each piece's, reduced by block in the executors."""
+    """Those of all blocks: each piece's, reduced by block in the executors."""
     import pandas as pd
 
     def reduce(key, part):
@@ -211,7 +211,7 @@ def meet(anchors: DataFrame, extra: str | None, blocks: DataFrame, maps: ZoneMap
 
     asked = anchors.select("anchor_id", "label", "x", F.col(extra) if extra else F.lit(None).cast("array<bigint>").alias("none"))
     pairs = saved(asked.mapInArrow(ask, "block int, part int, anchor_ids binary, anchor_labels binary, anchor_x binary, extras array<array<bigint>>"), "asked")
-    # block numbers, BLOCKS at most: directories that are scanned
+    # block numbers, ZONES / d at most: directories that are scanned
     some = [r[0] for r in pairs.select("block").distinct().collect()]
     read = blocks.where(F.col("block").isin(some)) if some else blocks.where("false")
     read = read.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
