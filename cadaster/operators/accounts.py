@@ -491,6 +491,12 @@ def _flatten(filings: DataFrame) -> DataFrame:
     return rows.select("siren", "year", "entry", "section_index", "line_index", "side", F.col("l.code").alias("code"), F.col("l.libelle").alias("label"), primary_value(F.col("side"), F.col("columns")).alias("n"), primary_value(F.col("side"), F.col("columns"), "-1").alias("n1"))
 
 
+def of_latest_year(files: DataFrame) -> DataFrame:
+    """Of each company folder the files of its latest year, `last`, and those without a year; files: company_folder, year."""
+    last = files.groupBy("company_folder").agg(F.max("year").alias("last"))
+    return files.join(last, "company_folder").where("year IS NULL OR year >= last")
+
+
 def company_periods(files: DataFrame) -> DataFrame:
     """company_folder, place, period, files (array of year, name, source_path), of each company's files by year; newest periods and files first.
 

@@ -98,6 +98,16 @@ def chunks(parts: DataFrame) -> DataFrame:
     return rows.select(F.format_string("%s_%04d", "document_id", "index").alias("parent_id"), "document_id", "section_type", "title", "text", F.length("text").alias("char_count"), text.token_estimate(F.col("text")).alias("token_estimate"))
 
 
+def manifest_totals(files: DataFrame, parents: DataFrame, by: str) -> DataFrame:
+    """by, files, with_chunks, chunks, tokens, longest: what a manifest's files came to.
+
+    files: document_id and `by`; parents: chunks(). The longest is the document of most tokens.
+    """
+    per = parents.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum("token_estimate").alias("tokens"))
+    rows = files.select("document_id", by).join(per, "document_id", "left")
+    return rows.groupBy(by).agg(F.count("*").alias("files"), F.count("chunks").alias("with_chunks"), F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"))
+
+
 def pack_rows(header_tokens: Column, sizes: Column, most: int) -> Column:
     """Which child chunk each row of a table goes to: rows fill a chunk beside the repeated header until it is full."""
     start = F.struct(F.lit(0).alias("chunk"), header_tokens.cast("int").alias("used"), F.lit(0).alias("rows"), F.expr("cast(array() AS array<int>)").alias("out"))

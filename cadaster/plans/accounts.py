@@ -188,9 +188,7 @@ def w13_latest_documents(spark, sf_dir):
 
 
 def a13_latest_year_filter(spark, sf_dir):
-    rows = _company_files(spark, sf_dir)
-    last = rows.groupBy("company_folder").agg(F.max("year").alias("last"))
-    return rows.join(last, "company_folder").where("year IS NULL OR year >= last").groupBy("company_folder", "last").agg(F.count("*").alias("kept"))
+    return a.of_latest_year(_company_files(spark, sf_dir)).groupBy("company_folder", "last").agg(F.count("*").alias("kept"))
 
 
 def a18_company_periods(spark, sf_dir):

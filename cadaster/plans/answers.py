@@ -110,26 +110,26 @@ def w18_newest_history(spark, sf_dir):
 
 
 def src1_rule_files(spark, sf_dir):
-    """Rules of parts, in files of fifty, read back; those without an id are left out."""
+    """Rules of parts, in files of some thousands, read back; those without an id are left out."""
     path = inventory.shared_folder(spark, "rules")
     field = F.struct(F.when(F.col("p_partkey") % 9 > 0, F.concat(F.lit("f"), F.col("p_partkey"))).alias("field_id"), F.col("p_name").alias("label"), F.array("p_type").alias("hint_keywords"))
-    table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 50)).agg(F.collect_list(field).alias("fields")).select("fields").write.option("maxRecordsPerFile", 1).json(path)
+    table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 20_000)).agg(F.collect_list(field).alias("fields")).select("fields").write.option("maxRecordsPerFile", 1).json(path)
     return inventory.rules(spark, path).select("field_id", "label", F.get("hint_keywords", 0).alias("hint"))
 
 
 def src3_whole_texts(spark, sf_dir):
-    """Texts of each source, in files of a few documents each, read back whole: as many files as the documents need."""
+    """Texts of each source, in files of some ten megabytes each, read back whole: as many files as the documents need."""
     path = inventory.shared_folder(spark, "texts")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
-    table(spark, sf_dir, "documents").groupBy("source", F.floor(F.col("doc_id") / 64)).agg(joined.alias("text")).select("text").write.option("maxRecordsPerFile", 1).text(path)
-    return inventory.whole_texts(spark, path).groupBy("file_type").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
+    table(spark, sf_dir, "documents").groupBy("source", F.floor(F.col("doc_id") / 4096)).agg(joined.alias("text")).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return inventory.whole_texts(spark, path).select("file_type", F.length("text").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
 
 
 def src5_manifests(spark, sf_dir):
-    """Manifests of each project, in files of some hundred entries, written and read back by cache key."""
+    """Manifests of each project, one file each, written and read back by cache key."""
     path = inventory.shared_folder(spark, "manifests")
     entry = F.struct(F.when(F.col("doc_id") % 13 > 0, F.col("source_path")).alias("source_path"), F.when(F.col("doc_id") % 17 > 0, F.col("file_size_bytes").cast("string")).otherwise("?").alias("file_size_bytes"))
-    files(spark, sf_dir).groupBy("project_id", F.floor(F.col("doc_id") / 256)).agg(F.collect_list(entry).alias("files")).select("project_id", "files").write.option("maxRecordsPerFile", 1).json(path)
+    files(spark, sf_dir).groupBy("project_id").agg(F.collect_list(entry).alias("files")).write.option("maxRecordsPerFile", 1).json(path)
     return inventory.manifest(spark, path).select("project_id", "cache_key")
 
 
@@ -230,7 +230,7 @@ SQL = {
       SELECT company, coalesce(chosen, dflt) AS source_path, chosen IS NOT NULL AS is_chosen FROM d LEFT JOIN c USING (company)""",
     "w18_newest_history": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS place FROM events QUALIFY place <= 25",
     "src1_rule_files": "SELECT 'f' || p_partkey AS field_id, p_name AS label, p_type AS hint FROM part WHERE p_partkey % 9 > 0",
-    "src3_whole_texts": "SELECT 'txt' AS file_type, count(DISTINCT source || '/' || (doc_id // 64)) AS files, sum(length(text) + 1)::BIGINT AS chars FROM documents",
+    "src3_whole_texts": "WITH f AS (SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY source, doc_id // 4096) SELECT 'txt' AS file_type, length(text)::INT AS chars, sha256(text) AS sha FROM f",
     "src5_manifests": f"WITH {FILES} SELECT project_id, source_path || '::' || file_size_bytes AS cache_key FROM fi WHERE doc_id % 13 > 0 AND doc_id % 17 > 0",
     "src4_src9_chunk_files": "SELECT source AS project_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1",
     "src9_result_files": f"""WITH {_ANSWERS}, c AS (SELECT DISTINCT project_id, field_id, entity_key FROM an WHERE {_OK}), g AS (SELECT document_id, field_id, bool_or({_OK}) AS filled FROM an GROUP BY ALL),

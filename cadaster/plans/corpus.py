@@ -97,9 +97,7 @@ def w12_document_heads(spark, sf_dir):
 
 def a11_manifest_totals(spark, sf_dir):
     parts = c.chunks(c.split_oversize(c.sections(_elements(spark, sf_dir)), SIZE, OVERLAP))
-    per = parts.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum("token_estimate").alias("tokens"))
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source").join(per, "document_id", "left")
-    return rows.groupBy("source").agg(F.count("*").alias("files"), F.count("chunks").alias("with_chunks"), F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"))
+    return c.manifest_totals(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "source"), parts, "source")
 
 
 def _now(spark, sf_dir):
