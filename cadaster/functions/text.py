@@ -19,10 +19,11 @@ ARCHIVE_NAMES = ["old", "archive", "archives"]
 
 @cache
 def _latin(form: str) -> tuple[str, str]:
-    """Letters with marks, and the letters without them, for translate(); built from the Unicode database. By NFKD no-break and wide blanks are blanks."""
+    """Letters with marks, and the letters without them, for translate(); built from the Unicode database. No-break and wide blanks are blanks in either form."""
     pairs = []
     for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), 0x3000):
-        bare = "".join(c for c in unicodedata.normalize(form, chr(code)) if unicodedata.category(c) != "Mn")
+        blank = unicodedata.category(chr(code)) == "Zs"
+        bare = " " if blank else "".join(c for c in unicodedata.normalize(form, chr(code)) if unicodedata.category(c) != "Mn")
         if len(bare) == 1 and bare != chr(code):
             pairs.append((chr(code), bare))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
@@ -44,7 +45,7 @@ def strip(text: Column) -> Column:
 
 
 def without_marks(text: Column) -> Column:
-    """Letters without their accents; other letters stay."""
+    """Letters without their accents; other letters stay, blanks of any kind are plain ones."""
     return F.regexp_replace(F.translate(text, *_latin("NFD")), r"\p{Mn}+", "")
 
 
@@ -55,9 +56,7 @@ def to_ascii(text: Column) -> Column:
 
 def canonical_name(text: Column) -> Column:
     """A folder, file or key name for comparison: no case, accents, numbering or separators."""
-    # no-break blanks are blanks
-    t = without_marks(F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " "))))
-    t = F.translate(t, "_-", "  ")
+    t = F.translate(F.trim(without_marks(F.lower(text)), F.lit(" \t\n\r\f\x0b")), "_-", "  ")
     t = F.regexp_replace(t, r"^\s*(?:\d+|x)\s*[.)](?!\d)\s*", "")
     t = F.regexp_replace(t, r"\s+\d+\s*$", "")
     return F.coalesce(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(""))

@@ -201,10 +201,13 @@ def distress_signal(publications: DataFrame) -> DataFrame:
     # the phrases are literals, folded when the plan is made; a sentence is folded once
     phrases = [_plain(F.lit(k)) for k in DISTRESS]
     hits = lambda x: text.let(_plain(x), lambda p: F.array_compact(F.array(*(F.when(F.contains(p, k), i) for i, k in enumerate(phrases)))))
-    scored = lambda xs: F.filter(F.transform(xs, lambda x, i: F.struct(i.alias("pos"), x.alias("sentence"), hits(x).alias("hits"))), lambda x: F.size(x["hits"]) > 0)
-    rows = text.once(publications.select("siren", "ordinal", "contenu"), "found", scored(said))
-    # a phrase that no sentence holds may run over the end of a line: then the notice is the sentence
-    rows = rows.select("siren", "ordinal", F.inline(F.when(F.size("found") > 0, F.col("found")).otherwise(scored(F.array(plain(F.col("contenu")))))))
+    # what a sentence holds the whole notice holds: most notices end here
+    rows = text.once(publications.select("siren", "ordinal", "contenu"), "whole", hits(F.col("contenu"))).where(F.size("whole") > 0)
+    scored = F.filter(F.transform(said, lambda x, i: F.struct(i.alias("pos"), x.alias("sentence"), hits(x).alias("hits"))), lambda x: F.size(x["hits"]) > 0)
+    rows = text.once(rows, "found", scored)
+    # a phrase that no sentence holds runs over the end of a line: then the notice is the sentence
+    notice = F.array(F.struct(F.lit(0).alias("pos"), plain(F.col("contenu")).alias("sentence"), F.col("whole").alias("hits")))
+    rows = rows.select("siren", "ordinal", F.inline(F.when(F.size("found") > 0, F.col("found")).otherwise(notice)))
     n = F.length("sentence")
     letters_, capitals = F.length(F.regexp_replace("sentence", r"\P{L}", "")), F.length(F.regexp_replace("sentence", r"\P{Lu}", ""))
     penalty = F.abs(n - 160) + F.when(n < 40, 60).otherwise(0) + F.greatest(n - 320, F.lit(0))
