@@ -31,7 +31,7 @@ from fractions import Fraction
 from math import exp
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadaster.llm.components import between, unite
@@ -44,6 +44,8 @@ SAMPLED = 4
 SKETCH_WORDS = 8
 #: What a chance meeting costs, in keys.
 MEETING = 20.0
+#: Sets of one key that are compared each with each; those of larger keys meet by rare tokens, with the same links.
+EACH_WITH_EACH = 64
 
 
 # --- size bands -----------------------------------------------------------------------------------
@@ -209,6 +211,27 @@ def _may_link(t: Fraction):
     return (small * t.denominator >= large * t.numerator) & (bits <= most + 1)
 
 
+def _across(left: DataFrame, right: DataFrame, by: str, t: Fraction) -> DataFrame:
+    """a, b of the rows (by, id, root, n, sketch) of both sides that share `by`, are in different components and may link."""
+    side = lambda rows, s: rows.select(by, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "sketch")))
+    both = side(left, "a").join(side(right, "b"), by)
+    return both.where((F.col("root_a") < F.col("root_b")) & _may_link(t)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def _rarest(near: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """token, id, root, n, sketch: of each set of near (id, root, n, sketch) as many of its rarest tokens as tell it from all that it does not link with.
+
+    Tokens that one component alone holds are counted, but left out at the end, as they meet nothing.
+    """
+    tokens = by_merge(sets.select("id", "tokens"), near.select("id", "root", "n"), "id").select("id", "root", "n", F.explode("tokens").alias("token"))
+    tokens = saved(tokens, "tokens")
+    held = saved(tokens.groupBy("token").agg(F.count("*").alias("sets"), (F.min("root") < F.max("root")).alias("meets")), "held")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("sets", "token"))
+    spare = F.floor(F.col("n") * (t.denominator - t.numerator) / F.lit(t.denominator))
+    first = split_join(tokens, held, "token", "id").withColumn("place", place).where((F.col("place") <= spare + 1) & F.col("meets"))
+    return saved(by_merge(first.select("token", "id"), near, "id"), "rarest")
+
+
 def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     t = threshold
@@ -245,10 +268,15 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, t
             else:
                 named = named.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
             named = saved(named, "named")
-            mixed = saved(named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key"), "mixed")
-            open_ = saved(named.join(mixed, "key", "left_semi").join(sets.select("id", "n", "sketch"), "id"), "open")
-            side = lambda s: open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "sketch")))
-            across = side("a").join(side("b"), "key").where((F.col("root_a") < F.col("root_b")) & _may_link(t)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+            mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 < r1")
+            mixed = saved(mixed.select("key", (F.col("c") > EACH_WITH_EACH).alias("large")), "mixed")
+            open_ = saved(named.join(mixed, "key").join(sets.select("id", "n", "sketch"), "id"), "open")
+            few, near = open_.where("not large"), open_.where("large").select("id", "root", "n", "sketch")
+            across = _across(few, few, "key", t)
+            if not near.isEmpty():
+                rarest = _rarest(saved(near.dropDuplicates(["id"]), "near"), sets, t)
+                across = across.unionByName(_across(rarest, rarest, "token", t))
+            across = across.distinct()
             labels = unite(labels, saved(_verify(saved(across, "across"), sets, t), "verified"))
         if labels is not None:
             own = labels.select(F.col("node").alias("rep"), F.col("root").alias("component"))

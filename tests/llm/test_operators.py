@@ -1,5 +1,6 @@
 """Each operator against its SQL on the given tables, and against brute force on small ones."""
 
+import contextlib
 import hashlib
 import itertools
 import random
@@ -80,6 +81,37 @@ def test_jaccard_brute_force(docs, texts, k, t):
     assert got == plain.components(texts, k, t)
 
 
+@pytest.mark.parametrize("most", [0, 8, 10**9])
+def test_jaccard_large_keys(docs, texts, monkeypatch, most):
+    """The same links, whichever keys' sets are compared each with each and whichever meet by rare tokens."""
+    monkeypatch.setattr(jaccard_join, "EACH_WITH_EACH", most)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(docs, 2, Fraction(1, 2)).collect()}
+    assert got == plain.components(texts, 2, Fraction(1, 2))
+
+
+def test_jaccard_pages_of_a_template(spark, monkeypatch):
+    """Pages just below the threshold meet only those that they share rare words with; copies among them are found."""
+    n, t = 150, Fraction(80, 100)
+    part = lambda i: [f"own{i % n}-{j}" for j in range(15)]
+    pages = {i: [f"word{j}" for j in range(100)] + part(i) + part(i + 1) for i in range(n)}
+    pages |= {1000 + i: [*pages[i][:-1], f"own{(i + 9) % n}-0"] for i in range(0, n, 10)}
+    texts = {i: " ".join(w) for i, w in pages.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    met = {}
+
+    def link(most):
+        monkeypatch.setattr(jaccard_join, "EACH_WITH_EACH", most)
+        monkeypatch.setattr(jaccard_join, "saved", lambda df, name: met.update({(most, name): shared.saved(df, name)}) or met[most, name])
+        return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(docs, 1, t).collect()}
+
+    monkeypatch.setattr(jaccard_join, "_may_link", lambda t: F.lit(True))
+    want = plain.components(texts, 1, t)
+    assert want[1010] == (130, 10) and want[11] == (130, 11)
+    monkeypatch.setattr(jaccard_join, "passing", lambda keep: contextlib.nullcontext())
+    assert link(8) == want and met[8, "across"].count() <= 4 * n
+    assert link(10**9) == want and met[10**9, "across"].count() > 10 * n
+
+
 def test_segments_meet_within_the_distance():
     """Sets within a band's distance share a key, whatever the allocation."""
     rng = np.random.default_rng(3)
