@@ -44,7 +44,7 @@ SAMPLED = 4
 SKETCH_WORDS = 8
 #: What a chance meeting costs, in keys.
 MEETING = 20.0
-#: Sets of one key that are compared each with each; those of larger keys meet by rare tokens, with the same links.
+#: Sets of other components that a key's sets meet there on average; keys where they would meet more use rare tokens, with the same links.
 EACH_WITH_EACH = 64
 
 
@@ -268,8 +268,10 @@ def link(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, t
             else:
                 named = named.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
             named = saved(named, "named")
-            mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 < r1")
-            mixed = saved(mixed.select("key", (F.col("c") > EACH_WITH_EACH).alias("large")), "mixed")
+            # sets of a key in one component meet nothing there; a set of another component meets them all
+            shares = named.groupBy("key", "root").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("within"))
+            meetings = F.col("c") * F.col("c") - F.col("within")
+            mixed = saved(shares.where(meetings > 0).select("key", (meetings > EACH_WITH_EACH * F.col("c")).alias("large")), "mixed")
             open_ = saved(named.join(mixed, "key").join(sets.select("id", "n", "sketch"), "id"), "open")
             few, near = open_.where("not large"), open_.where("large").select("id", "root", "n", "sketch")
             across = _across(few, few, "key", t)
