@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadaster.functions import labels
-from cadaster.operators import companies
+from cadaster.operators import answers, companies
 
 FOLDERS = ["FD", "Lumière", "SCI F.D.", "Les Lumières du Nord", "SCI", "A", "Groupe Est", "Société Ouest 3", "SASé Conseil", "X-Y"]
 POOL = ["SCI F.D.", "LesLumieres", "FD", "Lumière", "SARL", "Nord", "Ouest", "Conseil de l'Est", "xyz", "É", "Autre"]
@@ -37,3 +37,18 @@ def test_earlier_pool_wins(names):
     folders, pool = names
     tiers = [pool.where("nom = 'SCI F.D.'"), pool]
     assert {r.project_id: r.match_tier for r in companies.cascade(folders.where("folder = 'FD'"), tiers).collect() if r.project_id in "pr"} == {"p": 0, "r": 0}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_addresses_are_not_broadcast(spark):
+    rows = spark.createDataFrame([("p", 1, 1, "12 rue de la Paix 75002 Paris"), ("p", 2, 2, "12 rue de la Paix")], "project_id string, document_id long, ordinal long, value string")
+    found = answers.project_location(rows)
+    assert "Broadcast" not in _plan(found)
+    assert [tuple(r) for r in found.collect()] == [("p", "12 rue de la Paix 75002 Paris")]
+
+
+def test_parts_of_names_are_not_broadcast(names):
+    assert "Broadcast" not in _plan(companies.best_matches(*names))
