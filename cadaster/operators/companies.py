@@ -121,7 +121,7 @@ def best_matches(folders: DataFrame, pool: DataFrame) -> DataFrame:
     back = matching.candidates(some(c), all_(f), ["project_id"]).toDF("project_id", "nom", "folder")
     pairs = there.unionByName(back).distinct()
     score = F.greatest(labels.similarity(F.col("folder"), F.col("nom")), labels.similarity(F.col("nom"), F.col("folder")))
-    scored = text.once(pairs, "score", score).where(F.col("score") > MATCH_ABOVE).join(pool, ["project_id", "nom"])
+    scored = text.once(pairs, "score", score).where(F.col("score") > MATCH_ABOVE).join(pool.hint("merge"), ["project_id", "nom"])
     best = scored.groupBy("project_id", "folder").agg(F.max_by(F.struct("siren", "nom", "score"), F.struct("score", -F.col("ordinal"))).alias("x"))
     return best.select("project_id", "folder", "x.*", (F.col("x.score") >= CONFIDENT).alias("confident"))
 
