@@ -83,7 +83,7 @@ def a20_o4_distinct_suggestions(spark, sf_dir):
 
 def o3_catalogue_order(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").withColumn("department", labels.department(F.format_string("%05d", F.col("s_suppkey") * 931)))
-    return rows.selectExpr("s_suppkey", "department", "row_number() OVER (PARTITION BY department ORDER BY lower(s_name)) AS place")
+    return rows.selectExpr("s_suppkey", "department", "row_number() OVER (PARTITION BY department ORDER BY lower(s_name), s_suppkey) AS place")
 
 
 QUERIES = {f.__name__: f for f in (p18_source_requests, p15_p16_normalised_quotes, a5_quote_summary, s1_quotes_with_average, s3_missing_types, s4_ordered_union, src8_latest_snapshots, j16_price_fallback, j17_finest_location, a20_o4_distinct_suggestions, o3_catalogue_order)}
@@ -133,6 +133,6 @@ SQL = {
       l AS (SELECT c_custkey AS place_id, unnest([1, 2, 3, 4, 5]) AS rank, unnest(['block', 'district', 'commune', 'department', 'country']) AS level, unnest(['b' || (cast(floor(c_custkey / 24) AS int)), 'd' || (cast(floor(c_custkey / 30) AS int)), 'c' || (cast(floor(c_custkey / 90) AS int)), 'p' || (cast(floor(c_custkey / 200) AS int)), 'fr']) AS code FROM customer)
       SELECT place_id, level, code, price FROM l JOIN al USING (level, code) QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY rank) = 1""",
     "a20_o4_distinct_suggestions": """WITH f AS (SELECT o_custkey, lower(trim(o_orderpriority)) AS label, min(o_orderkey) AS k FROM orders GROUP BY ALL), n AS (SELECT o_custkey, label, row_number() OVER (PARTITION BY o_custkey ORDER BY k)::INT AS place FROM f) SELECT * FROM n WHERE place <= 5""",
-    "o3_catalogue_order": """WITH d AS (SELECT s_suppkey, s_name, lpad((s_suppkey * 931)::VARCHAR, 5, '0') AS p FROM supplier), e AS (SELECT *, CASE WHEN p[1:3] IN ('971', '972', '973', '974', '976') THEN p[1:3] WHEN p LIKE '20%' THEN CASE WHEN p::INT <= 20190 THEN '2A' ELSE '2B' END ELSE p[1:2] END AS department FROM d)
-      SELECT s_suppkey, department, row_number() OVER (PARTITION BY department ORDER BY lower(s_name))::INT AS place FROM e""",
+    "o3_catalogue_order": """WITH d AS (SELECT s_suppkey, s_name, printf('%05d', s_suppkey * 931) AS p FROM supplier), e AS (SELECT *, CASE WHEN p[1:3] IN ('971', '972', '973', '974', '976') THEN p[1:3] WHEN p LIKE '20%' THEN CASE WHEN try_cast(p AS INT) <= 20190 THEN '2A' WHEN try_cast(p AS INT) > 20190 THEN '2B' END ELSE p[1:2] END AS department FROM d)
+      SELECT s_suppkey, department, row_number() OVER (PARTITION BY department ORDER BY lower(s_name), s_suppkey)::INT AS place FROM e""",
 }
