@@ -172,7 +172,9 @@ SQL = {
       f AS (SELECT o_orderkey, a, coalesce({_first('(?i)(\\d[\\d\\s]*)\\s*€\\s*/\\s*m\\s*[²2]', 500, 50000)}, {_first('(?i)prix\\s+au\\s+m[²2]\\s*[:*]*\\s*(\\d[\\d\\s]*)\\s*€', 500, 50000)}) AS m2,
         {', '.join(f"{_first(f'(?i)(?:{w})[^\\d]{{0,30}}(\\d[\\d\\s]{{4,}})\\s*€', 50000, 100000000)} AS {k}" for k, w in (('mid', 'moyenne?|moyen'), ('low', 'basse|bas'), ('high', 'haute?|haut')))} FROM o)
       SELECT o_orderkey, coalesce(m2, floor(mid / a + 0.5)) AS m2, floor(low / a + 0.5) AS low, floor(high / a + 0.5) AS high FROM f""",
-    "x2_price_replies": """SELECT o_orderkey::VARCHAR AS url, unnest(CASE WHEN o_orderkey % 4 = 0 THEN ['mid', 'low'] ELSE ['high'] END) AS kind, unnest(CASE WHEN o_orderkey % 4 = 0 THEN [1000.0 + o_custkey, 501.0] ELSE [700.0 + o_custkey] END)::DOUBLE AS price FROM orders WHERE o_orderkey % 4 < 2""",
+    "x2_price_replies": """WITH r AS (SELECT o_orderkey::VARCHAR AS url, unnest(CASE WHEN o_orderkey % 4 = 0 THEN ['mid', 'low'] ELSE ['high'] END) AS kind,
+        unnest(CASE WHEN o_orderkey % 4 = 0 THEN [CASE WHEN 1000 + o_custkey < 50000 THEN 1000.0 + o_custkey END, 501.0] ELSE [CASE WHEN 700 + o_custkey < 50000 THEN 700.0 + o_custkey ELSE 800.0 END] END)::DOUBLE AS price FROM orders WHERE o_orderkey % 4 < 2)
+      SELECT url, kind, price FROM r WHERE price IS NOT NULL""",
     "x3_price_tables": """WITH o AS (SELECT o_orderkey::VARCHAR AS url, o_custkey AS c, o_orderkey AS k, unnest(['appartement', 'maison']) AS type_bien, unnest([0, 7]) AS add FROM orders)
       SELECT url, type_bien, (2000 + c + add)::DOUBLE AS low, (3100 + c % 800)::DOUBLE AS mid, CASE WHEN k % 3 > 0 THEN 5000.0 END::DOUBLE AS high FROM o WHERE type_bien = 'appartement' OR k % 2 = 0""",
     "x4_land_prices": f"""WITH o AS (SELECT o_orderkey::VARCHAR AS url, 'tourcoing' AS city, CASE o_orderkey % 4 WHEN 0 THEN ['x', 'Prix moyen du terrain constructible en France : ' || (100 + o_custkey) || ',5 €/m²'] WHEN 1 THEN ['TOURCOING (59200)', 'a', '1 ' || (100 + o_custkey % 800) || ' € / m2', 'Calculé sur ' || o_custkey || ' terrains à vendre'] WHEN 2 THEN ['Tourcoing', 'a', 'b', 'c', '99 €/m²'] ELSE ['Lille', '88 €/m²'] END AS lines FROM orders),

@@ -25,3 +25,9 @@ def agrees(spark, tmp_path):
 def test_catalogue_order_of_equal_names_and_long_codes(agrees):
     got = agrees("o3_catalogue_order", "supplier", "SELECT i * 7 + 2148 AS s_suppkey, 'Supplier ' || (i % 3) AS s_name, 1::INT AS s_nationkey, 1.0::DOUBLE AS s_acctbal FROM range(200) t(i)")
     assert (got.department == "2B").any()
+
+
+def test_replies_with_totals(agrees):
+    """Prices from 50 000 are totals, which say nothing without an area; a price below them counts, if there is one."""
+    got = agrees("x2_price_replies", "orders", "SELECT i AS o_orderkey, i * 997 AS o_custkey, 'O' AS o_orderstatus, 1.0::DOUBLE AS o_totalprice, TIMESTAMP '1997-01-01' AS o_orderdate, 'x' AS o_orderpriority FROM range(120) t(i)")
+    assert (got[got.kind == "high"].price == 800).any() and got.price.max() < 50_000
