@@ -84,5 +84,7 @@ def transaction_features(pages: DataFrame) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None) -> None:
-    """A result table, as Parquet or JSON lines, in a folder for each value of `by`; an older result is replaced."""
+    """A result table, as Parquet or JSON lines, in a folder for each value of `by`, written by one task each: a file a folder, not one for every task; an older result is replaced."""
+    if by:
+        df = df.repartition(*by)
     df.write.mode("overwrite").format(kind).partitionBy(*(by or [])).save(path)

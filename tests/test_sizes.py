@@ -1,6 +1,7 @@
 """Queries against their SQL on keys and names that only larger tables have."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -39,7 +40,7 @@ def test_replies_with_totals(agrees):
 def test_pairs_are_not_shuffled(spark, monkeypatch):
     """What follows the join of subjects and sales is computed where the pairs are; subjects alike are asked once, each gets its rows."""
     subject = "SELECT id AS subject_id, 48.868D AS lat, 2.331D + (id % 3) AS lon, CASE WHEN id >= 0 THEN 'maison' END AS property_type, 50.0D AS living_area_sqm, 2 AS rooms, 9.0D AS land_area_sqm, 'Rue A' AS street_name, CASE WHEN id % 2 = 0 THEN 500 ELSE 5000 END AS search_radius_m, 1996 AS min_year, date'1998-09-02' AS valuation_date FROM range(12)"
-    sale = "SELECT 1000.0D + id AS total_price, 10.0D AS living_area, 2 AS rooms, date'1998-01-01' AS sale_date, CASE WHEN id >= 0 THEN 'maison' END AS property_type, 'Rue A' AS street, cast(id AS int) AS number, 48.84D + id / 1000 AS lat, 2.331D + id / 1000 AS lon, 9.0D AS land_area FROM range(60)"
+    sale = "SELECT 1000.0D + id AS total_price, 10.0D AS living_area, 2 AS rooms, date'1998-01-01' AS sale_date, CASE WHEN id >= 0 THEN 'maison' END AS property_type, 'Rue A' AS street, cast(id AS int) AS number, 48.84D + id / 1000 AS lat, 2.331D + (id % 7) / 1000 AS lon, 9.0D AS land_area FROM range(60)"
     monkeypatch.setattr(comparables, "SALES_PER_TASK", 20)
     subjects, sales = spark.sql(subject), spark.sql(sale)
     rows = comparables.compare(subjects, sales)
@@ -48,5 +49,13 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
     alike = {tuple(r) for r in comparables.for_alike(subjects, lambda s: comparables.statistics(comparables.compare(s, sales))).collect()}
     assert plain == alike and {r[0] for r in plain} == {0, 3, 6, 9}
     box = [(48.868, 2.331, r / 111_320, r / (111_320 * math.cos(math.radians(48.868)))) for r in (500, 5000)]
-    expected = [sum(abs(48.84 + i / 1000 - y) <= dy and abs(2.331 + i / 1000 - x) <= dx for i in range(60)) for y, x, dy, dx in box]
+    expected = [sum(abs(48.84 + i / 1000 - y) <= dy and abs(2.331 + (i % 7) / 1000 - x) <= dx for i in range(60)) for y, x, dy, dx in box]
     assert {r[0]: r[1] for r in plain} == {0: expected[0], 6: expected[0], 3: expected[1], 9: expected[1]}
+
+
+def test_answers_are_written_in_as_many_folders_at_every_size(agrees, spark, tmp_path):
+    """A folder holds the answers of many projects: commits and listings do not grow with the projects."""
+    before = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("cadaster-results-*"))
+    agrees("src9_result_files", "events", "SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i AS user_id, 'click' AS event_type, 1.0::DOUBLE AS value, '' AS props FROM range(900) t(i)")
+    (made,) = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("cadaster-results-*")) - before
+    assert len(list((made / "answers").glob("*=*"))) <= 64 and len(list((made / "answers").rglob("*.json"))) <= 64
