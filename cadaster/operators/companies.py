@@ -16,6 +16,8 @@ DISTRESS = [
     "cessation d'activité", "privilège URSSAF", "privilège du Trésor", "défaut de dépôt des comptes",
 ]
 MATCH_ABOVE, CONFIDENT = 0.35, 0.55
+#: Representatives for each task that holds whole networks: its nodes, some twenty for each on the given tables, are grouped in memory.
+REPRESENTATIVES_PER_TASK = 25_000
 
 
 def letters(name: Column) -> Column:
@@ -136,10 +138,11 @@ def cascade(folders: DataFrame, pools: list[DataFrame]) -> DataFrame:
 
 
 def visits(roots: DataFrame, representatives: DataFrame, mandates: DataFrame, predecessors: DataFrame) -> DataFrame:
-    """root, siren, rank, src, label, dashed: the companies found around each root, each by the first visit only.
+    """root, siren, visit (from 1), rank, src, label, dashed: the companies found around each root, each by the first visit only.
 
     Representatives are gone through in order: one that is a company is visited (rank 1), of a person's companies
     those that live, in order (rank 2); then the predecessors (rank 1). Who comes to a company that was visited draws no edge.
+    Visits of one order come by src, then siren.
     """
     soc = lambda c: F.concat(F.lit("soc_"), c)
     start = roots.select(F.col("siren").alias("root"), F.col("siren"))
@@ -150,8 +153,31 @@ def visits(roots: DataFrame, representatives: DataFrame, mandates: DataFrame, pr
     theirs = people.join(mandates.where("NOT entreprise_cessee").select("person_id", F.col("ordinal").alias("at"), F.col("siren").alias("held"), "qualite"), "person_id")
     held = theirs.select("root", visit(F.col("held"), 2, F.col("person_id"), F.coalesce("qualite", F.lit("Dirigeant")), False, (F.col("rep"), F.col("at"))).alias("v"))
     before = start.join(predecessors, "siren").select("root", visit(F.col("predecessor"), 1, soc(F.col("root")), F.lit("Prédécesseur"), True, (F.lit(1 << 62), F.col("ordinal"))).alias("v"))
-    first = companies.unionByName(held).unionByName(before).where("v.siren <> root").groupBy("root", F.col("v.siren").alias("siren"))
-    return first.agg(F.min_by("v", F.struct("v.order", "v.src")).alias("v")).select("root", "siren", "v.order", "v.rank", "v.src", "v.label", "v.dashed")
+    # a root's visits are in one place, for the first of each company and for their numbers
+    found = companies.unionByName(held).unionByName(before).where("v.siren <> root").repartition("root")
+    first = found.groupBy("root", F.col("v.siren").alias("siren")).agg(F.min_by("v", F.struct("v.order", "v.src")).alias("v"))
+    number = F.row_number().over(W.partitionBy("root").orderBy("v.order", "v.src", "siren"))
+    return first.select("root", "siren", number.alias("visit"), "v.rank", "v.src", "v.label", "v.dashed")
+
+
+def _around(roots: DataFrame, representatives: DataFrame, mandates: DataFrame, predecessors: DataFrame, people: DataFrame) -> DataFrame:
+    """visits() and each root itself (visit 0, rank 0), with people's array of each company; empty for those that have nobody.
+
+    people: siren, people.
+    """
+    root = roots.select(F.col("siren").alias("root"), "siren", F.lit(0).alias("visit"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("dashed"))
+    found = root.union(visits(roots, representatives, mandates, predecessors))
+    return found.join(people, "siren", "left").withColumn("people", F.coalesce("people", F.array().cast(people.schema["people"].dataType)))
+
+
+def _by_root(around: DataFrame, representatives: DataFrame) -> DataFrame:
+    """around with all that is around a root in one task, people still in their arrays: what is grouped by root and more is not shuffled again."""
+    return around.repartition(1 + representatives.count() // REPRESENTATIVES_PER_TASK, "root")
+
+
+def _seen(rank: Column) -> Column:
+    """A number that is less for an earlier `visit` and tells the rank, 0 to 3, in its last two bits."""
+    return F.col("visit").cast("long") * 4 + rank
 
 
 def network(roots: DataFrame, representatives: DataFrame, mandates: DataFrame, predecessors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,14 +189,14 @@ def network(roots: DataFrame, representatives: DataFrame, mandates: DataFrame, p
     qualite, entreprise_cessee; predecessors: siren, ordinal, predecessor.
     """
     soc = lambda c: F.concat(F.lit("soc_"), c)
-    root = roots.select(F.col("siren").alias("root"), "siren", F.lit(None).cast("struct<a: bigint, b: bigint>").alias("order"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("dashed"))
-    found = root.union(visits(roots, representatives, mandates, predecessors))
-    people = representatives.where("person_id IS NOT NULL").groupBy("siren").agg(F.collect_set(F.struct("person_id", F.coalesce("qualite", F.lit("Dirigeant")).alias("qualite"))).alias("people"))
-    around = found.join(people, "siren", "left").withColumn("people", F.coalesce("people", F.expr("cast(array() AS array<struct<person_id: string, qualite: string>>)")))
-    # the root itself comes before all visits
-    node = lambda name, rank: F.struct(name.alias("node"), rank.cast("int").alias("rank"), F.col("order").isNotNull().alias("later"), F.col("order").alias("at"))
-    several = around.select("root", F.inline(F.concat(F.array(node(soc(F.col("siren")), F.col("rank"))), F.transform("people", lambda p: node(p["person_id"], F.col("rank") + 1)))))
-    nodes = several.groupBy("root", "node").agg(F.min_by("rank", F.struct("later", "at")).alias("rank"))
+    of = representatives.where("person_id IS NOT NULL").groupBy("siren")
+    names = _around(roots, representatives, mandates, predecessors, of.agg(F.sort_array(F.collect_set("person_id")).alias("people")))
+    together = _by_root(names.select("root", "siren", "visit", "rank", "people"), representatives)
+    node = lambda name, rank: F.struct(name.alias("node"), _seen(rank).alias("seen"))
+    several = together.select("root", F.inline(F.concat(F.array(node(soc(F.col("siren")), F.col("rank"))), F.transform("people", lambda p: node(p, F.col("rank") + 1)))))
+    nodes = several.groupBy("root", "node").agg(F.min("seen").bitwiseAND(3).cast("int").alias("rank"))
+    said = F.collect_set(F.struct("person_id", F.coalesce("qualite", F.lit("Dirigeant")).alias("qualite")))
+    around = _around(roots, representatives, mandates, predecessors, of.agg(said.alias("people")))
     edge = lambda a, b, label, dashed: F.struct(a.alias("src"), b.alias("dst"), label.alias("label"), dashed.alias("dashed"))
     own = F.transform("people", lambda p: edge(soc(F.col("siren")), p["person_id"], p["qualite"], F.lit(False)))
     came = F.filter(F.array(edge(F.col("src"), soc(F.col("siren")), F.col("label"), F.col("dashed"))), lambda e: e["src"].isNotNull())

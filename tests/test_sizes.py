@@ -1,13 +1,15 @@
 """Queries against their SQL on keys and names that only larger tables have."""
 
 import math
+import re
+from collections import defaultdict
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__
-from cadaster.operators import comparables
+from cadaster.operators import comparables, companies
 from tests.conftest import rows_of
 
 
@@ -59,3 +61,32 @@ def test_answers_are_written_in_as_many_folders_at_every_size(agrees, spark, tmp
     agrees("src9_result_files", "events", "SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i AS user_id, 'click' AS event_type, 1.0::DOUBLE AS value, '' AS props FROM range(900) t(i)")
     (made,) = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("cadaster-results-*")) - before
     assert len(list((made / "answers").glob("*=*"))) <= 64 and len(list((made / "answers").rglob("*.json"))) <= 64
+
+
+def _relations(spark):
+    """Companies whose people hold several each, with ceased mandates, companies as representatives and several labels of one person."""
+    reps = spark.sql("SELECT cast(pmod(hash(id), 17) AS string) AS siren, id AS ordinal, CASE WHEN id % 7 > 0 THEN concat('p', pmod(hash(id, 1), 40)) END AS person_id, CASE WHEN id % 7 = 0 THEN cast(pmod(hash(id, 2), 17) AS string) END AS company, element_at(array('Gérant', 'Président', NULL), cast(id % 3 + 1 AS int)) AS qualite, id % 4 = 0 AS entreprise_cessee FROM range(160)")
+    roots = reps.select("siren").distinct()
+    return roots, reps, reps.where("person_id IS NOT NULL"), roots.selectExpr("siren", "1 AS ordinal", "cast(siren + 2 AS string) AS predecessor")
+
+
+def _exchanges(rows):
+    """The keys of a plan's exchanges."""
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", re.sub(r"#\d+L?", "", rows._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_nodes_of_a_network_are_not_shuffled(spark, monkeypatch):
+    """Companies come to the root with their people in arrays; each node is told there. Its rank is that of the first visit, step by step."""
+    monkeypatch.setattr(companies, "REPRESENTATIVES_PER_TASK", 30)
+    relations = _relations(spark)
+    nodes, _ = companies.network(*relations)
+    assert not [k for k in _exchanges(nodes) if "node" in k] and "root, 6" in _exchanges(nodes)
+    seen = companies.visits(*relations).orderBy("root", "visit").collect()
+    people, expected = defaultdict(set), {}
+    for r in relations[1].where("person_id IS NOT NULL").collect():
+        people[r.siren].add(r.person_id)
+    for root, siren, rank in [(r.siren, r.siren, 0) for r in relations[0].collect()] + [(r.root, r.siren, r["rank"]) for r in seen]:
+        for node, of in ((f"soc_{siren}", rank), *((p, rank + 1) for p in people[siren])):
+            expected.setdefault((root, node), of)
+    got = {(r.root, r.node): r["rank"] for r in nodes.collect()}
+    assert got == expected and nodes.count() == len(got) and set(got.values()) == {0, 1, 2, 3}
