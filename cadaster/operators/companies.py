@@ -203,6 +203,27 @@ def network(roots: DataFrame, representatives: DataFrame, mandates: DataFrame, p
     return nodes, around.select("root", F.inline(F.concat(came, own)))
 
 
+def clean_network(roots: DataFrame, representatives: DataFrame, mandates: DataFrame, predecessors: DataFrame, below: int) -> DataFrame:
+    """root, src, dst, label: clean_edges() of network()'s edges and its nodes of a rank below `below`, neither of which is shuffled.
+
+    A company's people have their first label each before they come to the roots; there, only the people's first visits
+    are left to find, as companies are visited once. Names of people are told from those of companies, which begin with soc_.
+    """
+    soc = lambda c: F.concat(F.lit("soc_"), c)
+    one = representatives.where("person_id IS NOT NULL").select("siren", "person_id", "qualite").repartition("siren").groupBy("siren", "person_id").agg(F.min(F.coalesce("qualite", F.lit("Dirigeant"))).alias("label"))
+    # a label once for all who have it: less to shuffle
+    people = one.groupBy("siren", "label").agg(F.sort_array(F.collect_list("person_id")).alias("persons")).groupBy("siren").agg(F.collect_list(F.struct("label", "persons")).alias("people"))
+    around = _around(roots.select("siren").distinct(), representatives, mandates, predecessors, people)
+    together = _by_root(around.select("root", "siren", "visit", "rank", "src", "label", "people"), representatives)
+    edge = lambda a, a_rank, b, b_rank, label: F.struct(a.alias("src"), a_rank.cast("int").alias("src_rank"), b.alias("dst"), _seen(b_rank).alias("seen"), label.alias("label"))
+    # who comes to a company is the root or one of its own people
+    came = F.filter(F.array(edge(F.col("src"), F.when(F.col("src") == soc(F.col("root")), 0).otherwise(1), soc(F.col("siren")), F.col("rank"), F.col("label"))), lambda e: e["src"].isNotNull())
+    own = F.flatten(F.transform("people", lambda g: F.transform(g["persons"], lambda p: edge(soc(F.col("siren")), F.col("rank"), p, F.col("rank") + 1, g["label"]))))
+    edges = together.select("root", F.inline(F.concat(came, own)))
+    first = F.min("seen").over(W.partitionBy("root", "dst")).bitwiseAND(3)
+    return edges.withColumn("dst_rank", first).where((F.col("src_rank") < below) & (F.col("dst_rank") < below)).select("root", "src", "dst", "label")
+
+
 def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The first label of each pair of nodes; edges whose ends are no nodes go."""
     one = edges.groupBy("root", "src", "dst").agg(F.min("label").alias("label"))

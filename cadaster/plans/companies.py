@@ -57,24 +57,24 @@ def j7_pool_cascade(spark, sf_dir):
     return c.cascade(_view(spark, sf_dir, _FOLDERS, "orders"), [elsewhere(0), elsewhere(1), pool])
 
 
-def _network(spark, sf_dir):
+def _relations(spark, sf_dir):
+    """Roots, representatives, mandates and predecessors."""
     reps = _view(spark, sf_dir, _REPS, "orders")
     roots = reps.select("siren").distinct()
     before = roots.select("siren", F.lit(1).alias("ordinal"), F.expr("CASE WHEN siren % 20 = 0 THEN cast(cast(siren AS int) + 2 AS string) ELSE siren END").alias("predecessor"))
-    return c.network(roots, reps, reps.where("person_id IS NOT NULL"), before)
+    return roots, reps, reps.where("person_id IS NOT NULL"), before
 
 
 def j18_network_nodes(spark, sf_dir):
-    return _network(spark, sf_dir)[0]
+    return c.network(*_relations(spark, sf_dir))[0]
 
 
 def j18_network_edges(spark, sf_dir):
-    return _network(spark, sf_dir)[1]
+    return c.network(*_relations(spark, sf_dir))[1]
 
 
 def j19_clean_edges(spark, sf_dir):
-    nodes, edges = _network(spark, sf_dir)
-    return c.clean_edges(edges, nodes.where("rank < 3"))
+    return c.clean_network(*_relations(spark, sf_dir), below=3)
 
 
 def w14_distress_sentences(spark, sf_dir):

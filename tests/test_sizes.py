@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from cadaster.operators import comparables, companies
@@ -90,3 +91,15 @@ def test_nodes_of_a_network_are_not_shuffled(spark, monkeypatch):
             expected.setdefault((root, node), of)
     got = {(r.root, r.node): r["rank"] for r in nodes.collect()}
     assert got == expected and nodes.count() == len(got) and set(got.values()) == {0, 1, 2, 3}
+
+
+def test_edges_of_a_network_are_cleaned_where_they_are(spark, monkeypatch):
+    """As cleaning all edges by all nodes gives, at every bound; nothing is shuffled by the ends of edges."""
+    monkeypatch.setattr(companies, "REPRESENTATIVES_PER_TASK", 30)
+    relations = _relations(spark)
+    nodes, edges = companies.network(*relations)
+    for below in (1, 2, 3, 4):
+        clean = companies.clean_network(*relations, below=below)
+        plain = companies.clean_edges(edges, nodes.where(F.col("rank") < below))
+        assert sorted(map(tuple, clean.collect())) == sorted(map(tuple, plain.select(clean.columns).collect()))
+    assert not [k for k in _exchanges(clean) if "src" in k or "dst" in k]
