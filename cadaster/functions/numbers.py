@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cadaster.functions.text import let
+
 
 def french(value: Column) -> Column:
     """Two digits at most, a comma before them, spaces between thousands, trailing noughts trimmed."""
@@ -37,7 +39,12 @@ def signed_amount(text: Column) -> Column:
 
 def statement_amount(text: Column) -> Column:
     """The number that a cell of a statement is: groups of digits, one decimal mark, in brackets if negative; null for all else, an amount with its currency too."""
-    t = F.trim(F.regexp_replace(text, f"{SPACES}+", " "))
+    # most cells are words: what does not begin as a number is not looked at further
+    starts = F.rlike(text, F.lit(rf"^{SPACES}*\(?-?\d"))
+    return F.when(starts, let(F.trim(F.regexp_replace(text, f"{SPACES}+", " ")), _statement_number))
+
+
+def _statement_number(t: Column) -> Column:
     n = F.translate(F.translate(t, "() ", ""), ",", ".").try_cast("double")
     return F.when(F.rlike(t, F.lit(r"^\(?-?\d[\d ]*([.,]\d+)?\)?$")), F.when(F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")")), -n).otherwise(n))
 

@@ -77,7 +77,7 @@ _GRID_ROW = """CASE l_partkey % 13 WHEN 0 THEN array('Actif immobilisé', '', ''
 
 def w15_logical_rows(spark, sf_dir):
     """An account grid for each order: its items are rows with amounts, labels that wait for them, headings."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "struct(l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) AS o", f"{_GRID_ROW} AS r")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "struct(l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) AS o", f"{_GRID_ROW} AS r").repartition("doc_id")
     body = F.transform(F.sort_array(F.collect_list(F.struct("o", "r"))), lambda x: x["r"])
     head = F.array(F.array(*(F.lit(x) for x in ("Poste", "", "2021", "2020"))))
     return g.logical_rows(rows.groupBy("doc_id").agg(F.concat(head, body).alias("cells")))

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from cadaster.operators import comparables, companies
+from cadaster.functions import numbers
+from cadaster.operators import comparables, companies, grids
 from tests.conftest import rows_of
 
 
@@ -103,3 +104,12 @@ def test_edges_of_a_network_are_cleaned_where_they_are(spark, monkeypatch):
         plain = companies.clean_edges(edges, nodes.where(F.col("rank") < below))
         assert sorted(map(tuple, clean.collect())) == sorted(map(tuple, plain.select(clean.columns).collect()))
     assert not [k for k in _exchanges(clean) if "src" in k or "dst" in k]
+
+
+def test_cells_of_account_grids_are_read_once(spark):
+    """However many expressions ask for it: the plan has one reading of a cell's blanks, and one folding of a label."""
+    rows = [["Poste", "2021", "2020"], ["\u00a0Terrains ", "", None], ["- nus", "( 1\u00a0000,5)", "-3"], ["12 m", "1 2", "(4"], ["Exercice du", "au 31", ""], ["", "\u202f7", "x"]]
+    got = grids.logical_rows(spark.createDataFrame([(1, rows)], "doc_id long, cells array<array<string>>"))
+    assert [(r.label, r.n, r.n1) for r in got.collect()] == [("Poste", 2021.0, 2020.0), ("Terrains - nus", None, -3.0), ("12 m", 12.0, 4.0), ("Exercice du", 7.0, None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\p{Mn}+") == 1 and plan.count(f"{numbers.SPACES}+, ") == 1
