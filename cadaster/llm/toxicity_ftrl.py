@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column) -> dict[int, float]:
     """The weights that are not nought; the intercept is at 2^BITS. keep: which doc_ids may be learned from."""
     import pyarrow as pa
 
-    rows = sample(docs, labels, "toxic", keep, MOST)
+    rows = sample(docs.select("doc_id", "text"), labels, "toxic", keep, MOST)
 
     def per_text():
         return lambda raw: (np.append(np.unique(buckets(raw)), 1 << BITS).astype(np.int32).tolist(),)

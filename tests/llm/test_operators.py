@@ -588,6 +588,59 @@ def test_bradley_terry_past_its_bound(spark, monkeypatch):
     assert len(sampled) == 6 and model.cut == pytest.approx(np.mean([strength[i] for i in ordered[max(0, at - 1) : at + 1]]))
 
 
+def fitted_plainly(spark, texts_):
+    """A model fitted on (doc_id, text, label), and by plain arrays: the mean, the loss's gradient at its weights, and its cut."""
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts_], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts_], "doc_id long, quality int")
+    model = quality_bt.fit(docs, labels, F.lit(True))
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").select("doc_id").collect()]
+    of = {i: (quality_bt.features(t.encode()), y) for i, t, y in texts_}
+    x, y = np.array([of[i][0] for i in order]), np.array([of[i][1] for i in order])
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    k = np.arange(quality_bt.PAIRS_PER_ROW * max(len(good), len(bad)))
+    d = good[k % len(good)] - bad[(k + k // len(good) * 7 + k // len(bad)) % len(bad)]
+    gradient = (d / (1 + np.exp(d @ model.weights))[:, None]).sum(0) - quality_bt.L2 * model.weights
+    s = np.sort(z @ model.weights)
+    return model, x.mean(0), gradient, s[max(0, len(bad) - 2) : len(bad)].mean()
+
+
+def test_bradley_terry_learns_from_every_labelled_row(spark):
+    """Also from more than 5 000 and 10 000 rows of a kind, where a sample was taken once; by brute force."""
+    rng = random.Random(11)
+    texts_ = [(i, " ".join(words(rng, 3 + i % 17)) + (" ##" if i % 3 == 0 and i % 5 else "."), int(i % 3 > 0)) for i in range(15_900)]
+    model, mean, gradient, cut = fitted_plainly(spark, texts_)
+    assert model.mean == pytest.approx(mean) and np.abs(gradient).max() < 1e-3 and model.cut == pytest.approx(cut)
+
+
+@pytest.mark.parametrize("rare", [0, 1])
+def test_bradley_terry_with_one_row_of_a_label(spark, rare):
+    """The one row is in all pairs and is copied for them; most texts are equal, so are their strengths."""
+    texts_ = [(i, "one two three four" if i % 3 else f"w{i} ## {i}", rare if i == 7 else 1 - rare) for i in range(150)]
+    model, mean, gradient, cut = fitted_plainly(spark, texts_)
+    assert model.mean == pytest.approx(mean) and np.abs(gradient).max() < 1e-3 and model.cut == pytest.approx(cut)
+
+
+def test_bradley_terry_repeats_and_contradictions(spark):
+    """A repeated row counts twice, a label given twice once; a row labelled both ways or without an id is not learned from."""
+    docs = spark.createDataFrame([(1, "a b c."), (1, "a b c."), (2, "##"), (3, "x " * 30), (None, "y"), (4, "free")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (None, 1), (9, 0), (4, None)], "doc_id long, quality int")
+    x = np.array([quality_bt.features(t) for t in (b"a b c.", b"a b c.", b"##")])
+    assert quality_bt.fit(docs, labels, F.lit(True)).mean == pytest.approx(x.mean(0))
+    assert quality_bt.fit(docs, labels.where("quality = 1"), F.lit(True)) is None and quality_bt.fit(docs, labels.where("doc_id = 9"), F.lit(True)) is None
+
+
+def test_cut_is_the_plain_quantile(spark, monkeypatch):
+    monkeypatch.setattr(quality_bt, "SLOTS", 3)
+    rng = np.random.default_rng(4)
+    for values, share in ((rng.normal(size=40), 0.3), (rng.integers(0, 4, 40) / 7, 0.55), (np.zeros(5), 0.4), (np.array([-1e300, 0.0, 5e-324, 1e300]), 0.5)):
+        y = np.arange(len(values)) % 3 > 0
+        bad, good = share / (~y).sum(), (1 - share) / y.sum()
+        order = np.lexsort((y, values))
+        table = spark.createDataFrame([(float(s), int((~y & (values == s)).sum()), int((y & (values == s)).sum())) for s in set(values.tolist())], "s double, n_bad long, n_good long")
+        assert quality_bt.cut_of(table, bad, good, share) == quality_bt.quantile(values[order], np.where(y, good, bad)[order], share)
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(9)
     lengths = [1, 2, 5]
