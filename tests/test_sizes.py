@@ -2,7 +2,7 @@
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
@@ -57,6 +57,27 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
     assert {r[0]: r[1] for r in plain} == {0: expected[0], 6: expected[0], 3: expected[1], 9: expected[1]}
 
 
+def test_pairs_for_subjects_alike_are_not_shuffled(spark, sf_dir, monkeypatch):
+    """Sales are shuffled once, their pairs never, where each of the subjects alike gets all pairs; ids, missing values and sales of nobody's days included."""
+    monkeypatch.setattr(comparables, "SALES_PER_TASK", 20)
+    keys = _exchanges(__spark_entry__.QUERIES["p17_display"](spark, sf_dir))
+    assert [k for k in keys if "first" in k or k.startswith("cast(")] == [] and any(k.startswith("home, property_type, ") for k in keys)
+    subjects = spark.sql("SELECT 100 + id AS subject_id, CASE WHEN id <> 11 THEN 48.868D END AS lat, 2.331D + (id % 3) / 500 AS lon, CASE WHEN id <> 10 THEN 'maison' END AS property_type, 50.0D AS living_area_sqm, 2 AS rooms, CASE WHEN id % 2 = 0 THEN 9.0D END AS land_area_sqm, 'Rue A' AS street_name, CASE WHEN id % 2 = 0 THEN 500 ELSE 5000 END AS search_radius_m, CASE WHEN id % 3 = 0 THEN 1996 END AS min_year, date'1998-09-02' AS valuation_date FROM range(24)")
+    sales = spark.sql("SELECT 1000.0D + id AS total_price, 10.0D AS living_area, 2 AS rooms, date_add(date'1993-01-01', cast(id * 40 AS int)) AS sale_date, CASE WHEN id >= 0 THEN 'maison' END AS property_type, 'Rue A' AS street, cast(id % 9 AS int) AS number, 48.86D + id / 9000 AS lat, 2.331D + (id % 7) / 1000 AS lon, 9.0D AS land_area FROM range(90)")
+    plain = comparables.compare(subjects, sales).drop("home", "property_type")
+    each = comparables.rows_for_alike(subjects, sales, comparables.compare)
+    assert sorted(plain.columns) == sorted(each.columns)
+    expected, got = (Counter(map(tuple, x.select(*sorted(plain.columns)).collect())) for x in (plain, each))
+    assert expected == got and len({r.subject_id for r in each.select("subject_id").collect()}) == 22 and each.where("sale_date < '1996-01-01' OR sale_date > '1998-09-02'").isEmpty()
+
+
+def test_amounts_of_all_sizes_in_french(spark):
+    """Whole cents below a million are written by another way than the rest."""
+    texts = {0.0: "0", 0.05: "0,05", 0.5: "0,5", 0.29: "0,29", 1.005: "1,01", 999.99: "999,99", 999.995: "1 000", 1000.0: "1 000", 1005.2: "1 005,2", 999999.99: "999 999,99", 999999.995: "1 000 000", 1234567.8: "1 234 567,8", -3.25: "-3,25", 1e12: "1 000 000 000 000"}
+    got = spark.createDataFrame([(v,) for v in (*texts, None)], "v double").select("v", numbers.french(F.col("v")).alias("text")).collect()
+    assert {r.v: r.text for r in got} == {**texts, None: None}
+
+
 def test_answers_are_written_in_as_many_folders_at_every_size(agrees, spark, tmp_path):
     """A folder holds the answers of many projects: commits and listings do not grow with the projects."""
     before = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("cadaster-results-*"))
