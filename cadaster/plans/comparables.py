@@ -58,8 +58,7 @@ def p10_exclusion_reason(spark, sf_dir):
 
 
 def j2_radius_join(spark, sf_dir):
-    near = c.box_join(subjects(spark, sf_dir), transactions(spark, sf_dir)).withColumn("metres", geo.haversine_m(F.col("s_lat"), F.col("s_lon"), F.col("lat"), F.col("lon")))
-    return near.where(F.col("metres") <= F.col("search_radius_m")).groupBy("subject_id").agg(F.count("*").alias("n"), F.round(F.sum("metres"), 3).alias("metres"))
+    return c.nearby(subjects(spark, sf_dir), transactions(spark, sf_dir)).withColumn("metres", F.round("metres", 3))
 
 
 def f16_f17_f18_geo(spark, sf_dir):

@@ -71,6 +71,27 @@ def test_pairs_for_subjects_alike_are_not_shuffled(spark, sf_dir, monkeypatch):
     assert expected == got and len({r.subject_id for r in each.select("subject_id").collect()}) == 22 and each.where("sale_date < '1996-01-01' OR sale_date > '1998-09-02'").isEmpty()
 
 
+def test_sales_at_one_place_meet_a_place_once(spark, tmp_path, monkeypatch):
+    """Sales and subjects of places that repeat are as many pairs as there are places, with the counts and distances of all of them."""
+    con, pairs, join = duckdb.connect(), [], comparables.box_join
+    for name, sql in {
+        "customer": "SELECT i // 40 + 7 + i % 40 * 100000 AS c_custkey FROM range(80) t(i)",
+        "lineitem": "SELECT 1000.0::DOUBLE + i AS l_extendedprice, 10.0::DOUBLE AS l_quantity, i % 10 + i % 9 * 100000 AS l_partkey, 7 + i % 2 + i % 7 * 100 AS l_suppkey, TIMESTAMP '1998-01-01' AS l_shipdate FROM range(1260) t(i)",
+    }.items():
+        con.sql(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+
+    def counted(*tables, **options):
+        found = join(*tables, **options)
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(comparables, "box_join", counted)
+    got, expected = __spark_entry__.QUERIES["j2_radius_join"](spark, str(tmp_path)).toPandas(), con.sql(__spark_entry__.SQL["j2_radius_join"]).df()
+    assert rows_of(got, ["subject_id", "n", "metres"]) == rows_of(expected, ["subject_id", "n", "metres"]) and len(got) == 80 and got.n.sum() == 80 * 630
+    assert pairs == [10]
+
+
 def test_amounts_of_all_sizes_in_french(spark):
     """Whole cents below a million are written by another way than the rest."""
     texts = {0.0: "0", 0.05: "0,05", 0.5: "0,5", 0.29: "0,29", 1.005: "1,01", 999.99: "999,99", 999.995: "1 000", 1000.0: "1 000", 1005.2: "1 005,2", 999999.99: "999 999,99", 999999.995: "1 000 000", 1234567.8: "1 234 567,8", -3.25: "-3,25", 1e12: "1 000 000 000 000"}
